@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import langid, quality
+from touchline.llm import langid, quality, simhash
 from touchline.llm.common import read_table
 from touchline.llm.pii import find_pii
 
@@ -19,12 +19,16 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op8_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(read_table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_language": op4_language, "op9_pii": op9_pii, "op10_quality": op10_quality}
+    return {"op4_language": op4_language, "op8_near_copies": op8_near_copies, "op9_pii": op9_pii, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
