@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import langid, quality, simhash
+from touchline.llm import bpe, langid, packing, quality, simhash
 from touchline.llm.common import read_table
 from touchline.llm.pii import find_pii
 
@@ -15,10 +16,22 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(read_table(spark, sf_dir, "documents"))
 
 
+#: The place of the tokenizer file, on the driver and on every executor.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(read_table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op8_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(read_table(spark, sf_dir, "documents"))
 
@@ -28,7 +41,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_language": op4_language, "op8_near_copies": op8_near_copies, "op9_pii": op9_pii, "op10_quality": op10_quality}
+    return {"op2_packing": op2_packing, "op4_language": op4_language, "op7_bpe": op7_bpe, "op8_near_copies": op8_near_copies, "op9_pii": op9_pii, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
