@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import bpe, langid, packing, quality, simhash
+from touchline.llm import bpe, chat, langid, licenses, packing, quality, simhash, urls
 from touchline.llm.common import read_table
 from touchline.llm.pii import find_pii
 
@@ -24,10 +24,22 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.read_conversations(chat.format_conversations(chat.with_probe(read_table(spark, sf_dir, "conversations"))))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -41,8 +53,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_packing": op2_packing, "op4_language": op4_language, "op7_bpe": op7_bpe, "op8_near_copies": op8_near_copies, "op9_pii": op9_pii, "op10_quality": op10_quality}
+    return {
+        "op2_packing": op2_packing,
+        "op3_chat": op3_chat,
+        "op4_language": op4_language,
+        "op5_licenses": op5_licenses,
+        "op6_urls": op6_urls,
+        "op7_bpe": op7_bpe,
+        "op8_near_copies": op8_near_copies,
+        "op9_pii": op9_pii,
+        "op10_quality": op10_quality,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For the others, see tests/llm: each is compared with a plain version of what it computes."""
+    return {"op3_chat": chat.SQL, "op5_licenses": licenses.sql()}
