@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import bpe, chat, langid, licenses, packing, quality, simhash, urls
+from touchline.llm import bpe, chat, langid, licenses, media, packing, quality, simhash, urls
 from touchline.llm.common import read_table
 from touchline.llm.pii import find_pii
 
@@ -20,6 +20,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.describe_media(media.store_documents(read_table(spark, sf_dir, "documents")))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -54,6 +58,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_media": op1_media,
         "op2_packing": op2_packing,
         "op3_chat": op3_chat,
         "op4_language": op4_language,
