@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from touchline.llm.common import checkpointed
+
 #: White space as the contract has it: blank, and tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -105,7 +107,8 @@ def bucket_ratios(docs: DataFrame, labels: DataFrame, settings: Settings = Setti
     trusted = F.broadcast(trusted_ids(labels, settings).withColumn("q_trusted", F.lit(True)))  # its size is bounded above
     rows = docs.select(F.col("doc_id").alias("q_id"), words_of(F.coalesce(F.col("text"), F.lit(""))).alias("q_words"))
     grams = rows.join(trusted, "q_id", "left").select("q_trusted", F.explode(_buckets("q_words", settings)).alias("q_bucket"))
-    counts = grams.groupBy("q_bucket").agg(F.count(F.lit(1)).alias("q_all"), F.count("q_trusted").alias("q_good"))
+    # read twice below, and counted once
+    counts = checkpointed(grams.groupBy("q_bucket").agg(F.count(F.lit(1)).alias("q_all"), F.count("q_trusted").alias("q_good")))
     totals = counts.agg(F.sum("q_all").alias("q_all"), F.sum("q_good").alias("q_good")).first()
     every, good = float(totals.q_all or 0), float(totals.q_good or 0)
     if not good:
