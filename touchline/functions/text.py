@@ -121,7 +121,7 @@ def parse_score_text(text: Column, most: int = 20) -> Column:
     """(home, away) if the text names one plausible score, and no other."""
     pairs = F.regexp_extract_all(text, F.lit(r"(?<!\d)(\d{1,2}\s*[-–—:]\s*\d{1,2})(?!\d)"), F.lit(1))
     scores = F.array_distinct(F.transform(pairs, lambda p: F.struct(F.split(p, r"\s*[-–—:]\s*")[0].cast("int").alias("home"), F.split(p, r"\s*[-–—:]\s*")[1].cast("int").alias("away"))))
-    one = F.element_at(scores, 1)
+    one = F.try_element_at(scores, F.lit(1))
     return F.when((F.size(scores) == 1) & (one.home <= most) & (one.away <= most), one)
 
 

@@ -3,7 +3,11 @@ islands of time that no choice reaches across."""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,27 +16,47 @@ from touchline.operators import timejoin as T
 from touchline.settings import DEFAULTS, Settings
 
 
-def _greedy(pairs: pd.DataFrame) -> pd.DataFrame:
-    """Left items in order of time and id each take the free right item that is nearest, then most similar, then earliest."""
-    taken, rows = set(), []
-    for _, own in pairs.sort_values(["l_ms", "l_id"]).groupby(["l_ms", "l_id"], sort=True):
-        own = own.assign(gap=(own.r_ms - own.l_ms).abs(), less=-own.similarity)
-        for r in own.sort_values(["gap", "less", "r_ms", "r_id"]).itertuples():
-            if r.r_id not in taken:
-                taken.add(r.r_id)
-                rows.append((r.l_id, r.r_id, int(r.gap)))
-                break
-    return pd.DataFrame(rows, columns=["l_id", "r_id", "gap_ms"])
+MATCH = pa.schema([("l_id", pa.int64()), ("r_id", pa.int64()), ("gap_ms", pa.int64())])
+CLUSTER = pa.schema([("candidate_id", pa.int64()), ("cluster_id", pa.int64())])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for b in batches:
+        yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+
+
+def _out(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows island, l_id, r_id, gap in the order in which left items choose, each the best first: the first one that is free is taken."""
+    found = []
+    for _, own in groupby(_rows(batches), key=itemgetter(0)):
+        taken, done = set(), None
+        for _, left, right, gap in own:
+            if left != done and right not in taken:
+                taken.add(right)
+                done = left
+                found.append((left, right, gap))
+        if len(found) > 5000:
+            yield _out(found, MATCH)
+            found = []
+    if found:
+        yield _out(found, MATCH)
 
 
 def greedy_match(pairs: DataFrame, keys: list[str], reach_ms: int) -> DataFrame:
-    """l_id, r_id, gap_ms from eligible pairs (keys, l_id, l_ms, r_id, r_ms, similarity). Islands are cut where no pair reaches across."""
+    """l_id, r_id, gap_ms from eligible pairs (keys, l_id, l_ms, r_id, r_ms, similarity): left items in order of time and id each take the free right
+    item that is nearest, then most similar, then earliest. Islands are cut where no pair reaches across, sorted, and passed through one after the other.
+    """
     times = pairs.select(*keys, F.explode(F.array("l_ms", "r_ms")).alias("at_ms")).distinct()
     w = Window.partitionBy(*keys).orderBy("at_ms")
     cut = times.withColumn("new", F.coalesce((F.col("at_ms") - F.lag("at_ms").over(w) > reach_ms).cast("int"), F.lit(0)))
     numbered = cut.select(*keys, F.col("at_ms").alias("l_ms"), F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("island"))
-    rows = pairs.join(numbered, [*keys, "l_ms"]).select(*keys, "island", "l_id", "l_ms", "r_id", "r_ms", "similarity")
-    return rows.groupBy(*keys, "island").applyInPandas(_greedy, "l_id long, r_id long, gap_ms long")
+    rows = pairs.join(numbered, [*keys, "l_ms"]).select(F.struct(*keys, "island").cast("string").alias("island"), "l_id", "l_ms", "r_id", "r_ms", "similarity", F.abs(F.col("r_ms") - F.col("l_ms")).alias("gap_ms"))
+    rows = rows.repartition("island").sortWithinPartitions("island", "l_ms", "l_id", "gap_ms", F.desc("similarity"), "r_ms", "r_id")
+    return rows.select("island", "l_id", "r_id", "gap_ms").mapInArrow(_greedy, "l_id long, r_id long, gap_ms long")
 
 
 def match_runs(left: DataFrame, right: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
@@ -88,23 +112,38 @@ def cluster_candidates(candidates: DataFrame, cfg: Settings = DEFAULTS) -> DataF
     rows = candidates.where("status = 'DETECTED'").select("asset_id", "run_id", "event_type", "candidate_id", "trigger_ms", token_set(F.coalesce("context", F.lit("")), "content").alias("words"), type_window().alias("window_ms"))
     rows = rows.withColumn("new", F.coalesce((F.col("trigger_ms") - F.lag("trigger_ms").over(w) > F.col("window_ms")).cast("int"), F.lit(0)))
     rows = rows.withColumn("part", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
-    least = cfg.context_similarity
-
-    def fold(df: pd.DataFrame) -> pd.DataFrame:
-        clusters: list[list[tuple]] = []
-        for r in df.sort_values(["trigger_ms", "candidate_id"]).itertuples():
-            own = (r.candidate_id, r.trigger_ms, frozenset(r.words))
-            goal = r.event_type == "GOAL"
-
-            def fits(c, own=own, goal=goal, window=r.window_ms):
-                alike = lambda m: len(m[2] & own[2]) / len(m[2] | own[2]) if m[2] and own[2] else 0.0
-                return own[1] - c[0][1] <= window and all(same_event(own[1] - m[1], alike(m), goal, least) for m in c)
-
-            home = next((c for c in reversed(clusters) if fits(c)), None)
-            home.append(own) if home is not None else clusters.append([own])
-        return pd.DataFrame([(m[0], c[0][0]) for c in clusters for m in c], columns=["candidate_id", "cluster_id"])
-
-    return rows.groupBy("asset_id", "run_id", "event_type", "part").applyInPandas(fold, "candidate_id long, cluster_id long")
+    keys = ["asset_id", "run_id", "event_type", "part"]
+    rows = rows.select(F.struct(*keys).cast("string").alias("group"), "event_type", "window_ms", "candidate_id", "trigger_ms", "words")
+    rows = rows.repartition("group").sortWithinPartitions("group", "trigger_ms", "candidate_id")
+    return rows.mapInArrow(_fold(cfg.context_similarity), "candidate_id long, cluster_id long")
+
+
+def _fold(least: float):
+    """Rows group, type, window, id, time, words in order to their clusters."""
+
+    def run(batches):
+        found = []
+        for (_, kind), own in groupby(_rows(batches), key=itemgetter(0, 1)):
+            clusters: list[list[tuple]] = []
+            for _, _, window, number, at, words in own:
+                me = (number, at, frozenset(words))
+
+                def fits(c, me=me, window=window, goal=kind == "GOAL"):
+                    alike = lambda m: len(m[2] & me[2]) / len(m[2] | me[2]) if m[2] and me[2] else 0.0
+                    return me[1] - c[0][1] <= window and all(same_event(me[1] - m[1], alike(m), goal, least) for m in c)
+
+                home = next((c for c in reversed(clusters) if fits(c)), None)
+                if home is None:
+                    clusters.append(home := [])
+                home.append(me)
+                found.append((number, home[0][0]))
+            if len(found) > 5000:
+                yield _out(found, CLUSTER)
+                found = []
+        if found:
+            yield _out(found, CLUSTER)
+
+    return run
 
 
 def canonicalize(candidates: DataFrame, clusters: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:

@@ -13,6 +13,7 @@ KEY = ["asset_id"]
 
 
 def normalized(segments: DataFrame) -> DataFrame:
+    """With norm and lang."""
     return segments.withColumns({"norm": X.normalize_text(F.col("text")), "lang": X.primary_language(F.col("language"))})
 
 
@@ -21,9 +22,11 @@ def match_lexicon(segments: DataFrame, lexicon: DataFrame, max_words: int) -> Da
 
     Work follows the words of the text: n-grams of up to max_words words meet the lexicon by a hash join.
     """
-    words = X.tokens(F.col("norm"))
-    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max_words)), lambda n: F.transform(F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(words, i, n), " ")))))
-    rows = segments.select(*KEY, "seq", "start_ms", "lang", F.explode(grams).alias("phrase"))
+    n_grams = f"""array_distinct(flatten(transform(sequence(1, {max_words}), n ->
+        if(size(t_words) < n, cast(array() as array<string>), transform(sequence(1, size(t_words) - n + 1), i -> array_join(slice(t_words, i, n), ' '))))))"""
+    rows = segments.select(*KEY, "seq", "start_ms", "lang", X.tokens(F.col("norm")).alias("t_words"))
+    # computed once a row, before the lambdas read it
+    rows = rows.where(F.size("t_words") > 0).select(*KEY, "seq", "start_ms", "lang", F.explode(F.expr(n_grams)).alias("phrase"))
     return rows.join(lexicon.withColumnRenamed("lang", "of"), "phrase").where("of = lang or of = 'und'").select(*KEY, "seq", "start_ms", "event_type", "phrase").distinct()
 
 
