@@ -200,3 +200,48 @@ def assessment(candidates: DataFrame, atom: DataFrame) -> DataFrame:
     label = F.when(F.col("status") == "REJECTED", F.when(F.coalesce("replayed", F.lit(False)), "REPLAY_OR_DUPLICATE").otherwise("REJECTED_HYPOTHESIS"))
     label = label.when(F.col("status") != "DETECTED", "UNRESOLVED_HYPOTHESIS").when(F.col("event_type") == "GOAL", "CANONICAL_GOAL").otherwise("DETECTED_EVENT")
     return rows.select("candidate_id", label.alias("label"))
+
+
+def goal_action(goals: DataFrame, shots: DataFrame, lead_ms: int = 45_000) -> DataFrame:
+    """goal_id, shot_id, shot_ms: the latest shot before each goal (asset_id, run_id, goal_id, goal_ms), with no other goal between; ties: the surest."""
+    marks = goals.select(*KEY, F.col("goal_ms").alias("a_ms")).distinct()
+    left = T.fence_counts(goals, marks, KEY, "goal_ms", "a_ms", True, "before")
+    right = T.fence_counts(shots, marks, KEY, "shot_ms", "a_ms", False, "up_to")
+    pairs = T.range_join(left, right, KEY, F.greatest(F.lit(0), F.col("goal_ms") - lead_ms), F.col("goal_ms") - 1, "shot_ms", 45_000).where(F.col("before") == F.col("up_to"))
+    return T.nearest(pairs, ["goal_id"], F.struct(-F.col("shot_ms"), -F.col("confidence"), "shot_id"), ["shot_id", "shot_ms"])
+
+
+def audio_buildup(goals: DataFrame, signals: DataFrame, gap_ms: int = 4000, lead_ms: int = 45_000) -> DataFrame:
+    """goal_id, from_ms, to_ms: of the stretches of rising audio before a goal, of two families at least and no farther than six gaps, the latest."""
+    near = T.range_join(goals, signals.select("asset_id", "ts_ms", "signal_type"), ["asset_id"], F.greatest(F.lit(0), F.col("goal_ms") - lead_ms), F.col("goal_ms"), "ts_ms", 45_000)
+    from touchline.operators.sequence import gap_clusters
+
+    parts = gap_clusters(near, ["goal_id", "goal_ms"], "ts_ms", gap_ms).groupBy("goal_id", "goal_ms", "cluster").agg(F.min("ts_ms").alias("from_ms"), F.max("ts_ms").alias("to_ms"), F.count_distinct("signal_type").alias("families"))
+    good = parts.where((F.col("families") >= 2) & (F.col("goal_ms") - F.col("to_ms") <= 6 * gap_ms))
+    return T.nearest(good, ["goal_id"], -F.col("to_ms"), ["from_ms", "to_ms"])
+
+
+def exclude_near(rows: DataFrame, others: DataFrame, ts: str, other_ts: str, reach_ms: int) -> DataFrame:
+    """Rows with no row of others of their asset within reach."""
+    return T.range_join(rows, others.select("asset_id", other_ts), ["asset_id"], F.col(ts) - reach_ms, F.col(ts) + reach_ms, other_ts, 2 * reach_ms, "left_anti")
+
+
+def observations_by_family(signals: DataFrame, center_ms: int, window_ms: int = 60_000) -> DataFrame:
+    """asset_id, run_id, family, n, top: signals around a time by the family they are evidence of."""
+    from touchline.functions.evidence import family
+
+    near = signals.where(F.col("ts_ms").between(max(0, center_ms - window_ms), center_ms + window_ms))
+    return near.groupBy(*KEY, family(F.col("signal_type")).alias("family")).agg(F.count(F.lit(1)).alias("n"), F.max("confidence").alias("top"))
+
+
+def resolve_replays(goals: DataFrame, pairs: DataFrame) -> DataFrame:
+    """goal_id, replay: is a goal a replay of an earlier goal that is none itself? pairs: goal_id, earlier_id of goals that say the same.
+
+    Goals without an earlier likeness are none. The rest is folded in order of time over each chain of likenesses, which is short: it is bounded by
+    the candidates of one asset.
+    """
+    chains = pairs.join(goals.select("goal_id", "goal_ms", "asset_id"), "goal_id").groupBy("asset_id", "goal_id", "goal_ms").agg(F.collect_set("earlier_id").alias("earlier"))
+    order = F.sort_array(F.collect_list(F.struct("goal_ms", "goal_id", "earlier")))
+    fold = "aggregate(chain, cast(array() as array<bigint>), (replays, x) -> if(exists(x.earlier, e -> not array_contains(replays, e)), concat(replays, array(x.goal_id)), replays))"
+    found = chains.groupBy("asset_id").agg(order.alias("chain")).select(F.explode(F.expr(fold)).alias("goal_id")).withColumn("is_replay", F.lit(True))
+    return goals.join(found, "goal_id", "left").select("goal_id", F.coalesce("is_replay", F.lit(False)).alias("replay"))

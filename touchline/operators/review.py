@@ -211,3 +211,22 @@ def confirm_as_truth(reviewed: DataFrame, gt_events: DataFrame) -> DataFrame:
     rows = effective_window(reviewed.where("status <> 'REJECTED' and review_status = 'CONFIRMED'"))
     known = gt_events.select(F.col("gt_id").alias("candidate_id"))
     return rows.join(known, "candidate_id", "left_anti").select("candidate_id", "asset_id", F.col("effective_type").alias("event_type"), F.col("effective_trigger_ms").alias("ts_ms"))
+
+
+def manifest_violations(files: DataFrame, name: str, size: str, most_bytes: int, extensions: tuple[str, ...]) -> DataFrame:
+    """file_id, rule: what is wrong with files to take in."""
+    from touchline.functions.evidence import extension_of, safe_name
+
+    rules = {
+        "EMPTY_FILE": F.col(size) < 1,
+        "TOO_LARGE": F.col(size) > most_bytes,
+        "NO_NAME": safe_name(F.col(name)).isNull(),
+        "UNSUPPORTED_TYPE": safe_name(F.col(name)).isNotNull() & ~F.coalesce(extension_of(F.col(name)).isin(*extensions), F.lit(False)),
+    }
+    return violations(files, ["file_id"], rules)
+
+
+def manual_events(requests: DataFrame, assets: DataFrame) -> DataFrame:
+    """Events that a person put down: certain, of status MANUAL, inside the asset."""
+    rows = requests.join(assets.select("asset_id", "duration_ms"), "asset_id").where("start_ms >= 0 and end_ms > start_ms and end_ms <= duration_ms")
+    return rows.select("asset_id", "event_type", "start_ms", "end_ms", F.floor((F.col("start_ms") + F.col("end_ms")) / 2).alias("trigger_ms"), F.lit(1.0).alias("score"), F.lit("MANUAL").alias("status"))

@@ -123,3 +123,49 @@ def detect_outcomes(segments: DataFrame, outcomes: DataFrame) -> DataFrame:
     best = rows.groupBy(*KEY, "seq", F.col("start_ms").alias("ts_ms"), "outcome").agg(F.min_by("phrase", "phrase_rank").alias("phrase"))
     weak = (F.col("outcome") == "CORNER") | F.col("outcome").startswith("PENALTY_")
     return best.withColumn("confidence", F.when(weak, 0.72).otherwise(0.78))
+
+
+# Fixed values.
+REPLAY_WORDS = ("revoir", "revoy", "revoit", "ralenti", "replay", "repetition", "images de")
+GOAL_WORDS = ("but", "goal", "gol", "egalisation", "action", "penalty", "penalti")
+
+
+def goal_replay_cues(goals: DataFrame, segments: DataFrame, replay_words=REPLAY_WORDS, goal_words=GOAL_WORDS, look_ahead_ms: int = 300_000, most: int = 3) -> DataFrame:
+    """goal_id, cue_ms, from_ms, to_ms: segments after a goal (asset_id, goal_id, goal_ms) whose words, with those of the next segments, speak of a replay and
+    of a goal; over 25 s apart, the first ones."""
+    from touchline.operators.timejoin import range_join
+
+    w = Window.partitionBy(*KEY).orderBy("start_ms", "seq")
+    rows = normalized(segments)
+    rows = rows.withColumns({"n1": F.lead(F.struct("start_ms", "norm"), 1).over(w), "n2": F.lead(F.struct("start_ms", "norm"), 2).over(w), "last_ms": F.max("end_ms").over(Window.partitionBy(*KEY))})
+    near = lambda c: F.when(F.col(f"{c}.start_ms") - F.col("start_ms") < 12_000, F.col(f"{c}.norm"))
+    rows = rows.withColumn("words", F.concat_ws(" ", "norm", near("n1"), F.when(F.col("n1.start_ms") - F.col("start_ms") < 6000, near("n2"))))
+    cues = rows.where(X.contains_any(F.col("words"), replay_words) & X.contains_any(F.col("words"), goal_words)).select(*KEY, F.col("start_ms").alias("cue_ms"), "last_ms")
+    found = range_join(goals, cues, KEY, F.col("goal_ms") + 5000, F.col("goal_ms") + look_ahead_ms, "cue_ms", 60_000)
+    kept = S.thin_by_last_kept(found.select("goal_id", "cue_ms", "last_ms"), ["goal_id"], "cue_ms", 25_000, False)
+    first = kept.withColumn("k", F.row_number().over(Window.partitionBy("goal_id").orderBy("cue_ms"))).where(F.col("k") <= most)
+    return first.select("goal_id", "cue_ms", F.greatest(F.lit(0), F.col("cue_ms") - 8000).alias("from_ms"), F.least("last_ms", F.col("cue_ms") + 25_000).alias("to_ms"))
+
+
+def penalty_goals(segments: DataFrame, penalties: DataFrame, attempts: DataFrame, scores: DataFrame, misses: DataFrame, goals: DataFrame, reach_ms: int = 45_000) -> DataFrame:
+    """asset_id, ts_ms of penalties (rows of asset_id, ts_ms) that an attempt and a score follow within reach, without a miss, and without a called goal within
+    90 s; over 90 s apart."""
+    from touchline.operators.timejoin import range_join
+
+    out = penalties.select(*KEY, "ts_ms").distinct()
+    for other, how in ((attempts, "left_semi"), (scores, "left_semi"), (misses, "left_anti")):
+        out = range_join(out, other.select(*KEY, F.col("ts_ms").alias("o_ms")), KEY, F.col("ts_ms"), F.col("ts_ms") + reach_ms, "o_ms", reach_ms, how)
+    out = range_join(out, goals.select(*KEY, F.col("ts_ms").alias("o_ms")), KEY, F.col("ts_ms") - 90_000, F.col("ts_ms") + 90_000, "o_ms", 90_000, "left_anti")
+    return S.thin_by_last_kept(out, KEY, "ts_ms", 90_000, False)
+
+
+def is_continuous(pairs: DataFrame, segments: DataFrame, gap_ms: int) -> DataFrame:
+    """pairs (pair_id, asset_id, a_ms, b_ms) with continuous: do segments bridge the time between with holes of gap_ms at most?"""
+    from touchline.operators.timejoin import overlap_join
+
+    near = overlap_join(pairs, segments.select(*KEY, "start_ms", "end_ms"), KEY, ("a_ms", "b_ms"), ("start_ms", "end_ms"), 30_000)
+    w = Window.partitionBy("pair_id").orderBy("start_ms", "end_ms")
+    reached = F.greatest(F.col("a_ms"), F.coalesce(F.max("end_ms").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("a_ms")))
+    holes = near.withColumn("hole", F.col("start_ms") - reached).groupBy("pair_id").agg(F.max("hole").alias("hole"), F.max("end_ms").alias("end"))
+    ok = (F.col("hole") <= gap_ms) & (F.col("b_ms") - F.col("end") <= gap_ms)
+    return pairs.join(holes, "pair_id", "left").withColumn("continuous", F.coalesce(ok, F.lit(False))).drop("hole", "end")
