@@ -245,3 +245,54 @@ def resolve_replays(goals: DataFrame, pairs: DataFrame) -> DataFrame:
     fold = "aggregate(chain, cast(array() as array<bigint>), (replays, x) -> if(exists(x.earlier, e -> not array_contains(replays, e)), concat(replays, array(x.goal_id)), replays))"
     found = chains.groupBy("asset_id").agg(order.alias("chain")).select(F.explode(F.expr(fold)).alias("goal_id")).withColumn("is_replay", F.lit(True))
     return goals.join(found, "goal_id", "left").select("goal_id", F.coalesce("is_replay", F.lit(False)).alias("replay"))
+
+
+#: Signals after which a goal's story can't have begun earlier.
+FENCES = ("REPLAY_CONTEXT", "RETROSPECTIVE_CONTEXT", "POST_EVENT_COMMENTARY", "INJURY_CONTEXT", "RESTART_CONTEXT", "UNRELATED_ACTION_CONTEXT", "GOAL_KICK_CONTEXT")
+
+
+def goal_start(goals: DataFrame, signals: DataFrame, cfg: Settings = DEFAULTS, gap_ms: int = 4000, fallback_ms: int = 30_000, padding_ms: int = 5000) -> DataFrame:
+    """goal_id, start_ms, reason for goals (asset_id, run_id, goal_id, goal_ms): from the attack whose cues chain up to the goal, else rising audio, else the
+    shot before it, else a fixed time; never before the last fence."""
+    from touchline.operators.sequence import back_chain
+
+    lead = min(cfg.buildup_lead_ms, cfg.search_back_ms)
+    seen = signals.select(*KEY, "ts_ms", "signal_type", "confidence", "id")
+    near = T.range_join(goals, seen, KEY, F.greatest(F.lit(0), F.col("goal_ms") - cfg.search_back_ms), F.col("goal_ms"), "ts_ms", 45_000)
+    fence = near.where(F.col("signal_type").isin(*FENCES) & (F.col("ts_ms") < F.col("goal_ms"))).groupBy("goal_id").agg(F.max("ts_ms").alias("fence_ms"))
+    after = near.join(fence, "goal_id", "left").where("fence_ms is null or ts_ms > fence_ms").where(F.col("goal_ms") - F.col("ts_ms") <= lead)
+    attack = back_chain(after.where("signal_type = 'ATTACK_BUILDUP'").select("goal_id", "goal_ms", "ts_ms"), ["goal_id"], "goal_ms", "ts_ms", 2 * gap_ms).select("goal_id", F.col("earliest").alias("attack_ms"))
+    loud = audio_buildup(goals, signals.where("signal_type in ('AUDIO_SPIKE', 'AUDIO_ENERGY_RISE', 'PITCH_RISE', 'VOICE_EXCITEMENT', 'ATTACK_BUILDUP')"), gap_ms, lead).select("goal_id", F.col("from_ms").alias("loud_ms"))
+    shot = after.where("signal_type = 'TRANSCRIPT_SHOT' and ts_ms < goal_ms").groupBy("goal_id").agg(F.max("ts_ms").alias("action_ms"))
+    rows = goals.join(fence, "goal_id", "left").join(attack, "goal_id", "left").join(loud, "goal_id", "left").join(shot, "goal_id", "left")
+    open_ms = F.coalesce(F.col("fence_ms"), F.lit(0))
+    loud_ms = F.when(F.col("loud_ms") > F.coalesce("fence_ms", F.lit(-1)), F.col("loud_ms"))
+    reason = F.when(F.col("attack_ms").isNotNull(), "CONNECTED_ATTACK").when(loud_ms.isNotNull(), "AUDIO_BUILDUP").when(F.col("action_ms").isNotNull(), "DECISIVE_ACTION").otherwise("FALLBACK_PRE_ROLL")
+    begin = F.coalesce(F.coalesce("attack_ms", loud_ms, "action_ms") - padding_ms, F.col("goal_ms") - fallback_ms)
+    return rows.select("goal_id", F.greatest(open_ms, begin, F.lit(0)).alias("start_ms"), reason.alias("reason"))
+
+
+def preceding_foul(events: DataFrame, fouls: DataFrame, reach_ms: int = 15_000, least: float = 0.25) -> DataFrame:
+    """event_id, foul_id: the nearest foul before a penalty or card whose words overlap enough. events: asset_id, event_id, event_ms, event_words (array);
+    fouls: asset_id, foul_id, foul_ms, foul_words."""
+    pairs = T.range_join(events, fouls, ["asset_id"], F.greatest(F.lit(0), F.col("event_ms") - reach_ms), F.col("event_ms"), "foul_ms", 2 * reach_ms)
+    common = F.size(F.array_intersect("event_words", "foul_words")) / F.greatest(F.lit(1), F.least(F.size("event_words"), F.size("foul_words")))
+    return T.nearest(pairs.where(common >= least), ["event_id"], F.struct(F.col("event_ms") - F.col("foul_ms"), "foul_id"), ["foul_id"])
+
+
+def final_signals(judged: DataFrame, support: DataFrame) -> DataFrame:
+    """anchor_id, event_type, signal_type, confidence: what a candidate is stored with: its support, its probabilities and a row for each reason against it."""
+    own = support.select("anchor_id", "event_type", "signal_type", "confidence").distinct()
+    live = judged.select("anchor_id", "event_type", F.lit("LIVE_EVENT_CONTEXT").alias("signal_type"), F.col("live").alias("confidence"))
+    replay = judged.where("replay_used > 0").select("anchor_id", "event_type", F.lit("EVENT_ASSOCIATION").alias("signal_type"), F.col("replay_used").alias("confidence"))
+    why = judged.select("anchor_id", "event_type", F.explode("reasons").alias("reason")).select("anchor_id", "event_type", F.concat(F.lit("REJECTION_REASON:"), "reason").alias("signal_type"), F.lit(1.0).alias("confidence"))
+    return own.unionByName(live).unionByName(replay).unionByName(why)
+
+
+def emission_groups(signals: DataFrame, group: str) -> DataFrame:
+    """Signals of a type and time that were emitted together: asset_id, run_id, event_type, ts_ms, members (ids in order), top. A keyword signal joins the typed
+    signals of its own emission only."""
+    typed = signals.where("event_type is not null")
+    keyed = typed.groupBy(*KEY, "event_type", "ts_ms").agg(F.collect_set(group).alias("groups"), F.max("confidence").alias("top"))
+    members = typed.join(keyed.select(*KEY, "event_type", "ts_ms", "groups", "top"), [*KEY, "event_type", "ts_ms"]).where(F.array_contains("groups", F.col(group)))
+    return members.groupBy(*KEY, "event_type", "ts_ms").agg(F.array_join(F.sort_array(F.collect_set("id")), ",").alias("members"), F.max("top").alias("top"))
