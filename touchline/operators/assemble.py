@@ -296,3 +296,38 @@ def emission_groups(signals: DataFrame, group: str) -> DataFrame:
     keyed = typed.groupBy(*KEY, "event_type", "ts_ms").agg(F.collect_set(group).alias("groups"), F.max("confidence").alias("top"))
     members = typed.join(keyed.select(*KEY, "event_type", "ts_ms", "groups", "top"), [*KEY, "event_type", "ts_ms"]).where(F.array_contains("groups", F.col(group)))
     return members.groupBy(*KEY, "event_type", "ts_ms").agg(F.array_join(F.sort_array(F.collect_set("id")), ",").alias("members"), F.max("top").alias("top"))
+
+
+def event_start(events: DataFrame, signals: DataFrame, gap_ms: int = 8000, lead_ms: int = 45_000, padding_ms: int = 5000) -> DataFrame:
+    """candidate_id, start_ms, reason of other events than goals (asset_id, run_id, candidate_id, trigger_ms): from the earliest cue of an attack that chains up
+    to the trigger, else from a fixed padding before it."""
+    from touchline.operators.sequence import back_chain
+
+    cues = signals.where("signal_type = 'ATTACK_BUILDUP'").select(*KEY, "ts_ms")
+    near = T.range_join(events, cues, KEY, F.greatest(F.lit(0), F.col("trigger_ms") - lead_ms), F.col("trigger_ms"), "ts_ms", 45_000)
+    chain = back_chain(near.select("candidate_id", "trigger_ms", "ts_ms"), ["candidate_id"], "trigger_ms", "ts_ms", gap_ms)
+    rows = events.join(chain.select("candidate_id", "earliest"), "candidate_id", "left")
+    reason = F.when(F.col("earliest").isNotNull(), "CONNECTED_BUILDUP").otherwise("PADDING")
+    return rows.select("candidate_id", F.greatest(F.lit(0), F.coalesce("earliest", F.col("trigger_ms") - padding_ms)).alias("start_ms"), reason.alias("reason"))
+
+
+def replay_support(rejected: DataFrame, live: DataFrame, reach_ms: int = 120_000) -> DataFrame:
+    """candidate_id, supports: the earlier live goal that each rejected goal with a replay cue is a replay of: the most alike, then the latest.
+
+    rejected: asset_id, candidate_id, trigger_ms, words; live: asset_id, live_id, live_ms, live_words.
+    """
+    pairs = T.range_join(rejected, live, ["asset_id"], F.greatest(F.lit(0), F.col("trigger_ms") - reach_ms), F.col("trigger_ms") - 1, "live_ms", reach_ms)
+    union = F.greatest(F.lit(1), F.size(F.array_union("words", "live_words")))
+    alike = F.size(F.array_intersect("words", "live_words")) / union
+    return T.nearest(pairs, ["candidate_id"], F.struct(-alike, -F.col("live_ms"), "live_id"), ["live_id"]).withColumnRenamed("live_id", "supports")
+
+
+def confirm_replayed_goals(cues: DataFrame, attacks: DataFrame, fences: DataFrame, reach_ms: int = 120_000) -> DataFrame:
+    """cue_id, attack_id: the attack that a replay with scoring words (asset_id, cue_id, cue_ms) shows: the latest before it, with no fence (asset_id, ts_ms: a
+    score, an injury, another goal) between. attacks: asset_id, attack_id, attack_ms. Each attack confirms one goal, that of its first cue."""
+    marks = fences.select("asset_id", F.col("ts_ms").alias("f_ms")).distinct()
+    left = T.fence_counts(cues, marks, ["asset_id"], "cue_ms", "f_ms", True, "before")
+    right = T.fence_counts(attacks, marks, ["asset_id"], "attack_ms", "f_ms", False, "up_to")
+    pairs = T.range_join(left, right, ["asset_id"], F.greatest(F.lit(0), F.col("cue_ms") - reach_ms), F.col("cue_ms") - 1, "attack_ms", reach_ms).where(F.col("before") == F.col("up_to"))
+    best = T.nearest(pairs, ["cue_id", "cue_ms"], F.struct(-F.col("attack_ms"), "attack_id"), ["attack_id"])
+    return best.groupBy("attack_id").agg(F.min_by("cue_id", F.struct("cue_ms", "cue_id")).alias("cue_id"))
