@@ -99,6 +99,18 @@ def test_links_join_what_all_pairs_join(spark):
         assert len(g) == 1 or {found[x] for x in g} == {g[0]}
 
 
+def test_forest_of_dense_links_in_small_steps(monkeypatch):
+    rng = np.random.default_rng(8)
+    fps = np.array([0, 0xFF, 0xFF00, 0xFF0000], np.uint64)[rng.integers(0, 4, (300, 1))]
+    joined = []
+    for most in (40, 1 << 18):
+        monkeypatch.setattr(simhash, "MOST_LINKS", most)
+        i, j = simhash.forest_of(300, simhash.near_pairs(fps, fps, 3, True))
+        assert len(i) == 300 - len(np.unique(fps))
+        joined.append((fps[i] == fps[j]).all())
+    assert all(joined)
+
+
 def test_components_of_a_path_and_of_nothing(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 500)], "a long, b long")
     found = simhash.components(edges).collect()

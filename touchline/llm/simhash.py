@@ -14,6 +14,7 @@ components or fingerprints to the driver, and no group of copies is expanded int
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -75,28 +76,24 @@ def within(parts: int, radius: int) -> list[tuple[int, ...]]:
     return half(v for v in itertools.product(range(-radius, radius + 1), repeat=parts) if sum(map(abs, v)) <= radius)
 
 
-def near_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of a, rows of b and distances of what is within the radius; a and b: uint64, a column a word. same: b is a, each pair once."""
-    pa_, pb = np.bitwise_count(a).sum(1, dtype=np.int64), np.bitwise_count(b).sum(1, dtype=np.int64)
-    oa, ob = np.argsort(pa_, kind="stable"), np.argsort(pb, kind="stable")
-    sa, sb, sorted_b = a[oa], b[ob], pb[ob]
-    found = []
+def near_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of a, rows of b and distances of what is within the radius, some at a time; a and b: uint64, a column a word. same: b is a, each pair once."""
+    count_a, count_b = np.bitwise_count(a).sum(1, dtype=np.int64), np.bitwise_count(b).sum(1, dtype=np.int64)
+    order_a, order_b = np.argsort(count_a, kind="stable"), np.argsort(count_b, kind="stable")
+    sorted_a, sorted_b, counts = a[order_a], b[order_b], count_b[order_b]
     for begin in range(0, len(a), 128):
-        rows = sa[begin : begin + 128]
-        counts = pa_[oa[begin : begin + 128]]
-        lo, hi = np.searchsorted(sorted_b, counts[0] - radius, "left"), np.searchsorted(sorted_b, counts[-1] + radius, "right")
+        rows, own = sorted_a[begin : begin + 128], count_a[order_a[begin : begin + 128]]
+        lo, hi = np.searchsorted(counts, own[0] - radius, "left"), np.searchsorted(counts, own[-1] + radius, "right")
         if lo >= hi:
             continue
-        distance = np.bitwise_count(rows[:, None, 0] ^ sb[None, lo:hi, 0])
+        distance = np.bitwise_count(rows[:, None, 0] ^ sorted_b[None, lo:hi, 0])
         for w in range(1, a.shape[1]):
-            distance = distance + np.bitwise_count(rows[:, None, w] ^ sb[None, lo:hi, w])
+            distance = distance + np.bitwise_count(rows[:, None, w] ^ sorted_b[None, lo:hi, w])
         i, j = np.nonzero(distance <= radius)
-        d, i, j = distance[i, j], oa[i + begin], ob[j + lo]
+        d, i, j = distance[i, j], order_a[i + begin], order_b[j + lo]
         keep = i < j if same else slice(None)
-        found.append((i[keep], j[keep], d[keep]))
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint8)
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        if len(i[keep]):
+            yield i[keep], j[keep], d[keep]
 
 
 def spanning_forest(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -128,6 +125,27 @@ def spanning_forest(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.n
     return order[np.concatenate(taken)] if taken else np.empty(0, np.int64)
 
 
+#: Links that a comparison holds before it reduces them to a forest.
+MOST_LINKS = 1 << 18
+
+
+def forest_of(n: int, links: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], shift: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of a spanning forest of links, whose second ends are shifted. A forest of a forest and more links is a forest of all links, so no more
+    than MOST_LINKS and one step's are held, however dense they are."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def reduced() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i, j, d = (np.concatenate(x) for x in zip(*held, strict=True))
+        keep = spanning_forest(n, i, j, d)
+        return i[keep], j[keep], d[keep]
+
+    for i, j, d in links:
+        held.append((i, j + shift, d))
+        if sum(len(x[0]) for x in held) > MOST_LINKS:
+            held = [reduced()]
+    return reduced()[:2] if held else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
 def _compare(radius: int):
     """mapInArrow: pairs of chunks to the edges of their forests."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -143,12 +161,11 @@ def _compare(radius: int):
                 same = batch.column(2)[r].as_py()
                 left, fps = unpack(batch.column(0)[r])
                 right, others = (left, fps) if same else unpack(batch.column(1)[r])
-                i, j, d = near_pairs(fps, others, radius, same)
+                shift = 0 if same else len(left)
+                i, j = forest_of(len(left) + (0 if same else len(right)), near_pairs(fps, others, radius, same), shift)
                 if not len(i):
                     continue
-                shift = 0 if same else len(left)
-                keep = spanning_forest(len(left) + (0 if same else len(right)), i, j + shift, d)
-                a, b = left[i[keep]], right[j[keep]]
+                a, b = left[i], right[j - shift]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
 
     return run, spark_schema(schema)
