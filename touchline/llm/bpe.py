@@ -22,6 +22,7 @@ import sys
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import pyarrow as pa
 import regex
@@ -267,6 +268,13 @@ class Decoder:
         return out
 
 
+@cache
+def codec(path: str) -> tuple[Encoder, Decoder]:
+    """One encoder and decoder a Python worker, whose later tasks find the caches warm."""
+    vocabulary = Vocabulary(path)
+    return Encoder(vocabulary), Decoder(vocabulary)
+
+
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs(doc_id, text, ...). No shuffle.
 
@@ -275,8 +283,8 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def make():
-        vocabulary = Vocabulary(path)
-        encoder, decoder = Encoder(vocabulary), Decoder(vocabulary)
+        encoder, decoder = codec(path)
+        decoder.restart()  # a task before may have ended in the middle
 
         def row(doc_id, text):
             n, ids_digest, text_digest = 0, hashlib.sha256(), hashlib.sha256()
