@@ -15,6 +15,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -147,6 +148,12 @@ class LibraryEncoder:
         return np.frombuffer(b"".join(b"".join(map(self.known.__getitem__, runs)) for runs in blocks(text)), "<u4")
 
 
+@cache
+def library_encoder(path: str) -> LibraryEncoder:
+    """One a Python worker, whose later tasks find its cache warm."""
+    return LibraryEncoder(path)
+
+
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
@@ -154,7 +161,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> Data
     """A row for each piece of docs(doc_id, text, ...): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. No shuffle."""
 
     def run(batches):
-        encoder, packer = LibraryEncoder(path), Packer(capacity)
+        encoder, packer = library_encoder(path), Packer(capacity)
         number = TaskContext.get().partitionId() * PER_TASK
         rows: list[tuple] = []
 
