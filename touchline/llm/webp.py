@@ -110,7 +110,7 @@ def code_of(lengths: np.ndarray) -> Code:
     """The canonical code of code lengths; one symbol alone takes no bits."""
     used = np.nonzero(lengths)[0]
     if len(used) < 2:
-        return Code(0, np.array([used[0] if len(used) else 0]), np.zeros(1, np.int64))
+        return Code(0, np.array([used[0] if len(used) else 0], np.int32), np.zeros(1, np.int32))
     used = used[np.argsort(lengths[used], kind="stable")]
     own = lengths[used].astype(np.int64)
     bits = int(own[-1])
@@ -118,7 +118,7 @@ def code_of(lengths: np.ndarray) -> Code:
     if int(spans.sum()) != 1 << bits:
         raise WebPError("a prefix code is not complete")
     order = reversed_bits(bits)
-    return Code(bits, np.repeat(used, spans)[order], np.repeat(own, spans)[order])
+    return Code(bits, np.repeat(used, spans)[order].astype(np.int32), np.repeat(own, spans)[order].astype(np.int32))
 
 
 def read_code(bits: Bits, alphabet: int) -> Code:
@@ -135,19 +135,30 @@ def read_code(bits: Bits, alphabet: int) -> Code:
         own[CODE_LENGTH_ORDER[k]] = bits.read(3)
     lengths_code = code_of(own)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    at, before = 0, 8
-    while at < alphabet and left:
+    # at most 14 bits a length: all of them from one integer
+    ahead = int.from_bytes(bits.data[bits.at >> 3 : (bits.at >> 3) + 2 * alphabet + 8], "little") >> (bits.at & 7)
+    symbols, sizes, mask = lengths_code.symbol.tolist(), lengths_code.length.tolist(), (1 << lengths_code.bits) - 1
+    found: list[int] = []
+    before, used = 8, 0
+    while len(found) < alphabet and left:
         left -= 1
-        k = lengths_code.read(bits)
+        k, size = symbols[ahead & mask], sizes[ahead & mask]
+        ahead >>= size
+        used += size
         if k < 16:
-            lengths[at], at = k, at + 1
+            found.append(k)
             before = k or before
             continue
-        times = 3 + bits.read(2) if k == 16 else 3 + bits.read(3) if k == 17 else 11 + bits.read(7)
-        if at + times > alphabet:
-            raise WebPError("code lengths run past their alphabet")
-        lengths[at : at + times] = before if k == 16 else 0
-        at += times
+        extra, least = ((2, 3), (3, 3), (7, 11))[k - 16]
+        found += [before if k == 16 else 0] * (least + (ahead & ((1 << extra) - 1)))
+        ahead >>= extra
+        used += extra
+    bits.at += used
+    if bits.at > bits.end:
+        raise WebPError("the image ends too early")
+    if len(found) > alphabet:
+        raise WebPError("code lengths run past their alphabet")
+    lengths[: len(found)] = found
     return code_of(lengths)
 
 
@@ -222,6 +233,20 @@ def _read_together(bits: Bits, width: int, total: int, cache_bits: int, codes: l
     data = np.frombuffer(bits.data, np.uint8)
     parts: list[tuple[np.ndarray, ...]] = []
     made, at = 0, bits.at
+    plain = not (green.symbol >= 256).any()  # literals only
+
+    def literals(symbols: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """Pixels from their green and the places of what follows it."""
+        pixel = symbols.astype(np.uint32) << 8
+        for code, shift in ((red, 16), (blue, 0), (alpha, 24)):
+            if code.bits:
+                j = windows[where] & ((1 << code.bits) - 1)
+                pixel |= code.symbol[j].astype(np.uint32) << shift
+                where = where + code.length[j]
+            else:
+                pixel |= np.uint32(int(code.symbol[0]) << shift)
+        return pixel
+
     wide = 24  # bits of a window: more than any code or extra field has
     while made < total:
         if at >= bits.end:
@@ -232,25 +257,29 @@ def _read_together(bits: Bits, width: int, total: int, cache_bits: int, codes: l
         raw = np.concatenate((raw, np.zeros((n + 2 * MARGIN >> 3) + 5 - len(raw), np.uint8))).astype(np.uint32)
         words = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
         windows = (words[:, None] >> np.arange(8, dtype=np.uint32) & np.uint32((1 << wide) - 1)).ravel().astype(np.int32)
-        n_far = len(windows)
 
         def field(code: Code, where: np.ndarray) -> np.ndarray:
             return windows[where] & ((1 << code.bits) - 1)
 
-        here = np.arange(n, dtype=np.int32)
         k = windows[:n] & ((1 << green.bits) - 1)
-        symbol, after = green.symbol[k], here + green.length[k].astype(np.int32)
-        following = after.copy()
-        literal = symbol < 256
-        for code in (red, blue, alpha):
-            if code.bits:
-                following = following + code.length[field(code, following)].astype(np.int32)
-        copy = np.nonzero((symbol >= 256) & (symbol < 256 + LENGTHS))[0]
-        following = np.where(literal, following, after)
-        if len(copy):
-            to = after[copy] + PREFIX_EXTRA[symbol[copy] - 256]
+        after = green.length[k]
+        after += np.arange(n, dtype=np.int32)
+        following = after
+        rest = [code for code in (red, blue, alpha) if code.bits]
+        if rest:
+            following = after.copy()
+            for code in rest:
+                following += code.length[field(code, following)]
+        if not plain:
+            special = np.nonzero((green.symbol >= 256)[k])[0]
+            symbol = green.symbol[k[special]]
+            following = after.copy() if following is after else following
+            following[special] = after[special]
+            copy = symbol < 256 + LENGTHS
+            special, symbol = special[copy], symbol[copy]
+            to = after[special] + PREFIX_EXTRA[symbol - 256]
             j = field(distance, to)
-            following[copy] = to + distance.length[j] + PREFIX_EXTRA[distance.symbol[j]]
+            following[special] = to + distance.length[j] + PREFIX_EXTRA[distance.symbol[j]]
         # the walk takes four tokens a step; positions behind the block lead to themselves
         one = np.concatenate((following, np.arange(n, n + 2 * MARGIN, dtype=np.int32)))
         two = one[one]
@@ -263,15 +292,16 @@ def _read_together(bits: Bits, width: int, total: int, cache_bits: int, codes: l
         p = np.array(starts, np.int64)
         p = np.stack((p, one[p], two[p], one[two[p]]), 1).ravel()
         p = p[p < n]
-        s, q, stop = symbol[p], after[p].astype(np.int64), base + following[p].astype(np.int64)
+        if plain:
+            p = p[: total - made]
+            parts.append((literals(green.symbol[k[p]], after[p]),))
+            made += len(p)
+            bits.at = base + int(following[p[-1]])
+            continue
+        s, q, stop = green.symbol[k[p]], after[p].astype(np.int64), base + following[p].astype(np.int64)
         pixel, size, back = np.zeros(len(p), np.uint32), np.ones(len(p), np.int64), np.zeros(len(p), np.int64)
         lit = np.nonzero(s < 256)[0]
-        q_lit, channels = q[lit], []
-        for code in (red, blue, alpha):
-            j = field(code, np.minimum(q_lit, n_far - 1))
-            channels.append(code.symbol[j].astype(np.uint32))
-            q_lit = q_lit + code.length[j]
-        pixel[lit] = channels[2] << 24 | channels[0] << 16 | s[lit].astype(np.uint32) << 8 | channels[1]
+        pixel[lit] = literals(s[lit], q[lit])
         cop = np.nonzero((s >= 256) & (s < 256 + LENGTHS))[0]
         if len(cop):
             prefix, where = s[cop] - 256, q[cop]
@@ -284,6 +314,10 @@ def _read_together(bits: Bits, width: int, total: int, cache_bits: int, codes: l
         cached = np.where(s >= 256 + LENGTHS, s - 256 - LENGTHS, -1)
         made += int(size.sum())
         parts.append((pixel, size, back, cached, stop))
+    if plain:
+        if bits.at > bits.end:
+            raise WebPError("the image ends too early")
+        return parts[0][0] if len(parts) == 1 else np.concatenate([x for x, in parts])
     pixel, size, back, cached, stop = (np.concatenate(x) for x in zip(*parts, strict=True))
     ends = np.cumsum(size)
     tokens = int(np.searchsorted(ends, total)) + 1
@@ -468,7 +502,14 @@ def decode_image(data: bytes) -> np.ndarray:
             width = -(-width >> bundle_bits(n))
         else:
             todo.append((kind, width, 0, None))
-    channels = split(read_pixels(bits, width, height, True), height, width)
+    pixels = read_pixels(bits, width, height, True)
+    if todo and todo[-1][0] == SUBTRACT_GREEN:  # on whole pixels, where it comes first
+        todo.pop()
+        green = pixels >> 8 & np.uint32(255)
+        pixels = pixels & np.uint32(0xFF00FF00) | (pixels & np.uint32(0xFF00FF)) + (green << 16 | green) & np.uint32(0xFF00FF)
+    if not todo:
+        return pixels.astype(">u4").view(np.uint8).reshape(height, width, 4)
+    channels = split(pixels, height, width)
     for kind, width, size, extra in reversed(todo):
         if kind == PREDICTOR:
             channels = add_predictions(channels, tile_values(extra >> 8 & 15, size, height, width))
@@ -551,16 +592,17 @@ class Writer:
     def bytes(self) -> bytes:
         values, sizes = np.concatenate(self.values), np.concatenate(self.sizes)
         keep = sizes > 0
-        values, sizes = values[keep], sizes[keep]
+        values, sizes = values[keep].astype(np.uint64), sizes[keep]
         ends = np.cumsum(sizes)
-        out = np.zeros(int(ends[-1]), np.uint8)
         at = ends - sizes
-        for k in range(int(sizes.max())):
-            if k:
-                keep = sizes > k
-                values, sizes, at = values[keep], sizes[keep], at[keep]
-            out[at + k] = values >> k & 1
-        return np.packbits(out, bitorder="little").tobytes()
+        word = at >> 5
+        values <<= (at & 31).astype(np.uint64)  # fields have 32 bits at most
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        out = np.zeros(int(ends[-1] >> 5) + 2, np.uint64)
+        # fields don't overlap, so sums are unions; what runs over goes to the next word
+        out[word[first]] = np.add.reduceat(values & np.uint64(0xFFFFFFFF), first)
+        out[word[first] + 1] += np.add.reduceat(values >> np.uint64(32), first)
+        return out.astype("<u4").tobytes()[: int(ends[-1]) + 7 >> 3]
 
 
 def write_code(out: Writer, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -618,17 +660,24 @@ def references(pixels: np.ndarray, shortest: int = SHORTEST) -> list[tuple[int,
         step = min(have, shortest - have)
         h = h[: len(h) - step] * np.uint64(0x9E3779B97F4A7C15) + (h[step:] ^ h[step:] >> np.uint64(31))
         have += step
+    if shortest > SHORTEST:  # long repeats are found from an eighth of their places, and then grown to the left
+        places = np.flatnonzero(h >> np.uint64(40) & np.uint64(7) == 0)
+        h = h[places]
+    else:
+        places = np.arange(n)
     order = np.argsort(h, kind="stable")
     same = h[order[1:]] == h[order[:-1]]
     if not same.any():
         return []
-    before = np.full(n, -1, np.int64)
-    before[order[1:][same]] = order[:-1][same]
+    before = np.full(len(h), -1, np.int64)
+    before[order[1:][same]] = places[order[:-1][same]]
     out, free = [], 0
-    for at in np.nonzero(before >= 0)[0].tolist():
+    for k in np.nonzero(before >= 0)[0].tolist():
+        at, start = int(places[k]), int(before[k])
         if at < free:
             continue
-        start = int(before[at])
+        while at > free and start > 0 and pixels[at - 1] == pixels[start - 1]:
+            at, start = at - 1, start - 1
         most = min(LONGEST, len(pixels) - at)
         differs = np.nonzero(pixels[at : at + most] != pixels[start : start + most])[0]
         size = int(differs[0]) if len(differs) else most
@@ -648,8 +697,8 @@ def cache_codes(pixels: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def write_pixels(out: Writer, pixels: np.ndarray, width: int, main: bool, cache_bits: int | None = None, shortest: int | None = SHORTEST, meta: tuple[int, np.ndarray] | None = None) -> None:
-    """An entropy-coded image of flat ARGB. cache_bits: None to choose. shortest: of references, or None. meta: tile size as bits, and a group a tile."""
+def write_pixels(out: Writer, pixels: np.ndarray, width: int, main: bool, cache_bits: int | None = None, shortest: int | None = SHORTEST, meta: tuple[int, np.ndarray] | None = None, grey: bool = False) -> None:
+    """An entropy-coded image of flat ARGB. grey: it is opaque, and has green alone. cache_bits: None to choose. shortest: of references, or None. meta: tile size as bits, and a group a tile."""
     n = len(pixels)
     copies = references(pixels, shortest) if shortest else []
     starts = np.ones(n, bool)
@@ -662,6 +711,24 @@ def write_pixels(out: Writer, pixels: np.ndarray, width: int, main: bool, cache_
             hits = cache_codes(pixels, 8)
             cache_bits = 8 if np.count_nonzero(hits[at] >= 0) > 0.25 * len(at) else 0
     out.put_all([1, cache_bits] if cache_bits else [0], [1, 4] if cache_bits else [1])
+    alphabets = (256 + LENGTHS + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCES)
+    if not copies and not cache_bits and meta is None:  # literals only
+        if main:
+            out.put(0, 1)
+        fields = []
+        for shift, alphabet in zip((8, 16, 0, 24), alphabets, strict=False):
+            if grey and shift != 8:
+                only = 255 if shift == 24 else 0
+                out.put_all([1, 0, 1, only], [1, 1, 1, 8])
+                continue
+            own = (pixels >> shift & np.uint32(255)).astype(np.int64)
+            lengths, bits = write_code(out, np.bincount(own, minlength=alphabet))
+            if lengths.any():
+                fields.append((bits[own], lengths[own]))
+        write_code(out, np.zeros(DISTANCES, np.int64))
+        if fields:
+            out.put_all(*(np.stack(x, 1).ravel() for x in zip(*fields, strict=True)))
+        return
     own = pixels[at].astype(np.int64)
     # four fields a token: symbols of codes 0 to 4, or of none (-1) and then plain bits
     symbol = np.stack([own >> 8 & 255, own >> 16 & 255, own & 255, own >> 24], 1)
@@ -680,7 +747,6 @@ def write_pixels(out: Writer, pixels: np.ndarray, width: int, main: bool, cache_
         symbol[where, 0], code[where] = 256 + size, (0, -1, 4, -1)
         symbol[where, 2] = distance
         plain[where, 1], plain_bits[where, 1], plain[where, 3], plain_bits[where, 3] = rest, extra, far_rest, far
-    alphabets = (256 + LENGTHS + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCES)
     group = np.zeros(len(at), np.int64)
     if main:
         out.put(0 if meta is None else 1, 1)
@@ -759,6 +825,23 @@ def encode_image(
     return out.bytes()
 
 
+def encode_grey(samples: np.ndarray, shortest: int = SHORTEST) -> bytes:
+    """A VP8L stream of uint8 (height, width) as an opaque image whose red and blue equal green: what encode_image() with subtract_green writes,
+    or its choice of a palette or a predictor where pixels are few or repeat."""
+    height, width = samples.shape
+    flat = samples.ravel()
+    few = np.count_nonzero(np.bincount(flat, minlength=256)) <= 16
+    share = lambda d: np.count_nonzero(flat[d:] == flat[:-d]) if len(flat) > d else 0
+    if few or 2 * max(share(1), share(width)) > len(flat):
+        image = np.full((height, width, 4), 255, np.uint8)
+        image[..., 1:] = samples[..., None]
+        return encode_image(image, palette=few, subtract_green=not few, cache_bits=0, shortest=shortest)
+    out = Writer()
+    out.put_all([SIGNATURE, width - 1, height - 1, 0, 0, 1, SUBTRACT_GREEN, 0], [8, 14, 14, 1, 3, 1, 2, 1])
+    write_pixels(out, flat.astype(np.uint32) << 8 | np.uint32(OPAQUE), width, True, cache_bits=0, shortest=shortest, grey=True)
+    return out.bytes()
+
+
 def to_riff(stream: bytes) -> bytes:
     """A file of a VP8L stream."""
     pad = len(stream) & 1
