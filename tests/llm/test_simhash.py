@@ -154,3 +154,37 @@ def test_thinned_documents(spark, sf_dir):
     missed = [(a, b) for a in kept for b in kept if a < b and near(a, b)]
     assert len(missed) <= 1
     assert all(any(near(a, b) for b in texts if b != a) for a in texts if a not in kept)
+
+
+def test_similar_pairs_that_the_nearest_links_leave_out(spark):
+    """Families whose pairs lie on both sides of 0.8, by brute force over all pairs."""
+    rng = random.Random(6)
+    texts = {}
+    for family in range(30):
+        base = [f"w{rng.randrange(3000)}" for _ in range(100)]
+        for member in range(14):
+            words = list(base)
+            for at in rng.sample(range(100), rng.choice([1, 2, 2, 3])):
+                words[at] = f"edit{rng.randrange(3)}"
+            texts[100 * family + member] = " ".join(words)
+    sketch = simhash._sketches(5)()
+    fps = {i: int.from_bytes(sketch(i, t)[1], "big") for i, t in texts.items()}
+    sets = {i: set(simhash.shingle_hashes(t, 5, 42).astype(np.uint32).tolist()) for i, t in texts.items()}
+    similar = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in texts:
+        for b in texts:
+            if a < b and (sets[a] == sets[b] or (fps[a] ^ fps[b]).bit_count() <= 28 and similar(a, b)):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    expected = sorted(i for i in texts if find(i) == i)
+    assert 30 < len(expected) < 300
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == expected
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(docs, chunk=4).collect()) == expected

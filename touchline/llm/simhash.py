@@ -251,12 +251,71 @@ def _sketches(words: int):
     return make
 
 
-def drop_near_copies(docs: DataFrame, how: Thinning = Thinning()) -> DataFrame:
+#: Shingles of a chunk whose pairs are all confirmed, in expectation: what two such chunks hold bounds a task's memory.
+MOST_SHINGLES = 1 << 20
+
+
+def joining_pairs(part: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], left: int, radius: int, similarity: float) -> Iterator[tuple[int, int]]:
+    """Pairs of rows within the radius and of the similarity that join what such pairs join, besides what part (a number a row) joins already.
+
+    Pairs are of the first left rows with the others, or of all rows if left is their number. A pair whose ends are joined is skipped.
+    """
+    label, same = np.unique(part, return_inverse=True)[1], left == len(part)
+    ends = np.cumsum([len(x) for x in sets])
+    ids = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], ends[:-1])
+    mark = np.zeros(ends[-1], bool)
+    for i, j, _ in near_pairs(fps[:left], fps if same else fps[left:], radius, same):
+        j = j if same else j + left
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        for others in np.split(j, np.flatnonzero(np.diff(i)) + 1):
+            row, i = int(i[0]), i[len(others) :]
+            others = others[label[others] != label[row]]
+            if not len(others):
+                continue
+            sizes = np.array([len(ids[k]) for k in others])
+            mark[ids[row]] = True
+            common = np.concatenate([[0], np.cumsum(mark[np.concatenate([ids[k] for k in others])])])
+            common = np.diff(common[np.concatenate([[0], np.cumsum(sizes)])])
+            mark[ids[row]] = False
+            for k in others[common / np.maximum(1, len(ids[row]) + sizes - common) >= similarity].tolist():
+                if label[k] != label[row]:
+                    label[label == label[k]] = label[row]
+                    yield row, k
+
+
+def _join_parts(radius: int, similarity: float):
+    """mapInArrow: pairs of chunks (lo, hi, members) of a group to confirmed links."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                lo, hi = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
+                cells = batch.column(2)[r].values
+                node, part, chunk = (cells.field(x).to_numpy(zero_copy_only=False) for x in ("node", "part", "chunk"))
+                order = np.argsort(chunk, kind="stable")
+                left = int((chunk == lo).sum())
+                if not left or (lo < hi and left == len(node)):
+                    continue
+                fps = np.frombuffer(b"".join(cells.field("fp").to_pylist()), ">u8").astype(np.uint64).reshape(len(node), -1)
+                raw = cells.field("shingles")
+                sets = [np.frombuffer(raw[int(k)].as_buffer(), np.uint32) for k in order]
+                found = [(node[order[x]], node[order[y]]) for x, y in joining_pairs(part[order], fps[order], sets, left, radius, similarity)]
+                if found:
+                    a, b = np.array(found, np.int64).T
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
+
+    return run, spark_schema(schema)
+
+
+def drop_near_copies(docs: DataFrame, how: Thinning = Thinning(), chunk: int = CHUNK) -> DataFrame:
     """Of each group of near copies the row with the smallest doc_id; docs' columns.
 
     Documents whose sets of shingles are equal are copies. Others are linked by fingerprints within the radius and sizes that allow the
-    similarity; of those links the nearest ones that hold each group together are confirmed on the shingles themselves (as 32-bit hashes),
-    and groups are what confirmed links join. Texts without words are copies of each other. Repeated rows count as copies. Rows with a null
+    similarity, and by a Jaccard similarity of the shingles themselves (as 32-bit hashes) that reaches it; groups are what those links join.
+    First the nearest links by fingerprints that hold a group together are confirmed. Where all are, all other pairs are joined, too; where
+    one isn't, all pairs of that group whose ends aren't joined yet are confirmed, chunk by chunk. Texts without words are copies of each other. Repeated rows count as copies. Rows with a null
     doc_id can't be named and stay.
     """
     out = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("size", pa.int64()), ("digest", pa.int64())])
@@ -267,16 +326,20 @@ def drop_near_copies(docs: DataFrame, how: Thinning = Thinning()) -> DataFrame:
     bits = F.length(F.translate(F.conv(F.hex(F.substring("fp", 1, 8)), 16, 2), "0", "")) + F.length(F.translate(F.conv(F.hex(F.substring("fp", 9, 8)), 16, 2), "0", ""))
     classes = rows.groupBy("digest", "size").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"))
     nodes = classes.select("node", "fp", "size").where("size > 0").dropDuplicates(["node"])
-    nodes = nodes.select("node", "fp", F.array(bucket, F.floor(bits / F.lit(how.radius + 1)).cast("int")).alias("tile"))
-    edges = checkpointed(links(nodes, how.radius, half(itertools.product((-1, 0, 1), repeat=2))))
+    nodes = nodes.select("node", "fp", "size", F.array(bucket, F.floor(bits / F.lit(how.radius + 1)).cast("int")).alias("tile"))
+    nodes = checkpointed(nodes)
+    edges = checkpointed(links(nodes, how.radius, half(itertools.product((-1, 0, 1), repeat=2)), chunk))
     linked = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())])
 
     def shingles():
         return lambda doc_id, text: (doc_id, np.unique(shingle_hashes(text, how.words, 42).astype(np.uint32)).tobytes())
 
-    have = named.select("doc_id", "text").join(linked, "doc_id", "left_semi").mapInArrow(per_row(["doc_id", "text"], sets, shingles), spark_schema(sets))
-    have = have.dropDuplicates(["doc_id"])
+    def sets_of(ids: DataFrame) -> DataFrame:
+        have = named.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(per_row(["doc_id", "text"], sets, shingles), spark_schema(sets))
+        return have.dropDuplicates(["doc_id"])
+
+    have = sets_of(linked)
     both = edges.join(have.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")), "a").join(have.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b")), "b")
     pair = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
 
@@ -288,8 +351,20 @@ def drop_near_copies(docs: DataFrame, how: Thinning = Thinning()) -> DataFrame:
 
         return row
 
-    confirmed = both.mapInArrow(per_row(["a", "b", "of_a", "of_b"], pair, jaccard), spark_schema(pair)).where(F.col("similarity") >= how.similarity)
-    roots = components(confirmed.select("a", "b"))
+    checked = checkpointed(both.mapInArrow(per_row(["a", "b", "of_a", "of_b"], pair, jaccard), spark_schema(pair)))
+    confirmed, failed = checked.where(F.col("similarity") >= how.similarity).select("a", "b"), checked.where(F.col("similarity") < how.similarity)
+    groups = components(edges)
+    broken = groups.join(failed.select(F.col("a").alias("node")), "node", "left_semi").select("root").distinct()
+    parts = components(confirmed).withColumnRenamed("root", "part")
+    members = groups.join(broken, "root", "left_semi").join(parts, "node", "left").join(nodes.select("node", "fp", "size"), "node")
+    members = checkpointed(members.select("node", "root", F.coalesce("part", "node").alias("part"), "fp", "size"))
+    chunks = members.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(float(chunk)), F.sum("size") / F.lit(float(MOST_SHINGLES)))).cast("int").alias("chunks"))
+    dealt = members.join(chunks, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    dealt = dealt.join(sets_of(members.select(F.col("node").alias("doc_id"))).withColumnRenamed("doc_id", "node"), "node")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    met = dealt.groupBy("root", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi")).agg(F.collect_list(F.struct("node", "part", "chunk", "fp", "shingles")).alias("members"))
+    run, schema = _join_parts(how.radius, how.similarity)
+    roots = components(confirmed.unionByName(met.select("lo", "hi", "members").mapInArrow(run, schema)))
     stay = classes.select("node").join(roots.where("node <> root").select("node"), "node", "left_anti").select(F.col("node").alias("q_stays")).distinct()
     # with its copies, an id that stays could stand on rows of other texts; those have a class of their own, and the same id
     kept = docs.join(stay, F.col("doc_id") == F.col("q_stays"), "left_semi").withColumn("q_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
