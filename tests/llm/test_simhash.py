@@ -188,3 +188,15 @@ def test_similar_pairs_that_the_nearest_links_leave_out(spark):
     assert 30 < len(expected) < 300
     assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == expected
     assert sorted(r.doc_id for r in simhash.drop_near_copies(docs, chunk=4).collect()) == expected
+
+
+def test_repeats_of_a_line_move_no_fingerprint(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(20):
+        body, line = (" ".join(f"w{rng.randrange(3000)}" for _ in range(n)) for n in (100, 10))
+        rows += [(2 * k, f"{body}\n{line}"), (2 * k + 1, body + f"\n{line}" * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == [2 * k for k in range(20)]
+    sketch = simhash._sketches(5)()
+    assert sketch(0, "a b c d e f " * 3)[1:] == sketch(0, "a b c d e f " * 9)[1:]

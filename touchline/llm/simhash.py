@@ -238,13 +238,12 @@ class Thinning:
 
 
 def _sketches(words: int):
-    """make() for per_row: doc_id, fp of 128 bits, number of different shingles, digest of their set."""
+    """make() for per_row: doc_id, fp of 128 bits, number of different shingles, digest of their set. All of them are of the set, without repeats."""
 
     def make():
         def row(doc_id, text):
-            first = shingle_hashes(text, words, 42)
-            own = np.unique(first)
-            return doc_id, majority(first) + majority(shingle_hashes(text, words, 43)), len(own), xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63)
+            own, other = (np.unique(shingle_hashes(text, words, seed)) for seed in (42, 43))
+            return doc_id, majority(own) + majority(other), len(own), xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63)
 
         return row
 
