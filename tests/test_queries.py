@@ -59,3 +59,12 @@ def test_query_without_sql_has_rows(spark, sf_dir, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name, table, row, key", [("x2_repair_mojibake", "segments", ["asset_id", "seq"], ["asset_id", "seq"]), ("a9_audio_features", "events", ["user_id"], ["asset_id"]), ("a10_pitch_features", "events", ["user_id"], ["asset_id"])])
+def test_no_row_of_the_table_is_left_out(spark, sf_dir, name, table, row, key):
+    from touchline import fixtures
+
+    rows = fixtures.table(spark, sf_dir, table).select(*row).collect()
+    found = entry.queries()[name](spark, sf_dir).select(*key).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, rows))

@@ -167,14 +167,14 @@ def x25(t: Tables):
 @query("a9_audio_features")
 def a9(t: Tables):
     k = F.col("event_id") % 7
-    waves = t("events").where("event_id % 4 = 0").select(F.col("user_id").alias("asset_id"), F.col("event_id").alias("window"), F.lit(1600).alias("rate"), F.transform(F.sequence(F.lit(0), F.lit(1599)), lambda i: F.sin(i * (0.1 + k * 0.01)) * 0.1 * (k + 1)).alias("samples"))
+    waves = t("events").select(F.col("user_id").alias("asset_id"), F.col("event_id").alias("window"), F.lit(1600).alias("rate"), F.transform(F.sequence(F.lit(0), F.lit(1599)), lambda i: F.sin(i * (0.1 + k * 0.01)) * 0.1 * (k + 1)).alias("samples"))
     return D.audio_windows(waves)
 
 
 @query("a10_pitch_features")
 def a10(t: Tables):
     tone = 100 + F.col("event_id") % 10 * 20
-    waves = t("events").where("event_id % 100 = 0").select(F.col("user_id").alias("asset_id"), F.col("event_id").alias("window"), F.lit(8000).alias("rate"), F.transform(F.sequence(F.lit(0), F.lit(7999)), lambda i: F.sin(i * (6.283185307179586 * tone / 8000))).alias("samples"))
+    waves = t("events").select(F.col("user_id").alias("asset_id"), F.col("event_id").alias("window"), F.lit(8000).alias("rate"), F.transform(F.sequence(F.lit(0), F.lit(7999)), lambda i: F.sin(i * (6.283185307179586 * tone / 8000))).alias("samples"))
     return D.pitch_features(waves)
 
 
