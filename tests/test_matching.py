@@ -118,3 +118,42 @@ def test_texts(spark):
     assert [None if r.s is None else (r.s.home, r.s.away) for r in told] == [(2, 1), None, None]
     said = spark.createDataFrame([("the goal was disallowed",), ("he had already scored",), ("what a goal",)], "t string").select(X.goal_context(F.col("t")).alias("c")).collect()
     assert [[x.type for x in r.c] for r in said] == [["NEGATION_CONTEXT"], ["RETROSPECTIVE_CONTEXT", "HISTORICAL_REFERENCE"], []]
+
+
+def test_replays_of_goals_equal_brute_force(spark):
+    """Which goals are replays follows from their words, whatever their ids and however long ago; a replay is no goal to be replayed."""
+    import random
+
+    from touchline.operators import assemble as E
+
+    rng = random.Random(5)
+    names = [f"name{c}" for c in "abcdefgh"]
+    rows = [(rng.randrange(3), rng.randrange(2), k, rng.randrange(60) * 50_000, rng.choice(["DETECTED", "DETECTED", "REJECTED"]), " ".join(["goal", "the", "from", *rng.sample(names, rng.choice([2, 3, 4, 5]))])) for k in range(150)]
+    skip, expected = {"goal", "the", "from"}, {}
+    for a, r, k, ms, _, text in sorted(rows, key=lambda x: (x[3], x[2])):
+        w = set(text.split())
+        expected[k] = False
+        for a2, r2, k2, ms2, status, text2 in rows:
+            w2 = set(text2.split())
+            both = (w & w2) - skip
+            same = max(len(w & w2) / len(w | w2), len(both) / min(len(w - skip), len(w2 - skip))) >= 0.7 and len(both) >= 3
+            if (a, r) == (a2, r2) and ms2 < ms and status == "DETECTED" and same and not expected[k2]:
+                expected[k] = True
+    assert 10 < sum(expected.values()) < 140
+    goals = spark.createDataFrame(rows, "asset_id long, run_id long, goal_id long, goal_ms long, status string, context string")
+    got = {r.goal_id: r.replay for r in E.resolve_replays(goals, E.replay_pairs(goals)).collect()}
+    assert got == expected
+
+
+def test_thinning_keeps_no_island_as_an_array(spark):
+    """One island of 100,000 rows, of which the fold keeps every fourth or fifth."""
+    from pyspark.sql import functions as F
+
+    from touchline.operators import sequence as S
+
+    dense = spark.range(100_000).select(F.lit(1).alias("asset_id"), (F.col("id") * 5).alias("ts_ms"), F.col("id").alias("row"))
+    for inclusive, step in ((True, 4), (False, 5)):
+        thin = S.thin_by_last_kept(dense, ["asset_id"], "ts_ms", 20, inclusive)
+        assert thin.columns == dense.columns
+        assert sorted(r.row for r in thin.collect()) == list(range(0, 100_000, step))
+        assert "collect_list" not in thin._jdf.queryExecution().optimizedPlan().toString()

@@ -234,16 +234,49 @@ def observations_by_family(signals: DataFrame, center_ms: int, window_ms: int =
     return near.groupBy(*KEY, family(F.col("signal_type")).alias("family")).agg(F.count(F.lit(1)).alias("n"), F.max("confidence").alias("top"))
 
 
+#: Words that don't tell which goal a text is about, besides those under four letters.
+REPLAY_STOP_WORDS = ("goal", "goals", "score", "scores", "scored", "replay", "goalcall", "crowd", "team", "match", "marque", "marquer", "egalisation", "after", "from", "into", "dans", "pour", "avec")
+
+
+def replay_pairs(goals: DataFrame, least: float = 0.7, tokens: int = 3) -> DataFrame:
+    """goal_id, earlier_id: goals (asset_id, run_id, goal_id, goal_ms, status, context) that say the same as an earlier detected one of their run.
+
+    All goals of a run are compared, however far apart: quadratic in the goals of one recording's run.
+    """
+    from touchline.functions import text as X
+
+    rows = goals.select(*KEY, "goal_id", "goal_ms", "status", X.token_set(F.col("context"), "all").alias("words"))
+    rows = rows.withColumn("names", F.filter("words", lambda x: (F.char_length(x) >= 4) & ~x.isin(*REPLAY_STOP_WORDS)))
+    earlier = rows.where("status = 'DETECTED'").select(*KEY, *(F.col(c).alias(n) for c, n in (("goal_id", "earlier_id"), ("goal_ms", "earlier_ms"), ("words", "e_words"), ("names", "e_names"))))
+    pairs = rows.where(F.size("names") >= tokens).join(earlier.where(F.size("e_names") >= tokens), KEY).where("earlier_ms < goal_ms")
+    same = F.greatest(X.jaccard(F.col("words"), F.col("e_words")), X.containment(F.col("names"), F.col("e_names"))) >= least
+    return pairs.where((F.size(F.array_intersect("names", "e_names")) >= tokens) & same).select("goal_id", "earlier_id")
+
+
+def _fold_replays(batches):
+    """mapInArrow: goals with likenesses (asset_id, run_id, goal_id, earlier), sorted, to those that are replays. State: the replays of one run."""
+    import pyarrow as pa
+
+    run, replays = None, set()
+    for batch in batches:
+        found = []
+        for asset_id, run_id, goal_id, earlier in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            if run != (asset_id, run_id):
+                run, replays = (asset_id, run_id), set()
+            if any(e not in replays for e in earlier):
+                replays.add(goal_id)
+                found.append(goal_id)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["goal_id"])
+
+
 def resolve_replays(goals: DataFrame, pairs: DataFrame) -> DataFrame:
     """goal_id, replay: is a goal a replay of an earlier goal that is none itself? pairs: goal_id, earlier_id of goals that say the same.
 
-    Goals without an earlier likeness are none. The rest is folded in order of time over each chain of likenesses, which is short: it is bounded by
-    the candidates of one asset.
+    Goals (asset_id, run_id, goal_id, goal_ms) without an earlier likeness are none. The rest of a run passes through a task in order of time.
     """
-    chains = pairs.join(goals.select("goal_id", "goal_ms", "asset_id"), "goal_id").groupBy("asset_id", "goal_id", "goal_ms").agg(F.collect_set("earlier_id").alias("earlier"))
-    order = F.sort_array(F.collect_list(F.struct("goal_ms", "goal_id", "earlier")))
-    fold = "aggregate(chain, cast(array() as array<bigint>), (replays, x) -> if(exists(x.earlier, e -> not array_contains(replays, e)), concat(replays, array(x.goal_id)), replays))"
-    found = chains.groupBy("asset_id").agg(order.alias("chain")).select(F.explode(F.expr(fold)).alias("goal_id")).withColumn("is_replay", F.lit(True))
+    chains = pairs.join(goals.select(*KEY, "goal_id", "goal_ms"), "goal_id").groupBy(*KEY, "goal_ms", "goal_id").agg(F.collect_set("earlier_id").alias("earlier"))
+    chains = chains.repartition(*KEY).sortWithinPartitions(*KEY, "goal_ms", "goal_id").select(*KEY, "goal_id", "earlier")
+    found = chains.mapInArrow(_fold_replays, "goal_id long").withColumn("is_replay", F.lit(True))
     return goals.join(found, "goal_id", "left").select("goal_id", F.coalesce("is_replay", F.lit(False)).alias("replay"))
 
 

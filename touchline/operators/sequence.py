@@ -24,13 +24,25 @@ def gap_clusters(df: DataFrame, keys: list[str], ts: str, gap: int, order: list[
 def thin_by_last_kept(df: DataFrame, keys: list[str], ts: str, gap: int, inclusive: bool, order: list[str] = []) -> DataFrame:  # noqa: B006
     """Rows that come at least gap (inclusive; else more than gap) after the last row kept.
 
-    Rows are cut into islands at larger gaps, across which nothing reaches; each island, a short array, is folded by aggregate().
+    Rows are cut into islands at larger gaps, across which nothing reaches; islands pass through a task in sorted order. State is the last row kept.
     """
     parts = gap_clusters(df, keys, ts, gap if not inclusive else gap - 1, order, "s_part")
-    cells = F.sort_array(F.collect_list(F.struct(F.col(ts).alias("s_ts"), *(F.col(o).alias(f"s_o{i}") for i, o in enumerate(order)), F.struct(*df.columns).alias("s_row"))))
-    ok = ">=" if inclusive else ">"
-    kept = F.expr(f"aggregate(s_cells, slice(s_cells, 1, 1), (kept, x) -> if(x.s_ts - element_at(kept, -1).s_ts {ok} {gap}, concat(kept, array(x)), kept))")
-    return parts.groupBy(*keys, "s_part").agg(cells.alias("s_cells")).select(F.explode(kept).alias("s_kept")).select("s_kept.s_row.*")
+    names, rest = [*keys, "s_part"], [c for c in df.columns if c not in (*keys, ts, *order)]
+    key_at, ts_at = [parts.columns.index(c) for c in names], parts.columns.index(ts)
+
+    def run(batches):
+        import pyarrow as pa
+
+        island, last = None, None
+        for batch in batches:
+            keep = []
+            for *own, at in zip(*(batch.column(k).to_pylist() for k in (*key_at, ts_at)), strict=True):
+                keep.append(island != own or (None not in (at, last) and (at - last >= gap if inclusive else at - last > gap)))
+                if keep[-1]:
+                    island, last = own, at
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return parts.repartition(*names).sortWithinPartitions(*names, ts, *order, *rest).mapInArrow(run, parts.schema).select(*df.columns)
 
 
 def even_sample(df: DataFrame, keys: list[str], order: list[str], limit: int) -> DataFrame:

@@ -15,6 +15,7 @@ from touchline.operators import timejoin as T
 from touchline.operators import transcript as P
 from touchline.plans.detection_queries import NORM, lexicon, r6
 from touchline.plans.registry import Tables, query
+from touchline.settings import DEFAULTS
 
 
 def with_signals(t: Tables):
@@ -197,10 +198,11 @@ def w16(t: Tables):
 
 @query("e9_replays_of_goals")
 def e9(t: Tables):
-    goals = t("candidates").where("event_type = 'GOAL' and run_id = 0").select("asset_id", F.col("candidate_id").alias("goal_id"), F.col("trigger_ms").alias("goal_ms"))
-    earlier = goals.select("asset_id", F.col("goal_id").alias("earlier_id"), F.col("goal_ms").alias("earlier_ms"))
-    pairs = T.range_join(goals, earlier, ["asset_id"], F.greatest(F.lit(0), F.col("goal_ms") - 60_000), F.col("goal_ms") - 1, "earlier_ms", 60_000).where("(goal_id + earlier_id) % 3 = 0")
-    return E.resolve_replays(goals, pairs.select("goal_id", "earlier_id"))
+    goals = t("candidates").where("event_type = 'GOAL'").select("asset_id", "run_id", F.col("candidate_id").alias("goal_id"), F.col("trigger_ms").alias("goal_ms"), "status")
+    near = DEFAULTS.attach_ms
+    windows = goals.select("asset_id", "goal_id", F.greatest(F.lit(0), F.col("goal_ms") - near).alias("start_ms"), (F.col("goal_ms") + near).alias("end_ms"))
+    told = goals.join(P.window_context(windows, t("segments"), ["goal_id"]), "goal_id")
+    return E.resolve_replays(goals, E.replay_pairs(told))
 
 
 @query("u1_union_of_detectors")
