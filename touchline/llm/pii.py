@@ -39,9 +39,10 @@ PHONE = DIGITS | frozenset(" ().-")
 KEY = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ") | DIGITS
 SECRET = LETTERS | DIGITS | frozenset("_-+/.=")
 SCHEMES = ("http", "https", "ftp", "ftps", "ssh", "mailto")
+LONGEST_SCHEME = max(map(len, SCHEMES))
 #: Words before an account's value; the value follows after "=" or ":" (blanks and a quote may stand between).
 CUES = ("password", "passwd", "token", "secret", "api_key", "apikey", "iban", "account", "username", "user_id", "login")
-KEY_CUE = "AKIA"
+KEY_CUE, KEY_LENGTH = "AKIA", 20
 MIN_ACCOUNT = 6
 
 
@@ -131,7 +132,7 @@ def phone_at(text: str, at: int) -> int | None:
 def url_at(text: str, at: int) -> tuple[int, int] | None:
     """Scheme, host and the rest up to white space, quotes or brackets, around "://"."""
     begin = at
-    while begin > 0 and text[begin - 1] in LETTERS:
+    while begin > max(0, at - LONGEST_SCHEME - 1) and text[begin - 1] in LETTERS:
         begin -= 1
     if text[begin:at].lower() not in SCHEMES:
         return None
@@ -143,23 +144,27 @@ def url_at(text: str, at: int) -> tuple[int, int] | None:
     return (begin, end) if end > at + 3 else None
 
 
-def account_at(text: str, end_of_cue: int) -> tuple[int, int] | None:
-    """The value after a cue word."""
+def value_at(text: str, end_of_cue: int) -> int | None:
+    """Where the value after a cue word begins."""
     at = run_of(text, end_of_cue, frozenset(" "))
     if at >= len(text) or text[at] not in "=:":
         return None
-    at = run_of(text, run_of(text, at + 1, frozenset(" ")), frozenset("\"'"))
-    end = run_of(text, at, SECRET)
+    return run_of(text, run_of(text, at + 1, frozenset(" ")), frozenset("\"'"))
+
+
+def account_at(text: str, at: int) -> tuple[int, int, bool]:
+    """The value that begins there, the end of what was read for it, and whether it can be one."""
+    read = end = run_of(text, at, SECRET)
     while end > at and text[end - 1] in ".-=":
         end -= 1
     value = text[at:end]
-    return (at, end) if len(value) >= MIN_ACCOUNT and any(c in DIGITS for c in value) else None
+    return end, read, len(value) >= MIN_ACCOUNT and any(c in DIGITS for c in value)
 
 
 def key_at(text: str, at: int) -> tuple[int, int] | None:
-    end = run_of(text, at, KEY)
-    alone = (at == 0 or text[at - 1] not in SECRET) and (end == len(text) or text[end] not in LETTERS)
-    return (at, end) if alone and end - at == 20 else None
+    end = at + KEY_LENGTH
+    alone = (at == 0 or text[at - 1] not in SECRET) and (end == len(text) or text[end : end + 1] not in LETTERS | KEY)
+    return (at, end) if alone and end <= len(text) and all(c in KEY for c in text[at:end]) else None
 
 
 def find_spans(text: str | None, anchors) -> dict[str, list[tuple[int, int]]]:
@@ -168,7 +173,7 @@ def find_spans(text: str | None, anchors) -> dict[str, list[tuple[int, int]]]:
     if not text:
         return spans
     #: Up to where each kind has read: matches that were dropped count as read, too.
-    read = dict.fromkeys((*KINDS, "group"), 0)
+    read = dict.fromkeys((*KINDS, "group", "value"), 0)
     for last, (kind, length) in anchors.iter(text):
         at = last - length + 1
         if kind == "digit":
@@ -193,12 +198,20 @@ def find_spans(text: str | None, anchors) -> dict[str, list[tuple[int, int]]]:
                 read["phone"] = end
                 if 8 <= sum(c in DIGITS for c in text[at:end]) <= 15:
                     spans["phone"].append((at, end))
-        else:
-            found = url_at(text, at) if kind == "url" else key_at(text, at) if kind == "key" else account_at(text, at + length)
-            kind = "url" if kind == "url" else "account"
-            if found and found[0] >= read[kind]:
-                read[kind] = found[1]
-                spans[kind].append(found)
+        elif kind == "url":
+            if at >= read["url"] and (found := url_at(text, at)):  # no other scheme opens inside a url's run
+                read["url"] = found[1]
+                spans["url"].append(found)
+        elif kind == "key":
+            if at >= read["account"] and (found := key_at(text, at)):
+                read["account"] = found[1]
+                spans["account"].append(found)
+        elif (begin := value_at(text, at + length)) is not None and begin >= read["value"]:
+            # a value inside what was read for another is a part of that: no longer, and with no other digits
+            end, read["value"], fits = account_at(text, begin)
+            if fits and begin >= read["account"]:
+                read["account"] = end
+                spans["account"].append((begin, end))
     return spans
 
 
@@ -219,15 +232,19 @@ def redact(text: str | None, spans: dict[str, list[tuple[int, int]]]) -> str | N
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every row of docs(doc_id, text, ...). No shuffle."""
-    out = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE_KINDS), ("base_sha256", pa.string()), ("spans", pa.string())])
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_url, n_account, n_spans (of all kinds), has_pii of every row of
+    docs(doc_id, text, ...). has_pii: there are spans other than urls, which alone name nobody. No shuffle."""
+    added = [*((f"n_{k}", pa.int64()) for k in (*KINDS[len(BASE_KINDS) :], "spans")), ("has_pii", pa.bool_())]
+    out = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE_KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), *added])
 
     def make():
         anchors = automaton()
 
         def row(doc_id, text):
             spans = find_spans(text, anchors)
-            return (doc_id, *(len(spans[k]) for k in BASE_KINDS), hashlib.sha256(joined(spans, BASE_KINDS).encode()).hexdigest(), joined(spans, KINDS))
+            n = {k: len(spans[k]) for k in KINDS}
+            added = (n["url"], n["account"], sum(n.values()), sum(n.values()) > n["url"])
+            return (doc_id, *(n[k] for k in BASE_KINDS), hashlib.sha256(joined(spans, BASE_KINDS).encode()).hexdigest(), joined(spans, KINDS), *added)
 
         return row
 
