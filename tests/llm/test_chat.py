@@ -73,3 +73,20 @@ def test_query_equals_sql(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"create view conversations as select * from '{sf_dir}/conversations.parquet'")
     assert got == sorted(con.execute(chat.SQL).fetchall())
+
+
+def test_loops_run_over_null_items():
+    render = chat.compile_template("{% for x in xs %}[{{ loop.index }}{% if loop.last %}!{% endif %}]{% endfor %}")
+    assert "".join(t for t, _ in render(xs=["a", None, "b"])) == "[1][2][3!]"
+
+
+def test_parts_out_of_order_are_refused(spark):
+    turns = spark.createDataFrame([(1, k, "user", "word " * 400) for k in range(20)], "conv_id long, turn long, role string, text string")
+    parts = chat.format_conversations(turns, part_chars=1000)
+    rows = parts.collect()
+    assert len(rows) > 3
+    mixed = spark.createDataFrame([rows[0], rows[2], rows[1], *rows[3:]], parts.schema)
+    again = mixed.repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    assert chat.read_conversations(again).collect() == chat.read_conversations(parts).collect()
+    with pytest.raises(Exception, match="out of order"):
+        chat.read_conversations(mixed.coalesce(1)).collect()

@@ -399,12 +399,12 @@ def statement(tree, filters: dict[str, Callable], masked: bool = False) -> Calla
     of, body = expression(tree.of, filters), statement(tree.body, filters, masked)
 
     def loop(env):
-        items, count = iter(of(env) or ()), 0
-        item = next(items, None)
-        while item is not None:  # one item ahead, for loop.last
-            after = next(items, None)
+        items, count, end = iter(of(env) or ()), 0, object()  # a null item is an item
+        item = next(items, end)
+        while item is not end:  # one item ahead, for loop.last
+            after = next(items, end)
             env[tree.name] = item
-            env["loop"] = {"index0": count, "index": count + 1, "first": count == 0, "last": after is None}
+            env["loop"] = {"index0": count, "index": count + 1, "first": count == 0, "last": after is end}
             yield from body(env)
             item, count = after, count + 1
 
@@ -467,9 +467,13 @@ TURN = re.compile(re.escape(START) + r"([^\n]*)\n(.*?)" + re.escape(STOP) + r"\n
 def _read(batches):
     """Parts of conversations, in order, to what they say."""
     held, turns, loss, n, loss_chars, chars = "", hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+    expected = (None, 0)
     for batch in batches:
         found = []
-        for conv_id, _, last, text, begins, ends in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+        for conv_id, part, last, text, begins, ends in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            if part != expected[1] or (part and conv_id != expected[0]):
+                raise ValueError(f"part {part} of conversation {conv_id} is out of order")
+            expected = (conv_id, 0 if last else part + 1)
             held += text
             at = 0
             while m := TURN.match(held, at):
@@ -493,7 +497,8 @@ def _read(batches):
 def read_conversations(formatted: DataFrame) -> DataFrame:
     """What format_conversations' rows say, read from the text alone: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
-    The parts are taken in the order in which format_conversations gives them.
+    The parts must come in the order in which format_conversations gives them; that is checked. What was stored or shuffled since is put
+    in order by formatted.repartition("conv_id").sortWithinPartitions("conv_id", "part").
     """
     return formatted.mapInArrow(_read, spark_schema(READ))
 
