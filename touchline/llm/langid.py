@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from touchline.llm.common import per_row, spark_schema
 
 UNDETERMINED = "und"
-MOST_LANGUAGES = 62
+#: Languages in one integer of the table; more have several.
+A_WORD = 62
 
 
 @dataclass(frozen=True)
@@ -45,13 +46,13 @@ class Settings:
 @dataclass(frozen=True)
 class Filters:
     languages: tuple[str, ...]  # more training rows first
-    table: np.ndarray  # uint64, a bit a language
+    table: np.ndarray  # uint64, a row for each A_WORD languages and a column a slot: a bit a language
     settings: Settings
 
     @property
     def chance(self) -> np.ndarray:
         """By language: the probability that an n-gram it lacks appears to be there."""
-        fill = [float(np.count_nonzero(self.table >> np.uint64(k) & np.uint64(1))) / len(self.table) for k in range(len(self.languages))]
+        fill = [float(np.count_nonzero(self.table[k // A_WORD] >> np.uint64(k % A_WORD) & np.uint64(1))) / self.settings.slots for k in range(len(self.languages))]
         return np.array(fill) ** self.settings.probes
 
 
@@ -110,11 +111,9 @@ def _grams(sizes: tuple[int, ...]):
 def fit(docs: DataFrame, settings: Settings = Settings()) -> Filters:
     """Learn the filters from docs(doc_id, text, lang). To the driver come counts by language and one integer a slot at most."""
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").collect()}
     languages = tuple(counts)
-    table = np.zeros(settings.slots, np.uint64)
+    table = np.zeros((max(1, -(-len(languages) // A_WORD)), settings.slots), np.uint64)
     if not languages:
         return Filters(languages, table, settings)
     parts = 1 << 20
@@ -125,13 +124,19 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Filters:
     by_gram = chosen.select("lang", "text").mapInArrow(run, schema).groupBy("gram").agg(*(F.sum(F.when(F.col("lang") == x, F.col("n"))).alias(f"n{k}") for k, x in enumerate(languages)))
     shares = [F.coalesce(F.col(f"n{k}"), F.lit(0)) / F.lit(float(sizes.get(x, 1))) for k, x in enumerate(languages)]
     most = F.greatest(*shares, F.lit(0.0))
-    mask = F.lit(0).cast("long")
-    for k, share in enumerate(shares):
-        usual = (F.col(f"n{k}") >= settings.min_docs) & (share >= settings.min_share) & (share >= settings.min_ratio * most)
-        mask = mask.bitwiseOR(F.when(usual, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")))
+    masks = []
+    for begin in range(0, len(languages), A_WORD):
+        mask = F.lit(0).cast("long")
+        for k, share in list(enumerate(shares))[begin : begin + A_WORD]:
+            usual = (F.col(f"n{k}") >= settings.min_docs) & (share >= settings.min_share) & (share >= settings.min_ratio * most)
+            mask = mask.bitwiseOR(F.when(usual, F.lit(1 << k - begin).cast("long")).otherwise(F.lit(0).cast("long")))
+        masks.append(mask.alias(f"m{begin // A_WORD}"))
+    words = [f"m{w}" for w in range(len(masks))]
     probes = F.array(*(F.shiftright("gram", 20 * k).bitwiseAND(F.lit(settings.slots - 1)) for k in range(settings.probes)))
-    slots = by_gram.select(mask.alias("mask"), F.explode(probes).alias("slot")).where("mask <> 0").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
-    table[slots.column("slot").to_numpy()] = slots.column("mask").to_numpy().astype(np.uint64)
+    kept = by_gram.select(*masks, probes.alias("slots")).where(" or ".join(f"{w} <> 0" for w in words))
+    slots = kept.select(*words, F.explode("slots").alias("slot")).groupBy("slot").agg(*(F.bit_or(w).alias(w) for w in words)).toArrow()
+    for w, name in enumerate(words):
+        table[w, slots.column("slot").to_numpy()] = slots.column(name).to_numpy().astype(np.uint64)
     return Filters(languages, table, settings)
 
 
@@ -141,15 +146,19 @@ def scored(text: str | None, filters: Filters, chance: np.ndarray) -> tuple[str,
     if points is None or not filters.languages:
         return UNDETERMINED, 0.0, 0.0
     grams = gram_hashes(points, filters.settings.sizes)
-    last, k = np.uint64(len(filters.table) - 1), len(filters.languages)
-    masks = filters.table[grams & last]
-    for probe in range(1, filters.settings.probes):
-        masks = masks & filters.table[grams >> np.uint64(20 * probe) & last]
-    if k <= 10:
-        by_mask = np.bincount(masks.astype(np.int64), minlength=1 << k)
-        counts = by_mask @ (np.arange(1 << k)[:, None] >> np.arange(k) & 1)
-    else:
-        counts = np.array([np.count_nonzero(masks >> np.uint64(b) & np.uint64(1)) for b in range(k)])
+    last, k = np.uint64(filters.settings.slots - 1), len(filters.languages)
+    slots = [(grams >> np.uint64(20 * probe) & last).astype(np.intp) for probe in range(filters.settings.probes)]
+    counts = []
+    for table, own in zip(filters.table, (min(A_WORD, k - b) for b in range(0, k, A_WORD)), strict=True):
+        masks = table[slots[0]]
+        for places in slots[1:]:
+            masks = masks & table[places]
+        if own <= 10:
+            by_mask = np.bincount(masks.astype(np.int64), minlength=1 << own)
+            counts.append(by_mask @ (np.arange(1 << own)[:, None] >> np.arange(own) & 1))
+        else:
+            counts.append(np.array([np.count_nonzero(masks >> np.uint64(b) & np.uint64(1)) for b in range(own)]))
+    counts = np.concatenate(counts)
     sure = np.maximum(0.0, (counts - chance * len(grams)) / np.maximum(1e-9, 1 - chance))
     best = int(np.argmax(sure))
     total = float(sure.sum())
