@@ -2,12 +2,16 @@
 
 import hashlib
 import random
+import sys
+import unicodedata
 
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from touchline.llm import bpe
+from touchline.llm import bpe, packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -37,7 +41,7 @@ def test_long_words_stream_in_constant_memory():
             out += t.feed(c)
             held = max(held, len(t.chars))
         out += t.finish(word[-1])
-        assert held <= 4 * VOCABULARY.longest + VOCABULARY.lookahead
+        assert VOCABULARY.lookahead < held <= 2 * VOCABULARY.lookahead
         assert [VOCABULARY.ids[x] for x in out] == LIBRARY.encode(word, add_special_tokens=False).ids
 
 
@@ -49,8 +53,27 @@ def test_text_mode_undoes_words():
 
 def test_small_caches_change_nothing():
     encoder = bpe.Encoder(VOCABULARY)
-    encoder.word.size = encoder.run.size = 3
-    both("one two three four five six one two three " * 20, encoder, bpe.Decoder(VOCABULARY))
+    encoder.word.most = 600
+    for _ in range(3):
+        assert encoder.word.held <= 300 + 400 and len(encoder.word.older) < 5
+        both("one two three four five six one two three " * 20, encoder, bpe.Decoder(VOCABULARY))
+
+
+def test_every_character_is_cut_into_words_as_the_library_does():
+    """Letters, numbers of all kinds, marks and other characters, alone and between letters."""
+    encoder = bpe.Encoder(VOCABULARY)
+    points = [c for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) not in ("Cn", "Co", "Lo")]
+    points += range(0x4E00, 0x4F00)
+    wrong = [c for c in points if b"".join(encoder.encode(f"a{chr(c)}b 1{chr(c)}")) != bpe.packed(LIBRARY.encode(f"a{chr(c)}b 1{chr(c)}", add_special_tokens=False).ids)]
+    assert not wrong, [hex(c) for c in wrong[:20]]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(PIECES) | st.text(max_size=5), max_size=30).map("".join))
+def test_any_text(text):
+    text = text.encode("utf-8", "replace").decode()
+    both(text, bpe.Encoder(VOCABULARY), bpe.Decoder(VOCABULARY))
+    assert packing.library_encoder(PATH).encode(text).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
 def test_documents(spark, sf_dir):

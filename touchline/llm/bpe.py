@@ -3,9 +3,9 @@
 Encoding follows the merge list of a tokenizer file whose words end in a marked symbol. Two facts make it a transducer: a sequence of
 tokens is what the merges give exactly if each token and each pair of neighbours is what the merges give for its own characters; and so the
 encoding of a prefix is one more token after the encoding of a shorter prefix. For each character read, the transducer keeps only that last
-token. All encodings to come grow from one of the last few prefixes (as many as the longest token has characters); tokens on which
-those agree can't change any more and leave at once. From the merge list follows how far they can disagree (`lookahead`), so memory
-stays constant however long a word is.
+token. From the merge list follows how far a character can change what stands before it (`lookahead`); once twice as many characters are
+held, tokens that end before that bound leave, so memory stays constant however long a word is. All encodings to come grow from one of the
+last few prefixes (as many as the longest token has characters); that these agree on what leaves is asserted each time.
 
 Decoding is a state machine from ids to bytes to text: it holds a partial character between ids, and nothing else.
 
@@ -18,14 +18,15 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import re
 import sys
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterable, Iterator
-from functools import cache
+from functools import cache, cached_property
+from sys import getsizeof
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from touchline.llm.common import per_row, spark_schema
@@ -33,11 +34,26 @@ from touchline.llm.common import per_row, spark_schema
 #: In place of the file's "</w>" while symbols are handled; no byte is written with this character.
 END = "\n"
 SUFFIX = "</w>"
-#: White space that str.split() knows and the tokenizer's \s doesn't.
-SEPARATORS = regex.compile("[\x1c-\x1f]")
-SPACES = regex.compile(r"[\s--[\x1c-\x1f]]+", regex.V1)
-#: Entries of the caches of a task; a full one is emptied.
-CACHED = 800_000
+#: Bytes of each of an encoder's caches, in a Python worker.
+CACHED = 64 << 20
+
+
+#: White space that can end a block, in any reading of \s.
+BLANK = re.compile("[ \t\n\r]")
+
+
+#: Numbers that aren't decimal digits; re takes them for letters.
+NUMBERS = frozenset(c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) in ("No", "Nl"))
+
+
+def word_pattern(pattern: str, numbers: str = "") -> re.Pattern:
+    r"""The tokenizer file's pattern for re, which lacks \p{L} and \p{N}. numbers: those of NUMBERS that the text may hold. The four separators
+    that Python's \s has beyond the tokenizer's count as other characters."""
+    known = {r"[\p{L}]+": rf"[^\W\d_{numbers}]+", r"[\p{N}]": rf"[\d{numbers}]", r"[^\s\p{L}\p{N}]+": r"(?:[^\s\w]|[_\x1c-\x1f])+"}
+    parts = pattern.split("|")
+    if any("\\" in p and p not in known for p in parts):
+        raise ValueError(f"an unknown pattern of words: {pattern}")
+    return re.compile("|".join(known.get(p, p) for p in parts))
 
 
 def byte_alphabet() -> list[str]:
@@ -47,27 +63,53 @@ def byte_alphabet() -> list[str]:
     return [chr(b if b in plain else next(rest)) for b in range(256)]
 
 
-class Vocabulary:
-    """A tokenizer file: ids of tokens, ranks of merges, special tokens, and how text is cut into words."""
+class Words:
+    """How a tokenizer file cuts text: special tokens, blocks, words."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            self.file = json.load(f)
-        model = self.file["model"]
+            file = json.load(f)
+        self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
+        self.special_pattern = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        pattern = next(p for p in file["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
+        self.word_pattern, self.with_numbers = word_pattern(pattern), word_pattern(pattern, "".join(sorted(NUMBERS)))  # the latter is slow
+        self.alphabet = byte_alphabet()
+        self.learn(file["model"])
+
+    def learn(self, model: dict) -> None:
+        """Take what is wanted of the file's model."""
+
+    def words(self, text: str) -> list[str]:
+        """The words of a text without special tokens."""
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # letter by letter: no final sigma
+        return (self.word_pattern if text.isascii() or NUMBERS.isdisjoint(set(text)) else self.with_numbers).findall(text)
+
+    def symbols(self, word: str) -> str:
+        """A word's bytes, as characters of the byte alphabet."""
+        return word if word.isascii() and word.isprintable() else "".join(self.alphabet[b] for b in word.encode("utf-8", "replace"))
+
+    def pieces(self, text: str) -> Iterator[tuple[bool, str]]:
+        """Special tokens (True) and the text between them, the latter in blocks that end before white space: no word is cut."""
+        if self.special_pattern is None or not self.special_pattern.search(text):
+            yield from ((False, b) for b in blocks(text))
+            return
+        for piece in self.special_pattern.split(text):
+            yield from [(True, piece)] if piece in self.special else ((False, b) for b in blocks(piece))
+
+
+class Vocabulary(Words):
+    """And the tokens and merges: ids of tokens, ranks of merges."""
+
+    def learn(self, model: dict) -> None:
         own = lambda s: s.removesuffix(SUFFIX) + END if s.endswith(SUFFIX) else s
-        self.names = {i: t for t, i in model["vocab"].items()} | {t["id"]: t["content"] for t in self.file["added_tokens"]}
+        self.names = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         self.ids = {own(t): i for t, i in model["vocab"].items()}
         merges = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
         self.ranks = {(own(a), own(b)): k for k, (a, b) in enumerate(merges)}
         self.longest = max(len(t.rstrip(END)) for t in self.ids)
-        self.special = {t["content"]: t["id"] for t in self.file["added_tokens"]}
-        self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        split = next(p for p in self.file["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.word_pattern = regex.compile(split["pattern"]["Regex"])
-        self.alphabet = byte_alphabet()
-        self.pairs: dict[tuple[str | None, str], bool] = {}
+        self.pairs = Known(lambda pair: self.fits(*pair))
 
-    @property
+    @cached_property
     def lookahead(self) -> int:
         """Characters after a position beyond which nothing changes the tokens that end before it.
 
@@ -94,20 +136,11 @@ class Vocabulary:
 
     def fits(self, before: str | None, token: str) -> bool:
         """Are these neighbours, or (before: None) this token alone, what the merges give for their characters?"""
-        if (known := self.pairs.get((before, token))) is None:
-            if len(self.pairs) > CACHED:
-                self.pairs.clear()
-            tokens = [token] if before is None else [before, token]
-            symbols = [c for t in tokens for c in t.rstrip(END)]
-            if token.endswith(END):
-                symbols[-1] += END
-            known = self.pairs[before, token] = self.merged(symbols) == tokens
-        return known
-
-    def words(self, piece: str) -> list[str]:
-        """The words of a piece of text without white space that matters, as characters of the byte alphabet."""
-        text = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()  # letter by letter: no final sigma
-        return ["".join(self.alphabet[b] for b in w.encode("utf-8", "replace")) for w in self.word_pattern.findall(text)]
+        tokens = [token] if before is None else [before, token]
+        symbols = [c for t in tokens for c in t.rstrip(END)]
+        if token.endswith(END):
+            symbols[-1] += END
+        return self.merged(symbols) == tokens
 
 
 class Transducer:
@@ -125,9 +158,7 @@ class Transducer:
         for start in range(max(0, n - v.longest), n):
             token = chars[start:n] + end
             if token in v.ids:
-                pair = (last[start - 1][1] if start else self.before, token)
-                known = v.pairs.get(pair)
-                if v.fits(*pair) if known is None else known:
+                if v.pairs[last[start - 1][1] if start else self.before, token]:
                     return start, token
         raise ValueError(f"no token for {self.chars[n - 1]!r}")
 
@@ -141,25 +172,28 @@ class Transducer:
 
     def feed(self, chars: str) -> Iterator[str]:
         """Characters of the word, without its last one; tokens that are stable now."""
+        most = 2 * self.v.lookahead
         for c in chars:
             self.chars += c
             self.last.append(self._grow(len(self.chars), ""))
-            if len(self.chars) >= 4 * self.v.longest:
-                yield from self._stable()
-
-    def _stable(self) -> list[str]:
-        n = len(self.chars)
-        alive = set(range(n + 1 - self.v.longest, n + 1))
-        while len(alive) > 1:  # the farthest end steps back by its token until all have met
-            far = max(alive)
-            alive.remove(far)
-            alive.add(self.last[far - 1][0])
-        (met,) = alive
-        if not met:
+            if len(self.chars) >= most:
+                yield from self._leave(len(self.chars) - self.v.lookahead)
+
+    def _leave(self, bound: int) -> list[str]:
+        """The tokens that end at the bound or before it, which no further character reaches."""
+        ends = set()
+        for n in range(len(self.chars) + 1 - self.v.longest, len(self.chars) + 1):
+            while n > bound:
+                n = self.last[n - 1][0]
+            ends.add(n)
+        if len(ends) > 1:
+            raise AssertionError("a token beyond the lookahead can still change")
+        (end,) = ends
+        if not end:
             return []
-        tokens = self._path(met)
-        self.chars, self.before = self.chars[met:], tokens[-1]
-        self.last = [(start - met, token) for start, token in self.last[met:]]
+        tokens = self._path(end)
+        self.chars, self.before = self.chars[end:], tokens[-1]
+        self.last = [(start - end, token) for start, token in self.last[end:]]
         return tokens
 
     def finish(self, char: str) -> list[str]:
@@ -176,18 +210,27 @@ def word_tokens(vocabulary: Vocabulary, word: str) -> Iterator[str]:
 
 
 class Known(dict):
-    """Results by key, found by make(key) when first wanted; emptied when full, long keys not held."""
+    """Results by key, found by make(key) when first wanted.
+
+    No more than `most` bytes are held (strings, bytes and an allowance for the table): in two generations, of which the older one is
+    dropped when the younger one has half of that. What is asked for again moves to the younger one. Long keys aren't held.
+    """
 
-    def __init__(self, make: Callable, longest: int = 64, size: int = CACHED):
+    def __init__(self, make: Callable, most: int | None = None, longest: int = 64):
         super().__init__()
-        self.make, self.longest, self.size = make, longest, size
+        self.make, self.most, self.longest, self.held, self.older = make, CACHED if most is None else most, longest, 0, {}
 
     def __missing__(self, key):
-        found = self.make(key)
-        if len(key) <= self.longest:
-            if len(self) >= self.size:
-                self.clear()
-            self[key] = found
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+            if len(key) > self.longest:
+                return found
+        if 2 * self.held > self.most:
+            self.older, self.held = dict(self), 0
+            self.clear()
+        self.held += getsizeof(key) + getsizeof(found) + 100
+        self[key] = found
         return found
 
 
@@ -199,15 +242,16 @@ def packed(ids: Iterable[int]) -> bytes:
     return out.tobytes()
 
 
-def blocks(text: str, size: int = 1 << 18) -> Iterator[list[str]]:
-    """The text's runs without white space, some at a time, each whole."""
+def blocks(text: str, size: int = 1 << 18) -> Iterator[str]:
+    """The text in blocks of about that many characters, cut before white space only."""
     begin, n = 0, len(text)
     while begin < n:
         end = min(n, begin + size)
-        while end < n and not text[end].isspace():
-            end += 1
-        block = text[begin:end]
-        yield SPACES.split(block) if SEPARATORS.search(block) else block.split()
+        if end < n and (space := BLANK.search(text, end)):
+            end = space.start()
+        elif end < n:
+            end = n
+        yield text[begin:end]
         begin = end
 
 
@@ -216,21 +260,12 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.word = Known(lambda w: packed(self.v.ids[t] for t in word_tokens(self.v, w)))
-        self.run = Known(self._run)
-
-    def _run(self, run: str) -> bytes:
-        if not self.v.special_pattern:
-            return b"".join(map(self.word.__getitem__, self.v.words(run)))
-        out = []
-        for piece in self.v.special_pattern.split(run):
-            out += [packed([self.v.special[piece]])] if piece in self.v.special else map(self.word.__getitem__, self.v.words(piece))
-        return b"".join(out)
+        self.word = Known(lambda w: packed(self.v.ids[t] for t in word_tokens(self.v, self.v.symbols(w))))
 
     def encode(self, text: str) -> Iterator[bytes]:
         """Packed ids, some at a time."""
-        for runs in blocks(text):
-            yield b"".join(map(self.run.__getitem__, runs))
+        for special, piece in self.v.pieces(text):
+            yield packed([self.v.special[piece]]) if special else b"".join(map(self.word.__getitem__, self.v.words(piece)))
 
 
 class Decoder:

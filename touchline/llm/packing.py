@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from touchline.llm.bpe import Known, blocks, packed
+from touchline.llm.bpe import Known, Words, packed
 from touchline.llm.common import spark_schema
 
 CAPACITY = 4096
@@ -132,20 +132,24 @@ class Packer:
             yield sequence
 
 
+#: Bytes of the cache of words, in a Python worker.
+CACHED = 48 << 20
+
+
 class LibraryEncoder:
-    """Ids of the tokenizers library. Runs without white space are encoded on their own, which is the same for a tokenizer whose words
-    never hold white space, and those that come again are taken from a bounded cache."""
+    """Ids of the tokenizers library: its BPE model is asked for each word, and words that come again are taken from a bounded cache. How text is
+    cut into words is the tokenizer file's pattern."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.known = Known(lambda run: packed(self.library.encode(run, add_special_tokens=False).ids))
+        self.v = Words(path)
+        model = Tokenizer.from_file(path).model
+        self.word = Known(lambda w: packed(t.id for t in model.tokenize(self.v.symbols(w))), CACHED)
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(b"".join(map(self.known.__getitem__, runs)) for runs in blocks(text)), "<u4")
+        found = (packed([self.v.special[p]]) if special else b"".join(map(self.word.__getitem__, self.v.words(p))) for special, p in self.v.pieces(text))
+        return np.frombuffer(b"".join(found), "<u4")
 
 
 @cache
