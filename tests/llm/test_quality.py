@@ -37,7 +37,7 @@ def grams(text, buckets):
     return [spark_hash(x) % buckets for x in w] + [spark_hash(a, b) % buckets for a, b in zip(w, w[1:])]
 
 
-ODD = [(1, "a b c a b c d", "x"), (1, "a b c a b c d", "x"), (2, None, "y"), (None, "", None), (3, "x\n\ny\nx\n \nx " * 40, "z"), (4, "w " * 30000, "z"), (5, " a b | <c>", "q"), (6, "a a a a", "q")]
+ODD = [(7, " ".join(f"w{k % 9973}" if k % 3 else f"v{k}" for k in range(300_000)), "m"), (8, "one two three one two three one two", "o"), (1, "a b c a b c d", "x"), (1, "a b c a b c d", "x"), (2, None, "y"), (None, "", None), (3, "x\n\ny\nx\n \nx " * 40, "z"), (4, "w " * 30000, "z"), (5, " a b | <c>", "q"), (6, "a a a a", "q")]
 
 
 @pytest.fixture(scope="module")
@@ -67,7 +67,7 @@ def test_keep_good_keeps_columns(odd):
     docs, labels = odd
     out = quality.keep_good(docs, labels, quality.Settings(min_words=3, max_repeat_percent=100, threshold=-9))
     assert out.columns == docs.columns
-    assert sorted((r.doc_id or 0) for r in out.collect()) == [1, 1, 3, 4, 5, 6]
+    assert sorted((r.doc_id or 0) for r in out.collect()) == [1, 1, 3, 4, 5, 6, 7, 8]
 
 
 def test_scores_equal_brute_force(spark, sf_dir):
@@ -95,3 +95,17 @@ def test_labelled_documents_are_told_apart(spark, sf_dir):
     rows = quality.judge(docs, labels).join(labels, "doc_id").where(~F.col("base_failed")).groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
     kept = {r.quality: r.kept for r in rows}
     assert kept[1] > 0.98 and kept[0] < 0.05
+
+
+def test_clashing_names(odd):
+    docs, labels = odd
+    named = docs.withColumn("q_bad_id", F.lit("own")).withColumn("q_hash", F.lit(1)).withColumn("q_text", F.lit(2))
+    out = quality.keep_good(named, labels, quality.Settings(min_words=3, max_repeat_percent=100, threshold=-9))
+    assert out.columns == named.columns and {(r.q_bad_id, r.q_hash, r.q_text) for r in out.collect()} == {("own", 1, 2)}
+
+
+def test_repeats_in_a_text_of_a_million_words(spark):
+    """Words at multiples of 1000 begin a window that comes a thousand times; no other window comes twice."""
+    words = [("x", "y", "z")[k % 1000] if k % 1000 < 3 else f"w{k}" for k in range(1_000_000)]
+    docs = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    assert quality.rule_columns(docs, ["doc_id"]).first().n_repeat_words == 3000

@@ -18,11 +18,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import checkpointed
+from touchline.llm.common import checkpointed, unused
 
 #: White space as the contract has it: blank, and tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
-BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Ratios are whole multiples of 1 / UNIT, so that a document's sum is the same in any order.
 UNIT = 1e9
@@ -42,22 +41,26 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.char_length(F.translate(text, chars, ""))
+def _neighbours(left: str, right: str, step: int, merge: str) -> str:
+    """SQL: merge of (a, b), where a runs through the array left and b through right from `step` places on, while there are both."""
+    n = f"greatest(size({left}) - {step}, 0)"
+    return f"zip_with(slice({left}, 1, {n}), slice({right}, {step + 1}, {n}), (a, b) -> {merge})"
 
 
-def _repeated_words(windows: str, n_words: str) -> Column:
-    """Words inside windows that are there twice or more.
+def _repeated_words(windows: str) -> Column:
+    """Words inside windows that are there twice or more; windows are 64-bit hashes by place.
 
-    windows are 64-bit hashes; each is packed with its position in as many low bits as the document needs, so that one sort of
-    integers brings equal windows together. Documents whose windows all differ skip the sort.
+    Windows are sorted with their places, so equal ones are neighbours; the places that have an equal neighbour, in order, cover three words
+    each, less what the next one covers again. Documents whose windows all differ skip that.
     """
-    bits = f"length(bin({n_words}))"
-    packed = f"array_sort(transform({windows}, (h, i) -> shiftleft(shiftright(h, {bits}), {bits}) | i))"
-    near = f"(j > 0 and shiftright(p[j - 1], {bits}) = shiftright(x, {bits})) or (j + 1 < size(p) and shiftright(p[j + 1], {bits}) = shiftright(x, {bits}))"
-    places = f"filter(transform(p, (x, j) -> if({near}, x & (shiftleft(1L, {bits}) - 1), null)), x -> x is not null)"
-    covered = f"size(array_distinct(flatten(transform({places}, x -> array(x, x + 1, x + 2)))))"
-    return F.expr(f"if(size(array_distinct({windows})) = size({windows}), 0, element_at(transform(array({packed}), p -> {covered}), 1))").cast("long")
+    placed = f"sort_array(transform({windows}, (h, i) -> struct(h, i)))"
+    equal = _neighbours("p", "p", 1, "a.h = b.h")
+    either = "zip_with(concat(array(false), e), concat(e, array(false)), (a, b) -> a or b)"
+    places = f"sort_array(array_compact(zip_with(p, {either}, (x, y) -> if(y, x.i, null))))"
+    covered = f"aggregate({_neighbours('q', 'q', 1, 'least(b - a, 3)')}, 3, (sum, x) -> sum + x)"
+    named = lambda value, name, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
+    count = named(placed, "p", named(equal, "e", named(places, "q", covered)))
+    return F.expr(f"if(size(array_distinct({windows})) = size({windows}), 0, {count})").cast("long")
 
 
 def rule_columns(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -65,16 +68,16 @@ def rule_columns(docs: DataFrame, keep: list[str]) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(*keep, text.alias("q_text"))
     rows = rows.select(*keep, "q_text", words_of(F.col("q_text")).alias("q_words"))
+    windows = "slice(arrays_zip(q_words, slice(q_words, 2, size(q_words)), slice(q_words, 3, size(q_words))), 1, greatest(size(q_words) - 2, 0))"
     lines = F.filter(F.split("q_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    windows = "if(size(q_words) < 3, array(), transform(sequence(0, size(q_words) - 3), i -> xxhash64(q_words[i], q_words[i + 1], q_words[i + 2])))"
     rows = rows.select(
         *keep,
         "q_words",
         F.size("q_words").cast("long").alias("n_words"),
-        _without(F.col("q_text"), BLANKS).cast("long").alias("word_chars"),
-        (F.char_length("q_text") - _without(F.col("q_text"), SYMBOLS)).cast("long").alias("n_symbols"),
+        F.char_length(F.array_join("q_words", "")).cast("long").alias("word_chars"),
+        F.char_length(F.regexp_replace("q_text", f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
         lines.alias("q_lines"),
-        F.expr(windows).cast("array<bigint>").alias("q_windows"),
+        F.expr(f"transform({windows}, x -> xxhash64(x))").alias("q_windows"),
     )
     return rows.select(
         *keep,
@@ -83,15 +86,18 @@ def rule_columns(docs: DataFrame, keep: list[str]) -> DataFrame:
         "word_chars",
         "n_symbols",
         (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long").alias("n_dup_lines"),
-        _repeated_words("q_windows", "n_words").alias("n_repeat_words"),
+        _repeated_words("q_windows").alias("n_repeat_words"),
     )
 
 
-def _buckets(words: str, settings: Settings) -> Column:
-    """Buckets of the one- and two-word n-grams of an array column of words."""
-    one = f"transform({words}, w -> cast(pmod(xxhash64(lower(w)), {settings.buckets}) as int))"
-    two = f"if(size({words}) < 2, array(), transform(sequence(0, size({words}) - 2), i -> cast(pmod(xxhash64(lower({words}[i]), lower({words}[i + 1])), {settings.buckets}) as int)))"
-    return F.expr(f"concat({one}, {two})")
+def _with_buckets(rows: DataFrame, keep: list[str], settings: Settings) -> DataFrame:
+    """A row for each word of the array q_words (one of nulls where it has none): keep, q_first (the word's bucket) and q_second (that of the word
+    and the next one, or null)."""
+    pairs = F.expr("arrays_zip(q_words, slice(q_words, 2, size(q_words)))")
+    words = rows.select(*keep, F.inline_outer(pairs).alias("q_word", "q_next"))
+    bucket = lambda *of: F.pmod(F.xxhash64(*(F.lower(c) for c in of)), F.lit(settings.buckets)).cast("int")
+    first, second = F.when(F.col("q_word").isNotNull(), bucket("q_word")), F.when(F.col("q_next").isNotNull(), bucket("q_word", "q_next"))
+    return words.select(*keep, first.alias("q_first"), second.alias("q_second"))
 
 
 def trusted_ids(labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -106,7 +112,8 @@ def bucket_ratios(docs: DataFrame, labels: DataFrame, settings: Settings = Setti
     """q_bucket, q_ratio (times UNIT): a row for each bucket that the corpus fills, settings.buckets at most."""
     trusted = F.broadcast(trusted_ids(labels, settings).withColumn("q_trusted", F.lit(True)))  # its size is bounded above
     rows = docs.select(F.col("doc_id").alias("q_id"), words_of(F.coalesce(F.col("text"), F.lit(""))).alias("q_words"))
-    grams = rows.join(trusted, "q_id", "left").select("q_trusted", F.explode(_buckets("q_words", settings)).alias("q_bucket"))
+    grams = _with_buckets(rows.join(trusted, "q_id", "left"), ["q_trusted"], settings)
+    grams = grams.select("q_trusted", F.explode(F.array("q_first", "q_second")).alias("q_bucket")).where("q_bucket is not null")
     # read twice below, and counted once
     counts = checkpointed(grams.groupBy("q_bucket").agg(F.count(F.lit(1)).alias("q_all"), F.count("q_trusted").alias("q_good")))
     totals = counts.agg(F.sum("q_all").alias("q_all"), F.sum("q_good").alias("q_good")).first()
@@ -120,14 +127,18 @@ def bucket_ratios(docs: DataFrame, labels: DataFrame, settings: Settings = Setti
 
 def judge(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep's columns, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score: a row for each row of docs."""
-    ratios = F.broadcast(bucket_ratios(docs, labels, settings))  # settings.buckets rows at most
+    ratios = F.broadcast(bucket_ratios(docs, labels, settings))  # settings.buckets rows at most, read for both lengths
     renamed = {c: f"q_keep_{i}" for i, c in enumerate(keep)}
     rows = rule_columns(docs.select("text", *(F.col(c).alias(r) for c, r in renamed.items())), list(renamed.values()))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     rows = rows.withColumn("q_row", F.monotonically_increasing_id())  # before the n-grams are rows of their own
-    grams = rows.select("q_row", *renamed.values(), *counts, F.explode_outer(_buckets("q_words", settings)).alias("q_bucket"))
+    grams = _with_buckets(rows, ["q_row", *renamed.values(), *counts], settings)
+    for at in ("q_first", "q_second"):
+        grams = grams.join(ratios.select(F.col("q_bucket").alias(at), F.col("q_ratio").alias(at + "_ratio")), at, "left")
     # the rows of a document lie together, so the sums shrink to a row a document before they are shuffled
-    scored = grams.join(ratios, "q_bucket", "left").groupBy("q_row").agg(*(F.first(c).alias(c) for c in [*renamed.values(), *counts]), (F.sum("q_ratio") / F.count("q_ratio") / F.lit(UNIT)).alias("score"))
+    both = F.coalesce("q_first_ratio", F.lit(0)) + F.coalesce("q_second_ratio", F.lit(0))
+    seen = F.count("q_first_ratio") + F.count("q_second_ratio")
+    scored = grams.groupBy("q_row").agg(*(F.first(c).alias(c) for c in [*renamed.values(), *counts]), (F.when(seen > 0, F.sum(both)) / seen / F.lit(UNIT)).alias("score"))
     failed = (F.col("n_words") < settings.min_words) | (100 * F.col("n_repeat_words") > settings.max_repeat_percent * F.col("n_words"))
     return scored.select(
         *(F.col(r).alias(c) for c, r in renamed.items()),
@@ -142,5 +153,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(
     """The rows of docs that judge() keeps, with docs' columns. A verdict belongs to an id and a text, so repeated ids are no trouble."""
     text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     bad = judge(docs.select("doc_id", "text", text_hash.alias("q_hash")), labels, settings, ("doc_id", "q_hash")).where(~F.col("kept"))
-    bad = bad.select(F.col("doc_id").alias("q_bad_id"), F.col("q_hash").alias("q_bad_hash")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("q_bad_id")) & (text_hash == F.col("q_bad_hash")), "left_anti")
+    bad_id, bad_hash = unused("q_bad_id", docs), unused("q_bad_hash", docs)
+    bad = bad.select(F.col("doc_id").alias(bad_id), F.col("q_hash").alias(bad_hash)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(bad_id)) & (text_hash == F.col(bad_hash)), "left_anti")
