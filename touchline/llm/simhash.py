@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import checkpointed, per_row, spark_schema
+from touchline.llm.common import checkpointed, per_row, spark_schema, spread_join, unused
 
 #: Fingerprints in a chunk, in expectation. A pair of chunks is what one comparison holds in memory.
 CHUNK = 2048
@@ -221,11 +221,11 @@ def near_copies(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     rows = checkpointed(fingerprints(docs, words))
     nodes = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("tile").alias("tile"), F.min("doc_id").alias("first_id"))
     found = components(links(nodes.select("node", "fp", "tile"), radius, within(4, radius)))
-    linked = found.join(nodes.select("node", "first_id"), "node")
-    smallest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = nodes.select("node", "first_id").join(found.join(smallest, "root").select("node", "component_id"), "node", "left")
-    named = named.select("node", F.coalesce("component_id", "first_id").alias("component_id"))
-    return rows.select("doc_id", "node", F.lower(F.hex("fp")).alias("fingerprint")).join(named, "node").select("doc_id", "fingerprint", "component_id")
+    rooted = nodes.select("node", "first_id").join(found, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = spread_join(rooted.select("node", "root"), smallest, "root", "node").select("node", "component_id")
+    named = spread_join(rows.select("doc_id", "node", F.lower(F.hex("fp")).alias("fingerprint")), named, "node", "doc_id")
+    return named.select("doc_id", "fingerprint", "component_id")
 
 
 @dataclass(frozen=True)
@@ -238,18 +238,25 @@ class Thinning:
 
 
 def _sketches(words: int):
-    """make() for per_row: doc_id, fp of 128 bits, number of different shingles, digest of their set. All of them are of the set, without repeats."""
+    """make() for per_row: doc_id, a hash of the text, fp of 128 bits, number of different shingles, digest of their set and number. All but the first
+    two are of the set, without repeats."""
 
     def make():
         def row(doc_id, text):
             own, other = (np.unique(shingle_hashes(text, words, seed)) for seed in (42, 43))
-            return doc_id, majority(own) + majority(other), len(own), xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63)
+            digest = xxhash.xxh64_intdigest(own.tobytes(), len(own)) - (1 << 63)
+            return doc_id, _text_hash(text), majority(own) + majority(other), len(own), digest
 
         return row
 
     return make
 
 
+def _text_hash(text: str | None) -> int:
+    """What Spark's xxhash64 gives for the text."""
+    return int.from_bytes(xxhash.xxh64_digest((text or "").encode("utf-8", "surrogatepass"), 42), "big", signed=True)
+
+
 #: Shingles of a chunk whose pairs are all confirmed, in expectation: what two such chunks hold bounds a task's memory.
 MOST_SHINGLES = 1 << 20
 
@@ -311,35 +318,38 @@ def _join_parts(radius: int, similarity: float):
 def drop_near_copies(docs: DataFrame, how: Thinning = Thinning(), chunk: int = CHUNK) -> DataFrame:
     """Of each group of near copies the row with the smallest doc_id; docs' columns.
 
-    Documents whose sets of shingles are equal are copies. Others are linked by fingerprints within the radius and sizes that allow the
-    similarity, and by a Jaccard similarity of the shingles themselves (as 32-bit hashes) that reaches it; groups are what those links join.
-    First the nearest links by fingerprints that hold a group together are confirmed. Where all are, all other pairs are joined, too; where
-    one isn't, all pairs of that group whose ends aren't joined yet are confirmed, chunk by chunk. Texts without words are copies of each other. Repeated rows count as copies. Rows with a null
-    doc_id can't be named and stay.
+    Documents whose sets of shingles are equal (by a digest of 64 bits) are copies and one node. Others are linked by fingerprints within the
+    radius and sizes that allow the similarity, and by a Jaccard similarity of the shingles themselves (as 32-bit hashes) that reaches it;
+    groups are what those links join. First the nearest links by fingerprints that hold a group together are confirmed. Where all are, all
+    other pairs are joined, too; where one isn't, all pairs of that group whose ends aren't joined yet are confirmed, chunk by chunk. Texts
+    without words are copies of each other. A row is known by its id and its text, so ids that stand on several texts lose nothing; where rows
+    of one id are in a group, the text with the smallest hash stays. Repeated rows count as copies. Rows with a null doc_id can't be named
+    and stay.
     """
-    out = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("size", pa.int64()), ("digest", pa.int64())])
-    named = docs.where(F.col("doc_id").isNotNull())
-    rows = checkpointed(named.select("doc_id", "text").mapInArrow(per_row(["doc_id", "text"], out, _sketches(how.words)), spark_schema(out)))
+    out = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.binary()), ("size", pa.int64()), ("node", pa.int64())])
+    named = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    rows = checkpointed(named.mapInArrow(per_row(["doc_id", "text"], out, _sketches(how.words)), spark_schema(out)))
     # sizes that allow the similarity are in the same or in neighbouring buckets
     bucket = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / F.log(F.lit(1 / how.similarity)) + F.lit(1e-9)).cast("int")
     bits = F.length(F.translate(F.conv(F.hex(F.substring("fp", 1, 8)), 16, 2), "0", "")) + F.length(F.translate(F.conv(F.hex(F.substring("fp", 9, 8)), 16, 2), "0", ""))
-    classes = rows.groupBy("digest", "size").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"))
-    nodes = classes.select("node", "fp", "size").where("size > 0").dropDuplicates(["node"])
-    nodes = nodes.select("node", "fp", "size", F.array(bucket, F.floor(bits / F.lit(how.radius + 1)).cast("int")).alias("tile"))
-    nodes = checkpointed(nodes)
+    classes = checkpointed(rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("fp").alias("fp"), F.first("size").alias("size")))
+    tile = F.array(bucket, F.floor(bits / F.lit(how.radius + 1)).cast("int"))
+    nodes = classes.where("size > 0").select("node", "fp", "size", tile.alias("tile"))
     edges = checkpointed(links(nodes, how.radius, half(itertools.product((-1, 0, 1), repeat=2)), chunk))
-    linked = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())])
+    sets = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
 
     def shingles():
-        return lambda doc_id, text: (doc_id, np.unique(shingle_hashes(text, how.words, 42).astype(np.uint32)).tobytes())
+        def row(node, text):
+            return node, np.unique(shingle_hashes(text, how.words, 42).astype(np.uint32)).tobytes()
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        have = named.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(per_row(["doc_id", "text"], sets, shingles), spark_schema(sets))
-        return have.dropDuplicates(["doc_id"])
+        return row
 
-    have = sets_of(linked)
-    both = edges.join(have.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")), "a").join(have.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b")), "b")
+    # from the text of a class' first row, once, and read three times below
+    linked = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = classes.join(linked, "node", "left_semi").select("node", "first.doc_id", "first.text_hash")
+    have = named.join(wanted, "doc_id").where(F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("text_hash"))
+    have = checkpointed(have.select("node", "text").mapInArrow(per_row(["node", "text"], sets, shingles), spark_schema(sets)).dropDuplicates(["node"]))
+    both = edges.join(have.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(have.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
     pair = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
 
     def jaccard():
@@ -353,19 +363,20 @@ def drop_near_copies(docs: DataFrame, how: Thinning = Thinning(), chunk: int = C
     checked = checkpointed(both.mapInArrow(per_row(["a", "b", "of_a", "of_b"], pair, jaccard), spark_schema(pair)))
     confirmed, failed = checked.where(F.col("similarity") >= how.similarity).select("a", "b"), checked.where(F.col("similarity") < how.similarity)
     groups = components(edges)
-    broken = groups.join(failed.select(F.col("a").alias("node")), "node", "left_semi").select("root").distinct()
+    broken = groups.join(failed.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select("root").distinct()
     parts = components(confirmed).withColumnRenamed("root", "part")
     members = groups.join(broken, "root", "left_semi").join(parts, "node", "left").join(nodes.select("node", "fp", "size"), "node")
     members = checkpointed(members.select("node", "root", F.coalesce("part", "node").alias("part"), "fp", "size"))
     chunks = members.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(float(chunk)), F.sum("size") / F.lit(float(MOST_SHINGLES)))).cast("int").alias("chunks"))
     dealt = members.join(chunks, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    dealt = dealt.join(sets_of(members.select(F.col("node").alias("doc_id"))).withColumnRenamed("doc_id", "node"), "node")
+    dealt = dealt.join(have, "node")
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     met = dealt.groupBy("root", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi")).agg(F.collect_list(F.struct("node", "part", "chunk", "fp", "shingles")).alias("members"))
     run, schema = _join_parts(how.radius, how.similarity)
     roots = components(confirmed.unionByName(met.select("lo", "hi", "members").mapInArrow(run, schema)))
-    stay = classes.select("node").join(roots.where("node <> root").select("node"), "node", "left_anti").select(F.col("node").alias("q_stays")).distinct()
-    # with its copies, an id that stays could stand on rows of other texts; those have a class of their own, and the same id
-    kept = docs.join(stay, F.col("doc_id") == F.col("q_stays"), "left_semi").withColumn("q_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    kept = kept.dropDuplicates(["doc_id", "q_hash"]).select(*docs.columns)
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    grouped = classes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
+    stays, hashed = unused("q_stays", docs), unused("q_hash", docs)
+    stay = grouped.select(F.col("first.doc_id").alias(stays), F.col("first.text_hash").alias(hashed))
+    text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    kept = docs.join(stay, (F.col("doc_id") == F.col(stays)) & (text_hash == F.col(hashed)), "left_semi").withColumn(hashed, text_hash)
+    return kept.dropDuplicates(["doc_id", hashed]).select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
