@@ -19,6 +19,10 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from touchline.llm.common import checkpointed, spread_join
+
+#: Rules that are broadcast.
+MOST_RULES = 100_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLOCK, ALLOW = "block", "allow"
 #: (verdict, host, path)
@@ -88,9 +92,17 @@ def judge_urls(pages: DataFrame, labels: DataFrame, settings: Settings = Setting
     rows = pages.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"), tokens_of(url).alias("u_tokens"))
     rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("u_verdict"), "u_tokens").withColumn("u_row", F.monotonically_increasing_id())
     asked = F.when(F.col("u_verdict").isNull(), F.col("u_tokens"))  # only where no fixed rule decides
-    met = rows.select("*", F.explode_outer(asked).alias("u_anchor")).join(mine(pages, labels, settings), "u_anchor", "left")
+    met = rows.select("*", F.explode_outer(asked).alias("u_anchor"))
+    index = checkpointed(mine(pages, labels, settings).groupBy("u_anchor").agg(F.collect_list(F.struct("u_rule", "u_confidence")).alias("u_rules")))
+    # anchors are frequent tokens, so the support bounds them by tokens of a page / min_support; beyond MOST_RULES the index is joined by shuffle
+    if (index.agg(F.sum(F.size("u_rules"))).first()[0] or 0) <= MOST_RULES:
+        met = met.join(F.broadcast(index), "u_anchor", "left")
+    else:
+        met = spread_join(met, index, "u_anchor", "u_row", "left")
+    met = met.select("*", F.explode_outer("u_rules").alias("u_found")).select("*", "u_found.*")
     fits = F.size(F.array_except("u_rule", "u_tokens")) == 0
     own = ["page_id", "host", "path", "rule", "u_verdict"]
+    # the rows of a page lie together, so they shrink to one before they are shuffled
     found = met.groupBy("u_row").agg(*(F.first(c).alias(c) for c in own), F.max(F.when(fits, F.col("u_confidence"))).alias("mined_confidence"))
     mined = F.when(F.col("mined_confidence").isNotNull(), BLOCK).otherwise(ALLOW)
     return found.select("page_id", "host", "path", "rule", F.coalesce("u_verdict", mined).alias("verdict"), "mined_confidence")
