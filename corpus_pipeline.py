@@ -9,13 +9,12 @@ packing    tokenise and pack into training sequences (operator 2)
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from touchline.llm import langid, packing, pii, quality, simhash
-from touchline.llm.common import read_table
+from touchline.llm.common import read_table, shared_folder
 from touchline.llm.queries import TOKENIZER
 
 
@@ -46,11 +45,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. What a stage returns is written to the folder that the cluster shares, and read again by the next."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over documents. What a stage returns is written to the folder that the cluster shares, and read again by the next one; once a stage
+    is written, what it read is removed."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(f"{folder}/{name}"), f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
