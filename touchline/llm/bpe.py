@@ -42,14 +42,27 @@ CACHED = 64 << 20
 BLANK = re.compile("[ \t\n\r]")
 
 
-#: Numbers that aren't decimal digits; re takes them for letters.
-NUMBERS = frozenset(c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) in ("No", "Nl"))
-
-
-def word_pattern(pattern: str, numbers: str = "") -> re.Pattern:
-    r"""The tokenizer file's pattern for re, which lacks \p{L} and \p{N}. numbers: those of NUMBERS that the text may hold. The four separators
-    that Python's \s has beyond the tokenizer's count as other characters."""
-    known = {r"[\p{L}]+": rf"[^\W\d_{numbers}]+", r"[\p{N}]": rf"[\d{numbers}]", r"[^\s\p{L}\p{N}]+": r"(?:[^\s\w]|[_\x1c-\x1f])+"}
+# Letters and numbers of Unicode 16, as ranges, which the tokenizers library knows and Python's tables don't yet.
+YOUNG_NUMBERS = "\U00010d40-\U00010d49\U000116d0-\U000116e3\U00011bf0-\U00011bf9\U00016130-\U00016139\U00016d70-\U00016d79\U0001ccf0-\U0001ccf9\U0001e5f1-\U0001e5fa"
+YOUNG_LETTERS = (
+    "\u1c89-\u1c8a\ua7cb-\ua7cd\ua7da-\ua7dc\U000105c0-\U000105f3\U00010d4a-\U00010d65\U00010d6f-\U00010d85\U00010ec2-\U00010ec4\U00011380-\U00011389"
+    "\U0001138b\U0001138e\U00011390-\U000113b5\U000113b7\U000113d1\U000113d3\U00011bc0-\U00011be0\U00013460-\U000143fa\U00016100-\U0001611d"
+    "\U00016d40-\U00016d6c\U00018cff\U0001e5d0-\U0001e5ed\U0001e5f0"
+)
+_ALL = "".join(map(chr, (*range(128, 0xD800), *range(0xE000, sys.maxunicode + 1))))
+#: Numbers that aren't decimal digits, which re takes for letters.
+NUMBERS = "".join(c for c in _ALL if unicodedata.category(c) in ("No", "Nl"))
+RARE = frozenset(NUMBERS) | frozenset(re.findall(f"[{YOUNG_NUMBERS}{YOUNG_LETTERS}]", _ALL))
+
+
+def word_pattern(pattern: str, rare: bool = False) -> re.Pattern:
+    r"""The tokenizer file's pattern for re, which lacks \p{L} and \p{N}; slower if the text may have RARE characters. The four separators that
+    Python's \s has beyond the tokenizer's count as other characters."""
+    letter, number, other = r"[^\W\d_]+", r"\d", r"(?:[^\s\w]|[_\x1c-\x1f])+"
+    if rare:
+        young = YOUNG_LETTERS + YOUNG_NUMBERS
+        letter, number, other = rf"(?:[^\W\d_{NUMBERS}{YOUNG_NUMBERS}]|[{YOUNG_LETTERS}])+", rf"[\d{NUMBERS}{YOUNG_NUMBERS}]", rf"(?:[^\s\w{young}]|[_\x1c-\x1f])+"
+    known = {r"[\p{L}]+": letter, r"[\p{N}]": number, r"[^\s\p{L}\p{N}]+": other}
     parts = pattern.split("|")
     if any("\\" in p and p not in known for p in parts):
         raise ValueError(f"an unknown pattern of words: {pattern}")
@@ -72,7 +85,7 @@ class Words:
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         pattern = next(p for p in file["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
-        self.word_pattern, self.with_numbers = word_pattern(pattern), word_pattern(pattern, "".join(sorted(NUMBERS)))  # the latter is slow
+        self.word_pattern, self.rare_pattern = word_pattern(pattern), word_pattern(pattern, True)
         self.alphabet = byte_alphabet()
         self.learn(file["model"])
 
@@ -82,7 +95,7 @@ class Words:
     def words(self, text: str) -> list[str]:
         """The words of a text without special tokens."""
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # letter by letter: no final sigma
-        return (self.word_pattern if text.isascii() or NUMBERS.isdisjoint(set(text)) else self.with_numbers).findall(text)
+        return (self.word_pattern if text.isascii() or RARE.isdisjoint(set(text)) else self.rare_pattern).findall(text)
 
     def symbols(self, word: str) -> str:
         """A word's bytes, as characters of the byte alphabet."""
