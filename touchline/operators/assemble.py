@@ -306,9 +306,9 @@ def goal_start(goals: DataFrame, signals: DataFrame, cfg: Settings = DEFAULTS, g
 
 
 def preceding_foul(events: DataFrame, fouls: DataFrame, reach_ms: int = 15_000, least: float = 0.25) -> DataFrame:
-    """event_id, foul_id: the nearest foul before a penalty or card whose words overlap enough. events: asset_id, event_id, event_ms, event_words (array);
-    fouls: asset_id, foul_id, foul_ms, foul_words."""
-    pairs = T.range_join(events, fouls, ["asset_id"], F.greatest(F.lit(0), F.col("event_ms") - reach_ms), F.col("event_ms"), "foul_ms", 2 * reach_ms)
+    """event_id, foul_id: the nearest foul before a penalty or card whose words overlap enough. events: asset_id, run_id, event_id, event_ms, event_words (array);
+    fouls: asset_id, run_id, foul_id, foul_ms, foul_words."""
+    pairs = T.range_join(events, fouls, KEY, F.greatest(F.lit(0), F.col("event_ms") - reach_ms), F.col("event_ms"), "foul_ms", 2 * reach_ms)
     common = F.size(F.array_intersect("event_words", "foul_words")) / F.greatest(F.lit(1), F.least(F.size("event_words"), F.size("foul_words")))
     return T.nearest(pairs.where(common >= least), ["event_id"], F.struct(F.col("event_ms") - F.col("foul_ms"), "foul_id"), ["foul_id"])
 
@@ -347,20 +347,20 @@ def event_start(events: DataFrame, signals: DataFrame, gap_ms: int = 8000, lead_
 def replay_support(rejected: DataFrame, live: DataFrame, reach_ms: int = 120_000) -> DataFrame:
     """candidate_id, supports: the earlier live goal that each rejected goal with a replay cue is a replay of: the most alike, then the latest.
 
-    rejected: asset_id, candidate_id, trigger_ms, words; live: asset_id, live_id, live_ms, live_words.
+    rejected: asset_id, run_id, candidate_id, trigger_ms, words; live: asset_id, run_id, live_id, live_ms, live_words.
     """
-    pairs = T.range_join(rejected, live, ["asset_id"], F.greatest(F.lit(0), F.col("trigger_ms") - reach_ms), F.col("trigger_ms") - 1, "live_ms", reach_ms)
+    pairs = T.range_join(rejected, live, KEY, F.greatest(F.lit(0), F.col("trigger_ms") - reach_ms), F.col("trigger_ms") - 1, "live_ms", reach_ms)
     union = F.greatest(F.lit(1), F.size(F.array_union("words", "live_words")))
     alike = F.size(F.array_intersect("words", "live_words")) / union
     return T.nearest(pairs, ["candidate_id"], F.struct(-alike, -F.col("live_ms"), "live_id"), ["live_id"]).withColumnRenamed("live_id", "supports")
 
 
 def confirm_replayed_goals(cues: DataFrame, attacks: DataFrame, fences: DataFrame, reach_ms: int = 120_000) -> DataFrame:
-    """cue_id, attack_id: the attack that a replay with scoring words (asset_id, cue_id, cue_ms) shows: the latest before it, with no fence (asset_id, ts_ms: a
-    score, an injury, another goal) between. attacks: asset_id, attack_id, attack_ms. Each attack confirms one goal, that of its first cue."""
-    marks = fences.select("asset_id", F.col("ts_ms").alias("f_ms")).distinct()
-    left = T.fence_counts(cues, marks, ["asset_id"], "cue_ms", "f_ms", True, "before")
-    right = T.fence_counts(attacks, marks, ["asset_id"], "attack_ms", "f_ms", False, "up_to")
-    pairs = T.range_join(left, right, ["asset_id"], F.greatest(F.lit(0), F.col("cue_ms") - reach_ms), F.col("cue_ms") - 1, "attack_ms", reach_ms).where(F.col("before") == F.col("up_to"))
+    """cue_id, attack_id: the attack that a replay with scoring words (asset_id, run_id, cue_id, cue_ms) shows: the latest before it, with no fence (asset_id, run_id, ts_ms: a
+    score, an injury, another goal) between. attacks: asset_id, run_id, attack_id, attack_ms. Each attack confirms one goal, that of its first cue."""
+    marks = fences.select(*KEY, F.col("ts_ms").alias("f_ms")).distinct()
+    left = T.fence_counts(cues, marks, KEY, "cue_ms", "f_ms", True, "before")
+    right = T.fence_counts(attacks, marks, KEY, "attack_ms", "f_ms", False, "up_to")
+    pairs = T.range_join(left, right, KEY, F.greatest(F.lit(0), F.col("cue_ms") - reach_ms), F.col("cue_ms") - 1, "attack_ms", reach_ms).where(F.col("before") == F.col("up_to"))
     best = T.nearest(pairs, ["cue_id", "cue_ms"], F.struct(-F.col("attack_ms"), "attack_id"), ["attack_id"])
     return best.groupBy("attack_id").agg(F.min_by("cue_id", F.struct("cue_ms", "cue_id")).alias("cue_id"))

@@ -151,7 +151,6 @@ def audio_rules(windows: DataFrame) -> DataFrame:
         "PEAK_BELOW_MEAN": F.col("peak_dbfs") < F.col("dbfs"),
         "RATIO_RANGE": ~F.col("voiced_frame_ratio").between(0, 1) | ~F.col("zero_crossing_rate").between(0, 1),
         "NEGATIVE_PITCH": (F.col("median_pitch_hz") < 0) | (F.col("pitch_variance_hz") < 0),
-        "LOUD": F.col("dbfs") > -5,
     }
     return violations(windows.withColumn("before_ms", before), ["asset_id", "ts_ms"], rules)
 

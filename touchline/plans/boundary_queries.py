@@ -32,12 +32,12 @@ def e10(t: Tables):
     return E.goal_start(goals_of(t), t("signals"))
 
 
-@query("j13_preceding_foul", needs=("candidates",), sql=r""", w as (select candidate_id, asset_id, trigger_ms, event_type, list_distinct(regexp_extract_all(lower(context), '[\p{L}\p{N}]+')) as w from candidates where run_id = 0),
-p as (select a.candidate_id as event_id, b.candidate_id as foul_id, row_number() over (partition by a.candidate_id order by a.trigger_ms - b.trigger_ms, b.candidate_id) as k from w a join w b on a.asset_id = b.asset_id and a.event_type = 'GOAL' and b.event_type = 'ATTACK' and b.trigger_ms between greatest(0, a.trigger_ms - 15000) and a.trigger_ms
+@query("j13_preceding_foul", needs=("candidates",), sql=r""", w as (select candidate_id, asset_id, run_id, trigger_ms, event_type, list_distinct(regexp_extract_all(lower(context), '[\p{L}\p{N}]+')) as w from candidates),
+p as (select a.candidate_id as event_id, b.candidate_id as foul_id, row_number() over (partition by a.candidate_id order by a.trigger_ms - b.trigger_ms, b.candidate_id) as k from w a join w b on a.asset_id = b.asset_id and a.run_id = b.run_id and a.event_type = 'GOAL' and b.event_type = 'ATTACK' and b.trigger_ms between greatest(0, a.trigger_ms - 15000) and a.trigger_ms
   and len(list_intersect(a.w, b.w)) / greatest(1, least(len(a.w), len(b.w))) >= 0.6e0) select event_id, foul_id from p where k = 1""")
 def j13(t: Tables):
-    rows = t("candidates").where("run_id = 0").withColumn("words", X.token_set(F.col("context"), "raw"))
-    side = lambda kind, p: rows.where(F.col("event_type") == kind).select("asset_id", F.col("candidate_id").alias(f"{p}_id"), F.col("trigger_ms").alias(f"{p}_ms"), F.col("words").alias(f"{p}_words"))
+    rows = t("candidates").withColumn("words", X.token_set(F.col("context"), "raw"))
+    side = lambda kind, p: rows.where(F.col("event_type") == kind).select("asset_id", "run_id", F.col("candidate_id").alias(f"{p}_id"), F.col("trigger_ms").alias(f"{p}_ms"), F.col("words").alias(f"{p}_words"))
     return E.preceding_foul(side("GOAL", "event"), side("ATTACK", "foul"), least=0.6)
 
 
@@ -103,27 +103,27 @@ def x21(t: Tables):
     return t("candidates").select("candidate_id", R.clip_category(F.col("event_type")).alias("category"))
 
 
-@query("e11_event_start", needs=("candidates", "signals"), sql=""", ev as (select * from candidates where event_type <> 'GOAL' and run_id = 1), n as (select candidate_id, trigger_ms, g.ts_ms, coalesce(lag(g.ts_ms) over (partition by candidate_id order by g.ts_ms desc), trigger_ms) - g.ts_ms > 8000 as far from ev join signals g on g.asset_id = ev.asset_id and g.run_id = ev.run_id
+@query("e11_event_start", needs=("candidates", "signals"), sql=""", ev as (select * from candidates where event_type <> 'GOAL'), n as (select candidate_id, trigger_ms, g.ts_ms, coalesce(lag(g.ts_ms) over (partition by candidate_id order by g.ts_ms desc), trigger_ms) - g.ts_ms > 8000 as far from ev join signals g on g.asset_id = ev.asset_id and g.run_id = ev.run_id
   and g.signal_type = 'ATTACK_BUILDUP' and g.ts_ms between greatest(0, trigger_ms - 45000) and trigger_ms), b as (select *, max(far::int) over (partition by candidate_id order by ts_ms desc rows unbounded preceding) as k from n), c as (select candidate_id, min(ts_ms) as e from b where k = 0 group by 1)
 select candidate_id, greatest(0, coalesce(e, trigger_ms - 5000)) as start_ms, case when e is not null then 'CONNECTED_BUILDUP' else 'PADDING' end as reason from ev left join c using (candidate_id)""")
 def e11(t: Tables):
-    events = t("candidates").where("event_type <> 'GOAL' and run_id = 1").select("asset_id", "run_id", "candidate_id", "trigger_ms")
+    events = t("candidates").where("event_type <> 'GOAL'").select("asset_id", "run_id", "candidate_id", "trigger_ms")
     return E.event_start(events, t("signals"))
 
 
-@query("m5_replay_support", needs=("candidates",), sql=r""", w as (select candidate_id, asset_id, trigger_ms, status, list_distinct(regexp_extract_all(lower(context), '[\p{L}\p{N}]+')) as w from candidates where event_type = 'GOAL' and run_id = 0),
-p as (select a.candidate_id, b.candidate_id as live, row_number() over (partition by a.candidate_id order by len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) desc, b.trigger_ms desc, b.candidate_id) as k from w a join w b on a.asset_id = b.asset_id and a.status = 'REJECTED' and b.status = 'DETECTED'
+@query("m5_replay_support", needs=("candidates",), sql=r""", w as (select candidate_id, asset_id, run_id, trigger_ms, status, list_distinct(regexp_extract_all(lower(context), '[\p{L}\p{N}]+')) as w from candidates where event_type = 'GOAL'),
+p as (select a.candidate_id, b.candidate_id as live, row_number() over (partition by a.candidate_id order by len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) desc, b.trigger_ms desc, b.candidate_id) as k from w a join w b on a.asset_id = b.asset_id and a.run_id = b.run_id and a.status = 'REJECTED' and b.status = 'DETECTED'
   and b.trigger_ms between greatest(0, a.trigger_ms - 120000) and a.trigger_ms - 1) select candidate_id, live as supports from p where k = 1""")
 def m5(t: Tables):
-    rows = t("candidates").where("event_type = 'GOAL' and run_id = 0").withColumn("words", X.token_set(F.col("context"), "raw"))
-    live = rows.where("status = 'DETECTED'").select("asset_id", F.col("candidate_id").alias("live_id"), F.col("trigger_ms").alias("live_ms"), F.col("words").alias("live_words"))
-    return E.replay_support(rows.where("status = 'REJECTED'").select("asset_id", "candidate_id", "trigger_ms", "words"), live)
+    rows = t("candidates").where("event_type = 'GOAL'").withColumn("words", X.token_set(F.col("context"), "raw"))
+    live = rows.where("status = 'DETECTED'").select("asset_id", "run_id", F.col("candidate_id").alias("live_id"), F.col("trigger_ms").alias("live_ms"), F.col("words").alias("live_words"))
+    return E.replay_support(rows.where("status = 'REJECTED'").select("asset_id", "run_id", "candidate_id", "trigger_ms", "words"), live)
 
 
-@query("e3_replayed_goals", needs=("signals",), sql=""", cu as (select asset_id, id as cue_id, ts_ms as cue_ms from signals where signal_type = 'REPLAY_CONTEXT' and run_id = 0), at_ as (select asset_id, id as attack_id, ts_ms as attack_ms from signals where signal_type = 'ATTACK_BUILDUP' and run_id = 0),
-fe as (select distinct asset_id, ts_ms as f from signals where event_type = 'GOAL' and run_id = 0), p as (select cu.*, attack_id, row_number() over (partition by cue_id order by attack_ms desc, attack_id) as k from cu join at_ using (asset_id) where attack_ms between greatest(0, cue_ms - 120000) and cue_ms - 1
-  and not exists (select 1 from fe where fe.asset_id = cu.asset_id and f > attack_ms and f < cue_ms)) select attack_id, arg_min(cue_id, cue_ms * 1000000 + cue_id) as cue_id from p where k = 1 group by attack_id""")
+@query("e3_replayed_goals", needs=("signals",), sql=""", cu as (select asset_id, run_id, id as cue_id, ts_ms as cue_ms from signals where signal_type = 'REPLAY_CONTEXT'), at_ as (select asset_id, run_id, id as attack_id, ts_ms as attack_ms from signals where signal_type = 'ATTACK_BUILDUP'),
+fe as (select distinct asset_id, run_id, ts_ms as f from signals where event_type = 'GOAL'), p as (select cu.*, attack_id, row_number() over (partition by cue_id order by attack_ms desc, attack_id) as k from cu join at_ using (asset_id, run_id) where attack_ms between greatest(0, cue_ms - 120000) and cue_ms - 1
+  and not exists (select 1 from fe where fe.asset_id = cu.asset_id and fe.run_id = cu.run_id and f > attack_ms and f < cue_ms)) select attack_id, arg_min(cue_id, cue_ms * 1000000 + cue_id) as cue_id from p where k = 1 group by attack_id""")
 def e3(t: Tables):
-    s = t("signals").where("run_id = 0")
-    pick = lambda test, p: s.where(test).select("asset_id", F.col("id").alias(f"{p}_id"), F.col("ts_ms").alias(f"{p}_ms"))
-    return E.confirm_replayed_goals(pick("signal_type = 'REPLAY_CONTEXT'", "cue"), pick("signal_type = 'ATTACK_BUILDUP'", "attack"), s.where("event_type = 'GOAL'").select("asset_id", "ts_ms"))
+    s = t("signals")
+    pick = lambda test, p: s.where(test).select("asset_id", "run_id", F.col("id").alias(f"{p}_id"), F.col("ts_ms").alias(f"{p}_ms"))
+    return E.confirm_replayed_goals(pick("signal_type = 'REPLAY_CONTEXT'", "cue"), pick("signal_type = 'ATTACK_BUILDUP'", "attack"), s.where("event_type = 'GOAL'").select("asset_id", "run_id", "ts_ms"))

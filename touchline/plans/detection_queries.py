@@ -109,9 +109,9 @@ def j7(t: Tables):
     return P.local_context(t("segments")).select("asset_id", "seq", "context")
 
 
-@query("j8_window_context", needs=("candidates", "segments"), sql="""select candidate_id, string_agg(text, ' ' order by s.start_ms, s.seq)[1:6000] as context from candidates c join segments s on s.asset_id = c.asset_id and s.start_ms < c.end_ms and s.end_ms > c.start_ms where c.run_id = 0 group by candidate_id""")
+@query("j8_window_context", needs=("candidates", "segments"), sql="""select candidate_id, string_agg(text, ' ' order by s.start_ms, s.seq)[1:6000] as context from candidates c join segments s on s.asset_id = c.asset_id and s.start_ms < c.end_ms and s.end_ms > c.start_ms group by candidate_id""")
 def j8(t: Tables):
-    windows = t("candidates").where("run_id = 0").select("candidate_id", "asset_id", "start_ms", "end_ms")
+    windows = t("candidates").select("candidate_id", "asset_id", "start_ms", "end_ms")
     return P.window_context(windows, t("segments"), ["candidate_id"])
 
 
@@ -289,13 +289,13 @@ def e12(t: Tables):
     return E.event_end(t("candidates"), t("signals"))
 
 
-@query("w17_back_chain", needs=("signals",), sql=""", g as (select id, asset_id, ts_ms as a from signals where event_type = 'GOAL' and run_id = 0), x as (select g.id, g.a, s.ts_ms, coalesce(lag(s.ts_ms) over (partition by g.id order by s.ts_ms desc), g.a) - s.ts_ms > 4000 as far from g join signals s on s.asset_id = g.asset_id
+@query("w17_back_chain", needs=("signals",), sql=""", g as (select id, asset_id, run_id, ts_ms as a from signals where event_type = 'GOAL'), x as (select g.id, g.a, s.ts_ms, coalesce(lag(s.ts_ms) over (partition by g.id order by s.ts_ms desc), g.a) - s.ts_ms > 4000 as far from g join signals s on s.asset_id = g.asset_id and s.run_id = g.run_id
   and s.signal_type = 'ATTACK_BUILDUP' and s.ts_ms between g.a - 45000 and g.a), y as (select *, max(far::int) over (partition by id order by ts_ms desc rows unbounded preceding) as b from x)
 select id, min(ts_ms) as earliest from y where b = 0 group by id""")
 def w17(t: Tables):
-    goals = t("signals").where("event_type = 'GOAL' and run_id = 0").select("id", "asset_id", F.col("ts_ms").alias("goal_ms"))
-    cues = t("signals").where("signal_type = 'ATTACK_BUILDUP'").select("asset_id", "ts_ms")
-    near = T.range_join(goals, cues, ["asset_id"], F.col("goal_ms") - 45_000, F.col("goal_ms"), "ts_ms", 45_000)
+    goals = t("signals").where("event_type = 'GOAL'").select("id", "asset_id", "run_id", F.col("ts_ms").alias("goal_ms"))
+    cues = t("signals").where("signal_type = 'ATTACK_BUILDUP'").select("asset_id", "run_id", "ts_ms")
+    near = T.range_join(goals, cues, ["asset_id", "run_id"], F.col("goal_ms") - 45_000, F.col("goal_ms"), "ts_ms", 45_000)
     return S.back_chain(near, ["id"], "goal_ms", "ts_ms", 4000).select("id", "earliest")
 
 

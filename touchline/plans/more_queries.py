@@ -120,7 +120,7 @@ def k2(t: Tables):
 
 CUE = f""", n as (select asset_id, seq, start_ms, end_ms, {NORM} as norm from segments), w as (select *, lead(start_ms) over o as s1, lead(norm) over o as t1, lead(start_ms, 2) over o as s2, lead(norm, 2) over o as t2, max(end_ms) over (partition by asset_id) as last_ms from n window o as (partition by asset_id order by start_ms, seq)),
 x as (select *, concat_ws(' ', norm, case when s1 - start_ms < 12000 then t1 end, case when s1 - start_ms < 6000 and s2 - start_ms < 12000 then t2 end) as words from w), cue as (select asset_id, start_ms as cue_ms, last_ms from x where (contains(words, 'with') or contains(words, 'dans')) and (contains(words, 'the') or contains(words, 'les'))),
-gl as (select asset_id, asset_id * 1000 + min(seq) as goal_id, min(start_ms) as goal_ms from n where asset_id % 5 = 0 group by asset_id), f as (select goal_id, cue_ms, last_ms from gl join cue using (asset_id) where cue_ms between goal_ms + 5000 and goal_ms + 300000)
+gl as (select asset_id, asset_id * 1000 + min(seq) as goal_id, min(start_ms) as goal_ms from n group by asset_id), f as (select goal_id, cue_ms, last_ms from gl join cue using (asset_id) where cue_ms between goal_ms + 5000 and goal_ms + 300000)
 """
 
 
@@ -128,7 +128,7 @@ gl as (select asset_id, asset_id * 1000 + min(seq) as goal_id, min(start_ms) as
 select goal_id, cue_ms, greatest(0, cue_ms - 8000) as from_ms, least(last_ms, cue_ms + 25000) as to_ms from thin""")
 def d9(t: Tables):
     s = t("segments")
-    goals = s.where("asset_id % 5 = 0").groupBy("asset_id").agg((F.col("asset_id") * 1000 + F.min("seq")).alias("goal_id"), F.min("start_ms").alias("goal_ms"))
+    goals = s.groupBy("asset_id").agg((F.col("asset_id") * 1000 + F.min("seq")).alias("goal_id"), F.min("start_ms").alias("goal_ms"))
     return P.goal_replay_cues(goals, s, ("with", "dans"), ("the", "les"))
 
 
@@ -179,13 +179,13 @@ def a10(t: Tables):
     return D.pitch_features(waves)
 
 
-@query("d3_penalty_goals", needs=("signals",), sql=""", p as (select distinct asset_id, ts_ms from signals where event_type = 'SHOT' and id % 4 = 0), s2 as (select p.* from p where exists (select 1 from signals a where a.asset_id = p.asset_id and a.signal_type = 'ATTACK_BUILDUP' and a.ts_ms between p.ts_ms and p.ts_ms + 45000)
-  and exists (select 1 from signals a where a.asset_id = p.asset_id and a.signal_type = 'AUDIO_SPIKE' and a.ts_ms between p.ts_ms and p.ts_ms + 45000) and not exists (select 1 from signals a where a.asset_id = p.asset_id and a.signal_type = 'REPLAY_CONTEXT' and a.id % 3 = 0 and a.ts_ms between p.ts_ms and p.ts_ms + 45000)
-  and not exists (select 1 from signals a where a.asset_id = p.asset_id and a.event_type = 'GOAL' and a.id % 9 = 0 and a.ts_ms between p.ts_ms - 90000 and p.ts_ms + 90000)),
+@query("d3_penalty_goals", needs=("signals",), sql=""", p as (select distinct asset_id, ts_ms from signals where event_type = 'SHOT'), s2 as (select p.* from p where exists (select 1 from signals a where a.asset_id = p.asset_id and a.signal_type = 'ATTACK_BUILDUP' and a.ts_ms between p.ts_ms and p.ts_ms + 45000)
+  and exists (select 1 from signals a where a.asset_id = p.asset_id and a.signal_type = 'AUDIO_SPIKE' and a.ts_ms between p.ts_ms and p.ts_ms + 45000) and not exists (select 1 from signals a where a.asset_id = p.asset_id and a.signal_type = 'REPLAY_CONTEXT' and a.ts_ms between p.ts_ms and p.ts_ms + 45000)
+  and not exists (select 1 from signals a where a.asset_id = p.asset_id and a.event_type = 'GOAL' and a.ts_ms between p.ts_ms - 90000 and p.ts_ms + 90000)),
 thin as (with recursive kept as (select asset_id, min(ts_ms) as ts_ms from s2 group by asset_id union all select k.asset_id, min(s.ts_ms) from kept k join s2 s on s.asset_id = k.asset_id and s.ts_ms > k.ts_ms + 90000 group by k.asset_id, k.ts_ms) select * from kept) select asset_id, ts_ms from thin""")
 def d3(t: Tables):
     s = t("signals")
-    return P.penalty_goals(t("segments"), s.where("event_type = 'SHOT' and id % 4 = 0"), s.where("signal_type = 'ATTACK_BUILDUP'"), s.where("signal_type = 'AUDIO_SPIKE'"), s.where("signal_type = 'REPLAY_CONTEXT' and id % 3 = 0"), s.where("event_type = 'GOAL' and id % 9 = 0"))
+    return P.penalty_goals(t("segments"), s.where("event_type = 'SHOT'"), s.where("signal_type = 'ATTACK_BUILDUP'"), s.where("signal_type = 'AUDIO_SPIKE'"), s.where("signal_type = 'REPLAY_CONTEXT'"), s.where("event_type = 'GOAL'"))
 
 
 @query("w16_continuity", needs=("segments", "assets"), sql=""", p as (select asset_id as pair_id, asset_id, 1000 as a_ms, 20000 + asset_id % 5 * 10000 as b_ms from assets), n as (select p.*, s.start_ms, s.end_ms from p join segments s on s.asset_id = p.asset_id and s.start_ms < b_ms and s.end_ms > a_ms),

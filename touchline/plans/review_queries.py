@@ -32,9 +32,10 @@ def w1(t: Tables):
     return S.even_sample(inside, ["asset_id", "run_id"], ["ts_ms", "id"], 10).select("asset_id", "run_id", "id", "ts_ms", "signal_type")
 
 
-@query("s1_candidates_of_run", needs=("candidates",), sql="select candidate_id, score from candidates where run_id = 1 and asset_id in (3, 7, 12)")
+@query("s1_candidates_of_run", needs=("candidates",), sql="select candidate_id, score from candidates join (select asset_id, max(run_id) as run_id from candidates group by asset_id) using (asset_id, run_id)")
 def s1(t: Tables):
-    return t("candidates").where(F.col("asset_id").isin(3, 7, 12) & (F.col("run_id") == 1)).select("candidate_id", "score")
+    latest = t("candidates").groupBy("asset_id").agg(F.max("run_id").alias("run_id"))
+    return t("candidates").join(latest, ["asset_id", "run_id"], "left_semi").select("candidate_id", "score")
 
 
 @query("s3_upsert_reviews", needs=BOTH, sql=""", base as (select candidate_id, review_status, candidate_id as created_at, candidate_id as updated_at from reviews),
@@ -135,10 +136,10 @@ def f8(t: Tables):
 , w as (select *, lag(ts_ms) over (partition by asset_id order by ts_ms) as b from audio_windows)
 select asset_id, ts_ms, 'NOT_INCREASING' as rule from w where b >= ts_ms union all select asset_id, ts_ms, 'ABOVE_FULL_SCALE' from w where dbfs > 0 or peak_dbfs > 0
 union all select asset_id, ts_ms, 'PEAK_BELOW_MEAN' from w where peak_dbfs < dbfs
-union all select asset_id, ts_ms, 'RATIO_RANGE' from w where not voiced_frame_ratio between 0 and 1 or not zero_crossing_rate between 0 and 1
-union all select asset_id, ts_ms, 'NEGATIVE_PITCH' from w where median_pitch_hz < 0 or pitch_variance_hz < 0 union all select asset_id, ts_ms, 'LOUD' from w where dbfs > -5""")
+union all select asset_id, ts_ms, 'RATIO_RANGE' from w where not voiced_frame_ratio * 1.5e0 between 0 and 1 or not zero_crossing_rate between 0 and 1
+union all select asset_id, ts_ms, 'NEGATIVE_PITCH' from w where median_pitch_hz < 0 or pitch_variance_hz < 0""")
 def f9(t: Tables):
-    return R.audio_rules(t("audio_windows"))
+    return R.audio_rules(t("audio_windows").withColumn("voiced_frame_ratio", F.col("voiced_frame_ratio") * 1.5))
 
 
 @query("f10_review_violations", needs=("assets", *BOTH), sql=RV + """, r as (select rv.*, duration_ms from rv left join assets using (asset_id)), m as (select * from r where manual_start_ms is not null and manual_end_ms is not null)
