@@ -21,9 +21,11 @@ LED = ("ATTACK_BUILDUP", "AUDIO_ENERGY_RISE")
 
 
 def anchors(signals: DataFrame) -> DataFrame:
-    """One row for each event type and time that has an event-specific signal: anchor_id (the smallest signal), trigger_ms, direct confidence."""
+    """One row for each event type and time that has an event-specific signal: anchor_id (the smallest signal), trigger_ms, direct confidence, that of a
+    keyword (0 without one)."""
     own = signals.where("event_type is not null and signal_type like 'TRANSCRIPT%'")
-    return own.groupBy(*KEY, "event_type", F.col("ts_ms").alias("trigger_ms")).agg(F.min("id").alias("anchor_id"), F.max("confidence").alias("direct"))
+    keyword = F.coalesce(F.max(F.when(F.col("signal_type") == "TRANSCRIPT_KEYWORD", F.col("confidence"))), F.lit(0.0))
+    return own.groupBy(*KEY, "event_type", F.col("ts_ms").alias("trigger_ms")).agg(F.min("id").alias("anchor_id"), F.max("confidence").alias("direct"), keyword.alias("keyword"))
 
 
 def support_rule(cfg: Settings = DEFAULTS) -> Column:
@@ -65,12 +67,31 @@ def family_confidences(anchor: DataFrame, support: DataFrame, cfg: Settings = DE
         top(kind.isin(*PAST)).alias("replay"),
         top(kind.isin(*PAST, *NEGATIVE) & near & (F.col("ts_ms") <= F.col("trigger_ms")) & (F.col("confidence") >= cfg.replay_probability)).alias("negative"),
         F.count(F.lit(1)).alias("supporting"),
+        *(F.bool_or(test).alias(name) for name, test in goal_flags(cfg).items()),
     )
     names = ["audio", "textual", "speech_rate", "buildup", "replay", "negative", "supporting"]
-    out = anchor.join(found, ["anchor_id", "event_type"], "left").fillna(0, names)
+    out = anchor.join(found, ["anchor_id", "event_type"], "left").fillna(0, names).fillna(False, list(goal_flags(cfg)))
     return out.withColumn("negative", F.when(F.col("event_type") == "GOAL", F.col("negative")).otherwise(F.lit(0.0)))
 
 
+def goal_flags(cfg: Settings = DEFAULTS) -> dict[str, Column]:
+    """What single signals around a goal (signal_type, confidence, ts_ms, trigger_ms) say against it, or for it, by name."""
+    kind, before = F.col("signal_type"), F.col("trigger_ms") - F.col("ts_ms")
+    sure = (F.col("confidence") >= cfg.replay_probability) & (before >= 0)
+    near = sure & (before <= max(cfg.attach_ms, 3000))
+    return {
+        "replay_told": near & (kind == "REPLAY_CONTEXT"),
+        "negated": near & (kind == "NEGATION_CONTEXT"),
+        "corrected": near & (kind == "CORRECTION_CONTEXT"),
+        "historical": near & (kind == "HISTORICAL_REFERENCE"),
+        "looked_back": near & kind.isin("RETROSPECTIVE_CONTEXT", "HISTORICAL_REFERENCE"),
+        "replayed": sure & kind.isin(*PAST),
+        "injured": (kind == "INJURY_CONTEXT") & before.between(0, 90_000),
+        "restarted": (kind == "RESTART_CONTEXT") & before.between(1, 30_000),
+        "score_moved": (kind == "SCORE_STATE_TRANSITION") & (before <= 0),
+    }
+
+
 def score_candidates(df: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     """With live (probability), score and reaction. Doubles are rounded to the four places in which scores are kept."""
     replay = F.when((F.col("event_type") == "GOAL") & (F.col("replay") >= cfg.replay_probability), F.col("replay")).otherwise(F.lit(0.0))
@@ -100,14 +121,25 @@ def score_components(scored: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
 
 
 def rejection_reasons(scored: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
-    """With reasons (an array) and status: DETECTED if there is none."""
-    goal = F.col("event_type") == "GOAL"
+    """With reasons (an array) and status: DETECTED if there is none. A goal that a keyword names, with nothing said against it, needs no reaction and may be
+    looked back on."""
+    goal, again = F.col("event_type") == "GOAL", F.col("replay_used") > 0
+    named = goal & (F.col("negative") == 0) & (F.col("keyword") >= cfg.single_signal)
+    late = goal & again & F.col("restarted") & ~F.col("score_moved")
     needed = F.when(F.col("event_type") == "ATTACK", 0.62).otherwise(cfg.single_signal)
     tests = {
-        "REPLAY_OF_EXISTING_GOAL": F.col("replay_used") > 0,
-        "NEGATED_OR_PAST_REFERENCE": F.col("negative") > 0,
+        "REPLAY_OF_EXISTING_GOAL": again,
+        "REPLAY_COMMENTARY_REFERENCE": goal & F.col("replay_told"),
+        "NEGATED_GOAL_REFERENCE": goal & F.col("negated"),
+        "CORRECTED_GOAL_REFERENCE": goal & F.col("corrected"),
+        "HISTORICAL_GOAL_REFERENCE": goal & F.col("historical"),
+        "INJURY_THEN_REPLAY": again & F.col("replayed") & F.col("injured"),
+        "POST_RESTART": late,
+        "NO_NEW_SCORE_TRANSITION": late,
+        "RETROSPECTIVE_GOAL_REFERENCE": goal & F.col("looked_back") & ~named & ~F.col("score_moved"),
         "INSUFFICIENT_EVENT_SPECIFIC_EVIDENCE": F.col("direct") < needed,
-        "GOAL_WITHOUT_REACTION_CORROBORATION": goal & (F.col("reaction") < cfg.minimum_reaction),
+        "GOAL_WITHOUT_REACTION_CORROBORATION": goal & (F.col("reaction") < cfg.minimum_reaction) & ~named,
+        "ATTACK_WITHOUT_LOCAL_BUILDUP_AND_REACTION": (F.col("event_type") == "ATTACK") & ((F.col("buildup") < 0.70) | (F.col("audio") < 0.55)),
         "LOW_LIVE_EVENT_PROBABILITY": F.col("live") < cfg.minimum_live,
         "LOW_CANDIDATE_SCORE": F.col("score") < cfg.minimum_score,
     }
@@ -115,6 +147,14 @@ def rejection_reasons(scored: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     return scored.withColumn("reasons", reasons).withColumn("status", F.when(F.size("reasons") == 0, "DETECTED").otherwise("REJECTED"))
 
 
+def choose_trigger(signals: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and trigger_ms: the time of a candidate's surest event-specific signal (ts_ms, signal_type, event_type, confidence), of equals the earliest; that of
+    the first retrospective confirmation of its goal (confirms) goes before."""
+    own = signals.where("confirms or (event_type is not null and signal_type like 'TRANSCRIPT%')")
+    order = F.struct((~F.col("confirms")).cast("int"), F.when(F.col("confirms"), F.lit(0.0)).otherwise(-F.col("confidence")), "ts_ms")
+    return own.groupBy(*keys).agg(F.min_by("ts_ms", order).alias("trigger_ms"))
+
+
 def assemble(signals: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     """Candidates: anchors with their support, scored and judged, at most cfg.maximum_candidates an asset and run."""
     a = anchors(signals)

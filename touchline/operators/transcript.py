@@ -17,17 +17,17 @@ def normalized(segments: DataFrame) -> DataFrame:
     return segments.withColumns({"norm": X.normalize_text(F.col("text")), "lang": X.primary_language(F.col("language"))})
 
 
-def match_lexicon(segments: DataFrame, lexicon: DataFrame, max_words: int) -> DataFrame:
-    """Segments (with norm and lang) with each event_type and phrase of their language, or of "und", that they hold as whole words.
+def match_lexicon(segments: DataFrame, lexicon: DataFrame, max_words: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Segments (with norm, lang and the columns to carry) with each event_type and phrase of their language, or of "und", that they hold as whole words.
 
     Work follows the words of the text: n-grams of up to max_words words meet the lexicon by a hash join.
     """
     n_grams = f"""array_distinct(flatten(transform(sequence(1, {max_words}), n ->
         if(size(t_words) < n, cast(array() as array<string>), transform(sequence(1, size(t_words) - n + 1), i -> array_join(slice(t_words, i, n), ' '))))))"""
-    rows = segments.select(*KEY, "seq", "start_ms", "lang", X.tokens(F.col("norm")).alias("t_words"))
+    rows = segments.select(*KEY, "seq", "start_ms", *carry, "lang", X.tokens(F.col("norm")).alias("t_words"))
     # computed once a row, before the lambdas read it
-    rows = rows.where(F.size("t_words") > 0).select(*KEY, "seq", "start_ms", "lang", F.explode(F.expr(n_grams)).alias("phrase"))
-    return rows.join(lexicon.withColumnRenamed("lang", "of"), "phrase").where("of = lang or of = 'und'").select(*KEY, "seq", "start_ms", "event_type", "phrase").distinct()
+    rows = rows.where(F.size("t_words") > 0).select(*KEY, "seq", "start_ms", *carry, "lang", F.explode(F.expr(n_grams)).alias("phrase"))
+    return rows.join(lexicon.withColumnRenamed("lang", "of"), "phrase").where("of = lang or of = 'und'").select(*KEY, "seq", "start_ms", *carry, "event_type", "phrase").distinct()
 
 
 def event_base(event_type: Column) -> Column:
@@ -40,10 +40,9 @@ def detect_lexical(segments: DataFrame, lexicon: DataFrame, max_words: int = 5,
 
     Goals: texts about a season's goals don't count; the same phrases within suppress_ms of the last time (suppressed or not) don't either.
     """
-    texts = normalized(segments)
-    found = match_lexicon(texts, lexicon, max_words).groupBy(*KEY, "seq", "start_ms", "event_type").agg(F.slice(F.sort_array(F.collect_set("phrase")), 1, 3).alias("matches"))
-    goals = texts.select(*KEY, "seq", (~X.normalize_text(F.col("text")).rlike(X.SEASON_GOAL)).alias("scores"))
-    found = found.join(goals, [*KEY, "seq"]).where("event_type <> 'GOAL' or scores").withColumn("fingerprint", F.array_join("matches", "|"))
+    texts = normalized(segments).withColumn("scores", ~F.col("norm").rlike(X.SEASON_GOAL))
+    found = match_lexicon(texts, lexicon, max_words, ("scores",)).groupBy(*KEY, "seq", "start_ms", "event_type", "scores").agg(F.slice(F.sort_array(F.collect_set("phrase")), 1, 3).alias("matches"))
+    found = found.where("event_type <> 'GOAL' or scores").withColumn("fingerprint", F.array_join("matches", "|"))
     before = F.lag("start_ms").over(Window.partitionBy(*KEY, "event_type", "fingerprint").orderBy("start_ms", "seq"))
     found = found.withColumn("before_ms", before).where(f"event_type <> 'GOAL' or before_ms is null or start_ms - before_ms > {suppress_ms}")
     sure = F.least(F.lit(0.98), event_base(F.col("event_type")) + 0.07 * (F.size("matches") - 1))

@@ -41,7 +41,7 @@ def j13(t: Tables):
     return E.preceding_foul(side("GOAL", "event"), side("ATTACK", "foul"), least=0.6)
 
 
-@query("e13_final_signals", needs=("signals",), sql=ASSEMBLE + """, jd as (select anchor_id, event_type, ru, live, list_filter([case when ru > 0 then 'REPLAY_OF_EXISTING_GOAL' end, case when negative > 0 then 'NEGATED_OR_PAST_REFERENCE' end, case when direct < 0.8 then 'INSUFFICIENT_EVENT_SPECIFIC_EVIDENCE' end,
+@query("e13_final_signals", needs=("signals",), sql=ASSEMBLE + """, jd as (select anchor_id, event_type, ru, live, list_filter([case when ru > 0 then 'REPLAY_OF_EXISTING_GOAL' end, case when negative > 0 then 'REPLAY_COMMENTARY_REFERENCE' end, case when direct < 0.8 then 'INSUFFICIENT_EVENT_SPECIFIC_EVIDENCE' end,
   case when event_type = 'GOAL' and audio < 0.45 then 'GOAL_WITHOUT_REACTION_CORROBORATION' end, case when live < 0.55 then 'LOW_LIVE_EVENT_PROBABILITY' end, case when score < 0.52 then 'LOW_CANDIDATE_SCORE' end], lambda x : x is not null) as l from sc),
 ev as (select distinct anchor_id, event_type, signal_type, confidence from su union all select anchor_id, event_type, 'LIVE_EVENT_CONTEXT', live from jd union all select anchor_id, event_type, 'EVENT_ASSOCIATION', ru from jd where ru > 0 union all select anchor_id, event_type, 'REJECTION_REASON:' || unnest(l), 1 from jd)
 select anchor_id, event_type, signal_type, count(*) as n, round(max(confidence), 6) as top from ev group by all""")
@@ -66,15 +66,31 @@ def c2(t: Tables):
     return frames.unionByName(goals.select("candidate_id", F.lit("clip").alias("kind"), F.lit(0).alias("part"), F.col("start_ms").alias("ts_ms")))
 
 
-@query("x8_goal_calls", needs=("segments",), sql=f"select asset_id, seq from segments where regexp_matches({NORM}, '\\bg(?:o){{2,}}l+\\b') or regexp_matches({NORM}, '\\bre\\w*\\b.*\\bdans (?:ce|le)\\b')")
+def told(*openings: tuple[str, str]) -> str:
+    """SQL for both engines: segments whose text has, by their place, one of some openings and endings put around it; the last of each round has none."""
+    cases = " ".join(f"when {k} then '{a}' || text || '{b}'" for k, (a, b) in enumerate(openings))
+    return f"select asset_id, seq, case seq % {len(openings) + 1} {cases} else text end as text from segments"
+
+
+def with_openings(t: Tables, openings):
+    return t("segments").sparkSession.sql(told(*openings).replace("from segments", "from {segments}"), segments=t("segments")).withColumn("norm", X.normalize_text(F.col("text")))
+
+
+CALLS = (("Il ramène ", " dans le match"), ("GOOOOL! ", ""), ("On relance, une occasion ", " dans ce match"))
+
+
+@query("x8_goal_calls", needs=("segments",), sql=f""", told as ({told(*CALLS)}), n as (select asset_id, seq, {NORM} as norm from told)
+select asset_id, seq, regexp_matches(norm, '{X.ELONGATED_CALL}') as elongated, regexp_matches(norm, '{X.COMEBACK_CALL}') and not regexp_matches(norm, '{"|".join(X.COMEBACK_VETOES)}') as comeback from n""")
 def x8(t: Tables):
-    norm = X.normalize_text(F.col("text"))
-    return t("segments").where(norm.rlike(X.ELONGATED_CALL) | norm.rlike(r"\bre\w*\b.*\bdans (?:ce|le)\b")).select("asset_id", "seq")
+    return with_openings(t, CALLS).select("asset_id", "seq", F.col("norm").rlike(X.ELONGATED_CALL).alias("elongated"), X.comeback_goal(F.col("norm")).alias("comeback"))
+
+
+SEASONS = (("The first goal of the season: ", ""), ("Le premier but de saison, ", ""), ("A goal of the season ", ""))
 
 
-@query("x9_goal_vetoes", needs=("segments",), sql=f"select asset_id, seq, regexp_matches({NORM}, 'the score was|the scoreline|final score|and the|de la') as veto from segments")
+@query("x9_goal_vetoes", needs=("segments",), sql=f""", told as ({told(*SEASONS)}) select asset_id, seq, regexp_matches({NORM}, '{X.SEASON_GOAL}') as veto from told""")
 def x9(t: Tables):
-    return t("segments").select("asset_id", "seq", X.contains_any(X.normalize_text(F.col("text")), ("the score was", "the scoreline", "final score", "and the", "de la")).alias("veto"))
+    return with_openings(t, SEASONS).select("asset_id", "seq", F.col("norm").rlike(X.SEASON_GOAL).alias("veto"))
 
 
 @query("x11_parse_score_text", needs=("ocr_readings",), sql=r"""select asset_id, ts_ms, h::int as home, a::int as away from (select *, regexp_extract(x, '(\d{1,2})\s*[-–—:]\s*(\d{1,2})', 1) as h, regexp_extract(x, '(\d{1,2})\s*[-–—:]\s*(\d{1,2})', 2) as a from (select *, replace(raw_text, 'O ', '0 ') as x from ocr_readings)) where h <> '' and h::int <= 20 and a::int <= 20""")

@@ -269,13 +269,21 @@ def a12(t: Tables):
     return rows.groupBy("anchor_id", "event_type").agg(clamp.alias("clamp"), evidence.alias("evidence"))
 
 
-@query("e8_rejection_reasons", needs=("signals",), sql=ASSEMBLE + """, rr as (select anchor_id, event_type, list_filter([case when ru > 0 then 'REPLAY_OF_EXISTING_GOAL' end, case when negative > 0 then 'NEGATED_OR_PAST_REFERENCE' end, case when direct < 0.8 then 'INSUFFICIENT_EVENT_SPECIFIC_EVIDENCE' end,
+@query("e8_rejection_reasons", needs=("signals",), sql=ASSEMBLE + """, rr as (select anchor_id, event_type, list_filter([case when ru > 0 then 'REPLAY_OF_EXISTING_GOAL' end, case when negative > 0 then 'REPLAY_COMMENTARY_REFERENCE' end, case when direct < 0.8 then 'INSUFFICIENT_EVENT_SPECIFIC_EVIDENCE' end,
   case when event_type = 'GOAL' and audio < 0.45 then 'GOAL_WITHOUT_REACTION_CORROBORATION' end, case when live < 0.55 then 'LOW_LIVE_EVENT_PROBABILITY' end, case when score < 0.52 then 'LOW_CANDIDATE_SCORE' end], lambda x : x is not null) as l from sc)
 select anchor_id, event_type, array_to_string(l, ',') as reasons, case when len(l) = 0 then 'DETECTED' else 'REJECTED' end as status from rr""")
 def e8(t: Tables):
     return E.rejection_reasons(scored(t)).select("anchor_id", "event_type", F.array_join("reasons", ",").alias("reasons"), "status")
 
 
+@query("e4_triggers", needs=("candidates", "signals"), sql="""select candidate_id, arg_min(g.ts_ms, (-g.confidence, g.ts_ms)) as trigger_ms from candidates c join signals g on g.asset_id = c.asset_id and g.run_id = c.run_id
+  and g.ts_ms between c.start_ms and c.end_ms and g.event_type is not null group by candidate_id""")
+def e4(t: Tables):
+    c = t("candidates").select("candidate_id", "asset_id", "run_id", "start_ms", "end_ms")
+    s = t("signals").select("asset_id", "run_id", "ts_ms", "signal_type", "event_type", "confidence").withColumn("confirms", F.lit(False))
+    return E.choose_trigger(T.range_join(c, s, ["asset_id", "run_id"], F.col("start_ms"), F.col("end_ms"), "ts_ms", 30_000), ["candidate_id"])
+
+
 @query("e1_assembled_candidates")
 def e1(t: Tables):
     return E.assemble(t("signals")).select("anchor_id", "event_type", "status", "score", "rank")

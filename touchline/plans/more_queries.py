@@ -13,6 +13,7 @@ from touchline.operators import audio as D
 from touchline.operators import review as R
 from touchline.operators import timejoin as T
 from touchline.operators import transcript as P
+from touchline.plans.boundary_queries import told, with_openings
 from touchline.plans.detection_queries import NORM, lexicon, r6
 from touchline.plans.registry import Tables, query
 from touchline.settings import DEFAULTS
@@ -143,9 +144,15 @@ def d6(t: Tables):
     return P.detect_outcomes(t("segments"), table)
 
 
-@query("x10_goal_context", needs=("segments",), sql=f"select asset_id, seq, regexp_matches({NORM}, '\\b(with|from)\\b.{{0,20}}\\b(the|and)\\b') as hit from segments")
+AGAINST = (("No goal is given. ", ""), ("A correction of the score: ", ""), ("In slow motion, ", ""), ("She had already scored: ", ""), ("As mentioned earlier, the replay shows ", ""))
+
+
+@query("x10_goal_context", needs=("segments",), sql=f""", told as ({told(*AGAINST)}), n as (select asset_id, seq, {NORM} as norm from told), f as (select *, regexp_matches(norm, '{X.PAST_SCORING}') or regexp_matches(norm, '{"|".join(X.PAST_PHRASES)}') as past from n)
+select asset_id, seq, array_to_string(list_filter([case when regexp_matches(norm, '{X.NEGATED}') then 'NEGATION_CONTEXT' end, case when regexp_matches(norm, '{X.CORRECTED}') then 'CORRECTION_CONTEXT' end,
+  case when regexp_matches(norm, '{"|".join(X.REPLAY_PHRASES)}') then 'REPLAY_CONTEXT' end, case when past then 'RETROSPECTIVE_CONTEXT' end, case when past then 'HISTORICAL_REFERENCE' end], lambda x : x is not null), ',') as types from f""")
 def x10(t: Tables):
-    return t("segments").select("asset_id", "seq", X.normalize_text(F.col("text")).rlike(r"\b(with|from)\b.{0,20}\b(the|and)\b").alias("hit"))
+    found = X.goal_context(F.col("norm"))
+    return with_openings(t, AGAINST).select("asset_id", "seq", F.array_join(F.transform(found, lambda x: x.type), ",").alias("types"))
 
 
 @query("x17_language_tag", needs=("segments",), sql="select asset_id, seq, language as lang from segments")
