@@ -50,3 +50,27 @@ def test_trigger_is_the_surest_then_earliest_unless_confirmed(spark):
     rows = signals(spark, (1, 30, "TRANSCRIPT_GOAL", "GOAL", 0.9), (1, 20, "TRANSCRIPT_GOAL", "GOAL", 0.9), (1, 10, "TRANSCRIPT_SHOT", "SHOT", 0.5), (1, 5, "AUDIO_SPIKE", None, 1.0), (2, 40, "TRANSCRIPT_GOAL", "GOAL", 0.9), (2, 7, "EVENT_RECONSTRUCTION", "GOAL", 0.1))
     told = rows.withColumn("confirms", F.col("signal_type") == "EVENT_RECONSTRUCTION")
     assert {r.asset_id: r.trigger_ms for r in E.choose_trigger(told, ["asset_id"]).collect()} == {1: 20, 2: 7}
+
+
+def test_outcomes_belong_to_the_nearest_shot(spark):
+    atoms = spark.createDataFrame([(1, 0, 1000, "SHOT"), (1, 1, 2000, "SHOT"), (1, 2, 9000, "OUTCOME"), (1, 3, 30_000, "OUTCOME")], "candidate_id long, ordinal int, ts_ms long, atom string")
+    assert [(r.from_ordinal, r.to_ordinal) for r in E.edges(atoms).where("relation = 'OUTCOME_OF'").collect()] == [(1, 2)]
+
+
+def test_replay_and_reasons_of_stored_signals(spark):
+    from touchline.functions import evidence as V
+
+    kinds = "array<struct<signal_type string, confidence double, evidence string>>"
+    rows = [([("RETROSPECTIVE_CONTEXT", 0.8, ""), ("REPLAY_CONTEXT", 0.7, ""), ("REJECTION_REASON", 1.0, "A"), ("REJECTION_REASON", 1.0, "B"), ("REJECTION_REASON", 1.0, "A")],), ([],)]
+    df = spark.createDataFrame(rows, f"signals {kinds}")
+    assert [tuple(r) for r in df.select(V.replay_probability(F.col("signals")), V.rejection_codes(F.col("signals"))).collect()] == [(0.8, ["A", "B"]), (0.0, [])]
+
+
+def test_lexicon_of_other_languages_counts_only_where_there_is_none_of_ones_own(spark):
+    from touchline.operators import transcript as P
+
+    segments = spark.createDataFrame([(1, "it", 0, 0, 1, "goal del goal"), (2, "en", 0, 0, 1, "goal but"), (3, None, 0, 0, 1, "but")], "asset_id long, language string, seq int, start_ms long, end_ms long, text string")
+    words = [("en", "GOAL", "goal"), ("fr", "GOAL", "but")]
+    found = lambda rows: sorted((r.asset_id, r.phrase) for r in P.match_lexicon(P.normalized(segments), spark.createDataFrame(rows, "lang string, event_type string, phrase string"), 2).collect())
+    assert found(words) == [(1, "goal"), (2, "goal"), (3, "but")]
+    assert found([*words, ("und", "VAR", "del")]) == [(1, "del"), (2, "goal")]

@@ -35,6 +35,7 @@ select u.asset_id, c_name as title, c_mktsegment as competition, u.duration_ms,
   case u.asset_id % 5 when 0 then 'STORED' when 1 then 'PROCESSING' when 2 then 'FAILED' else 'COMPLETED' end as status,
   case when u.asset_id % 7 = 0 then null else concat('Home ', cast(u.asset_id % 9 as varchar(10))) end as home_team,
   concat('Away ', cast(u.asset_id % 4 as varchar(10))) as away_team,
+  case when u.asset_id % 8 = 0 then 'Feed of home 3' when u.asset_id % 3 = 0 then 'upload' end as source,
   concat('match_', cast(u.asset_id as varchar(10)), case u.asset_id % 3 when 0 then '_1st-half' when 1 then ' second half' else '' end, '.mp4') as original_filename
 from (select asset_id, max(ts_ms) + 60000 as duration_ms from signals group by asset_id) u join {customer} on c_custkey = u.asset_id"""),
     "gt_events": ((), ("candidates",), """

@@ -56,7 +56,13 @@ def live_probability(signals: Column) -> Column:
 
 
 def replay_probability(signals: Column) -> Column:
-    return F.coalesce(F.array_max(F.transform(F.filter(signals, lambda s: s.signal_type == "REPLAY_CONTEXT"), lambda s: s.confidence)), F.lit(0.0))
+    """The surest cue of an event that it is shown again or looked back on, 0 without one."""
+    return F.coalesce(F.array_max(F.transform(F.filter(signals, lambda s: s.signal_type.isin("REPLAY_CONTEXT", "RETROSPECTIVE_CONTEXT")), lambda s: s.confidence)), F.lit(0.0))
+
+
+def rejection_codes(signals: Column) -> Column:
+    """Reasons against an event, each once: the evidence of its signals of that type."""
+    return F.array_distinct(F.transform(F.filter(signals, lambda s: s.signal_type == "REJECTION_REASON"), lambda s: s.evidence))
 
 
 def outcome_of(evidence: Column) -> Column:

@@ -214,19 +214,20 @@ def atoms(attached: DataFrame) -> DataFrame:
     return one.select("candidate_id", (F.row_number().over(order) - 1).alias("ordinal"), "ts_ms", "atom", _named(FAMILIES, "atom").alias("family"), "confidence", "sources")
 
 
-def edges(atom: DataFrame, support_ms: int = 45_000) -> DataFrame:
+def edges(atom: DataFrame, support_ms: int = 45_000, outcome_ms: int = 8000) -> DataFrame:
     """candidate_id, from_ordinal, to_ordinal, relation: neighbours PRECEDE; the nearest shot or goal before a reaction is what it SUPPORTS; a replay is
-    REPLAY_OF the goal before it."""
+    REPLAY_OF the goal before it; what came of a shot is OUTCOME_OF the nearest one before."""
     order = Window.partitionBy("candidate_id").orderBy("ordinal")
     so_far = order.rowsBetween(Window.unboundedPreceding, -1)
     last = lambda *names: F.last(F.when(F.col("atom").isin(*names), F.struct("ordinal", "ts_ms")), ignorenulls=True).over(so_far)
-    rows = atom.withColumns({"next": F.lead("ordinal").over(order), "action": last("SHOT", "GOAL"), "goal": last("GOAL")})
+    rows = atom.withColumns({"next": F.lead("ordinal").over(order), "action": last("SHOT", "GOAL"), "goal": last("GOAL"), "shot": last("SHOT")})
     one = lambda test, a, b, name: F.when(test, F.struct(a.alias("from_ordinal"), b.alias("to_ordinal"), F.lit(name).alias("relation")))
     own = F.col("ordinal")
     found = F.array_compact(
         F.array(
             one(F.col("next").isNotNull(), own, F.col("next"), "PRECEDES"),
             one((F.col("atom") == "AUDIO_REACTION") & (F.col("ts_ms") - F.col("action.ts_ms") <= support_ms), own, F.col("action.ordinal"), "SUPPORTS"),
+            one((F.col("atom") == "OUTCOME") & (F.col("ts_ms") - F.col("shot.ts_ms") <= outcome_ms), F.col("shot.ordinal"), own, "OUTCOME_OF"),
             one((F.col("atom") == "REPLAY_EVENT") & F.col("goal").isNotNull(), own, F.col("goal.ordinal"), "REPLAY_OF"),
         )
     )

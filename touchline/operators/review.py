@@ -37,7 +37,7 @@ def needs_review() -> Column:
 
 
 def search_assets(assets: DataFrame, term: str, status: str | None = None) -> DataFrame:
-    found = assets.where(contains_text(term, "title", "original_filename", "competition", "home_team", "away_team"))
+    found = assets.where(contains_text(term, "title", "original_filename", "competition", "home_team", "away_team", "source"))
     return found if status is None else found.where(F.col("status") == status)
 
 
@@ -114,6 +114,7 @@ def ready_assets(assets: DataFrame, transcripts: DataFrame, runs: DataFrame) ->
 def review_rules(reviewed: DataFrame, assets: DataFrame, max_ms: int = MAX_CLIP_MS) -> DataFrame:
     """candidate_id, rule: what is wrong with manual boundaries and decisions."""
     rows = reviewed.join(assets.select("asset_id", "duration_ms"), "asset_id", "left")
+    reason = F.col("human_rejection_reason") if "human_rejection_reason" in reviewed.columns else F.lit(None)
     both = F.col("manual_start_ms").isNotNull() & F.col("manual_end_ms").isNotNull()
     rules = {
         "BOUNDARY_HALF_SET": F.col("manual_start_ms").isNull() != F.col("manual_end_ms").isNull(),
@@ -121,7 +122,7 @@ def review_rules(reviewed: DataFrame, assets: DataFrame, max_ms: int = MAX_CLIP_
         "BOUNDARY_TOO_LONG": both & (F.col("manual_end_ms") - F.col("manual_start_ms") > max_ms),
         "BOUNDARY_OUTSIDE_ASSET": both & (F.col("manual_end_ms") > F.col("duration_ms")),
         "DURATION_UNKNOWN": both & F.col("duration_ms").isNull(),
-        "REJECTED_TWICE_NEEDS_REASON": (F.col("status") == "REJECTED") & (F.col("review_status") == "REJECTED"),
+        "REJECTED_TWICE_NEEDS_REASON": (F.col("status") == "REJECTED") & (F.col("review_status") == "REJECTED") & (F.trim(F.coalesce(reason, F.lit(""))) == ""),
     }
     return violations(rows, ["candidate_id"], rules)
 

@@ -18,7 +18,8 @@ def normalized(segments: DataFrame) -> DataFrame:
 
 
 def match_lexicon(segments: DataFrame, lexicon: DataFrame, max_words: int, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Segments (with norm, lang and the columns to carry) with each event_type and phrase of their language, or of "und", that they hold as whole words.
+    """Segments (with norm, lang and the columns to carry) with each event_type and phrase of their language, or of "und", that they hold as whole words. Where
+    the lexicon has neither the segment's language nor "und", every language counts.
 
     Work follows the words of the text: n-grams of up to max_words words meet the lexicon by a hash join.
     """
@@ -27,7 +28,10 @@ def match_lexicon(segments: DataFrame, lexicon: DataFrame, max_words: int, carry
     rows = segments.select(*KEY, "seq", "start_ms", *carry, "lang", X.tokens(F.col("norm")).alias("t_words"))
     # computed once a row, before the lambdas read it
     rows = rows.where(F.size("t_words") > 0).select(*KEY, "seq", "start_ms", *carry, "lang", F.explode(F.expr(n_grams)).alias("phrase"))
-    return rows.join(lexicon.withColumnRenamed("lang", "of"), "phrase").where("of = lang or of = 'und'").select(*KEY, "seq", "start_ms", *carry, "event_type", "phrase").distinct()
+    langs = lexicon.select("lang").distinct()
+    rows = rows.join(lexicon.withColumnRenamed("lang", "of"), "phrase").withColumn("und", F.lit("und"))
+    rows = rows.join(langs.select("lang", F.lit(True).alias("own")), "lang", "left").join(langs.select(F.col("lang").alias("und"), F.lit(True).alias("common")), "und", "left")
+    return rows.where("of = lang or of = 'und' or (own is null and common is null)").select(*KEY, "seq", "start_ms", *carry, "event_type", "phrase").distinct()
 
 
 def event_base(event_type: Column) -> Column:

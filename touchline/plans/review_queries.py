@@ -86,7 +86,7 @@ def f1(t: Tables):
 
 
 @query("f2_search_assets", needs=("assets",), sql="""
-select asset_id from assets where status = 'COMPLETED' and contains(lower(concat_ws(' ', coalesce(title, ''), coalesce(original_filename, ''), coalesce(competition, ''), coalesce(home_team, ''), coalesce(away_team, ''))), 'home 3')""")
+select asset_id from assets where status = 'COMPLETED' and contains(lower(concat_ws(' ', coalesce(title, ''), coalesce(original_filename, ''), coalesce(competition, ''), coalesce(home_team, ''), coalesce(away_team, ''), coalesce(source, ''))), 'home 3')""")
 def f2(t: Tables):
     return R.search_assets(t("assets"), "Home 3", "COMPLETED").select("asset_id")
 
@@ -146,9 +146,10 @@ def f9(t: Tables):
 select candidate_id, 'BOUNDARY_HALF_SET' as rule from r where (manual_start_ms is null) <> (manual_end_ms is null)
 union all select candidate_id, 'BOUNDARY_ORDER' from m where manual_end_ms <= manual_start_ms union all select candidate_id, 'BOUNDARY_TOO_LONG' from m where manual_end_ms - manual_start_ms > 60000
 union all select candidate_id, 'BOUNDARY_OUTSIDE_ASSET' from m where manual_end_ms > duration_ms union all select candidate_id, 'DURATION_UNKNOWN' from m where duration_ms is null
-union all select candidate_id, 'REJECTED_TWICE_NEEDS_REASON' from r where status = 'REJECTED' and review_status = 'REJECTED'""")
+union all select candidate_id, 'REJECTED_TWICE_NEEDS_REASON' from r where status = 'REJECTED' and review_status = 'REJECTED' and candidate_id % 5 <> 1""")
 def f10(t: Tables):
-    return R.review_rules(reviewed(t), t("assets"))
+    why = F.when(F.col("candidate_id") % 5 == 1, "offside").when(F.col("candidate_id") % 5 == 2, " ")
+    return R.review_rules(reviewed(t).withColumn("human_rejection_reason", why), t("assets"))
 
 
 ELIGIBLE = """, el as (select ew.*, a.status = 'COMPLETED' and (ew.status = 'DETECTED' or review_status = 'CONFIRMED') and review_status <> 'REJECTED' as eligible from ew left join assets a using (asset_id))
