@@ -28,12 +28,21 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="checkpoint-")
 
 
+#: Spark's setting by which the shuffle files of a query go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, its lineage cut."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """df written to the shared checkpoint folder, its lineage cut. The shuffle files behind it are removed: nothing reads them again."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, True)
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def unused(base: str, *tables: DataFrame) -> str:

@@ -196,20 +196,23 @@ def links(nodes: DataFrame, radius: int, offsets: list[tuple[int, ...]], chunk:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the smallest node it reaches) of every node of edges(a, b), by alternating star contractions."""
-    now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    while True:
-        state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = state
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        now = checkpointed(small.distinct())
+    """node, root (the smallest node it reaches) of every node of edges(a, b), by alternating star contractions.
+
+    An edge is (u, v), u > v. A round first points u at the least neighbour of v, or v itself; then u and all it points at to the least of those.
+    Nothing moves only once every v is a root and every u points at one.
+    """
+    now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"), F.lit(True).alias("moved")).distinct())
+    while not now.where("moved").isEmpty():
+        ends = now.select(F.inline(F.array(F.struct(F.col("v").alias("x"), F.col("u").alias("y")), F.struct(F.col("u").alias("x"), F.col("v").alias("y")))))
+        least = ends.groupBy(F.col("x").alias("v")).agg(F.least(F.min("y"), F.first("x")).alias("m"))
+        large = now.select("u", "v").join(least, "v").select("u", F.col("m").alias("v"), (F.col("m") < F.col("v")).alias("moved"))
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        other = F.col("v") > F.col("m")
+        own = F.struct("u", F.col("m").alias("v"), (F.col("moved") | other).alias("moved"))
+        stars = F.array_compact(F.array(own, F.when(other, F.struct(F.col("v").alias("u"), F.col("m").alias("v"), F.lit(True).alias("moved")))))
+        now = checkpointed(small.select(F.inline(stars)).groupBy("u", "v").agg(F.bool_or("moved").alias("moved")))
+    named = now.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("root")), F.struct(F.col("v").alias("node"), F.col("v").alias("root")))))
+    return named.groupBy("node").agg(F.min("root").alias("root"))
 
 
 def near_copies(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
@@ -361,10 +364,11 @@ def drop_near_copies(docs: DataFrame, how: Thinning = Thinning(), chunk: int = C
         return row
 
     checked = checkpointed(both.mapInArrow(per_row(["a", "b", "of_a", "of_b"], pair, jaccard), spark_schema(pair)))
-    confirmed, failed = checked.where(F.col("similarity") >= how.similarity).select("a", "b"), checked.where(F.col("similarity") < how.similarity)
-    groups = components(edges)
-    broken = groups.join(failed.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select("root").distinct()
+    confirmed, failed = (checked.where(t).select("a", "b") for t in (F.col("similarity") >= how.similarity, F.col("similarity") < how.similarity))
     parts = components(confirmed).withColumnRenamed("root", "part")
+    joined = parts.select(F.col("node").alias("a"), F.col("part").alias("b"))  # joins what the confirmed links join, and in fewer rounds
+    groups = components(joined.unionByName(failed))
+    broken = groups.join(failed.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select("root").distinct()
     members = groups.join(broken, "root", "left_semi").join(parts, "node", "left").join(nodes.select("node", "fp", "size"), "node")
     members = checkpointed(members.select("node", "root", F.coalesce("part", "node").alias("part"), "fp", "size"))
     chunks = members.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(float(chunk)), F.sum("size") / F.lit(float(MOST_SHINGLES)))).cast("int").alias("chunks"))
@@ -373,7 +377,7 @@ def drop_near_copies(docs: DataFrame, how: Thinning = Thinning(), chunk: int = C
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     met = dealt.groupBy("root", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi")).agg(F.collect_list(F.struct("node", "part", "chunk", "fp", "shingles")).alias("members"))
     run, schema = _join_parts(how.radius, how.similarity)
-    roots = components(confirmed.unionByName(met.select("lo", "hi", "members").mapInArrow(run, schema)))
+    roots = components(joined.unionByName(met.select("lo", "hi", "members").mapInArrow(run, schema)))
     grouped = classes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
     stays, hashed = unused("q_stays", docs), unused("q_hash", docs)
     stay = grouped.select(F.col("first.doc_id").alias(stays), F.col("first.text_hash").alias(hashed))
