@@ -156,6 +156,70 @@ def audio_rules(windows: DataFrame) -> DataFrame:
     return violations(windows.withColumn("before_ms", before), ["asset_id", "ts_ms"], rules)
 
 
+def _blank(column: str) -> Column:
+    return ~F.coalesce(F.col(column), F.lit("")).rlike(r"\S")
+
+
+def _not_a_share(column: str) -> Column:
+    return F.isnan(column) | ~F.col(column).between(0, 1)
+
+
+def segment_rules() -> dict[str, Column]:
+    """For rows with seq, start_ms, end_ms, text."""
+    return {
+        "NEGATIVE_SEQUENCE": F.col("seq") < 0,
+        "SEGMENT_WINDOW": (F.col("start_ms") < 0) | (F.col("end_ms") <= F.col("start_ms")),
+        "BLANK_TEXT": _blank("text"),
+    }
+
+
+def signal_rules() -> dict[str, Column]:
+    """For rows with signal_type, ts_ms, confidence, evidence."""
+    return {
+        "TYPE_MISSING": F.col("signal_type").isNull(),
+        "CONFIDENCE_RANGE": F.col("confidence").isNull() | _not_a_share("confidence"),
+        "NEGATIVE_TIME": F.col("ts_ms") < 0,
+        "BLANK_EVIDENCE": _blank("evidence"),
+    }
+
+
+def run_rules() -> dict[str, Column]:
+    """For rows with status, the four counters, created_ms, started_ms, completed_ms, failure_reason, configuration_hash."""
+    status, counters = F.col("status"), [F.col(f"{c}_count") for c in ("candidate", "observation", "detected", "rejected")]
+    started, ended, failed = (F.col(c).isNotNull() for c in ("started_ms", "completed_ms", "failure_reason"))
+    life = F.when(status == "PENDING", started | ended | failed).when(status == "RUNNING", ~started | ended | failed)
+    life = life.when(status == "COMPLETED", ~started | ~ended | failed).when(status == "FAILED", ~ended | _blank("failure_reason"))
+    return {
+        "CONFIGURATION_BLANK": _blank("configuration_hash"),
+        "COUNTERS_INVALID": (F.least(*counters) < 0) | (F.col("detected_count") + F.col("rejected_count") > F.col("candidate_count")),
+        "LIFECYCLE_INVALID": life,
+        "TIMES_OUT_OF_ORDER": (F.col("started_ms") < F.col("created_ms")) | (F.col("completed_ms") < F.greatest("created_ms", "started_ms")),
+    }
+
+
+def truth_rules() -> dict[str, Column]:
+    """For rows with ts_ms, start_ms, end_ms, note, and the asset's duration_ms (null: unknown)."""
+    return {
+        "TIME_OUTSIDE_WINDOW": (F.col("ts_ms") < F.col("start_ms")) | (F.col("start_ms") < 0) | (F.col("end_ms") <= F.col("start_ms")),
+        "BEYOND_ASSET": F.col("end_ms") > F.col("duration_ms"),
+        "NOTE_TOO_LONG": F.char_length("note") > 2000,
+    }
+
+
+def marker_rules() -> dict[str, Column]:
+    """For rows with ts_ms and the asset's duration_ms (null: unknown)."""
+    return {"TIME_OUTSIDE_ASSET": (F.col("ts_ms") < 0) | (F.col("ts_ms") > F.col("duration_ms"))}
+
+
+def transition_rules() -> dict[str, Column]:
+    """For rows with home, away, source, confidence (null: none), ts_ms, duration_ms."""
+    return marker_rules() | {
+        "NEGATIVE_SCORE": (F.col("home") < 0) | (F.col("away") < 0),
+        "SOURCE_MISSING": F.col("source").isNull(),
+        "CONFIDENCE_RANGE": _not_a_share("confidence"),
+    }
+
+
 def review_queue(reviewed: DataFrame) -> DataFrame:
     """By asset: detected events that nobody has reviewed, and rejected ones whose rejection nobody has confirmed."""
     return reviewed.groupBy("asset_id").agg(

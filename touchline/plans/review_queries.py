@@ -142,6 +142,98 @@ def f9(t: Tables):
     return R.audio_rules(t("audio_windows").withColumn("voiced_frame_ratio", F.col("voiced_frame_ratio") * 1.5))
 
 
+# Rows with faults put in, by expressions that both engines read.
+BAD_SEGMENTS = ("asset_id", "seq - 1 as seq", "start_ms", "case when seq % 11 = 3 then start_ms else end_ms end as end_ms", "case when seq % 7 = 2 then ' ' else text end as text")
+
+
+@query("f9_segment_violations", needs=("segments",), sql=f", b as (select {', '.join(BAD_SEGMENTS)} from segments)" + r"""
+select asset_id, seq, 'NEGATIVE_SEQUENCE' as rule from b where seq < 0
+union all select asset_id, seq, 'SEGMENT_WINDOW' from b where start_ms < 0 or end_ms <= start_ms
+union all select asset_id, seq, 'BLANK_TEXT' from b where text is null or not regexp_matches(text, '\S')""")
+def f9_segments(t: Tables):
+    return R.violations(t("segments").selectExpr(*BAD_SEGMENTS), ["asset_id", "seq"], R.segment_rules())
+
+
+BAD_SIGNALS = (
+    "id", "ts_ms - 500000 as ts_ms", "case when id % 19 > 0 then signal_type end as signal_type",
+    "case when id % 23 > 0 then confidence * 1.5e0 end as confidence", "case id % 9 when 0 then null when 1 then '  ' else evidence end as evidence",
+)
+
+
+@query("f9_signal_violations", needs=("signals",), sql=f", b as (select {', '.join(BAD_SIGNALS)} from signals)" + r"""
+select id, 'TYPE_MISSING' as rule from b where signal_type is null
+union all select id, 'CONFIDENCE_RANGE' from b where confidence is null or confidence < 0 or confidence > 1
+union all select id, 'NEGATIVE_TIME' from b where ts_ms < 0
+union all select id, 'BLANK_EVIDENCE' from b where evidence is null or not regexp_matches(evidence, '\S')""")
+def f9_signals(t: Tables):
+    return R.violations(t("signals").selectExpr(*BAD_SIGNALS), ["id"], R.signal_rules())
+
+
+BAD_RUNS = (
+    "detection_run_id as id", "case when detection_run_id % 7 = 0 then 'PENDING' else status end as status", "observations - 3 as observation_count",
+    "observations % 7 as candidate_count", "observations % 3 as detected_count", "observations % 5 as rejected_count", "1000 as created_ms",
+    "case when detection_run_id % 6 > 0 then 950 + detection_run_id % 300 end as started_ms",
+    "case when status <> 'RUNNING' or detection_run_id % 9 = 0 then 1050 + detection_run_id % 170 end as completed_ms",
+    "case when status = 'FAILED' and detection_run_id % 4 <> 1 then 'disk' when detection_run_id % 8 = 0 then ' ' end as failure_reason",
+    "case when detection_run_id % 13 = 3 then '' else 'abc' end as configuration_hash",
+)
+
+
+@query("f9_run_violations", needs=("runs",), sql=f", b as (select {', '.join(BAD_RUNS)} from runs)" + r"""
+select id, 'CONFIGURATION_BLANK' as rule from b where trim(configuration_hash) = ''
+union all select id, 'COUNTERS_INVALID' from b
+  where candidate_count < 0 or observation_count < 0 or detected_count < 0 or rejected_count < 0 or detected_count + rejected_count > candidate_count
+union all select id, 'LIFECYCLE_INVALID' from b where
+  (status = 'PENDING' and (started_ms is not null or completed_ms is not null or failure_reason is not null))
+  or (status = 'RUNNING' and (started_ms is null or completed_ms is not null or failure_reason is not null))
+  or (status = 'COMPLETED' and (started_ms is null or completed_ms is null or failure_reason is not null))
+  or (status = 'FAILED' and (completed_ms is null or failure_reason is null or trim(failure_reason) = ''))
+union all select id, 'TIMES_OUT_OF_ORDER' from b where started_ms < created_ms or completed_ms < created_ms or completed_ms < started_ms""")
+def f9_runs(t: Tables):
+    return R.violations(t("runs").selectExpr(*BAD_RUNS), ["id"], R.run_rules())
+
+
+BAD_TRUTHS = (
+    "gt_id", "ts_ms", "case when gt_id % 17 = 0 then ts_ms + 1 else ts_ms - 5000 end as start_ms", "case when gt_id % 3 = 0 then ts_ms + 90000 else ts_ms + 8000 end as end_ms",
+    "case when gt_id % 4 = 0 then repeat('ab', cast(1000 + gt_id % 3 as int)) end as note", "duration_ms",
+)
+
+
+@query("f9_truth_violations", needs=("gt_events", "assets"), sql=f", b as (select {', '.join(BAD_TRUTHS)} from gt_events left join assets using (asset_id))" + """
+select gt_id, 'TIME_OUTSIDE_WINDOW' as rule from b where ts_ms < start_ms or start_ms < 0 or end_ms <= start_ms
+union all select gt_id, 'BEYOND_ASSET' from b where end_ms > duration_ms
+union all select gt_id, 'NOTE_TOO_LONG' from b where length(note) > 2000""")
+def f9_truths(t: Tables):
+    rows = t("gt_events").join(t("assets").select("asset_id", "duration_ms"), "asset_id", "left").selectExpr(*BAD_TRUTHS)
+    return R.violations(rows, ["gt_id"], R.truth_rules())
+
+
+BAD_SCORES = (
+    "transition_id as id", "case when transition_id % 5 = 0 then ts_ms + 60001 else ts_ms end as ts_ms", "home - transition_id % 2 as home", "away",
+    "case when transition_id % 6 > 0 then 'OCR' end as source", "case when transition_id % 4 > 0 then transition_id % 4 / 2e0 end as confidence", "duration_ms",
+)
+
+
+@query("f9_transition_violations", needs=("score_transitions", "assets"), sql=f", b as (select {', '.join(BAD_SCORES)} from score_transitions left join assets using (asset_id))" + """
+select id, 'TIME_OUTSIDE_ASSET' as rule from b where ts_ms < 0 or ts_ms > duration_ms
+union all select id, 'NEGATIVE_SCORE' from b where home < 0 or away < 0
+union all select id, 'SOURCE_MISSING' from b where source is null
+union all select id, 'CONFIDENCE_RANGE' from b where confidence < 0 or confidence > 1""")
+def f9_transitions(t: Tables):
+    rows = t("score_transitions").join(t("assets").select("asset_id", "duration_ms"), "asset_id", "left").selectExpr(*BAD_SCORES)
+    return R.violations(rows, ["id"], R.transition_rules())
+
+
+BAD_MARKERS = ("asset_id", "marker_type", "ts_ms * 11 {DIV} 10 - 20000 as ts_ms", "duration_ms")
+
+
+@query("f9_marker_violations", needs=("markers", "assets"), sql=f", b as (select {', '.join(BAD_MARKERS).replace('{DIV}', '//')} from markers left join assets using (asset_id))" + """
+select asset_id, marker_type, 'TIME_OUTSIDE_ASSET' as rule from b where ts_ms < 0 or ts_ms > duration_ms""")
+def f9_markers(t: Tables):
+    rows = t("markers").join(t("assets").select("asset_id", "duration_ms"), "asset_id", "left")
+    return R.violations(rows.selectExpr(*(x.replace("{DIV}", "div") for x in BAD_MARKERS)), ["asset_id", "marker_type"], R.marker_rules())
+
+
 @query("f10_review_violations", needs=("assets", *BOTH), sql=RV + """, r as (select rv.*, duration_ms from rv left join assets using (asset_id)), m as (select * from r where manual_start_ms is not null and manual_end_ms is not null)
 select candidate_id, 'BOUNDARY_HALF_SET' as rule from r where (manual_start_ms is null) <> (manual_end_ms is null)
 union all select candidate_id, 'BOUNDARY_ORDER' from m where manual_end_ms <= manual_start_ms union all select candidate_id, 'BOUNDARY_TOO_LONG' from m where manual_end_ms - manual_start_ms > 60000
