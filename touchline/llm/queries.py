@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import bpe, chat, langid, licenses, media, packing, quality, simhash, urls
+from touchline.llm import bpe, chat, decontaminate, langid, licenses, media, packing, quality, simhash, urls
 from touchline.llm.common import read_table
 from touchline.llm.pii import find_pii
 
@@ -56,6 +56,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media": op1_media,
@@ -68,9 +72,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_copies": op8_near_copies,
         "op9_pii": op9_pii,
         "op10_quality": op10_quality,
+        "op11_decontamination": op11_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """For the others, see tests/llm: each is compared with a plain version of what it computes."""
-    return {"op3_chat": chat.SQL, "op5_licenses": licenses.sql()}
+    return {"op11_decontamination": decontaminate.SQL, "op3_chat": chat.SQL, "op5_licenses": licenses.sql()}
