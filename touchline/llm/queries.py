@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import bpe, chat, decontaminate, langid, licenses, media, packing, quality, simhash, urls
+from touchline.llm import bpe, chat, decontaminate, langid, licenses, media, packing, quality, simhash, structure, trie, urls
 from touchline.llm.common import read_table
 from touchline.llm.pii import find_pii
 
@@ -60,6 +60,14 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.shared_openings(read_table(spark, sf_dir, "conversations"))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.audit_conversations(structure.damage(read_table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media": op1_media,
@@ -73,9 +81,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_pii": op9_pii,
         "op10_quality": op10_quality,
         "op11_decontamination": op11_decontamination,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_structure_repair": op13_structure_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """For the others, see tests/llm: each is compared with a plain version of what it computes."""
-    return {"op11_decontamination": decontaminate.SQL, "op3_chat": chat.SQL, "op5_licenses": licenses.sql()}
+    return {"op3_chat": chat.SQL, "op5_licenses": licenses.sql(), "op11_decontamination": decontaminate.SQL, "op12_prefix_trie": trie.SQL, "op13_structure_repair": structure.SQL}
