@@ -67,6 +67,36 @@ from signals group by asset_id, run_id"""),
 select candidate_id, asset_id, run_id from candidates where candidate_id % 8 < 2 and status <> 'REJECTED'"""),
     "score_transitions": ((), ("signals",), """
 select asset_id, id as transition_id, ts_ms, id % 3 as home, id % 2 as away from signals where event_type = 'GOAL'"""),
+    # signals of every type, two hours to half a second; keywords are emitted with the event they name (one in five by themselves), and some rows are there twice
+    "moments": (("events",), (), """
+select asset_id, run_id, id + copy * 100000000 as id, case when copy = 1 and id % 5 = 1 then -id else id end as obs_id, ts_ms,
+  case when copy = 1 then 'TRANSCRIPT_KEYWORD' else signal_type end as signal_type, event_type, 0.5e0 + id * 37 % 50 / 100e0 as confidence,
+  case when copy = 1 then 'Football phrase match: goal'
+    when signal_type = 'TRANSCRIPT_GOAL' and id % 3 = 1 then 'Inferred goal hypothesis from a shot' when signal_type = 'AUDIO_GOAL_HYPOTHESIS' then 'Inferred live goal hypothesis'
+    when signal_type in ('REPLAY_CONTEXT', 'RETROSPECTIVE_CONTEXT') then 'Context phrase or structure match: replay'
+    when signal_type = 'SCORE_STATE_TRANSITION' then concat('Score changed to ', cast(id % 4 as varchar(10)), '-', cast(id % 3 as varchar(10)))
+    when signal_type = 'SHOT_OUTCOME_CONTEXT' then concat('OUTCOME=', case id % 3 when 0 then 'SAVE' when 1 then 'WIDE' else 'GOAL' end, '; phrase')
+    when signal_type = 'EVENT_RECONSTRUCTION' then 'Goal action is anchored to a shot' else signal_type end as evidence
+from (
+  select user_id as asset_id, event_id % 2 as run_id, event_id as id, {US} {DIV} 14400000 as ts_ms,
+    case event_id {DIV} 2 % 48 when 6 then 'AUDIO_GOAL_HYPOTHESIS' when 7 then 'OWN_GOAL' when 20 then 'TRANSCRIPT_PENALTY' when 21 then 'TRANSCRIPT_CARD'
+      when 22 then 'ATTACK_BUILDUP' when 23 then 'ATTACK_BUILDUP' when 24 then 'ATTACK_BUILDUP' when 25 then 'AUDIO_ENERGY_RISE' when 26 then 'AUDIO_SPIKE' when 27 then 'AUDIO_SUSTAINED'
+      when 28 then 'HIGH_EXCITEMENT' when 29 then 'VOICE_EXCITEMENT' when 30 then 'PITCH_RISE' when 31 then 'PITCH_VARIANCE' when 32 then 'CROWD_REACTION_PROXY'
+      when 33 then 'TRANSCRIPT_EMPHASIS' when 34 then 'TRANSCRIPT_REPETITION' when 35 then 'SPEECH_RATE_SPIKE' when 36 then 'REPLAY_CONTEXT' when 37 then 'RETROSPECTIVE_CONTEXT'
+      when 38 then 'NEGATION_CONTEXT' when 39 then 'CORRECTION_CONTEXT' when 40 then 'HISTORICAL_REFERENCE' when 41 then 'INJURY_CONTEXT' when 42 then 'RESTART_CONTEXT'
+      when 43 then 'GOAL_KICK_CONTEXT' when 44 then 'SCORE_STATE_TRANSITION' when 45 then 'SHOT_OUTCOME_CONTEXT' when 46 then 'EVENT_RECONSTRUCTION' when 47 then 'UNRELATED_ACTION_CONTEXT'
+      else case when event_id {DIV} 2 % 48 < 6 then 'TRANSCRIPT_GOAL' when event_id {DIV} 2 % 48 < 13 then 'TRANSCRIPT_SHOT' else 'TRANSCRIPT_EVENT' end end as signal_type,
+    case when event_id {DIV} 2 % 48 < 8 or event_id {DIV} 2 % 48 = 46 then 'GOAL' when event_id {DIV} 2 % 48 < 12 then 'SHOT' else case event_id {DIV} 2 % 48
+      when 12 then 'NEAR_MISS' when 13 then 'ATTACK' when 14 then 'ATTACK' when 15 then 'COUNTER_ATTACK' when 16 then 'FOUL' when 17 then 'BIG_CHANCE' when 18 then 'SAVE' when 19 then 'CELEBRATION'
+      when 20 then 'PENALTY' when 21 then 'YELLOW_CARD' when 33 then 'COMMENTATOR_REACTION' when 34 then 'COMMENTATOR_REACTION' end end as event_type
+  from {events}) m join (values (0), (1), (2)) c(copy) on copy = 0 or (copy = 1 and event_type = 'GOAL' and signal_type <> 'EVENT_RECONSTRUCTION' and id % 7 < 4) or (copy = 2 and id % 17 = 0)"""),
+    "footage": ((), ("moments",), "select asset_id, max(ts_ms) - 3000 as duration_ms from moments group by asset_id"),
+    # segments with some football in them, and silences of twelve seconds
+    "spoken": ((), ("segments",), """
+select asset_id, seq, start_ms, end_ms, case
+    when asset_id % 3 = 0 then case seq % 2 when 0 then 'Raphinha scores again, Barcelona crossing' else 'Keeper beaten by striker Raphinha' end
+    when seq % 11 = 3 then concat(text, ' penalty kick') when seq % 11 = 5 then concat(text, ' from the corner') else text end as text
+from segments where seq % 13 not in (5, 6, 7, 8)"""),
     "segments": (("documents",), (), """
 select doc_id as asset_id, lang as language, pos as seq, pos * 3000 as start_ms, pos * 3000 + 2500 as end_ms, text from (
   select doc_id, lang, {POS}) t where text <> ''"""),

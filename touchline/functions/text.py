@@ -21,7 +21,11 @@ PAST_SCORING = r"\b(?:had|has)\s+(?:already\s+)?scored\b|\bscored\s+(?:earlier|b
 PAST_PHRASES = ("earlier in the match", "the previous goal", "had scored earlier", "as we mentioned earlier", "as mentioned earlier", "that goal came earlier", "the score was", "the scoreline", "final score")
 REPLAY_PHRASES = ("in the replay", "the replay shows", "watch the replay", "slow motion")
 MARKS = "ÃÂâ"
-STOP_WORDS = "a al an and are as at au avec been but by com da de del des do dos du el en est et for from il in is it la le les los mais na no nos of on or os ou para por que se son the to un une was with y".split()
+STOP_WORDS = (
+    "a", "al", "an", "and", "are", "as", "at", "au", "avec", "been", "but", "by", "com", "da", "de", "del", "des", "do", "dos", "du",
+    "el", "en", "est", "et", "for", "from", "il", "in", "is", "it", "la", "le", "les", "los", "mais", "na", "no", "nos", "of", "on",
+    "or", "os", "ou", "para", "por", "que", "se", "son", "the", "to", "un", "une", "was", "with", "y",
+)
 LANGUAGES = {"english": "en", "portuguese": "pt", "spanish": "es", "french": "fr", "italian": "it", "german": "de"}
 
 
@@ -105,7 +109,7 @@ def token_set(text: Column, kind: str) -> Column:
     if kind == "raw":
         return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
     own = F.array_distinct(tokens(normalize_text(text)))
-    return own if kind == "all" else F.filter(own, lambda x: (F.char_length(x) > 2) & ~x.isin(STOP_WORDS))
+    return own if kind == "all" else F.filter(own, lambda x: (F.char_length(x) > 2) & ~x.isin(*STOP_WORDS))
 
 
 def jaccard(a: Column, b: Column) -> Column:
