@@ -131,7 +131,7 @@ def prefix(names: tuple[str, ...], engine: str, sources: dict[str, str]) -> str:
         for word, text in (WORDS[engine] | sources).items():
             sql = sql.replace("{" + word + "}", text)
         parts.append(f"{name} as ({sql})")
-    return "with " + ",\n".join(parts) if parts else ""
+    return "with recursive " + ",\n".join(parts) if parts and engine == "duckdb" else "with " + ",\n".join(parts) if parts else ""
 
 
 def files_of(names: tuple[str, ...]) -> list[str]:
