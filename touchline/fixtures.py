@@ -67,11 +67,12 @@ from signals group by asset_id, run_id"""),
 select candidate_id, asset_id, run_id from candidates where candidate_id % 8 < 2 and status <> 'REJECTED'"""),
     "score_transitions": ((), ("signals",), """
 select asset_id, id as transition_id, ts_ms, id % 3 as home, id % 2 as away from signals where event_type = 'GOAL'"""),
-    # signals of every type, two hours to half a second; keywords are emitted with the event they name (one in five by themselves), and some rows are there twice
+    # signals of every type, two hours to half a second; keywords are emitted with the event they name (one in five by themselves), some rows are there twice,
+    # attacks come with faster speech, and some goals with a replay
     "moments": (("events",), (), """
 select asset_id, run_id, id + copy * 100000000 as id, case when copy = 1 and id % 5 = 1 then -id else id end as obs_id, ts_ms,
-  case when copy = 1 then 'TRANSCRIPT_KEYWORD' else signal_type end as signal_type, event_type, 0.5e0 + id * 37 % 50 / 100e0 as confidence,
-  case when copy = 1 then 'Football phrase match: goal'
+  case copy when 1 then 'TRANSCRIPT_KEYWORD' when 3 then 'SPEECH_RATE_SPIKE' when 4 then 'REPLAY_CONTEXT' else signal_type end as signal_type, case when copy < 3 then event_type end as event_type, 0.5e0 + id * 37 % 50 / 100e0 as confidence,
+  case when copy = 1 then 'Football phrase match: goal' when copy = 3 then 'SPEECH_RATE_SPIKE' when copy = 4 then 'Context phrase or structure match: replay'
     when signal_type = 'TRANSCRIPT_GOAL' and id % 3 = 1 then 'Inferred goal hypothesis from a shot' when signal_type = 'AUDIO_GOAL_HYPOTHESIS' then 'Inferred live goal hypothesis'
     when signal_type in ('REPLAY_CONTEXT', 'RETROSPECTIVE_CONTEXT') then 'Context phrase or structure match: replay'
     when signal_type = 'SCORE_STATE_TRANSITION' then concat('Score changed to ', cast(id % 4 as varchar(10)), '-', cast(id % 3 as varchar(10)))
@@ -89,7 +90,8 @@ from (
     case when event_id {DIV} 2 % 48 < 8 or event_id {DIV} 2 % 48 = 46 then 'GOAL' when event_id {DIV} 2 % 48 < 12 then 'SHOT' else case event_id {DIV} 2 % 48
       when 12 then 'NEAR_MISS' when 13 then 'ATTACK' when 14 then 'ATTACK' when 15 then 'COUNTER_ATTACK' when 16 then 'FOUL' when 17 then 'BIG_CHANCE' when 18 then 'SAVE' when 19 then 'CELEBRATION'
       when 20 then 'PENALTY' when 21 then 'YELLOW_CARD' when 33 then 'COMMENTATOR_REACTION' when 34 then 'COMMENTATOR_REACTION' end end as event_type
-  from {events}) m join (values (0), (1), (2)) c(copy) on copy = 0 or (copy = 1 and event_type = 'GOAL' and signal_type <> 'EVENT_RECONSTRUCTION' and id % 7 < 4) or (copy = 2 and id % 17 = 0)"""),
+  from {events}) m join (values (0), (1), (2), (3), (4)) c(copy) on copy = 0 or (copy = 1 and event_type = 'GOAL' and signal_type <> 'EVENT_RECONSTRUCTION' and id % 7 < 4) or (copy = 2 and id % 17 = 0)
+  or (copy = 3 and event_type = 'ATTACK') or (copy = 4 and signal_type = 'TRANSCRIPT_GOAL' and id % 7 < 4 and id % 3 = 0)"""),
     "footage": ((), ("moments",), "select asset_id, max(ts_ms) - 3000 as duration_ms from moments group by asset_id"),
     # segments with some football in them, and silences of twelve seconds
     "spoken": ((), ("segments",), """
