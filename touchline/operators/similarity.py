@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,14 +34,14 @@ def _need(size: str, share: float) -> str:
     return f"cast(ceil({share} * {size} - 1e-9) as int)"
 
 
-def classes(rows: DataFrame, text: str) -> DataFrame:
-    """rows with l_class: a digest of the distinct words of their text, and words: texts of equal words are one class."""
-    words = F.array_sort(X.token_set(F.coalesce(F.col(text), F.lit("")), "all"))
+def classes(rows: DataFrame, text: str, kind: str = "all") -> DataFrame:
+    """rows with l_class: a digest of the distinct words (of a kind of functions.text.token_set) of their text, and words: texts of equal words are one class."""
+    words = F.array_sort(X.token_set(F.coalesce(F.col(text), F.lit("")), kind))
     return rows.withColumn("words", words).withColumn("l_class", F.sha2(F.array_join("words", " "), 256))
 
 
-def similar_classes(left: DataFrame, right: DataFrame, keys: list[str], least: float = 0.7, tokens: int = 3) -> DataFrame:
-    """keys, l_class, r_class: pairs of word sets (keys, l_class, words, of left and of right) of the same keys with `tokens` identity words in common and a
+def similar_classes(left: DataFrame, right: DataFrame, keys: list[str], least: float = 0.7, tokens: int = 3, identity: Callable[[Column], Column] = identity) -> DataFrame:
+    """keys, l_class, r_class, jaccard: pairs of word sets (keys, l_class, words, of left and of right) of the same keys with `tokens` identity words in common and a
     Jaccard similarity of all words, or a containment of identity words, of `least`.
 
     Each class once a side. Words are put in an order that all sets share, rare ones first. Two sets with an overlap of o words must meet in the
@@ -65,7 +67,7 @@ def similar_classes(left: DataFrame, right: DataFrame, keys: list[str], least: f
     pairs = pairs.unionByName(meet(index(a, "l_class", "names", "names"), index(b, "r_class", part, "names"), "r_class_n < l_class_n")).distinct()
     sides = pairs.join(a, [*keys, "l_class"]).join(b.select(*keys, "r_class", F.col("words").alias("r_words"), F.col("names").alias("r_names")), [*keys, "r_class"])
     same = F.greatest(X.jaccard(F.col("words"), F.col("r_words")), X.containment(F.col("names"), F.col("r_names"))) >= least
-    return sides.where((F.size(F.array_intersect("names", "r_names")) >= tokens) & same).select(*keys, "l_class", "r_class")
+    return sides.where((F.size(F.array_intersect("names", "r_names")) >= tokens) & same).select(*keys, "l_class", "r_class", X.jaccard(F.col("words"), F.col("r_words")).alias("jaccard"))
 
 
 def _fold(keys: int):

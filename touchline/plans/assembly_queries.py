@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from touchline.operators import assembly as A
 from touchline.operators import boundaries as B
+from touchline.operators import clustering as C
 from touchline.operators import similarity as L
+from touchline.operators.lineage import settled
 from touchline.plans.registry import Tables, query
 
 TABLES = ("moments", "footage", "spoken")
@@ -340,3 +342,23 @@ def e9(t: Tables):
 @query("e12_event_windows", needs=TABLES, sql=ANCHORS + CONFIRMED + SUPPORT + EVIDENCE + WINDOWS.rstrip().rstrip(",") + "select anchor_id, start_ms, end_ms, round(start_sure, 6) as start_sure, end_sure, start_reason, end_reason from windows")
 def e12(t: Tables):
     return made(t).candidates.select("anchor_id", "start_ms", "end_ms", r6("start_sure").alias("start_sure"), "end_sure", "start_reason", "end_reason")
+
+
+def clustered(t: Tables):
+    """Candidates, their stored signals and their clusters."""
+    found = made(t)
+    signals = settled(A.stored_signals(found).withColumnRenamed("anchor_id", "candidate_id"))
+    rows = settled(found.candidates.select(*A.KEY, F.col("anchor_id").alias("candidate_id"), F.col("a_event").alias("event_type"), "trigger_ms", "start_ms", "end_ms", "score", "status", "context"))
+    return rows, signals, settled(C.cluster_events(rows, signals))
+
+
+@query("m3_event_clusters")
+def m3(t: Tables):
+    return clustered(t)[2]
+
+
+@query("m6_merged_events")
+def m6(t: Tables):
+    events, signals = C.merge_events(*clustered(t))
+    n = signals.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_signals"))
+    return events.join(n, "cluster_id", "left").withColumns({"score": r6("score"), "sources": F.array_join("sources", ","), "context": F.md5(F.coalesce("context", F.lit("")))})
