@@ -8,6 +8,7 @@ from touchline.operators import assembly as A
 from touchline.operators import boundaries as B
 from touchline.operators import clustering as C
 from touchline.operators import similarity as L
+from touchline.operators import story as S
 from touchline.operators.lineage import settled
 from touchline.plans.registry import Tables, query
 
@@ -344,6 +345,105 @@ def e12(t: Tables):
     return made(t).candidates.select("anchor_id", "start_ms", "end_ms", r6("start_sure").alias("start_sure"), "end_sure", "start_reason", "end_reason")
 
 
+STORED = f""", stored as (
+  select anchor_id, kind as signal_type, s_event as event_type, sure as confidence, ts_ms, evidence from listed join (select anchor_id, start_ms, end_ms from final) using (anchor_id) where ts_ms between start_ms and end_ms
+  union all select anchor_id, 'EVENT_RECONSTRUCTION', a_event, action_sure, action_ms, 'Goal action reconstructed' from final where not confirmed and action_ms between start_ms and end_ms
+  union all select anchor_id, 'EVENT_RECONSTRUCTION', a_event, foul_sure, foul_ms, 'Sequence anchored to the preceding foul' from final where foul_ms between start_ms and end_ms
+  union all select anchor_id, 'LIVE_EVENT_CONTEXT', a_event, live, trigger_ms, if(negative > 0, 'CLASSIFICATION=SUPPRESSED_GOAL', 'CLASSIFICATION=LIVE_EVENT') from final
+  union all select anchor_id, 'REPLAY_CONTEXT', a_event, replay, trigger_ms, if(is_replay, 'CLASSIFICATION=REPLAY_OF_EXISTING_GOAL', 'REPLAY/RETROSPECTIVE_CONTEXT') from final where told_again
+  union all select anchor_id, unnest(['POST_EVENT_COMMENTARY', 'UNRELATED_ACTION_CONTEXT']), a_event, replay, trigger_ms,
+    unnest(['CLASSIFICATION=POST_EVENT_COMMENTARY', 'POST_RESTART_NO_NEW_SCORE_TRANSITION']) from final where is_replay and restarted and not score_moved
+  union all select anchor_id, 'INJURY_CONTEXT', a_event, 0.9e0, trigger_ms, 'INJURY_THEN_REPLAY' from final where is_replay and replayed and injured
+  union all select anchor_id, 'EVENT_ASSOCIATION', a_event, 0.82e0, trigger_ms, 'PENALTY_ATTEMPT_WITH_INDEPENDENT_REACTION' from final where penalty_scored
+  union all select anchor_id, 'UNRELATED_ACTION_CONTEXT', a_event, 0.82e0, trigger_ms, 'SET_PIECE_SHOT_WITHOUT_SCORING_CONFIRMATION' from final where hypothesis and set_piece
+  union all select anchor_id, 'RETROSPECTIVE_CONTEXT', a_event, looking_back, trigger_ms, 'RETROSPECTIVE_GOAL_REFERENCE' from final where retold and not explicit and not score_moved
+  union all select anchor_id, 'EVENT_BOUNDARY', a_event, start_sure, start_ms, start_reason from final union all select anchor_id, 'EVENT_AFTERGLOW', a_event, end_sure, end_ms, end_reason from final
+  union all select anchor_id, 'EVENT_ASSOCIATION', a_event, foul_sure, trigger_ms, 'Associated with the preceding foul' from final where foul_ms is not null
+  union all select anchor_id, 'REJECTION_REASON', a_event, greatest(0.5e0, 1 - live), trigger_ms, unnest(reasons) from final)
+"""
+
+
+def codes(of: dict[str, str], column: str) -> str:
+    return f"case {column} " + " ".join(f"when '{a}' then '{b}'" for a, b in of.items()) + " end"
+
+
+TIES = f"(signal_type = 'EVENT_ASSOCIATION' and (starts_with(evidence, '{S.ASSOCIATED[0]}') or starts_with(evidence, '{S.ASSOCIATED[1]}')))"
+ATOMS = STORED + f""", meant as (
+  select anchor_id, score, detected, c_event, trigger_ms, ts_ms, signal_type, confidence, evidence, {TIES} as ties, case when {TIES} then 'REPLAY_EVENT'
+    when signal_type = 'SHOT_OUTCOME_CONTEXT' then if(outcome in {some(S.OUTCOMES)}, outcome, 'OTHER') when event_type in ('MISSED_PENALTY', 'FOUL', 'CELEBRATION') then event_type
+    when event_type in ('YELLOW_CARD', 'RED_CARD') then 'CARD' when spoken and event_type in ('ATTACK', 'COUNTER_ATTACK') then 'ATTACK' when spoken and event_type = 'BIG_CHANCE' then 'DANGEROUS_ATTACK'
+    when spoken and event_type in ('SHOT', 'SAVE') then event_type when spoken and event_type = 'NEAR_MISS' then if(outcome = 'POST', 'POST', 'WIDE')
+    when event_type = 'GOAL' and signal_type in ('TRANSCRIPT_GOAL', 'TRANSCRIPT_EVENT', 'TRANSCRIPT_KEYWORD', 'AUDIO_GOAL_HYPOTHESIS') then if(detected, 'GOAL', if(replayed, 'REPLAY_EVENT', 'GOAL_HYPOTHESIS'))
+    when signal_type = 'EVENT_RECONSTRUCTION' then 'RECONSTRUCTED_ACTION' when event_type = 'PENALTY' and signal_type = 'TRANSCRIPT_PENALTY' then 'PENALTY_ATTEMPT'
+    when event_type = 'PENALTY' and spoken then 'PENALTY_AWARDED' else {codes(S.ATOM_OF, "signal_type")} end as atom
+  from (
+    select s.*, score, status = 'DETECTED' as detected, a_event as c_event, trigger_ms, signal_type = 'TRANSCRIPT_EVENT' as spoken, upper(trim(regexp_extract(evidence, 'OUTCOME=([^;]*)', 1))) as outcome,
+      coalesce(max(confidence) filter (where signal_type in {PAST}) over (partition by s.anchor_id) > 0, false) as replayed
+    from stored s join (select anchor_id, a_event, trigger_ms, score, status from final) f using (anchor_id))),
+grouped as (
+  select anchor_id, at_ms as ts_ms, atom, coalesce(max(confidence), max(score)) as confidence, list_sort(list(distinct signal_type) filter (where signal_type is not null)) as sources, list_sort(list_distinct(flatten(list(family)))) as families
+  from (
+    select anchor_id, null as score, atom, confidence, signal_type, case when atom = 'GOAL' and c_event = 'GOAL' then trigger_ms
+        when atom = 'REPLAY_EVENT' and regexp_extract(evidence, ' at (\\d+) ms', 1) <> '' then regexp_extract(evidence, ' at (\\d+) ms', 1)::bigint else ts_ms end as at_ms,
+      if(ties, ['ASSOCIATION', 'REPLAY_CONTEXT'], [coalesce({codes(S.FAMILY_OF, "signal_type")}, 'TRANSCRIPT')]) as family from meant where atom is not null
+    union all select anchor_id, score, 'GOAL', null, null, trigger_ms, []::varchar[] from final where status = 'DETECTED' and g) group by all),
+atoms as (
+  select anchor_id, row_number() over (partition by anchor_id order by ts_ms, atom) - 1 as ordinal, ts_ms, atom, confidence, if(sources is null or len(sources) = 0, 'CANONICAL_CANDIDATE', array_to_string(sources, ',')) as sources,
+    if(sources is null or len(sources) = 0, 'CLASSIFICATION', array_to_string(families, ',')) as families, atom in {some(S.NEGATIVE)} as negative from grouped)
+"""
+
+
+def nearest_before(names: tuple[str, ...], reach: int) -> str:
+    """SQL: for each atom c the latest of these types at most so long before it; ties by ordinal."""
+    return f"""(select c.anchor_id, c.ordinal, c.ts_ms, arg_max(p.ordinal, p.ts_ms * 1000 - p.ordinal) as found, max(p.ts_ms) as found_ms from atoms c join atoms p on p.anchor_id = c.anchor_id
+    and p.atom in {some(names)} and p.ts_ms <= c.ts_ms and c.ts_ms - p.ts_ms <= {reach} group by all)"""
+
+
+UNFENCED = f"""not exists (select 1 from atoms f where f.anchor_id = n.anchor_id and f.atom in {some(S.FENCES)} and f.ts_ms > n.found_ms and f.ts_ms < n.ts_ms)"""
+RELATIONS = f""", goal as (select anchor_id, min(ordinal) as ordinal from atoms where atom = 'GOAL' group by 1),
+edges as (
+  select anchor_id, ordinal as from_ordinal, ordinal + 1 as to_ordinal, 'PRECEDES' as relation from atoms semi join (select anchor_id, ordinal - 1 as ordinal from atoms) using (anchor_id, ordinal)
+  union all select n.anchor_id, found, n.ordinal, 'OUTCOME_OF' from {nearest_before(("SHOT",), 8000)} n join atoms using (anchor_id, ordinal) where negative and {UNFENCED}
+  union all select n.anchor_id, found, n.ordinal, 'OUTCOME_OF' from {nearest_before(("ATTACK",), 8000)} n join atoms using (anchor_id, ordinal) where atom = 'CONTINUED_PLAY' and {UNFENCED}
+  union all select n.anchor_id, found, n.ordinal, 'SUPPORTS' from {nearest_before(("PENALTY_AWARDED",), 8000)} n join atoms using (anchor_id, ordinal) where atom = 'PENALTY_ATTEMPT' and {UNFENCED}
+  union all select n.anchor_id, found, n.ordinal, 'SUPPORTS' from {nearest_before(("SHOT",), 8000)} n join goal using (anchor_id, ordinal) where {UNFENCED}
+  union all select n.anchor_id, found, n.ordinal, 'SUPPORTS' from {nearest_before(("ATTACK", "DANGEROUS_ATTACK"), 45000)} n join goal using (anchor_id, ordinal) where {UNFENCED}
+  union all select anchor_id, min(a.ordinal), any_value(goal.ordinal), 'REPLAY_OF' from atoms a join goal using (anchor_id) where atom in {some(S.REPLAYS)}
+    and anchor_id in (select anchor_id from stored where {TIES} or (signal_type = 'REJECTION_REASON' and regexp_matches(evidence, 'REPLAY_OF_EXISTING_GOAL|DUPLICATE_EVENT'))) group by anchor_id
+  union all select r.anchor_id, arg_min(o.ordinal, abs(o.ts_ms - r.ts_ms) * 1000 + o.ordinal), r.ordinal, 'CONTRADICTS' from atoms r join atoms o on o.anchor_id = r.anchor_id and o.ordinal <> r.ordinal
+    where r.atom = 'REJECTION' and r.anchor_id in (select anchor_id from final where status = 'REJECTED') group by r.anchor_id, r.ordinal)
+"""
+
+
+def stories(t: Tables):
+    """Candidates and their stored signals, as the stories' operators take them."""
+    found = made(t)
+    rows = found.candidates.select(F.col("anchor_id").alias("candidate_id"), F.col("a_event").alias("event_type"), "trigger_ms", "score", "status")
+    return settled(rows), settled(A.stored_signals(found).withColumnRenamed("anchor_id", "candidate_id"))
+
+
+@query("e13_stored_signals", needs=TABLES, sql=WHOLE + STORED + "select anchor_id, signal_type, event_type, round(confidence, 6) as confidence, ts_ms, evidence, count(*) as n from stored group by all")
+def e13(t: Tables):
+    rows = A.stored_signals(made(t)).withColumn("confidence", r6("confidence"))
+    return rows.groupBy("anchor_id", "signal_type", "event_type", "confidence", "ts_ms", "evidence").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("g1_story_atoms", needs=TABLES, sql=WHOLE + ATOMS + "select anchor_id as candidate_id, ordinal, ts_ms, atom, round(confidence, 6) as confidence, sources, families, negative from atoms")
+def g1(t: Tables):
+    return S.atoms(*stories(t)).withColumn("confidence", r6("confidence"))
+
+
+@query("g3_story_relations", needs=TABLES, sql=WHOLE + ATOMS + RELATIONS + "select anchor_id as candidate_id, from_ordinal, to_ordinal, relation from edges")
+def g3(t: Tables):
+    candidates, signals = stories(t)
+    return S.relations(settled(S.atoms(candidates, signals)), candidates, signals)
+
+
+@query("g4_story_labels", needs=TABLES, sql=WHOLE + """select anchor_id as candidate_id, case when status = 'DETECTED' then if(g, 'CANONICAL_GOAL', 'DETECTED_EVENT') when is_replay then 'REPLAY_OR_DUPLICATE' else 'REJECTED_HYPOTHESIS' end as label from final""")
+def g4(t: Tables):
+    return S.assessments(*stories(t))
+
+
 def clustered(t: Tables):
     """Candidates, their stored signals and their clusters."""
     found = made(t)
