@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import text as X
+from touchline.operators import phrases as R
 from touchline.operators import sequence as S
 from touchline.settings import DEFAULTS, EVENT_CONFIDENCE, Settings
 
@@ -21,17 +22,26 @@ def match_lexicon(segments: DataFrame, lexicon: DataFrame, max_words: int, carry
     """Segments (with norm, lang and the columns to carry) with each event_type and phrase of their language, or of "und", that they hold as whole words. Where
     the lexicon has neither the segment's language nor "und", every language counts.
 
-    Work follows the words of the text: n-grams of up to max_words words meet the lexicon by a hash join.
+    A lexicon of up to phrases.MOST_PHRASES rows goes to the tasks as a trie, and each text is passed through once; a larger one is joined.
     """
+    if (rows := R.small(lexicon, ["lang", "event_type", "phrase"])) is not None:
+        return R.match_words(segments, rows, [*KEY, "seq", "start_ms", *carry])
+    return _match_by_join(segments, lexicon, max_words, carry)
+
+
+def _match_by_join(segments: DataFrame, lexicon: DataFrame, max_words: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """As above for a large lexicon: n-grams of up to max_words words meet it by a hash join; which languages it has is a small table of its own."""
     n_grams = f"""array_distinct(flatten(transform(sequence(1, {max_words}), n ->
         if(size(t_words) < n, cast(array() as array<string>), transform(sequence(1, size(t_words) - n + 1), i -> array_join(slice(t_words, i, n), ' '))))))"""
+    langs = [r.lang for r in lexicon.select("lang").distinct().collect()]  # languages, not phrases
     rows = segments.select(*KEY, "seq", "start_ms", *carry, "lang", X.tokens(F.col("norm")).alias("t_words"))
     # computed once a row, before the lambdas read it
     rows = rows.where(F.size("t_words") > 0).select(*KEY, "seq", "start_ms", *carry, "lang", F.explode(F.expr(n_grams)).alias("phrase"))
-    langs = lexicon.select("lang").distinct()
-    rows = rows.join(lexicon.withColumnRenamed("lang", "of"), "phrase").withColumn("und", F.lit("und"))
-    rows = rows.join(langs.select("lang", F.lit(True).alias("own")), "lang", "left").join(langs.select(F.col("lang").alias("und"), F.lit(True).alias("common")), "und", "left")
-    return rows.where("of = lang or of = 'und' or (own is null and common is null)").select(*KEY, "seq", "start_ms", *carry, "event_type", "phrase").distinct()
+    rows = rows.join(lexicon.withColumnRenamed("lang", "of").distinct(), "phrase")
+    fits = (F.col("of") == F.col("lang")) | (F.col("of") == "und")
+    if "und" not in langs:
+        fits = fits | ~F.coalesce(F.col("lang").isin(*langs), F.lit(False))
+    return rows.where(fits).select(*KEY, "seq", "start_ms", *carry, "event_type", "phrase").distinct()
 
 
 def event_base(event_type: Column) -> Column:
@@ -44,9 +54,9 @@ def detect_lexical(segments: DataFrame, lexicon: DataFrame, max_words: int = 5,
 
     Goals: texts about a season's goals don't count; the same phrases within suppress_ms of the last time (suppressed or not) don't either.
     """
-    texts = normalized(segments).withColumn("scores", ~F.col("norm").rlike(X.SEASON_GOAL))
-    found = match_lexicon(texts, lexicon, max_words, ("scores",)).groupBy(*KEY, "seq", "start_ms", "event_type", "scores").agg(F.slice(F.sort_array(F.collect_set("phrase")), 1, 3).alias("matches"))
-    found = found.where("event_type <> 'GOAL' or scores").withColumn("fingerprint", F.array_join("matches", "|"))
+    found = match_lexicon(normalized(segments), lexicon, max_words, ("norm",))
+    found = found.where((F.col("event_type") != "GOAL") | ~F.col("norm").rlike(X.SEASON_GOAL))  # of texts that name a goal alone
+    found = found.groupBy(*KEY, "seq", "start_ms", "event_type").agg(F.slice(F.sort_array(F.collect_set("phrase")), 1, 3).alias("matches")).withColumn("fingerprint", F.array_join("matches", "|"))
     before = F.lag("start_ms").over(Window.partitionBy(*KEY, "event_type", "fingerprint").orderBy("start_ms", "seq"))
     found = found.withColumn("before_ms", before).where(f"event_type <> 'GOAL' or before_ms is null or start_ms - before_ms > {suppress_ms}")
     sure = F.least(F.lit(0.98), event_base(F.col("event_type")) + 0.07 * (F.size("matches") - 1))
@@ -120,9 +130,15 @@ def detect_context(segments: DataFrame) -> DataFrame:
 def detect_outcomes(segments: DataFrame, outcomes: DataFrame) -> DataFrame:
     """asset_id, seq, ts_ms, outcome, phrase, confidence: of each outcome the first phrase (by rank) that the normalised text contains.
 
-    outcomes: lang, outcome, phrase_rank, phrase (normalised): a short fixed list, broadcast.
+    outcomes: lang, outcome, phrase_rank, phrase (normalised). Up to phrases.MOST_PHRASES rows go to the tasks as one automaton a language; more are joined.
     """
-    rows = normalized(segments).join(F.broadcast(outcomes), "lang").where(F.col("norm").contains(F.col("phrase")))
+    table = R.small(outcomes, ["lang", "outcome", "phrase_rank", "phrase"])
+    if table is None:
+        rows = normalized(segments).join(outcomes, "lang").where(F.col("norm").contains(F.col("phrase"))).select(*KEY, "seq", "start_ms", "outcome", "phrase_rank", "phrase")
+    else:
+        ranks = [(lang, f"{rank} {outcome}", phrase) for lang, outcome, rank, phrase in table]
+        rows = R.match_parts(normalized(segments), ranks, [*KEY, "seq", "start_ms"])
+        rows = rows.select(*KEY, "seq", "start_ms", F.substring_index("kind", " ", -1).alias("outcome"), F.substring_index("kind", " ", 1).cast("int").alias("phrase_rank"), "phrase")
     best = rows.groupBy(*KEY, "seq", F.col("start_ms").alias("ts_ms"), "outcome").agg(F.min_by("phrase", "phrase_rank").alias("phrase"))
     weak = (F.col("outcome") == "CORNER") | F.col("outcome").startswith("PENALTY_")
     return best.withColumn("confidence", F.when(weak, 0.72).otherwise(0.78))

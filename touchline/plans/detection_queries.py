@@ -8,6 +8,7 @@ from touchline.functions import text as X
 from touchline.operators import assemble as E
 from touchline.operators import audio as D
 from touchline.operators import matching as M
+from touchline.operators import phrases as R
 from touchline.operators import scoreboard as B
 from touchline.operators import sequence as S
 from touchline.operators import timejoin as T
@@ -20,9 +21,8 @@ LEXICON = [("en", "GOAL", "with"), ("en", "GOAL", "from"), ("en", "SHOT", "was")
 LEX_SQL = ", lex(of_lang, event_type, phrase) as (values " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in LEXICON) + ")"
 
 
-def lexicon(t: Tables, names=("lang", "event_type", "phrase")):
-    rows = F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(r, names, strict=True))) for r in LEXICON))
-    return t("region").limit(1).select(F.inline(rows))
+def lexicon(t: Tables):
+    return R.as_rows(t("segments").sparkSession, LEXICON, ["lang", "event_type", "phrase"])
 
 
 def r6(c):

@@ -10,6 +10,7 @@ from touchline.functions import text as X
 from touchline.operators import analytics as A
 from touchline.operators import assemble as E
 from touchline.operators import audio as D
+from touchline.operators import phrases
 from touchline.operators import review as R
 from touchline.operators import timejoin as T
 from touchline.operators import transcript as P
@@ -140,7 +141,7 @@ OUTCOMES = [("en", "SAVE", 0, "with the"), ("en", "SAVE", 1, "and"), ("en", "COR
 select asset_id, seq, start_ms as ts_ms, outcome, arg_min(phrase, phrase_rank) as phrase, case when outcome = 'CORNER' or outcome like 'PENALTY\\_%' escape '\\' then 0.72 else 0.78 end as confidence from n join oc on of_lang = language and contains(norm, phrase) group by asset_id, seq, start_ms, outcome""")
 def d6(t: Tables):
     names = ("lang", "outcome", "phrase_rank", "phrase")
-    table = t("region").limit(1).select(F.inline(F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(o, names, strict=True))) for o in OUTCOMES))))
+    table = phrases.as_rows(t("segments").sparkSession, OUTCOMES, ["lang", "outcome", "phrase_rank", "phrase"])
     return P.detect_outcomes(t("segments"), table)
 
 
