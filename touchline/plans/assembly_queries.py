@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from touchline.operators import assembly as A
 from touchline.operators import boundaries as B
 from touchline.operators import clustering as C
+from touchline.operators import discovery as G
 from touchline.operators import similarity as L
 from touchline.operators import story as S
 from touchline.operators.lineage import settled
@@ -444,6 +445,51 @@ def g4(t: Tables):
     return S.assessments(*stories(t))
 
 
+NO_GOAL = f"""(event_type in ('SAVE', 'NEAR_MISS', 'MISSED_PENALTY') or (signal_type = 'SHOT_OUTCOME_CONTEXT' and regexp_matches(evidence, '{"|".join(f"OUTCOME={o}" for o in G.NO_GOAL)}')))"""
+FOUND = f""", shots as (select asset_id, run_id, id, ts_ms as at_ms from moments where signal_type = 'TRANSCRIPT_SHOT' and event_type = 'SHOT'),
+shot_near as (select s.*, m.* exclude (asset_id, run_id, id) from shots s join moments m on {SAME.format("m", "s")} and ts_ms between greatest(0, at_ms - 45000) and at_ms + 8000),
+shot_one as (
+  select asset_id, run_id, id, at_ms, arg_max(confidence, {{'t': ts_ms, 'c': confidence}}) filter (where signal_type = 'ATTACK_BUILDUP' and ts_ms < at_ms) as built,
+    max(confidence) filter (where ts_ms >= at_ms and signal_type in {some((*G.VOICED, *G.PITCHED, *G.LOUD))}) as audio,
+    max(confidence) filter (where ts_ms >= at_ms and (signal_type in ('TRANSCRIPT_EMPHASIS', 'TRANSCRIPT_REPETITION') or (signal_type = 'TRANSCRIPT_KEYWORD' and event_type = 'CELEBRATION'))) as said,
+    coalesce(max(confidence) filter (where ts_ms >= at_ms and signal_type = 'SPEECH_RATE_SPIKE'), 0) as rate,
+    coalesce(bool_or((signal_type = 'GOAL_KICK_CONTEXT' and ts_ms >= at_ms - 3000) or (ts_ms >= at_ms and {NO_GOAL})), false) as veto from shot_near group by all),
+shot_goals as (
+  select asset_id, run_id, 'SHOT' as source, id, at_ms as ts_ms, least(0.88e0, 0.76e0 + 0.12e0 * least(audio, greatest(coalesce(built, 0), coalesce(said, 0), rate))) as confidence, at_ms as action_ms,
+    case when built is not null then 'attack buildup' when said is not null then 'post-action commentary' else 'speech-rate increase' end as led
+  from shot_one where audio >= 0.45e0 and not veto and (built is not null or said is not null or rate >= 0.58e0)),
+marks as (select asset_id, run_id, id, ts_ms as at_ms from moments where signal_type in {some((*G.VOICED, *G.PITCHED))}),
+mark_near as (select s.*, m.* exclude (asset_id, run_id, id), abs(ts_ms - at_ms) as far from marks s join moments m on {SAME.format("m", "s")} and ts_ms between greatest(0, at_ms - 20000) and at_ms + 30000),
+mark_one as (
+  select asset_id, run_id, id, at_ms, coalesce(max(confidence) filter (where far <= 20000 and signal_type in {some(G.VOICED)}), 0) as voice, coalesce(max(confidence) filter (where far <= 20000 and signal_type in {some(G.PITCHED)}), 0) as pitch,
+    coalesce(max(confidence) filter (where far <= 20000 and signal_type = 'SPEECH_RATE_SPIKE'), 0) as rate, coalesce(max(confidence) filter (where far <= 20000 and signal_type = 'AUDIO_ENERGY_RISE'), 0) as rise,
+    min({{'far': far, 'c': -confidence, 'ts_ms': ts_ms}}) filter (where far <= 20000 and confidence >= 0.55e0 and (signal_type in ('ATTACK_BUILDUP', 'TRANSCRIPT_SHOT') or (signal_type = 'OWN_GOAL' and event_type = 'GOAL')
+      or (signal_type = 'TRANSCRIPT_EVENT' and event_type in ('ATTACK', 'COUNTER_ATTACK', 'BIG_CHANCE', 'SHOT', 'PENALTY')))) as action,
+    coalesce(bool_or(signal_type = 'SCORE_STATE_TRANSITION' and ts_ms >= at_ms), false) as scored, coalesce(bool_or(far <= 8000 and (signal_type = 'GOAL_KICK_CONTEXT' or {NO_GOAL})), false) as veto
+  from mark_near group by all),
+mark_goals as (
+  select asset_id, run_id, 'AUDIO' as source, id, at_ms as ts_ms, least(0.92e0, 0.76e0 + 0.12e0 * greatest(voice, pitch, rate, rise)) as confidence, if(scored or action is null, at_ms, action.ts_ms) as action_ms,
+    if(action is not null, 'typed football-action evidence', 'a later score-state transition') as led
+  from (select *, voice >= 0.6e0 and (pitch >= 0.6e0 or rate >= 0.58e0 or rise >= 0.65e0) as moderate from mark_one)
+  where not veto and ((moderate and action is not null) or (scored and (voice >= 0.6e0 or pitch >= 0.6e0) and (moderate or (voice >= 0.72e0 and action is not null)))))
+"""
+
+
+@query("d8_goal_hypotheses", needs=("moments",), sql=FOUND + f"""select * replace (round(confidence, 6) as confidence) from shot_goals union all select * replace (round(confidence, 6) as confidence) from mark_goals m
+where not exists (select 1 from shot_goals s where {SAME.format("s", "m")} and abs(s.ts_ms - m.ts_ms) <= 20000)""")
+def d8(t: Tables):
+    return G.discover(t("moments")).withColumn("confidence", r6("confidence"))
+
+
+@query("u1_signals_with_discovered", needs=("moments",), sql=FOUND + f""", found as (select * from shot_goals union all select * from mark_goals m where not exists (select 1 from shot_goals s where {SAME.format("s", "m")} and abs(s.ts_ms - m.ts_ms) <= 20000)),
+every as (select asset_id, run_id, signal_type from moments union all
+  select asset_id, run_id, unnest(if(source = 'SHOT', ['TRANSCRIPT_KEYWORD', 'TRANSCRIPT_GOAL'], ['AUDIO_GOAL_HYPOTHESIS', 'EVENT_RECONSTRUCTION'])) from found)
+select asset_id, run_id, signal_type, count(*) as n from every group by all""")
+def u1(t: Tables):
+    every = t("moments").select(*A.KEY, "signal_type").unionByName(G.as_signals(G.discover(t("moments"))).select(*A.KEY, "signal_type"))
+    return every.groupBy(*A.KEY, "signal_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 def clustered(t: Tables):
     """Candidates, their stored signals and their clusters."""
     found = made(t)
