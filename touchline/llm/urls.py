@@ -1,10 +1,12 @@
 """URL verdicts by fixed rules and mined association rules (operator 6).
 
 Fixed rules name a host and the start of a path; the longest that fits decides. Where none does, rules mined from labels decide: labelled
-pages are sets of tokens (scheme, host labels, path segments, query keys) and "label=block" or "label=allow"; FP-growth finds what goes
-together often enough, and rules that imply "label=block" with enough confidence stay, except those that a shorter rule makes needless. They
-are matched by an inverted index: each is listed under its rarest token only, so a page meets the few rules of its own rare tokens, and the
-rest of each rule is then tested against the page's tokens.
+pages are sets of tokens (scheme, host labels, path segments, query keys), and "label=block" where they are bad. Tokens that the same labelled
+pages have are one item (the parts of a site's template, or of a single long url), told by the count and two sums of hashes of their pages:
+rules with several of them can't be surer than with one, so nothing is lost, and sets of them aren't listed one by one. FP-growth finds what
+goes together often enough, and rules that imply "label=block" with enough confidence stay, except those that a shorter rule makes needless.
+A rule fits a url that has some token of each of its items. Rules are matched by an inverted index: each is listed under the tokens of its
+rarest item only, so a page meets the few rules of its own rare tokens, and the rest of each rule is then tested against the page's tokens.
 
 Null urls and urls without "://" have an empty host and path, fit no fixed rule and have no tokens but their lack: the mined rules can't fit, and
 the verdict is allow. Labels with a null id, quality and toxicity are ignored; of several labels for a page the worst counts. Without labels
@@ -68,21 +70,39 @@ def tokens_of(url: Column) -> Column:
 
 
 def mine(pages: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """u_rule (sorted tokens), u_anchor (the rarest of them), u_confidence of the rules for blocking."""
+    """u_rule (its items, each the tokens of which one is enough), u_anchors (the rarest item), u_confidence of the rules for blocking."""
     bad = (F.coalesce(F.col("toxic"), F.lit(0)) > 0) | (F.coalesce(F.col("quality"), F.lit(1)) < 1)
     known = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy(F.col("doc_id").alias("page_id")).agg(F.max(bad).alias("u_bad"))
-    labelled = pages.select("page_id", tokens_of(F.col("url")).alias("u_tokens")).join(known, "page_id")
-    baskets = labelled.select(F.array_append("u_tokens", F.when(F.col("u_bad"), F.lit("label=" + BLOCK)).otherwise(F.lit("label=" + ALLOW))).alias("items"))
+    labelled = checkpointed(pages.select("page_id", "url", tokens_of(F.col("url")).alias("u_tokens")).join(known, "page_id").withColumn("u_row", F.monotonically_increasing_id()))
+    items = checkpointed(items_of(labelled, settings))
+    said = labelled.select("u_row", "u_bad", F.explode_outer("u_tokens").alias("u_token"))
+    named = _met(said, items.select(F.explode("u_item").alias("u_token"), "u_name"), "u_token", "u_row")
+    baskets = named.groupBy("u_row").agg(F.max("u_bad").alias("u_bad"), F.collect_set("u_name").alias("items"))
+    baskets = baskets.select(F.when(F.col("u_bad"), F.array_append("items", F.lit("label=" + BLOCK))).otherwise(F.col("items")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=settings.min_support, minConfidence=settings.min_confidence).fit(baskets)
-    rules = model.associationRules.where(F.col("consequent")[0] == "label=" + BLOCK).select(F.sort_array("antecedent").alias("u_rule"), F.col("confidence").alias("u_confidence"))
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("u_anchor"), F.col("freq").alias("u_freq"))
-    # needless: a rule one token shorter is as sure
-    shorter = rules.select("u_rule", "u_confidence", F.explode("u_rule").alias("x")).select("u_rule", "u_confidence", F.array_remove("u_rule", F.col("x")).alias("part"))
-    part = rules.select(F.col("u_rule").alias("part"), F.col("u_confidence").alias("part_confidence"))
-    needless = shorter.join(part, "part").where("part_confidence >= u_confidence").select("u_rule").distinct()
-    kept = rules.join(needless, "u_rule", "left_anti")
-    anchors = kept.select("u_rule", "u_confidence", F.explode("u_rule").alias("u_anchor")).join(single, "u_anchor")
-    return anchors.groupBy("u_rule", "u_confidence").agg(F.min_by("u_anchor", F.struct("u_freq", "u_anchor")).alias("u_anchor"))
+    rules = checkpointed(model.associationRules.where(F.col("consequent")[0] == "label=" + BLOCK).select(F.sort_array("antecedent").alias("u_names"), F.col("confidence").alias("u_confidence")))
+    # needless: a rule one item shorter is as sure
+    shorter = rules.select("u_names", "u_confidence", F.explode("u_names").alias("x")).select("u_names", "u_confidence", F.array_remove("u_names", F.col("x")).alias("part"))
+    part = rules.select(F.col("u_names").alias("part"), F.col("u_confidence").alias("part_confidence"))
+    needless = shorter.join(part, "part").where("part_confidence >= u_confidence").select("u_names").distinct()
+    kept = rules.join(needless, "u_names", "left_anti").select("u_names", "u_confidence", F.explode("u_names").alias("u_name")).join(items, "u_name")
+    return kept.groupBy("u_names", "u_confidence").agg(F.sort_array(F.collect_list("u_item")).alias("u_rule"), F.min_by("u_item", F.struct("u_freq", "u_name")).alias("u_anchors")).drop("u_names")
+
+
+def items_of(labelled: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """u_name, u_item (tokens, in order), u_freq: tokens of the labelled rows that are frequent enough for a rule, those of the same rows as one item."""
+    least = -(-labelled.count() * settings.min_support // 1)
+    said = labelled.select(F.explode("u_tokens").alias("u_token"), F.xxhash64("page_id", "url").alias("h"), F.xxhash64(F.lit("second"), "url", "page_id").alias("k"))
+    counted = said.groupBy("u_token").agg(F.count(F.lit(1)).alias("u_freq"), F.sum(F.col("h").cast("decimal(20,0)")).alias("h"), F.sum(F.col("k").cast("decimal(20,0)")).alias("k"))
+    # all tokens of an item are on one page, so an item is no longer than a url
+    return counted.where(F.col("u_freq") >= least).groupBy("u_freq", "h", "k").agg(F.sort_array(F.collect_list("u_token")).alias("u_item")).select(F.col("u_item")[0].alias("u_name"), "u_item", "u_freq")
+
+
+def _met(rows: DataFrame, few: DataFrame, key: str, by: str) -> DataFrame:
+    """rows left joined with few, which has each key once: broadcast if it has MOST_RULES rows at most, else by shuffle with frequent keys spread."""
+    if few.limit(MOST_RULES + 1).count() <= MOST_RULES:
+        return rows.join(F.broadcast(few), key, "left")
+    return spread_join(rows, few, key, by, "left")
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, settings: Settings = Settings(), rules=RULES) -> DataFrame:
@@ -92,15 +112,15 @@ def judge_urls(pages: DataFrame, labels: DataFrame, settings: Settings = Setting
     rows = pages.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"), tokens_of(url).alias("u_tokens"))
     rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("u_verdict"), "u_tokens").withColumn("u_row", F.monotonically_increasing_id())
     asked = F.when(F.col("u_verdict").isNull(), F.col("u_tokens"))  # only where no fixed rule decides
-    met = rows.select("*", F.explode_outer(asked).alias("u_anchor"))
-    index = checkpointed(mine(pages, labels, settings).groupBy("u_anchor").agg(F.collect_list(F.struct("u_rule", "u_confidence")).alias("u_rules")))
+    listed = checkpointed(mine(pages, labels, settings).select("u_rule", "u_confidence", F.explode("u_anchors").alias("u_anchor")))
+    index = listed.groupBy("u_anchor").agg(F.collect_list(F.struct("u_rule", "u_confidence")).alias("u_rules"))
     # anchors are frequent tokens, so the support bounds them by tokens of a page / min_support; beyond MOST_RULES the index is joined by shuffle
-    if (index.agg(F.sum(F.size("u_rules"))).first()[0] or 0) <= MOST_RULES:
-        met = met.join(F.broadcast(index), "u_anchor", "left")
+    if listed.limit(MOST_RULES + 1).count() <= MOST_RULES:
+        met = rows.select("*", F.explode_outer(asked).alias("u_anchor")).join(F.broadcast(index), "u_anchor", "left")
     else:
-        met = spread_join(met, index, "u_anchor", "u_row", "left")
+        met = spread_join(checkpointed(rows).select("*", F.explode_outer(asked).alias("u_anchor")), index, "u_anchor", "u_row", "left")
     met = met.select("*", F.explode_outer("u_rules").alias("u_found")).select("*", "u_found.*")
-    fits = F.size(F.array_except("u_rule", "u_tokens")) == 0
+    fits = F.forall("u_rule", lambda item: F.arrays_overlap(item, F.col("u_tokens")))
     own = ["page_id", "host", "path", "rule", "u_verdict"]
     # the rows of a page lie together, so they shrink to one before they are shuffled
     found = met.groupBy("u_row").agg(*(F.first(c).alias(c) for c in own), F.max(F.when(fits, F.col("u_confidence"))).alias("mined_confidence"))
