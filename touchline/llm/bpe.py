@@ -35,7 +35,7 @@ from touchline.llm.common import per_row, spark_schema
 END = "\n"
 SUFFIX = "</w>"
 #: Bytes of each of an encoder's caches, in a Python worker.
-CACHED = 64 << 20
+CACHED = 160 << 20
 
 
 #: White space that can end a block, in any reading of \s.
