@@ -75,3 +75,30 @@ def test_run_gives_the_same_rows(spark, sf_dir, stages):
     total = lambda rows: sorted((r["doc_id"], r["doc_tokens"]) for r in rows)
     got = {(r.doc_id, r.doc_tokens) for r in corpus_pipeline.run(spark, sf_dir).collect()}
     assert sorted(got) == sorted(set(total(out["packing"])))
+
+
+def test_odd_rows_go_through(spark, sf_dir, tmp_path):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, other columns; and an empty table."""
+    some = read_table(spark, sf_dir, "documents").limit(60).collect()
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, "x", 1) for r in some] + [(some[3].doc_id, some[3].text, some[3].lang, some[3].source, some[3].n_chars, "x", 1)] * 2
+    rows += [(None, some[5].text, None, None, None, None, None), (9001, None, None, None, None, None, None), (9002, "", "en", "s", 0, "x", 1), (9003, " \n ", None, "s", 3, "x", 1)]
+    rows += [(9004, (some[7].text + " ") * 400, "en", "s", None, "x", 1), (9005, "word" * 60_000, "en", "s", None, "x", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, score int"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    read_table(spark, sf_dir, "labels").unionByName(spark.createDataFrame([(None, 1, 0), (some[0].doc_id, None, None)], "doc_id long, quality long, toxic long"), allowMissingColumns=True).write.parquet(f"{tmp_path}/labels.parquet")
+    packed = [r.asDict() for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    whole = {}
+    for p in packed:
+        whole.setdefault((p["doc_id"], p["doc_tokens"]), []).append((p["start"], p["length"]))
+    for (_, tokens), pieces in whole.items():
+        at = 0
+        for start, length in sorted(set(pieces)):
+            assert start == at
+            at += length
+        assert at == tokens
+    ids = [p["doc_id"] for p in packed if p["start"] == 0]
+    assert len(ids) == len(set(ids)) and not {9001, 9002, 9003} & set(ids)
+    empty = tmp_path / "empty"
+    spark.createDataFrame([], schema).write.parquet(f"{empty}/documents.parquet")
+    read_table(spark, sf_dir, "labels").limit(0).write.parquet(f"{empty}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
