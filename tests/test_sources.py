@@ -58,3 +58,44 @@ def test_names(spark):
     assert [tuple(r) for r in df.collect()] == [("match.MP4", "mp4"), (None, None), ("noext", None), (".mp4", None), (None, None)]
     text = spark.createDataFrame([("OUTCOME=SAVE; phrase",), ("none",)], "t string").select(V.outcome_of(F.col("t")).alias("o"))
     assert [r.o for r in text.collect()] == ["SAVE", None]
+
+
+def test_a_run_is_committed_once(spark, tmp_path):
+    from touchline.sources import runs as RUNS
+
+    path = str(tmp_path / "runs")
+    rows = lambda run, n=4: spark.createDataFrame([(k, run) for k in range(n)], "k long, run_id long")
+    assert RUNS.read_runs(spark, path) is None
+    assert RUNS.append_run(rows(1), path, 1) and RUNS.append_run(rows(2, 3), path, 2)
+    assert not RUNS.append_run(rows(1, 9), path, 1, again="skip")
+    with pytest.raises(RUNS.AlreadyCommitted):
+        RUNS.append_run(rows(1, 9), path, 1)
+    assert RUNS.read_runs(spark, path).count() == 7 and RUNS.read_runs(spark, path, [2]).count() == 3
+    with pytest.raises(Exception, match="not of run 3"):
+        RUNS.append_run(rows(2), path, 3)  # fails midway: nothing of it is seen, and it can be tried again
+    assert set(RUNS.committed(spark, path)) == {1, 2}
+    assert RUNS.append_run(rows(3, 2), path, 3) and RUNS.read_runs(spark, path).count() == 9
+
+
+def test_the_first_of_two_writers_wins(spark, tmp_path, monkeypatch):
+    from touchline.sources import runs as RUNS
+
+    path, seen = str(tmp_path / "runs"), RUNS.committed
+    rows = spark.createDataFrame([(1, 5)], "k long, run_id long")
+    assert RUNS.append_run(rows, path, 5)
+    calls = iter([{}])
+    monkeypatch.setattr(RUNS, "committed", lambda *a: next(calls))  # the second writer looked before the first one was done
+    assert not RUNS.append_run(rows.withColumn("k", F.lit(2).cast("long")), path, 5, again="skip")
+    monkeypatch.setattr(RUNS, "committed", seen)
+    assert [r.k for r in RUNS.read_runs(spark, path).collect()] == [1]
+    assert len([p for p in (tmp_path / "runs/data/run_id=5").iterdir() if p.is_dir()]) == 1
+
+
+def test_json_that_comes_back(spark):
+    df = spark.createDataFrame([(1, [(1, "a")], {"x": 1}), (2, [], None), (3, None, {})], "k int, s array<struct<n:int,t:string>>, m map<string,int>")
+    text = IO.to_json_columns(df)
+    kinds = {"s": "array<struct<n:int,t:string>>", "m": "map<string,int>"}
+    back = IO.from_json_columns(text, kinds)
+    assert back.select("k", "s", "m").collect() == df.collect() and back.where("size(corrupt) > 0").count() == 0
+    broken = IO.from_json_columns(text.withColumn("s", F.when(F.col("k") == 1, "[{").otherwise(F.col("s"))), kinds).orderBy("k").collect()
+    assert [(r.s, len(r.corrupt)) for r in broken] == [(None, 1), ([], 0), (None, 0)] and broken[0].corrupt[0].text == "[{" and broken[0].m == {"x": 1}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 # Fixed values.
 SEASON_GOAL = r"\b(?:first|second|third|fourth|fifth|1st|2nd|3rd|4th|5th|primero|segundo|tercero|tercer|cuarto|quinto|premier|premiere|deuxieme|troisieme|quatrieme|cinquieme|primo|secondo|terzo|erste|zweite|dritte)\s+(?:goal|gol|but|golo|rete|tor)\s+(?:of|this|da|de|della|der)\s+(?:the\s+)?(?:season|temporada|saison|stagione)\b"
+SCORE_REPORT = r"\b(?:the score was|the scoreline|final score|el marcador era|resultado final|le score etait|score final|o placar era|il punteggio era|der spielstand war|endstand)\s+\d{1,2}\s+\d{1,2}\b"
 ELONGATED_CALL = r"\bg(?:o){2,}l+\b"
 COMEBACK_CALL = r"\b(?:remet|remettre|ramene|ramener|relance|relancer)\b.*\bdans (?:ce|le) match\b"
 COMEBACK_VETOES = ("occasion", "chance", "essaie", "tente")

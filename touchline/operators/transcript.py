@@ -127,6 +127,50 @@ def detect_context(segments: DataFrame) -> DataFrame:
     return S.thin_by_last_kept(found.withColumnRenamed("type", "signal_type"), [*KEY, "signal_type"], "ts_ms", 4000, True, ["seq"])
 
 
+#: Signal type and confidence of the kinds of context phrases.
+CONTEXT_KINDS = {"REPLAY": ("REPLAY_CONTEXT", 0.84), "RETROSPECTIVE": ("RETROSPECTIVE_CONTEXT", 0.80), "BUILDUP": ("ATTACK_BUILDUP", 0.70), "RESTART": ("RESTART_CONTEXT", 0.91), "INJURY": ("INJURY_CONTEXT", 0.86)}
+
+
+def detect_context_signals(segments: DataFrame, lexicon: DataFrame, max_words: int = 6, apart_ms: int = 4000) -> DataFrame:
+    """asset_id, seq, ts_ms, signal_type, event_type, confidence, evidence: what the words around each segment say.
+
+    lexicon: lang, event_type (a kind of CONTEXT_KINDS, or SCORING for phrases of a goal that is being scored), phrase. Phrases are looked up in the
+    local context. Negation, correction, replay and the past around a goal; a score that is named, and its change by one goal since the last score that
+    wasn't told of the past; signals of phrases, apart_ms apart by type, surer the more phrases there are. A goal being scored now makes the past unlikely.
+    """
+    near = local_context(segments).withColumn("here", F.col("norm"))
+    rows = near.select(*KEY, "seq", "start_ms", "text", "here", "context", X.goal_context(F.col("context")).alias("told"), X.parse_score_text(F.col("text")).alias("score"))
+    around = match_lexicon(near.withColumn("norm", F.col("context")), lexicon, max_words).groupBy(*KEY, "seq")
+    around = around.agg(*(F.count_distinct(F.when(F.col("event_type") == k, F.col("phrase"))).alias(f"n_{k}") for k in (*CONTEXT_KINDS, "SCORING")))
+    past = match_lexicon(near, lexicon, max_words).where("event_type = 'RETROSPECTIVE'").select(*KEY, "seq").distinct().withColumn("past_here", F.lit(True))
+    rows = rows.join(around, [*KEY, "seq"], "left").join(past, [*KEY, "seq"], "left").fillna(0, [f"n_{k}" for k in (*CONTEXT_KINDS, "SCORING")]).fillna(False, ["past_here"])
+    types = F.transform("told", lambda x: x["type"])
+    report = F.regexp_replace("here", r"(?<=\d)(?=\d)", " ").rlike(X.SCORE_REPORT)
+    history = (F.col("n_REPLAY") > 0) | report | F.col("past_here") | F.arrays_overlap(types, F.array(*map(F.lit, ("CORRECTION_CONTEXT", "HISTORICAL_REFERENCE", "NEGATION_CONTEXT"))))
+    line = Window.partitionBy(*KEY).orderBy("start_ms", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("now", F.when(~history, F.col("score"))).withColumn("before", F.last("now", ignorenulls=True).over(line))
+    up = F.struct((F.col("now.home") - F.col("before.home")).alias("h"), (F.col("now.away") - F.col("before.away")).alias("a"))
+    gone = F.coalesce(((up.h == 1) & (up.a == 0)) | ((up.h == 0) & (up.a == 1)), F.lit(False))
+    show = lambda c: F.concat(F.col(f"{c}.home").cast("string"), F.lit("-"), F.col(f"{c}.away").cast("string"))
+    one = lambda kind, sure, text, event=F.lit(None).cast("string"): F.struct(F.lit(kind).alias("signal_type") if isinstance(kind, str) else kind.alias("signal_type"), event.alias("event_type"), sure.alias("confidence"), text.alias("evidence"))
+    own = F.transform("told", lambda x: F.struct(x["type"].alias("signal_type"), F.lit("GOAL").alias("event_type"), x["confidence"].alias("confidence"), F.lit("goal context").alias("evidence")))
+    scores = F.array_compact(F.array(
+        F.when(F.col("score").isNotNull(), one("SCORE_STATE", F.lit(0.72), F.concat(F.lit("Transcript explicitly mentions score "), show("score")))),
+        F.when(gone, one("SCORE_STATE_TRANSITION", F.lit(0.82), F.concat(F.lit("Transcript score changed from "), show("before"), F.lit(" to "), show("now")))),
+    ))
+    said = rows.select(*KEY, "seq", F.col("start_ms").alias("ts_ms"), F.inline(F.concat(own, scores)))
+
+    reported = F.col("context").rlike(X.SEASON_GOAL) | F.col("context").rlike(X.SCORE_REPORT)
+    made = []
+    for kind, (name, sure) in CONTEXT_KINDS.items():
+        n, base = F.col(f"n_{kind}"), F.lit(sure)
+        if kind == "RETROSPECTIVE":
+            n, base = n + reported.cast("int"), F.when(F.col("n_SCORING") > 0, 0.20).otherwise(sure)
+        made.append(F.when(n > 0, one(name, F.least(F.lit(0.96), base + F.least(F.lit(0.08), 0.02 * (n - 1))), F.concat(F.lit("Context phrase or structure match: "), n.cast("string")))))
+    phrases = rows.select(*KEY, "seq", F.col("start_ms").alias("ts_ms"), F.inline(F.array_compact(F.array(*made))))
+    return said.unionByName(S.thin_by_last_kept(phrases, [*KEY, "signal_type"], "ts_ms", apart_ms, True, ["seq"]))
+
+
 def detect_outcomes(segments: DataFrame, outcomes: DataFrame) -> DataFrame:
     """asset_id, seq, ts_ms, outcome, phrase, confidence: of each outcome the first phrase (by rank) that the normalised text contains.
 

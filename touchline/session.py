@@ -16,6 +16,7 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, driver_memor
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("TOUCHLINE_DRIVER_MEMORY", driver_memory))
         .getOrCreate()
     )

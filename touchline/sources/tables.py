@@ -46,6 +46,19 @@ def to_json_columns(df: DataFrame) -> DataFrame:
     return df.select(*(F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes))
 
 
+def from_json_columns(df: DataFrame, kinds: dict[str, str], broken: str = "corrupt") -> DataFrame:
+    """Columns of JSON text as the types named (DDL), and as `broken` the texts that couldn't be read, by column; their values are null. A null text is a null value."""
+    out, bad = df, []
+    for name, kind in kinds.items():
+        # in an object of one field, which any type can be, and which has room for what doesn't fit
+        read = F.from_json(F.concat(F.lit('{"v":'), F.col(name), F.lit("}")), f"v {kind}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+        out = out.withColumn(f"j_{name}", read)
+        bad.append(F.when(F.col(f"j_{name}._broken").isNotNull(), F.struct(F.lit(name).alias("column"), F.col(name).alias("text"))))
+    out = out.withColumn(broken, F.array_compact(F.array(*bad)))
+    values = {name: F.when(F.col(f"j_{name}._broken").isNull(), F.col(f"j_{name}.v")) for name in kinds}
+    return out.select(*(values[c].alias(c) if c in kinds else F.col(c) for c in df.columns), broken)
+
+
 def config_hash(settings: dict) -> Column:
     """SHA-256 of settings, in the order of their names."""
     return F.sha2(F.to_json(F.struct(*(F.lit(settings[k]).alias(k) for k in sorted(settings)))), 256)
