@@ -56,16 +56,16 @@ moved as (
 made as (
   select asset_id, seq, start_ms as ts_ms, unnest(['REPLAY_CONTEXT', 'RETROSPECTIVE_CONTEXT', 'ATTACK_BUILDUP', 'RESTART_CONTEXT', 'INJURY_CONTEXT']) as signal_type,
     unnest([n_REPLAY, n_RETROSPECTIVE + reported::int, n_BUILDUP, n_RESTART, n_INJURY]) as n, unnest([0.84e0, if(n_SCORING > 0, 0.2e0, 0.8e0), 0.7e0, 0.91e0, 0.86e0]) as sure from moved),
-some as (select * from made where n > 0),
+hits as (select * from made where n > 0),
 kept as (
-  select asset_id, signal_type, min(ts_ms) as ts_ms from some group by all
-  union all select k.asset_id, k.signal_type, min(s.ts_ms) from kept k join some s on s.asset_id = k.asset_id and s.signal_type = k.signal_type and s.ts_ms >= k.ts_ms + 4000 group by k.asset_id, k.signal_type, k.ts_ms)
+  select asset_id, signal_type, min(ts_ms) as ts_ms from hits group by all
+  union all select k.asset_id, k.signal_type, min(s.ts_ms) from kept k join hits s on s.asset_id = k.asset_id and s.signal_type = k.signal_type and s.ts_ms >= k.ts_ms + 4000 group by k.asset_id, k.signal_type, k.ts_ms)
 select asset_id, seq, start_ms as ts_ms, unnest(types) as signal_type, 'GOAL' as event_type, unnest(list_transform(types, lambda x: case x when 'NEGATION_CONTEXT' then 0.94 when 'CORRECTION_CONTEXT' then 0.92 else 0.9 end))::double as confidence,
   'goal context' as evidence from moved
 union all select asset_id, seq, start_ms, 'SCORE_STATE', null, 0.72, 'Transcript explicitly mentions score ' || score[1] || '-' || score[2] from moved where score is not null
 union all select asset_id, seq, start_ms, 'SCORE_STATE_TRANSITION', null, 0.82, 'Transcript score changed from ' || b4[1] || '-' || b4[2] || ' to ' || now[1] || '-' || now[2] from moved
   where (now[1] - b4[1] = 1 and now[2] = b4[2]) or (now[1] = b4[1] and now[2] - b4[2] = 1)
-union all select asset_id, seq, ts_ms, signal_type, null, round(least(0.96e0, sure + least(0.08e0, 0.02e0 * (n - 1))), 6), 'Context phrase or structure match: ' || n from some semi join kept using (asset_id, signal_type, ts_ms)
+union all select asset_id, seq, ts_ms, signal_type, null, round(least(0.96e0, sure + least(0.08e0, 0.02e0 * (n - 1))), 6), 'Context phrase or structure match: ' || n from hits semi join kept using (asset_id, signal_type, ts_ms)
 """
 
 
