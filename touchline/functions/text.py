@@ -20,6 +20,11 @@ NEGATED = r"\b(?:not|never|wasn t|isn t|hasn t|hadn t|didn t|no)\b.{0,45}\b(?:sc
 CORRECTED = r"\b(?:corrected|correction|correcting|revised|reversal)\b.{0,70}\b(?:goal|score|scorer|attribution|credited)\b|\b(?:goal|score|scorer|attribution|credited)\b.{0,70}\b(?:corrected|correction|correcting|revised|reversal)\b"
 PAST_SCORING = r"\b(?:had|has)\s+(?:already\s+)?scored\b|\bscored\s+(?:earlier|before|previously)\b"
 PAST_PHRASES = ("earlier in the match", "the previous goal", "had scored earlier", "as we mentioned earlier", "as mentioned earlier", "that goal came earlier", "the score was", "the scoreline", "final score")
+NO_GOAL_TOLD = ("avant cette egalisation", "avant l egalisation", "revoir le but", "au match alle", "but de la saison", "face au but", "pres du but", "a cote du but")
+AFTER_GOAL, JUST_SCORED = "juste apres le but", ("but qu on vient de marquer", "but que l on vient de marquer")
+SCORE_TOLD = ("the score was", "the scoreline", "final score", "el marcador era", "resultado final", "le score etait", "score final", "o placar era", "il punteggio era", "der spielstand war", "endstand")
+GOAL_NUMBERS = ("goal number", "gol numero", "but numero")
+BARE_GOAL = "(?:goal|gol|but|golo|rete|tor)"
 REPLAY_PHRASES = ("in the replay", "the replay shows", "watch the replay", "slow motion")
 MARKS = "ÃÂâ"
 STOP_WORDS = (
@@ -159,6 +164,21 @@ def comeback_goal(text: Column) -> Column:
     return text.rlike(COMEBACK_CALL) & ~contains_any(text, COMEBACK_VETOES)
 
 
+def no_goal_told(text: Column) -> Column:
+    """Does a normalised text name a goal that isn't being scored?"""
+    return contains_any(text, NO_GOAL_TOLD) | (text.contains(AFTER_GOAL) & ~contains_any(text, JUST_SCORED))
+
+
+def counts_goals(text: Column) -> Column:
+    """Does a normalised text speak of goals as statistics: of a season, of a score, by number?"""
+    return text.rlike(SEASON_GOAL) | contains_any(text, SCORE_TOLD) | contains_any(text, GOAL_NUMBERS)
+
+
+def shouted_goal(text: Column, norm: Column) -> Column:
+    """Is the text nothing but the word, with exclamation marks?"""
+    return norm.rlike(f"^{BARE_GOAL}$") & F.trim(text).rlike(rf"(?iu)^{BARE_GOAL}\s*!+$")
+
+
 def primary_language(tag: Column) -> Column:
     """en of en-GB, en_us or English."""
     low = F.split(F.lower(tag), "[-_]")[0]

@@ -63,6 +63,55 @@ def detect_lexical(segments: DataFrame, lexicon: DataFrame, max_words: int = 5,
     return found.select(*KEY, "seq", F.col("start_ms").alias("ts_ms"), "event_type", sure.alias("confidence"), "matches")
 
 
+ELONGATED = "elongated goal-call vocalization"
+
+
+def detect_phrase_signals(segments: DataFrame, lexicon: DataFrame, marks: DataFrame, max_words: int = 8, suppress_ms: int = 90_000) -> DataFrame:
+    """asset_id, seq, ts_ms, obs (what was emitted together), signal_type, event_type, confidence, evidence of the phrases of each segment.
+
+    lexicon: phrases of events. marks: lang, event_type (STRONG: a goal for sure, GOAL_KICK, OWN_GOAL, SCORING: one that is being scored now), phrase; all
+    but GOAL_KICK count for their own language alone. An event has a keyword and a typed signal, surer the more phrases there are (three at most). A goal:
+    drawn-out calls count as a phrase; none where a goal kick, or a goal that isn't being scored, is named; the same phrases are suppressed for a
+    while; without a strong phrase or a shout it is not sure; what is said around it and own goals come with it.
+    """
+    texts = local_context(segments)
+    carry = ("norm", "text", "context")
+    found = match_lexicon(texts, lexicon, max_words, carry)
+    rows = found.groupBy(*KEY, "seq", "start_ms", "event_type", *carry).agg(F.slice(F.sort_array(F.collect_set("phrase")), 1, 3).alias("matches"))
+    calls = texts.where(F.col("norm").rlike(X.ELONGATED_CALL)).select(*KEY, "seq", "start_ms", F.lit("GOAL").alias("event_type"), *carry, F.array(F.lit(ELONGATED)).alias("matches"))
+    rows = rows.unionByName(calls).groupBy(*KEY, "seq", "start_ms", "event_type", *carry).agg(F.flatten(F.array_sort(F.collect_list(F.struct((F.col("matches")[0] == ELONGATED).alias("last"), "matches"))).matches).alias("matches"))
+    own_langs = [r.lang for r in marks.where("event_type <> 'GOAL_KICK'").select("lang").distinct().collect()]  # languages
+    kicks = match_lexicon(texts, marks.where("event_type = 'GOAL_KICK'"), max_words).select(*KEY, "seq", "start_ms").distinct()
+    mine = match_lexicon(texts.where(F.col("lang").isin(*own_langs)), marks.where("event_type <> 'GOAL_KICK'"), max_words).groupBy(*KEY, "seq").agg(
+        *(F.coalesce(F.bool_or(F.col("event_type") == k), F.lit(False)).alias(k.lower()) for k in ("STRONG", "SCORING")), F.array_sort(F.collect_set(F.when(F.col("event_type") == "OWN_GOAL", F.col("phrase")))).alias("own_goal")
+    )
+    goal, kick = F.col("event_type") == "GOAL", F.coalesce(F.col("kick"), F.lit(False))
+    rows = rows.join(mine, [*KEY, "seq"], "left").join(kicks.select(*KEY, "seq", F.lit(True).alias("kick")), [*KEY, "seq"], "left").fillna(False, ["strong", "scoring"])
+    vetoed = goal & (kick | X.no_goal_told(F.col("norm")) | (X.counts_goals(F.col("norm")) & ~F.col("scoring")))
+    rows = rows.where(~vetoed).withColumn("fingerprint", F.array_join("matches", "|"))
+    before = F.lag("start_ms").over(Window.partitionBy(*KEY, "event_type", "fingerprint").orderBy("start_ms", "seq"))
+    rows = rows.withColumn("before_ms", before).where(~goal | F.col("before_ms").isNull() | (F.col("start_ms") - F.col("before_ms") > suppress_ms))
+    sure = F.least(F.lit(0.98), event_base(F.col("event_type")) + 0.07 * (F.size("matches") - 1))
+    weak = goal & ~F.col("strong") & ~F.array_contains("matches", ELONGATED) & ~X.shouted_goal(F.col("text"), F.col("norm"))
+    rows = rows.withColumn("sure", F.when(weak, F.least(sure, F.lit(0.68))).otherwise(sure))
+    typed = F.when(goal, "TRANSCRIPT_GOAL").when(F.col("event_type").isin("SHOT", "NEAR_MISS"), "TRANSCRIPT_SHOT").when(F.col("event_type").isin("PENALTY", "MISSED_PENALTY"), "TRANSCRIPT_PENALTY")
+    typed = typed.when(F.col("event_type").isin("YELLOW_CARD", "RED_CARD"), "TRANSCRIPT_CARD").otherwise("TRANSCRIPT_EVENT")
+    one = lambda kind, confidence, text: F.struct(kind.alias("signal_type"), confidence.cast("double").alias("confidence"), text.alias("evidence"))
+    around = F.when(goal, F.transform(X.goal_context(F.col("context")), lambda x: one(x["type"], x["confidence"], F.lit("goal context"))))
+    own = F.when(goal & (F.size("own_goal") > 0), F.array(one(F.lit("OWN_GOAL"), F.col("sure"), F.concat(F.lit("OWN_GOAL; phrase match: "), F.array_join("own_goal", ", ")))))
+    none = F.expr("cast(array() as array<struct<signal_type:string,confidence:double,evidence:string>>)")
+    signals = F.concat(
+        F.array(one(F.lit("TRANSCRIPT_KEYWORD"), F.col("sure"), F.concat(F.lit("Football phrase match: "), F.array_join("matches", ", "))), one(typed, F.col("sure"), F.lit("Event-specific transcript phrase match"))),
+        F.coalesce(around, none), F.coalesce(own, none),
+    )
+    out = rows.select(*KEY, "seq", F.col("start_ms").alias("ts_ms"), F.col("event_type").alias("obs"), F.lit("").alias("x"), "event_type", F.inline(signals))
+    kick_rows = kicks.select(*KEY, "seq", F.col("start_ms").alias("ts_ms"), F.lit("GOAL_KICK").alias("obs"), F.lit("GOAL").alias("event_type"), F.lit("GOAL_KICK_CONTEXT").alias("signal_type"), F.lit(0.96).alias("confidence"), F.lit("Typed football expression identifies a goal kick, not a scoring event").alias("evidence"))
+    back = texts.where((F.col("lang") == "fr") & X.comeback_goal(F.col("norm")))
+    pair = F.array(one(F.lit("TRANSCRIPT_KEYWORD"), F.lit(0.84), F.lit("Football phrase match: French commentary says a team is being put back into the match")), one(F.lit("TRANSCRIPT_GOAL"), F.lit(0.84), F.lit("French comeback phrase suggests a score change")))
+    back = back.select(*KEY, "seq", F.col("start_ms").alias("ts_ms"), F.lit("COMEBACK").alias("obs"), F.lit("GOAL").alias("event_type"), F.inline(pair))
+    return out.drop("x").unionByName(kick_rows).unionByName(back)
+
+
 def detect_emphasis(segments: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     """asset_id, seq, ts_ms, signal_type, confidence of shouting and of repeated words or phrases."""
     texts = normalized(segments).where("norm <> ''")
