@@ -85,9 +85,10 @@ shown as (
   where k = 1 and (len(list_intersect(gw.ws, tw.ws)) / (len(gw.ws) + len(tw.ws) - len(list_intersect(gw.ws, tw.ws))) >= 0.1e0 or len(list_intersect(gw.ns, tw.ns)) >= 2)
     and not exists (select 1 from goals o where {SAME.format("o", "s")} and o.goal_ms > attack_ms and o.goal_ms < s.goal_ms)
     and not exists (select 1 from ds where {SAME.format("ds", "s")} and signal_type in ('SCORE_STATE_TRANSITION', 'INJURY_CONTEXT') and ts_ms between attack_ms and s.goal_ms)),
-confirmed as (
-  select * from shown s where n = 1 and not exists (
-    select 1 from goals o join told ow on ow.anchor_id = o.goal_id join told gw on gw.anchor_id = s.goal_id where {SAME.format("o", "s")} and o.goal_ms < s.goal_ms and {alike("gw", "ow")})),
+known as (
+  select distinct s.goal_id from (from shown where n = 1) s join goals o on {SAME.format("o", "s")} and o.goal_ms < s.goal_ms join told ow on ow.anchor_id = o.goal_id join told gw on gw.anchor_id = s.goal_id
+  where {alike("gw", "ow")}),
+confirmed as (select * from shown where n = 1 and goal_id not in (select goal_id from known)),
 """
 SUPPORT = f"""a1 as (
   select a0.asset_id, a0.run_id, a0.anchor_id, if(c.attack_id is null, a0.event_type, 'GOAL') as a_event, trigger_ms
