@@ -4,7 +4,6 @@ import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from touchline.functions.text import STOP_WORDS
 from touchline.operators import clustering as C
@@ -161,4 +160,3 @@ def test_long_merged_events_are_cut(spark):
 def test_no_candidates(spark):
     c, s = spark.createDataFrame([], CANDIDATES), spark.createDataFrame([], SIGNALS)
     assert C.cluster_events(c, s).count() == 0
-    assert F is not None
