@@ -77,3 +77,77 @@ def match_key(assets: DataFrame) -> Column:
     part = lambda c: F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))))
     known = (part("home_team") != "") & (part("away_team") != "") & F.col("match_date").isNotNull()
     return F.when(known, F.concat(F.lit("match:"), F.concat_ws("|", *map(part, ("competition", "match_date", "home_team", "away_team"))))).otherwise(F.concat(F.lit("asset:"), F.col("asset_id").cast("string")))
+
+
+# The event types there are, and what lists of recordings can be sorted by.
+EVENT_TYPES = (
+    "GOAL", "GOAL_DISALLOWED", "BIG_CHANCE", "SHOT", "SAVE", "PENALTY", "MISSED_PENALTY", "PENALTY_MISSED", "CORNER", "FREE_KICK", "OFFSIDE", "SUBSTITUTION", "RED_CARD", "YELLOW_CARD", "VAR", "VAR_REVIEW",
+    "VAR_DECISION", "REFEREE_WHISTLE", "FOUL", "COUNTER_ATTACK", "ATTACK", "NEAR_MISS", "CELEBRATION", "CROWD_REACTION", "COMMENTATOR_REACTION", "CONTROVERSIAL_DECISION", "DRAMATIC_MOMENT", "UNKNOWN",
+)
+SORTS = {"createdAt": "created_at", "updatedAt": "updated_at", "title": "title", "durationMs": "duration_ms", "matchDate": "match_date"}
+
+
+def event_rules(events: DataFrame, signals: DataFrame) -> DataFrame:
+    """candidate_id, rule of events (sources: array of ids, merge_reason) and their signals (candidate_id, ts_ms): every rule that an event breaks, once."""
+    sources, reason = F.col("sources"), F.coalesce("merge_reason", F.lit(""))
+    rules = {
+        "WINDOW_ORDER": (F.col("start_ms") < 0) | (F.col("end_ms") <= F.col("start_ms")),
+        "TRIGGER_OUTSIDE": ~F.col("trigger_ms").between(F.col("start_ms"), F.col("end_ms")),
+        "SCORE_RANGE": F.isnan("score") | ~F.col("score").between(0, 1),
+        "CONTEXT_TOO_LONG": F.char_length("context") > 6000,
+        "SOURCES_NOT_UNIQUE": (F.size(F.array_distinct(sources)) < F.size(sources)) | F.exists(sources, lambda x: x.isNull()),
+        "SOURCES_WITHOUT_ITSELF": ~F.coalesce(F.array_contains(sources, F.col("candidate_id")), F.lit(False)),
+        "MERGED_WITHOUT_REASON": (F.size(sources) > 1) & (F.trim(reason) == ""),
+        "REASON_TOO_LONG": F.char_length(reason) > 500,
+    }
+    own = signals.join(events.select("candidate_id", "start_ms", "end_ms"), "candidate_id")
+    inside = own.groupBy("candidate_id").agg(F.bool_or(~F.col("ts_ms").between(F.col("start_ms"), F.col("end_ms"))).alias("outside"))
+    rows = events.join(inside, "candidate_id", "left")
+    rules |= {"NO_SIGNALS": F.col("outside").isNull(), "SIGNAL_OUTSIDE": F.col("outside")}
+    broken = F.array_compact(F.array(*(F.when(F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in rules.items())))
+    return rows.select("candidate_id", F.explode(broken).alias("rule"))
+
+
+def inventory(candidates: DataFrame, signals: DataFrame, term: str = "", status: str = "", event_type: str = "", sort: str = "timestamp") -> DataFrame:
+    """Candidates of a status (REJECTED, or anything else as DETECTED) and type whose type, context, evidence or reasons have the term; in order of time,
+    of confidence, or of status and time."""
+    said = signals.groupBy("candidate_id").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("ts_ms", "evidence"))), lambda x: x["evidence"])).alias("v_said"))
+    rows = candidates.join(said, "candidate_id", "left")
+    text = F.lower(F.concat_ws(" ", "event_type", F.coalesce("context", F.lit("")), "v_said"))
+    rows = rows.where(text.contains(term.strip().lower())) if term.strip() else rows
+    rows = rows.where((F.when(F.col("status") == "REJECTED", "REJECTED").otherwise("DETECTED")) == status) if status else rows
+    rows = rows.where(F.col("event_type") == event_type) if event_type else rows
+    order = {"timestamp": ["trigger_ms"], "confidence": [F.desc("score")], "status": ["status", "trigger_ms"]}[sort]
+    return rows.drop("v_said").orderBy(*order, "candidate_id")
+
+
+def clip_targets(reviewed: DataFrame, assets: DataFrame, selected: DataFrame | None = None) -> DataFrame:
+    """candidate_id, start_ms, end_ms, manual of events that clips can be made of: of complete recordings, detected or confirmed by a person and not rejected by one, or
+    picked by hand (selected: candidate_id)."""
+    rows = reviewed.join(assets.where("status = 'COMPLETED'").select("asset_id"), "asset_id", "left_semi")
+    picked = F.lit(False)
+    if selected is not None:
+        rows = rows.join(selected.select("candidate_id", F.lit(True).alias("v_picked")).distinct(), "candidate_id", "left")
+        picked = F.coalesce("v_picked", F.lit(False))
+    said = F.coalesce("review_status", F.lit("UNREVIEWED"))
+    manual = F.col("manual_start_ms").isNotNull() & F.col("manual_end_ms").isNotNull()
+    good = ((F.col("status") == "DETECTED") | (said == "CONFIRMED")) & (said != "REJECTED")
+    at = lambda c: F.when(manual, F.col(f"manual_{c}")).otherwise(F.col(c)).alias(c)
+    return rows.where(picked | good).select("candidate_id", at("start_ms"), at("end_ms"), manual.alias("manual"))
+
+
+def asset_page(assets: DataFrame, sort: str, descending: bool, number: int, size: int) -> DataFrame:
+    """A page of recordings by one of SORTS (another one is an error), ties by id, with the total and the number of pages in each row."""
+    from touchline.operators.review import page
+
+    if sort not in SORTS:
+        raise ValueError(f"recordings can be sorted by {', '.join(SORTS)}")
+    column = F.col(SORTS[sort])
+    return page(assets, [column.desc() if descending else column.asc(), F.col("asset_id")], number, size)
+
+
+def taxonomy(candidates: DataFrame) -> DataFrame:
+    """event_type, label, n: every type there is, how it reads, and how many candidates have it."""
+    kinds = candidates.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, EVENT_TYPES))).alias("event_type"))
+    counts = candidates.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return kinds.join(counts, "event_type", "left").select("event_type", F.replace("event_type", F.lit("_"), F.lit(" ")).alias("label"), F.coalesce("n", F.lit(0)).alias("n"))

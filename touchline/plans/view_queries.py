@@ -59,3 +59,61 @@ def x20(t: Tables):
     day = F.when(F.col("asset_id") % 6 != 0, F.concat(F.lit("2024-01-0"), (F.col("asset_id") % 3 + 1).cast("string")).cast("date"))
     rows = t("assets").withColumn("match_date", day)
     return rows.select("asset_id", V.match_key(rows).alias("match_key"))
+
+
+RULES = """, ev as (
+  select candidate_id, asset_id, run_id, if(candidate_id % 19 = 0, end_ms + 1, start_ms) as s, end_ms as e, trigger_ms + candidate_id % 12 * 1000 as t, if(candidate_id % 23 = 0, 1.5e0, score) as score,
+    case candidate_id % 6 when 0 then [candidate_id, candidate_id] when 1 then [candidate_id + 1] when 2 then [candidate_id, candidate_id + 1] else [candidate_id] end as src, if(candidate_id % 4 = 2, 'merged', null) as reason from candidates),
+own as (select c.candidate_id, g.ts_ms from candidates c join signals g on g.asset_id = c.asset_id and g.run_id = c.run_id and g.ts_ms between c.trigger_ms - 4000 and c.trigger_ms + 9000 and c.candidate_id % 5 > 0),
+o as (select ev.candidate_id, bool_or(ts_ms not between s and e) as outside from ev join own using (candidate_id) group by 1),
+r as (select candidate_id, list_filter([if(s < 0 or e <= s, 'WINDOW_ORDER', null), if(t not between s and e, 'TRIGGER_OUTSIDE', null), if(score not between 0 and 1, 'SCORE_RANGE', null),
+  if(len(list_distinct(src)) < len(src), 'SOURCES_NOT_UNIQUE', null), if(not list_contains(src, candidate_id), 'SOURCES_WITHOUT_ITSELF', null), if(len(src) > 1 and coalesce(reason, '') = '', 'MERGED_WITHOUT_REASON', null),
+  if(outside is null, 'NO_SIGNALS', null), if(outside, 'SIGNAL_OUTSIDE', null)], lambda x: x is not null) as l from ev left join o using (candidate_id))
+select candidate_id, unnest(l) as rule from r"""
+
+
+@query("f8_event_rules", needs=("candidates", "signals"), sql=RULES)
+def f8(t: Tables):
+    from touchline.operators import timejoin as T
+
+    c, own = t("candidates"), F.col("candidate_id")
+    sources = F.when(own % 6 == 0, F.array(own, own)).when(own % 6 == 1, F.array(own + 1)).when(own % 6 == 2, F.array(own, own + 1)).otherwise(F.array(own))
+    events = c.withColumns({
+        "start_ms": F.when(own % 19 == 0, F.col("end_ms") + 1).otherwise(F.col("start_ms")), "trigger_ms": F.col("trigger_ms") + own % 12 * 1000, "score": F.when(own % 23 == 0, 1.5).otherwise(F.col("score")),
+        "sources": sources, "merge_reason": F.when(own % 4 == 2, "merged"),
+    })
+    left = c.where(own % 5 > 0).select("candidate_id", "asset_id", "run_id", "trigger_ms")
+    signals = T.range_join(left, t("signals").select("asset_id", "run_id", "ts_ms"), ["asset_id", "run_id"], F.col("trigger_ms") - 4000, F.col("trigger_ms") + 9000, "ts_ms", 30_000)
+    return V.event_rules(events, signals.select("candidate_id", "ts_ms"))
+
+
+@query("f3_inventory", needs=("candidates", "signals"), sql="""select candidate_id, event_type, status, trigger_ms, score from candidates c
+where status = 'REJECTED' and (contains(lower(event_type || ' ' || coalesce(context, '')), '7') or exists (
+  select 1 from signals g where g.asset_id = c.asset_id and g.run_id = c.run_id and g.ts_ms between c.start_ms and c.end_ms and contains(lower(g.evidence), '7')))""")
+def f3(t: Tables):
+    from touchline.operators import timejoin as T
+
+    left = t("candidates").select("candidate_id", "asset_id", "run_id", "start_ms", "end_ms")
+    signals = T.range_join(left, t("signals").select("asset_id", "run_id", "ts_ms", "evidence"), ["asset_id", "run_id"], F.col("start_ms"), F.col("end_ms"), "ts_ms", 30_000)
+    found = V.inventory(t("candidates"), signals.select("candidate_id", "ts_ms", "evidence"), " 7 ", "REJECTED", sort="status")
+    return found.select("candidate_id", "event_type", "status", "trigger_ms", "score")
+
+
+@query("f11_clip_targets", needs=("candidates", "reviews", "assets"), sql="""select candidate_id, if(m, manual_start_ms, start_ms) as start_ms, if(m, manual_end_ms, end_ms) as end_ms, m as manual
+from (select c.*, manual_start_ms, manual_end_ms, coalesce(review_status, 'UNREVIEWED') as r, manual_start_ms is not null and manual_end_ms is not null as m
+  from candidates c left join reviews using (candidate_id) semi join (from assets where status = 'COMPLETED') using (asset_id))
+where candidate_id % 10 = 3 or ((status = 'DETECTED' or r = 'CONFIRMED') and r <> 'REJECTED')""")
+def f11(t: Tables):
+    reviewed = t("candidates").join(t("reviews"), "candidate_id", "left")
+    return V.clip_targets(reviewed, t("assets"), t("candidates").where("candidate_id % 10 = 3"))
+
+
+@query("k4_assets_by_duration", needs=("assets",), sql="select asset_id, duration_ms, (select count(*) from assets) as total, (select ceil(count(*) / 4) from assets)::bigint as pages from assets order by duration_ms desc, asset_id limit 4 offset 4")
+def k4(t: Tables):
+    return V.asset_page(t("assets"), "durationMs", True, 1, 4).select("asset_id", "duration_ms", "total", "pages")
+
+
+@query("x22_event_types", needs=("candidates",), sql=f"""select event_type, replace(event_type, '_', ' ') as label, coalesce(n, 0) as n from (select unnest([{", ".join(repr(k) for k in V.EVENT_TYPES)}]) as event_type)
+left join (select event_type, count(*) as n from candidates group by 1) using (event_type)""")
+def x22(t: Tables):
+    return V.taxonomy(t("candidates"))
