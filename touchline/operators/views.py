@@ -151,3 +151,26 @@ def taxonomy(candidates: DataFrame) -> DataFrame:
     kinds = candidates.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, EVENT_TYPES))).alias("event_type"))
     counts = candidates.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
     return kinds.join(counts, "event_type", "left").select("event_type", F.replace("event_type", F.lit("_"), F.lit(" ")).alias("label"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def timeline(assets: DataFrame, reviewed: DataFrame, markers: DataFrame, observations: DataFrame, scores: DataFrame, truths: DataFrame, readings: DataFrame) -> DataFrame:
+    """asset_id, layer, item, at_ms, percent: the ten layers of a recording's timeline, and where an item stands along it.
+
+    An event is in several layers: by its status, and by what a person said of it. The timeline is as long as the recording, else as the last
+    thing known of it, and at least 1 ms.
+    """
+    events = reviewed.withColumn("layers", F.array_compact(F.array(
+        F.when(F.col("status") == "REJECTED", "rejected").when(F.col("status") == "MANUAL", "manual").otherwise("detected"),
+        F.when(~F.col("status").isin("REJECTED", "MANUAL") & (F.col("review_status") == "CONFIRMED"), "confirmed"),
+        F.when(F.col("review_status") == "REJECTED", "human_rejected"),
+    )))
+    name = lambda df, layer, item, at="ts_ms": df.select("asset_id", F.lit(layer).alias("layer"), F.col(item).cast("string").alias("item"), F.col(at).alias("at_ms"))
+    rows = events.select("asset_id", F.explode("layers").alias("layer"), F.col("candidate_id").cast("string").alias("item"), F.col("trigger_ms").alias("at_ms"))
+    for part in (name(markers, "structure", "marker_type"), name(observations, "observations", "id"), name(scores, "score", "transition_id"), name(truths, "ground_truth", "gt_id"), name(readings, "ocr", "kind")):
+        rows = rows.unionByName(part)
+    known = rows.where("layer in ('structure', 'score', 'observations', 'ocr')").select("asset_id", "at_ms").unionByName(reviewed.select("asset_id", F.col("end_ms").alias("at_ms")))
+    latest = known.groupBy("asset_id").agg(F.max("at_ms").alias("latest_ms"))
+    length = assets.select("asset_id", "duration_ms").join(latest, "asset_id", "left")
+    length = length.select("asset_id", F.coalesce(F.when(F.col("duration_ms") > 0, F.col("duration_ms")), F.greatest(F.lit(1), "latest_ms"), F.lit(1)).alias("length_ms"))
+    share = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("at_ms") * 100.0 / F.col("length_ms")))
+    return rows.join(length, "asset_id").select("asset_id", "layer", "item", "at_ms", share.alias("percent"))

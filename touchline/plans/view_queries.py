@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from touchline.operators import scoreboard as B
 from touchline.operators import views as V
+from touchline.plans.detection_queries import STATES
 from touchline.plans.registry import Tables, query
 
 FAMILY = "case " + " ".join(f"when signal_type in ({', '.join(repr(k) for k in kinds)}) then '{name}'" for name, kinds in V.FAMILIES.items()) + " else 'OTHER' end"
@@ -117,3 +119,21 @@ def k4(t: Tables):
 left join (select event_type, count(*) as n from candidates group by 1) using (event_type)""")
 def x22(t: Tables):
     return V.taxonomy(t("candidates"))
+
+
+@query("u3_timeline", needs=("signals", "candidates", "reviews", "assets", "markers", "gt_events", "score_transitions", "ocr_readings"), sql=STATES + """, a as (select asset_id, if(asset_id % 4 = 0, null, duration_ms) as d from assets),
+rv as (select c.*, coalesce(review_status, 'UNREVIEWED') as r from candidates c left join reviews using (candidate_id)),
+rows as (
+  select asset_id, case status when 'REJECTED' then 'rejected' when 'MANUAL' then 'manual' else 'detected' end as layer, candidate_id::varchar as item, trigger_ms as at_ms from rv
+  union all select asset_id, 'confirmed', candidate_id::varchar, trigger_ms from rv where status = 'DETECTED' and r = 'CONFIRMED' union all select asset_id, 'human_rejected', candidate_id::varchar, trigger_ms from rv where r = 'REJECTED'
+  union all select asset_id, 'structure', marker_type, ts_ms from markers union all select asset_id, 'observations', id::varchar, ts_ms from signals union all select asset_id, 'score', transition_id::varchar, ts_ms from score_transitions
+  union all select asset_id, 'ground_truth', gt_id::varchar, ts_ms from gt_events union all select asset_id, 'ocr', if(pv is null, 'SCORE_STATE', 'SCORE_TRANSITION'), ts_ms from states),
+len as (select a.asset_id, coalesce(d, greatest(1, max(t)), 1) as l from a left join (
+  select asset_id, at_ms as t from rows where layer in ('structure', 'score', 'observations', 'ocr') union all select asset_id, end_ms from candidates) k using (asset_id) group by a.asset_id, d)
+select asset_id, layer, item, at_ms, round(greatest(0, least(100, at_ms * 100e0 / l)), 6) as percent from rows join len using (asset_id)""")
+def u3(t: Tables):
+    assets = t("assets").withColumn("duration_ms", F.when(F.col("asset_id") % 4 != 0, F.col("duration_ms")))
+    reviewed = t("candidates").join(t("reviews").select("candidate_id", "review_status"), "candidate_id", "left").withColumn("review_status", F.coalesce("review_status", F.lit("UNREVIEWED")))
+    readings = B.scoreboard_states(t("ocr_readings")).withColumn("kind", F.when(F.col("previous_home").isNull(), "SCORE_STATE").otherwise("SCORE_TRANSITION"))
+    rows = V.timeline(assets, reviewed, t("markers"), t("signals"), t("score_transitions"), t("gt_events"), readings)
+    return rows.withColumn("percent", F.round("percent", 6))
