@@ -133,7 +133,7 @@ class Packer:
 
 
 #: Bytes of the cache of words, in a Python worker.
-CACHED = 96 << 20
+CACHED = 48 << 20
 
 
 class LibraryEncoder:
