@@ -174,3 +174,33 @@ def timeline(assets: DataFrame, reviewed: DataFrame, markers: DataFrame, observa
     length = length.select("asset_id", F.coalesce(F.when(F.col("duration_ms") > 0, F.col("duration_ms")), F.greatest(F.lit(1), "latest_ms"), F.lit(1)).alias("length_ms"))
     share = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("at_ms") * 100.0 / F.col("length_ms")))
     return rows.join(length, "asset_id").select("asset_id", "layer", "item", "at_ms", share.alias("percent"))
+
+
+def reading_rules(observations: DataFrame) -> DataFrame:
+    """asset_id, ts_ms, rule of stored scoreboard readings (kind, confidence, home, away, previous_home, previous_away, details as JSON text)."""
+    from touchline.operators.review import violations
+
+    known = ("OCR_OBSERVATION", "SCORE_STATE", "SCORE_TRANSITION", "SCORE_REVERSAL")
+    out = lambda c: ~F.col(c).between(0, 15)
+    rules = {
+        "NEGATIVE_TIME": F.col("ts_ms") < 0,
+        "UNKNOWN_KIND": F.col("kind").isNull() | ~F.col("kind").isin(*known),
+        "CONFIDENCE_RANGE": F.isnan("confidence") | ~F.col("confidence").between(0, 1),
+        "SCORE_RANGE": F.greatest(*(F.coalesce(out(c), F.lit(False)) for c in ("home", "away", "previous_home", "previous_away"))),
+        "DETAILS_NO_OBJECT": ~F.coalesce(F.trim("details").rlike(r"(?s)^\{.*\}$") & F.try_parse_json("details").isNotNull(), F.lit(False)),
+    }
+    return violations(observations, ["asset_id", "ts_ms"], rules)
+
+
+def component_rules(components: DataFrame) -> DataFrame:
+    """candidate_id, component, rule of parts of a score (evidence_confidence, weight, contribution, explanation)."""
+    from touchline.operators.review import violations
+
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    rules = {
+        "UNKNOWN_COMPONENT": F.col("component").isNull(),
+        "CONFIDENCE_RANGE": ~finite("evidence_confidence") | ~F.col("evidence_confidence").between(0, 1),
+        "NOT_FINITE": ~finite("weight") | ~finite("contribution"),
+        "NO_EXPLANATION": F.trim(F.coalesce("explanation", F.lit(""))) == "",
+    }
+    return violations(components, ["candidate_id", "component"], rules)

@@ -137,3 +137,34 @@ def u3(t: Tables):
     readings = B.scoreboard_states(t("ocr_readings")).withColumn("kind", F.when(F.col("previous_home").isNull(), "SCORE_STATE").otherwise("SCORE_TRANSITION"))
     rows = V.timeline(assets, reviewed, t("markers"), t("signals"), t("score_transitions"), t("gt_events"), readings)
     return rows.withColumn("percent", F.round("percent", 6))
+
+
+READINGS = """select asset_id, if(ts_ms % 35000 = 0, -1 - ts_ms, ts_ms) as ts_ms, case ts_ms // 5000 % 11 when 3 then 'OCR' when 4 then null when 5 then 'SCORE_STATE' else 'OCR_OBSERVATION' end as kind,
+    confidence + ts_ms // 5000 % 4 * 0.2e0 as confidence, ts_ms // 5000 % 17 as home, asset_id % 3 as away, case ts_ms // 5000 % 6 when 0 then -1 when 1 then null else 2 end as previous_home, null::int as previous_away,
+    case ts_ms // 5000 % 5 when 0 then '{"a":1}' when 1 then '[1]' when 2 then '{"a":' else '{}' end as details from ocr_readings"""
+
+
+@query("f9_reading_violations", needs=("ocr_readings",), sql=f", r as ({READINGS})" + """ select asset_id, ts_ms, unnest(l) as rule from (select asset_id, ts_ms, list_filter([
+  if(ts_ms < 0, 'NEGATIVE_TIME', null), if(kind is null or kind not in ('OCR_OBSERVATION', 'SCORE_STATE', 'SCORE_TRANSITION', 'SCORE_REVERSAL'), 'UNKNOWN_KIND', null), if(confidence not between 0 and 1, 'CONFIDENCE_RANGE', null),
+  if(home not between 0 and 15 or away not between 0 and 15 or coalesce(previous_home not between 0 and 15, false), 'SCORE_RANGE', null), if(details in ('[1]', '{"a":'), 'DETAILS_NO_OBJECT', null)], lambda x: x is not null) as l from r)""")
+def f9r(t: Tables):
+    n = F.floor(F.col("ts_ms") / 5000)
+    rows = t("ocr_readings").select(
+        "asset_id", F.when(F.col("ts_ms") % 35_000 == 0, -1 - F.col("ts_ms")).otherwise(F.col("ts_ms")).alias("ts_ms"),
+        F.when(n % 11 == 3, "OCR").when(n % 11 == 4, F.lit(None)).when(n % 11 == 5, "SCORE_STATE").otherwise("OCR_OBSERVATION").alias("kind"), (F.col("confidence") + n % 4 * 0.2).alias("confidence"), (n % 17).alias("home"),
+        (F.col("asset_id") % 3).alias("away"), F.when(n % 6 == 0, -1).when(n % 6 == 1, F.lit(None)).otherwise(2).alias("previous_home"), F.lit(None).cast("int").alias("previous_away"),
+        F.when(n % 5 == 0, '{"a":1}').when(n % 5 == 1, "[1]").when(n % 5 == 2, '{"a":').otherwise("{}").alias("details"),
+    )
+    return V.reading_rules(rows)
+
+
+@query("f9_component_violations", needs=("candidates",), sql="""select candidate_id, component, unnest(l) as rule from (
+  select candidate_id, if(candidate_id % 9 = 0, null, event_type) as component, list_filter([if(candidate_id % 9 = 0, 'UNKNOWN_COMPONENT', null), if(score + candidate_id % 4 * 0.3e0 not between 0 and 1, 'CONFIDENCE_RANGE', null),
+    if(candidate_id % 7 = 0, 'NOT_FINITE', null), if(candidate_id % 5 < 2, 'NO_EXPLANATION', null)], lambda x: x is not null) as l from candidates)""")
+def f9c(t: Tables):
+    own = F.col("candidate_id")
+    rows = t("candidates").select(
+        "candidate_id", F.when(own % 9 != 0, F.col("event_type")).alias("component"), (F.col("score") + own % 4 * 0.3).alias("evidence_confidence"), F.when(own % 14 == 0, float("inf")).when(own % 7 != 0, 0.7).alias("weight"),
+        F.lit(0.1).alias("contribution"), F.when(own % 5 == 0, " ").when(own % 5 > 1, "why").alias("explanation"),
+    )
+    return V.component_rules(rows)
