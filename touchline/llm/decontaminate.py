@@ -245,6 +245,7 @@ def scan(texts: list[bytes], known: WindowSet) -> list[Found]:
         if any(places for _, places, _ in met):
             lay = [(b - spans[0][2], e - spans[0][2]) for _, b, e in carried[1]] + list(zip(words.begin.tolist(), words.end.tolist(), strict=True))
             shown = [w for w, _, _ in carried[1]] + [words.raw[b:e] for b, e in lay[extra:]]
+        fresh: dict[int, list[list[int]]] = {}
         for length, places, ats in met:
             for k, at in zip(places, ats, strict=True):
                 mine = owner[k]
@@ -256,7 +257,10 @@ def scan(texts: list[bytes], known: WindowSet) -> list[Found]:
                     of = found[number]
                     of.windows.add(at)
                     first = of.words - (extra if mine == 0 else 0) + k - int(bounds[mine])
-                    of.spans.append([first, first + length, lay[k][0] - begins + skipped, lay[k + length - 1][1] - begins + skipped])
+                    fresh.setdefault(number, []).append([first, first + length, lay[k][0] - begins + skipped, lay[k + length - 1][1] - begins + skipped])
+        for number, new in fresh.items():  # what was found before reaches into the carried words at most
+            spans_so_far = found[number].spans
+            found[number].spans = spans_so_far[:-WINDOW] + united(spans_so_far[-WINDOW:] + new)
         for j, (number, _, _) in enumerate(spans):
             found[number].words += int(bounds[j + 1] - bounds[j]) - (extra if j == 0 else 0)
         last, lo = spans[-1], max(int(bounds[-2]), len(hashes) - most + 1)
@@ -265,8 +269,6 @@ def scan(texts: list[bytes], known: WindowSet) -> list[Found]:
             b, e = int(words.begin[k]), int(words.end[k])
             held.append((words.raw[b:e], b - last[1] + last[2], e - last[1] + last[2]))
         tail = (last[0], held, hashes[lo:])
-    for of in found:
-        of.spans = united(of.spans)
     return found
 
 
