@@ -204,3 +204,20 @@ def component_rules(components: DataFrame) -> DataFrame:
         "NO_EXPLANATION": F.trim(F.coalesce("explanation", F.lit(""))) == "",
     }
     return violations(components, ["candidate_id", "component"], rules)
+
+
+def goal_manifest(goals: DataFrame, cues: DataFrame, frames: int = 5, spacing_ms: int = 1000) -> DataFrame:
+    """goal_id, kind (FRAME, REPLAY), number (from 1), from_ms, to_ms (null for frames) of goals (goal_id, goal_ms) and their replay cues (goal_id, cue_ms, from_ms, to_ms).
+
+    Frames lie at equal steps before the goal; where it is too near the start for that, they divide the time there is. A goal at 0 has none.
+    """
+    from pyspark.sql import Window
+
+    oldest = F.greatest(F.lit(0), F.col("goal_ms") - frames * spacing_ms)
+    whole = F.col("goal_ms") - oldest >= frames * spacing_ms
+    k = F.col("number") - 1
+    at = F.when(whole, oldest + k * spacing_ms).otherwise(oldest + F.floor((F.col("goal_ms") - oldest) * (k + 1) / F.lit(frames + 1)))
+    shots = goals.where("goal_ms > 0").withColumn("number", F.explode(F.sequence(F.lit(1), F.lit(frames))))
+    shots = shots.select("goal_id", F.lit("FRAME").alias("kind"), "number", at.cast("long").alias("from_ms"), F.lit(None).cast("long").alias("to_ms"))
+    order = Window.partitionBy("goal_id").orderBy("cue_ms")
+    return shots.unionByName(cues.select("goal_id", F.lit("REPLAY").alias("kind"), F.row_number().over(order).alias("number"), "from_ms", "to_ms"))

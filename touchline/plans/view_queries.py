@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from touchline.operators import scoreboard as B
+from touchline.operators import transcript as P
 from touchline.operators import views as V
 from touchline.plans.detection_queries import STATES
+from touchline.plans.more_queries import CUE
 from touchline.plans.registry import Tables, query
 
 FAMILY = "case " + " ".join(f"when signal_type in ({', '.join(repr(k) for k in kinds)}) then '{name}'" for name, kinds in V.FAMILIES.items()) + " else 'OTHER' end"
@@ -168,3 +170,17 @@ def f9c(t: Tables):
         F.lit(0.1).alias("contribution"), F.when(own % 5 == 0, " ").when(own % 5 > 1, "why").alias("explanation"),
     )
     return V.component_rules(rows)
+
+
+MANIFEST = CUE.replace("min(start_ms) as goal_ms", "asset_id % 9 * 800 as goal_ms") + """, kept as (
+  select goal_id, min(cue_ms) as cue_ms, 1 as k, max(last_ms) as last_ms from f group by goal_id
+  union all select h.goal_id, min(f.cue_ms), h.k + 1, h.last_ms from kept h join f on f.goal_id = h.goal_id and f.cue_ms > h.cue_ms + 25000 where h.k < 3 group by h.goal_id, h.cue_ms, h.k, h.last_ms)
+select goal_id, 'FRAME' as kind, i as number, if(goal_ms >= 5000, goal_ms - 5000 + (i - 1) * 1000, goal_ms * i // 6) as from_ms, null as to_ms from gl, range(1, 6) r(i) where goal_ms > 0
+union all select goal_id, 'REPLAY', k, greatest(0, cue_ms - 8000), least(last_ms, cue_ms + 25000) from kept"""
+
+
+@query("c2_review_manifest", needs=("segments",), sql=MANIFEST)
+def c2(t: Tables):
+    s = t("segments")
+    goals = s.groupBy("asset_id").agg((F.col("asset_id") * 1000 + F.min("seq")).alias("goal_id"), (F.col("asset_id") % 9 * 800).alias("goal_ms"))
+    return V.goal_manifest(goals, P.goal_replay_cues(goals, s, ("with", "dans"), ("the", "les")))
