@@ -74,3 +74,12 @@ def test_lexicon_of_other_languages_counts_only_where_there_is_none_of_ones_own(
     found = lambda rows: sorted((r.asset_id, r.phrase) for r in P.match_lexicon(P.normalized(segments), spark.createDataFrame(rows, "lang string, event_type string, phrase string"), 2).collect())
     assert found(words) == [(1, "goal"), (2, "goal"), (3, "but")]
     assert found([*words, ("und", "VAR", "del")]) == [(1, "del"), (2, "goal")]
+
+
+def test_support_at_the_time_of_its_anchor_has_nothing_between(spark):
+    rows = [*goal(1), (1, 100_000, "ATTACK_BUILDUP", None, 0.4), (1, 90_000, "TRANSCRIPT_SHOT", "SHOT", 0.9), (1, 89_000, "ATTACK_BUILDUP", None, 0.9)]
+    made = signals(spark, *rows)
+    a = E.anchors(made)
+    support = E.attach_support(a, made)
+    assert {(r.event_type, r.ts_ms) for r in support.collect()} == {("GOAL", 100_000), ("SHOT", 89_000)}
+    assert {r.event_type: r.buildup for r in E.family_confidences(a, support).collect()} == {"GOAL": 0.4, "SHOT": 0.9}
