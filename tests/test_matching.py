@@ -157,3 +157,22 @@ def test_thinning_keeps_no_island_as_an_array(spark):
         assert thin.columns == dense.columns
         assert sorted(r.row for r in thin.collect()) == list(range(0, 100_000, step))
         assert "collect_list" not in thin._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("how", ["left", "left_semi", "left_anti"])
+def test_range_join_of_rows_in_no_fixed_order(spark, how):
+    def shuffled(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            order = list(range(batch.num_rows))
+            random.SystemRandom().shuffle(order)
+            yield batch.take(pa.array(order))
+
+    left = spark.range(0, 200, 1, 1).selectExpr("id % 2 as k", "id * 10 as t").union(spark.sql("select 0L as k, 40L as t union all select null, 5L union all select 1L, null")).coalesce(1).mapInArrow(shuffled, "k long, t long")
+    right = spark.createDataFrame([(0, 45), (0, 45), (1, 1000), (1, 1333)], "k long, o long")
+    found = T.range_join(left, right, ["k"], F.col("t"), F.col("t") + 20, "o", 15, how)
+    rows = [(i % 2, i * 10) for i in range(200)] + [(0, 40), (None, 5), (1, None)]
+    of = lambda k, t: [o for j, o in [(0, 45), (0, 45), (1, 1000), (1, 1333)] if k == j and t is not None and t <= o <= t + 20]
+    want = {"left": [(k, t, o) for k, t in rows for o in of(k, t) or [None]], "left_semi": [r for r in rows if of(*r)], "left_anti": [r for r in rows if not of(*r)]}[how]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
