@@ -99,3 +99,14 @@ def test_json_that_comes_back(spark):
     assert back.select("k", "s", "m").collect() == df.collect() and back.where("size(corrupt) > 0").count() == 0
     broken = IO.from_json_columns(text.withColumn("s", F.when(F.col("k") == 1, "[{").otherwise(F.col("s"))), kinds).orderBy("k").collect()
     assert [(r.s, len(r.corrupt)) for r in broken] == [(None, 1), ([], 0), (None, 0)] and broken[0].corrupt[0].text == "[{" and broken[0].m == {"x": 1}
+
+
+def test_windows_of_other_rates_and_lengths_and_without_samples(spark):
+    wave = lambda n, rate, hz: [0.4 * math.sin(2 * math.pi * hz * i / rate) for i in range(n)]
+    rows = [(1, 0, 16_000, wave(16_000, 16_000, 200)), (1, 1, 8000, wave(8000, 8000, 200)), (1, 2, 8000, wave(700, 8000, 200)), (1, 3, 8000, None), (1, 4, 8000, []), (1, 5, 8000, wave(2750, 8000, 160))]
+    samples = spark.createDataFrame(rows, "asset_id long, window long, rate int, samples array<double>")
+    pitch = {r.ts_ms // 1000: r for r in D.pitch_features(samples, block=2).collect()}
+    assert [pitch[k].median_pitch_hz for k in (0, 1, 2, 4, 5)] == [200, 200, 0, 0, 160]
+    assert [pitch[k].voiced_frame_ratio for k in (0, 1, 2, 3, 4, 5)] == [1, 1, 0, None, 0, 1]
+    levels = {r.ts_ms // 1000: r for r in D.audio_windows(samples).collect()}
+    assert levels[2].dbfs == pytest.approx(20 * math.log10(math.sqrt(sum(x * x for x in rows[2][3]) / 700))) and levels[4].dbfs == -100 and levels[3].zero_crossing_rate is None

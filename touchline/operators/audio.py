@@ -70,49 +70,75 @@ def high_excitement(signals: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
 
 def audio_windows(samples: DataFrame, floor: float = 1e-5) -> DataFrame:
     """Level, peak and zero crossings of windows. samples: asset_id, window, rate, samples (array of doubles in -1..1, one window)."""
-    n = F.size("samples")
-    mean = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x) / F.greatest(F.size(a), F.lit(1)))
-    db = lambda rms: F.greatest(F.lit(-100.0), F.least(F.lit(0.0), 20 * F.log10(F.greatest(rms, F.lit(floor)))))
-    step = F.greatest((F.col("rate") / 10).cast("int"), F.lit(1))
-    parts = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / step).cast("int")), lambda k: mean(F.slice("samples", k * step + 1, step)))
-    turns = F.size(F.filter(F.transform("samples", lambda x, i: (i > 0) & ((x >= 0) != (F.element_at("samples", F.greatest(i, F.lit(1))) >= 0))), lambda x: x))
-    return samples.select(
-        "asset_id",
-        (F.col("window") * 1000 + 500).alias("ts_ms"),
-        db(mean(F.col("samples"))).alias("dbfs"),
-        db(F.array_max(parts)).alias("peak_dbfs"),
-        (turns / F.greatest(n - 1, F.lit(1))).alias("zero_crossing_rate"),
-    )
 
+    @F.pandas_udf("rms double, peak double, turns double")
+    def of(windows: pd.Series, rates: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([level_of(w, rate) for w, rate in zip(windows, rates, strict=True)], columns=["rms", "peak", "turns"])
 
-def pitch_of(samples: np.ndarray, rate: int) -> float:
-    """Pitch of a frame by normalised autocorrelation: its first peak of .65 or more between 70 and 400 Hz; 0 without one."""
+    db = lambda rms: F.greatest(F.lit(-100.0), F.least(F.lit(0.0), 20 * F.log10(F.greatest(rms, F.lit(floor)))))
+    out = samples.select("asset_id", (F.col("window") * 1000 + 500).alias("ts_ms"), of("samples", "rate").alias("p"))
+    return out.select("asset_id", "ts_ms", db(F.col("p.rms")).alias("dbfs"), db(F.col("p.peak")).alias("peak_dbfs"), F.col("p.turns").alias("zero_crossing_rate"))
+
+
+def level_of(samples: np.ndarray | None, rate: int) -> tuple[float | None, float | None, float | None]:
+    """Root of the mean square of a window, the greatest of its tenths of a second, and the share of neighbours that differ in sign. Squares are added in order."""
+    if samples is None:
+        return None, None, None
+    x, step = np.asarray(samples, float), max(int(rate / 10), 1)
+    if not len(x):
+        return 0.0, 0.0, 0.0
+    square, over = x * x, -len(x) % step
+    parts = np.cumsum(np.pad(square, (0, over)).reshape(-1, step), axis=1)[:, -1]
+    sizes = np.full(len(parts), step)
+    sizes[-1] -= over
+    turns = np.count_nonzero((x[1:] >= 0) != (x[:-1] >= 0))
+    return float(np.sqrt(np.cumsum(square)[-1] / len(x))), float(np.sqrt(parts / sizes).max()), turns / max(len(x) - 1, 1)
+
+
+def pitches_of(frames: np.ndarray, rate: float) -> np.ndarray:
+    """Pitch of each frame (a row) by normalised autocorrelation: its first peak of .65 or more between 70 and 400 Hz; 0 without one."""
     stride = max(1, round(rate / 8000))
-    x = samples[::stride] - samples[::stride].mean()
-    rate /= stride
-    energy = float(x @ x)
-    if energy <= 1e-9:
-        return 0.0
-    lags = range(max(1, int(rate / 400)), min(len(x) - 2, int(rate / 70)) + 1)
-    r = {k: float(x[k:] @ x[:-k]) / float(np.sqrt((x[k:] @ x[k:]) * (x[:-k] @ x[:-k])) or 1.0) for k in range(lags.start - 1, lags.stop + 1) if k > 0}
-    for k in lags:
-        if r[k] >= 0.65 and r[k] >= r.get(k - 1, -1) and r[k] >= r.get(k + 1, -1):
-            return rate / k
-    return 0.0
-
-
-def pitch_features(samples: DataFrame) -> DataFrame:
-    """asset_id, ts_ms, median_pitch_hz, pitch_variance_hz (standard deviation), voiced_frame_ratio of windows. One window is in Python at a time."""
+    x = np.ascontiguousarray(frames[:, ::stride])
+    x = x - x.mean(axis=1, keepdims=True)
+    rate, n = rate / stride, x.shape[1]
+    least, most = max(1, int(rate / 400)), min(n - 2, int(rate / 70))
+    if most < least or not len(x):
+        return np.zeros(len(x))
+    head = np.cumsum(x * x, axis=1)
+    tail = np.cumsum((x * x)[:, ::-1], axis=1)
+    r = np.full((len(x), most - least + 3), -1.0)  # lags from least - 1 to most + 1
+    for k in range(max(1, least - 1), most + 2):
+        size = np.sqrt(head[:, n - k - 1] * tail[:, n - k - 1])
+        r[:, k - least + 1] = np.einsum("fi,fi->f", x[:, k:], x[:, :-k]) / np.where(size == 0, 1.0, size)
+    peak = (r[:, 1:-1] >= 0.65) & (r[:, 1:-1] >= r[:, :-2]) & (r[:, 1:-1] >= r[:, 2:]) & (head[:, -1:] > 1e-9)
+    return np.where(peak.any(axis=1), rate / (least + peak.argmax(axis=1)), 0.0)
+
+
+def pitch_features(samples: DataFrame, block: int = 2048) -> DataFrame:
+    """asset_id, ts_ms, median_pitch_hz, pitch_variance_hz (standard deviation), voiced_frame_ratio of windows. Spark cuts the frames out; Python gets these
+    alone, and looks at up to block of them at a time."""
 
     @F.pandas_udf("median double, spread double, voiced double")
     def of(windows: pd.Series, rates: pd.Series) -> pd.DataFrame:
-        rows = []
-        for w, rate in zip(windows, rates, strict=True):
-            x, size = np.asarray(w, float), int(rate * 0.04)
-            found = [pitch_of(x[a : a + size], rate) for a in range(int(rate * 0.08), len(x) - size + 1, int(rate * 0.3))]
-            voiced = [p for p in found if p > 0]
-            rows.append((float(np.median(voiced)) if voiced else 0.0, float(np.std(voiced)) if voiced else 0.0, len(voiced) / len(found) if found else 0.0))
+        rows: list = [(None, None, None)] * len(windows)
+        alike: dict[tuple, list[int]] = {}
+        for i, (w, rate) in enumerate(zip(windows, rates, strict=True)):
+            if w is not None:
+                alike.setdefault((rate, len(w)), []).append(i)
+        for (rate, length), places in alike.items():
+            size = int(rate * 0.04)
+            each = length // size if size else 0
+            step = max(1, block // max(1, each))
+            for at in range(0, len(places), step):
+                some = places[at : at + step]
+                found = pitches_of(np.stack([windows.iloc[i] for i in some]).reshape(-1, size), rate).reshape(len(some), each) if each else np.zeros((len(some), 0))
+                for i, own in zip(some, found, strict=True):
+                    voiced = own[own > 0]
+                    rows[i] = (float(np.median(voiced)), float(np.std(voiced)), len(voiced) / each) if len(voiced) else (0.0, 0.0, 0.0)
         return pd.DataFrame(rows, columns=["median", "spread", "voiced"])
 
-    out = samples.select("asset_id", (F.col("window") * 1000 + 500).alias("ts_ms"), of("samples", "rate").alias("p"))
+    size, first, last = (F.col("rate") * 0.04).cast("int"), (F.col("rate") * 0.08).cast("int"), F.size("samples") - (F.col("rate") * 0.04).cast("int")
+    starts = F.when(last >= first, F.sequence(first, last, (F.col("rate") * 0.3).cast("int"))).otherwise(F.array().cast("array<int>"))
+    frames = F.when(F.col("samples").isNotNull(), F.flatten(F.transform(starts, lambda a: F.slice("samples", a + 1, size))))
+    out = samples.select("asset_id", (F.col("window") * 1000 + 500).alias("ts_ms"), of(frames, "rate").alias("p"))
     return out.select("asset_id", "ts_ms", F.col("p.median").alias("median_pitch_hz"), F.col("p.spread").alias("pitch_variance_hz"), F.col("p.voiced").alias("voiced_frame_ratio"))
