@@ -110,3 +110,17 @@ def test_windows_of_other_rates_and_lengths_and_without_samples(spark):
     assert [pitch[k].voiced_frame_ratio for k in (0, 1, 2, 3, 4, 5)] == [1, 1, 0, None, 0, 1]
     levels = {r.ts_ms // 1000: r for r in D.audio_windows(samples).collect()}
     assert levels[2].dbfs == pytest.approx(20 * math.log10(math.sqrt(sum(x * x for x in rows[2][3]) / 700))) and levels[4].dbfs == -100 and levels[3].zero_crossing_rate is None
+
+
+def test_scores_are_read_once_and_separators_are_told(spark):
+    from touchline.functions.text import parse_score_ocr
+    from touchline.operators import scoreboard as B
+
+    texts = ["HOME 1-O AWAY", "2 : l", "3\t−\n4", "I – 0", "16-1", "1-16", "no score", None, "12 — 15", "123-4"]
+    df = spark.createDataFrame([(1, k * 5000, t, 0.5) for k, t in enumerate(texts)], "asset_id long, ts_ms long, raw_text string, confidence double")
+    found = [r.s and tuple(r.s) for r in df.orderBy("ts_ms").select(parse_score_ocr(F.col("raw_text")).alias("s")).collect()]
+    assert found == [(1, 0), (2, 1), (3, 4), (1, 0), None, None, None, None, (12, 15), None]
+    rows = B.parsed_readings(df)
+    assert [(r.ts_ms // 5000, r.run) for r in rows.orderBy("ts_ms").collect()] == [(0, 0), (1, 1), (2, 2), (3, 3), (8, 4)]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") == 1
