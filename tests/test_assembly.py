@@ -154,3 +154,15 @@ def test_follow_ups_are_told_in_order(spark):
     pairs = spark.createDataFrame([(1, "a", "A"), (1, "b", "B"), (1, "b", "A"), (2, "a", "A")], "k int, l_class string, r_class string")
     # 2 follows 1; 3 follows 1 by its other likeness; 4 follows 1; 6 and 7 come at one time, and 5 doesn't stand
     assert sorted(r.id for r in L.follow_ups(frame, pairs, ["k"]).collect()) == [2, 3, 4]
+
+
+def test_only_pairs_that_decide_are_kept(spark):
+    """Signals in reach that no rule asks for meet no anchor, and of the transcript only recordings with an anchor are looked at."""
+    far = [(1, 0, k, 0, 10_000 + 100 * k, "TRANSCRIPT_CARD" if k % 2 else "AUDIO_SPIKE", None, 0.9, "") for k in range(100)]
+    known = spark.createDataFrame([*far, (1, 0, 200, 0, 60_000, "AUDIO_SPIKE", None, 0.9, ""), (1, 0, 201, 0, 55_000, "TRANSCRIPT_SHOT", "SHOT", 0.9, "")], SIGNALS)
+    anchor = spark.createDataFrame([(1, 0, 300, "GOAL", 62_000), (1, 0, 301, "SAVE", 62_000), (1, 0, 302, "GOAL", 40_000), (1, 0, 303, "SAVE", 61_000)], "asset_id long, run_id int, anchor_id long, event_type string, trigger_ms long")
+    near = A.around(anchor, known, A.DEFAULTS, A.Reach())
+    assert sorted((r.anchor_id, r.id) for r in near.collect()) == [(300, 200), (300, 201), (301, 200), (302, 201), (303, 200)]
+    assert {(r.anchor_id, r.anchor_ms, r.goal_ms) for r in near.collect()} == {(300, 61_000, 40_000), (301, 61_000, 40_000), (302, None, None), (303, 40_000, 40_000)}
+    segments = spark.createDataFrame([(k, 0, 0, 1000, "x") for k in range(20)], "asset_id long, seq int, start_ms long, end_ms long, text string")
+    assert [r.asset_id for r in A.heard(segments, anchor).collect()] == [1]

@@ -84,14 +84,22 @@ def anchors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.withColumnRenamed("ts_ms", "trigger_ms"), members
 
 
+#: Types of signals that support an anchor or are its action; others only if they are a celebration.
+ASKED = (*PAST, *NEGATIVE, *VOICE, *LOUD, *SAID, "INJURY_CONTEXT", "RESTART_CONTEXT", "ATTACK_BUILDUP", "SCORE_STATE_TRANSITION", "TRANSCRIPT_SHOT", "EVENT_RECONSTRUCTION", "TRANSCRIPT_EVENT", "SHOT_OUTCOME_CONTEXT", "AUDIO_ENERGY_RISE", "SPEECH_RATE_SPIKE")
+
+
 def around(anchor: DataFrame, signals: DataFrame, cfg: Settings, reach: Reach) -> DataFrame:
-    """Anchors (a_event) with each signal (s_event) or other anchor (type #ANCHOR) that a rule may ask for, and the latest anchor and goal before the trigger."""
-    rows = signals.select(*KEY, "id", *VALUE).unionByName(B.marks_of(anchor)).withColumnRenamed("event_type", "s_event")
-    left = anchor.withColumnRenamed("event_type", "a_event")
+    """Anchors (a_event) with each signal (s_event) that supports them or may be their action, and the latest anchor and goal before the trigger.
+
+    Those two come of the anchors alone; pairs of an anchor and a signal that no rule asks for are dropped where they arise, before any shuffle.
+    """
+    # rows of one time are a frame's peers, so the anchor itself and others of its time are outside
+    w = Window.partitionBy(*KEY).orderBy("trigger_ms").rangeBetween(-cfg.replay_window_ms, -1)
+    left = anchor.withColumnRenamed("event_type", "a_event").withColumns({"anchor_ms": F.max("trigger_ms").over(w), "goal_ms": F.max(F.when(F.col("a_event") == "GOAL", F.col("trigger_ms"))).over(w)})
+    rows = signals.select(*KEY, "id", *VALUE).withColumnRenamed("event_type", "s_event").where(F.col("signal_type").isin(*ASKED) | (F.coalesce(F.col("s_event") == "CELEBRATION", F.lit(False)) & F.col("signal_type").isin(*SPOKEN)))
     near = T.range_join(left, rows, KEY, F.col("trigger_ms") - cfg.replay_window_ms, F.col("trigger_ms") + max(reach.score_ms, reach.action_ms), "ts_ms", 60_000)
-    w = Window.partitionBy("anchor_id")
-    before = (F.col("signal_type") == B.ANCHOR) & (F.col("ts_ms") < F.col("trigger_ms"))
-    return near.withColumns({"anchor_ms": F.max(F.when(before, F.col("ts_ms"))).over(w), "goal_ms": F.max(F.when(before & (F.col("s_event") == "GOAL"), F.col("ts_ms"))).over(w)})
+    action = (F.col("a_event") == "GOAL") & F.col("signal_type").isin("TRANSCRIPT_SHOT", "EVENT_RECONSTRUCTION")
+    return near.where(supports(cfg, reach) | action)
 
 
 def supports(cfg: Settings, reach: Reach) -> Column:
@@ -102,8 +110,7 @@ def supports(cfg: Settings, reach: Reach) -> Column:
     action = (kind == "TRANSCRIPT_SHOT") | ((kind == "EVENT_RECONSTRUCTION") & (event == "GOAL")) | ((kind == "TRANSCRIPT_EVENT") & event.isin("ATTACK", "COUNTER_ATTACK", "BIG_CHANCE", "SHOT", "PENALTY"))
     reaction = kind.isin(*SAID, "SPEECH_RATE_SPIKE", *VOICE, *LOUD) | ((event == "CELEBRATION") & kind.isin(*SPOKEN))
     return (
-        F.when(kind == B.ANCHOR, False)
-        .when(kind.isin(*PAST), gap.between(-cfg.replay_window_ms, 0))
+        F.when(kind.isin(*PAST), gap.between(-cfg.replay_window_ms, 0))
         .when(kind.isin(*NEGATIVE), gap.between(-max(cfg.attach_ms, 3000), 0))
         .when(kind == "INJURY_CONTEXT", gap.between(-cfg.replay_window_ms, 0))
         .when(kind == "RESTART_CONTEXT", gap.between(-cfg.replay_window_ms, 30_000))
@@ -144,6 +151,11 @@ def fouls_before(anchor: DataFrame, signals: DataFrame, segments: DataFrame, cfg
     return T.nearest(pairs.join(said, ["anchor_id", "foul_id"]), ["anchor_id"], F.struct(F.col("trigger_ms") - F.col("foul_ms"), "foul_id"), ["foul_ms", "foul_sure"])
 
 
+def heard(segments: DataFrame, anchor: DataFrame) -> DataFrame:
+    """Segments of recordings that have an anchor, settled: all that is asked of the transcript is asked around anchors, several times."""
+    return settled(segments.select("asset_id", "seq", "start_ms", "end_ms", "text").join(anchor.select("asset_id").distinct(), "asset_id", "left_semi"))
+
+
 def review_contexts(anchor: DataFrame, segments: DataFrame, cfg: Settings) -> DataFrame:
     """anchor_id, context: what is said in half the longest event around each anchor."""
     half = cfg.maximum_event_ms // 2
@@ -324,9 +336,10 @@ class Assembled:
 
 
 def assemble(signals: DataFrame, segments: DataFrame, media: DataFrame, cfg: Settings = DEFAULTS, reach: Reach = Reach(), limits: B.Limits = B.Limits()) -> Assembled:
-    rows = pool(signals, media)
+    rows = settled(pool(signals, media))
     known = settled(distinct_signals(rows))
     anchor, members = map(settled, anchors(rows))
+    segments = heard(segments, anchor)
     confirmed = confirmed_goals(anchor, members, known, segments, cfg, reach)
     anchor, members = map(settled, with_confirmed(anchor, members, confirmed))
     near = settled(around(anchor, known, cfg, reach))
@@ -344,7 +357,7 @@ def assemble(signals: DataFrame, segments: DataFrame, media: DataFrame, cfg: Set
     base = settled(base.join(B.event_windows(events, known, anchor, segments, cfg, limits), "anchor_id"))
     said = B.contexts(base.select("asset_id", "anchor_id", F.col("start_ms").alias("from_ms"), F.col("end_ms").alias("to_ms")), segments, ["anchor_id"])
     base = settled(base.join(said, "anchor_id", "left"))
-    return Assembled(judge(base.join(replays(base, cfg), "anchor_id"), cfg), support, confirmed)
+    return Assembled(settled(judge(base.join(replays(base, cfg), "anchor_id"), cfg)), support, confirmed)
 
 
 def replays(base: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
@@ -374,7 +387,7 @@ def stored_signals(made: Assembled) -> DataFrame:
     own = own.select("anchor_id", "signal_type", F.col("s_event").alias("event_type"), "confidence", "ts_ms", "evidence")
 
     def row(test, kind, confidence, at, text):
-        return c.where(test).select("anchor_id", F.lit(kind).alias("signal_type"), F.col("a_event").alias("event_type"), sure(confidence), at.alias("ts_ms"), text.alias("evidence"))
+        return F.when(test, F.struct(F.lit(kind).alias("signal_type"), F.col("a_event").alias("event_type"), sure(confidence), at.cast("long").alias("ts_ms"), text.alias("evidence")))
 
     t, lit, col = F.col("trigger_ms"), F.lit, F.col
     again, late = col("is_replay"), col("is_replay") & col("restarted") & ~col("score_moved")
@@ -395,9 +408,6 @@ def stored_signals(made: Assembled) -> DataFrame:
         row(lit(True), "EVENT_AFTERGLOW", col("end_sure"), col("end_ms"), col("end_reason")),
         row(col("foul_ms").isNotNull(), "EVENT_ASSOCIATION", col("foul_sure"), t, lit("Associated with the preceding foul")),
     ]
-    why = c.select("anchor_id", "a_event", "live", "trigger_ms", F.explode("reasons").alias("reason"))
-    why = why.select("anchor_id", F.lit("REJECTION_REASON").alias("signal_type"), F.col("a_event").alias("event_type"), F.greatest(F.lit(0.5), 1 - F.col("live")).alias("confidence"), F.col("trigger_ms").alias("ts_ms"), F.col("reason").alias("evidence"))
-    out = own.unionByName(why)
-    for part in parts:
-        out = out.unionByName(part)
-    return out
+    why = F.transform("reasons", lambda x: F.struct(lit("REJECTION_REASON").alias("signal_type"), col("a_event").alias("event_type"), sure(F.greatest(lit(0.5), 1 - col("live"))), t.cast("long").alias("ts_ms"), x.alias("evidence")))
+    # all that was concluded in one pass over the candidates
+    return own.unionByName(c.select("anchor_id", F.inline(F.concat(F.array_compact(F.array(*parts)), why))))

@@ -28,6 +28,10 @@ AFTERGLOW = (
     "AUDIO_SPIKE", "AUDIO_SUSTAINED", "HIGH_EXCITEMENT", "VOICE_EXCITEMENT", "PITCH_RISE", "PITCH_VARIANCE", "SCORE_STATE_TRANSITION", "CROWD_REACTION_PROXY",
     "TRANSCRIPT_EMPHASIS", "TRANSCRIPT_REPETITION",
 )
+#: How the evidence of a rise begins that is a buildup of its own.
+RISING = "Independent audio buildup features"
+#: Types of signals that windows depend on; others only if they are a celebration, or name a penalty.
+BOUNDS = (*GOAL_FENCES, "POST_EVENT_COMMENTARY", *AFTERGLOW, "ATTACK_BUILDUP", "AUDIO_ENERGY_RISE", "SPEECH_RATE_SPIKE", "TRANSCRIPT_SHOT", "TRANSCRIPT_EVENT")
 # Words of a penalty being prepared; the second list by itself, the first beside a signal of one.
 PENALTY_WORDS = ("penalty", "penalti", "penalte", "penalty spot", "penalty kick", "tir au but", "punto de penalti", "point de penalty", "penalty pour")
 PENALTY_SETUP = (
@@ -59,10 +63,15 @@ def contexts(windows: DataFrame, segments: DataFrame, keys: list[str], most: int
 
 
 def _near(events: DataFrame, signals: DataFrame, anchors: DataFrame, cfg: Settings, limits: Limits) -> DataFrame:
-    """Events with each signal near them and what is known of all of these: fences, decisive action, what ends the event."""
+    """Events with each signal near them that may decide, and what is known of all of these: fences, decisive action, what ends the event. Signals that no rule
+    asks for don't meet events, and of the pairs those that decide nothing go no further."""
     lead = min(cfg.buildup_lead_ms, cfg.search_back_ms)
-    rows = signals.select(*KEY, "id", "ts_ms", "signal_type", "event_type", "confidence", "evidence").unionByName(marks_of(anchors)).withColumnRenamed("event_type", "s_event")
-    left = events.withColumn("search_ms", F.greatest(F.lit(0), F.col("ref_ms") - lead))
+    told = F.col("evidence").startswith(RISING).alias("rising")
+    rows = signals.select(*KEY, "id", "ts_ms", "signal_type", "event_type", "confidence", told).withColumnRenamed("event_type", "s_event")
+    spot = (F.col("s_event") == "PENALTY") & F.col("signal_type").isin("TRANSCRIPT_PENALTY", "TRANSCRIPT_EVENT", "TRANSCRIPT_KEYWORD")
+    rows = rows.where(F.col("signal_type").isin(*BOUNDS) | (F.col("s_event") == "CELEBRATION") | spot)
+    rows = rows.unionByName(marks_of(anchors).where("event_type = 'GOAL'").withColumnRenamed("event_type", "s_event").withColumn("rising", F.lit(False)).select(rows.columns))
+    left = events.select(*KEY, "anchor_id", "a_event", "trigger_ms", "ref_ms", "duration_ms").withColumn("search_ms", F.greatest(F.lit(0), F.col("ref_ms") - lead))
     near = T.range_join(left, rows, KEY, F.col("search_ms"), F.col("ref_ms") + cfg.replay_window_ms, "ts_ms", 60_000)
     w = Window.partitionBy("anchor_id")
     goal, kind, ts, ref = F.col("a_event") == "GOAL", F.col("signal_type"), F.col("ts_ms"), F.col("ref_ms")
@@ -81,7 +90,16 @@ def _near(events: DataFrame, signals: DataFrame, anchors: DataFrame, cfg: Settin
     pick = lambda test: top(F.col("seen") & test, F.struct("ts_ms", (-F.col("id")).alias("o"), "confidence"))
     taken = ((kind == "TRANSCRIPT_SHOT") & (F.col("s_event") == "SHOT")) | ((kind == "TRANSCRIPT_PENALTY") & (F.col("s_event") == "PENALTY")) | ((kind == "TRANSCRIPT_EVENT") & F.col("s_event").isin("SHOT", "PENALTY"))
     other = F.coalesce(pick(builds() & (kind == "TRANSCRIPT_SHOT") | penalty_cue()), pick(kind == "AUDIO_ENERGY_RISE"))
-    return near.withColumn("decisive", F.when(goal, pick(taken)).otherwise(other))
+    near = near.withColumn("decisive", F.when(goal, pick(taken)).otherwise(other))
+    # what decides, and rows that stand for what is known of all of them
+    glows = (kind != ANCHOR) & glow() & ts.between(ref, F.greatest("ref_ms", "trigger_ms") + max(cfg.attach_ms, limits.glow_ms))
+    knows = (ts == F.col("fence_ms")) | (ts == F.col("replay_ms")) | (ts == F.col("restart_ms"))
+    return near.where(F.col("seen") | F.coalesce(glows, F.lit(False)) | F.coalesce(knows, F.lit(False)))
+
+
+def glow() -> Column:
+    """Is a signal a reaction?"""
+    return F.col("signal_type").isin(*AFTERGLOW) | F.coalesce(F.col("s_event") == "CELEBRATION", F.lit(False))
 
 
 def builds() -> Column:
@@ -151,14 +169,13 @@ def event_windows(events: DataFrame, signals: DataFrame, anchors: DataFrame, seg
     near = settled(_near(events, signals, anchors, cfg, limits))
     goal, kind, ts, ref = F.col("a_event") == "GOAL", F.col("signal_type"), F.col("ts_ms"), F.col("ref_ms")
     cue = F.struct("ts_ms", "id", "confidence", "signal_type")
-    glow = kind.isin(*AFTERGLOW) | (F.col("s_event") == "CELEBRATION")
     limit = F.least(F.col("duration_ms"), F.greatest("ref_ms", "trigger_ms") + F.when(goal, max(cfg.attach_ms, limits.glow_ms)).otherwise(cfg.attach_ms), "replay_ms", "restart_ms")
     one = near.withColumn("limit_ms", limit).groupBy("anchor_id").agg(
         *(F.first(c).alias(c) for c in ("from_ms", "decisive", "replay_ms", "restart_ms")),
-        F.max(F.when((kind != ANCHOR) & glow & ts.between(ref, F.col("limit_ms")), ts)).alias("glow_at"),
+        F.max(F.when((kind != ANCHOR) & glow() & ts.between(ref, F.col("limit_ms")), ts)).alias("glow_at"),
         F.min(F.when(F.col("seen") & goal & (F.col("s_event") == "PENALTY") & kind.isin("TRANSCRIPT_PENALTY", "TRANSCRIPT_EVENT", "TRANSCRIPT_KEYWORD"), cue)).alias("spot"),
         F.min(F.when(F.col("seen") & ~goal & builds(), cue)).alias("built"),
-        F.max(F.when(F.col("seen") & goal & (kind == "AUDIO_ENERGY_RISE") & (F.col("confidence") >= 0.65) & (ts < ref), F.struct("ts_ms", (-F.col("id")).alias("o"), "confidence", "evidence"))).alias("rise"),
+        F.max(F.when(F.col("seen") & goal & (kind == "AUDIO_ENERGY_RISE") & (F.col("confidence") >= 0.65) & (ts < ref), F.struct("ts_ms", (-F.col("id")).alias("o"), "confidence", "rising"))).alias("rise"),
     )
     rows = events.join(one, "anchor_id", "left").join(connected_attack(near, segments, cfg), "anchor_id", "left").join(rising_audio(near, cfg), "anchor_id", "left")
     rows = settled(rows.withColumn("from_ms", F.coalesce("from_ms", F.greatest(F.lit(0), F.col("ref_ms") - min(cfg.buildup_lead_ms, cfg.search_back_ms)))))
@@ -175,7 +192,7 @@ def event_windows(events: DataFrame, signals: DataFrame, anchors: DataFrame, seg
     padded = lambda at: F.greatest(F.lit(0), at - min(5000, limits.padding_ms))
     action = start(padded(F.col("decisive.ts_ms")), F.col("decisive.confidence"), F.lit("START=DECISIVE_ACTION"))
     fallback = start(F.greatest(F.lit(0), ref - limits.fallback_ms), F.lit(0.55), F.lit("START=FALLBACK_PRE_ROLL"))
-    rise = F.when(F.col("rise.evidence").startswith("Independent audio buildup features"), "START=AUDIO_BUILDUP").otherwise("START=ATTACK_INTENSITY_RISE")
+    rise = F.when(F.col("rise.rising"), "START=AUDIO_BUILDUP").otherwise("START=ATTACK_INTENSITY_RISE")
     of_goal = (
         F.when(spot.isNotNull(), start(padded(spot.at), spot.sure, F.lit("START=PENALTY_SETUP")))
         .when(F.col("attack_ms").isNotNull(), start(padded(F.col("attack_ms")), F.col("attack_sure"), F.lit("START=CONNECTED_ATTACK")))

@@ -325,8 +325,9 @@ def e1(t: Tables):
 
 @query("e3_confirmed_goals", needs=TABLES, sql=ANCHORS + CONFIRMED.rstrip().rstrip(",") + "select goal_id, attack_id, cue_ms, phrase_sure, cue_sure from confirmed")
 def e3(t: Tables):
-    rows = A.pool(t("moments"), t("footage"))
-    found = A.confirmed_goals(*A.anchors(rows), A.distinct_signals(rows), t("spoken"))
+    rows = settled(A.pool(t("moments"), t("footage")))
+    anchor, members = map(settled, A.anchors(rows))
+    found = A.confirmed_goals(anchor, members, settled(A.distinct_signals(rows)), A.heard(t("spoken"), anchor))
     return found.select("goal_id", "attack_id", "cue_ms", "phrase_sure", "cue_sure")
 
 
