@@ -58,3 +58,30 @@ def test_context_signals(spark):
     assert (0, "RETROSPECTIVE_CONTEXT", 0.8) in found[3] and (2, "RETROSPECTIVE_CONTEXT", 0.2) in found[3]
     close = P.detect_context_signals(said(spark, ["kick off", "kick off", "kick off"], step=2500), spark.createDataFrame(KINDS, NAMES)).where("signal_type = 'RESTART_CONTEXT'").collect()
     assert sorted(r.seq for r in close) == [0, 2]  # four seconds apart at least
+
+
+def test_cues_and_plain_searches_lose_no_text(spark):
+    """Texts are searched by an expression only if they have one of its words, and texts of one byte a letter are normalised without tables: the same is found as by the expressions alone."""
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from touchline.functions import text as X
+
+    draw = random.Random(5)
+    words = """not never no didn t goal goals score scored scoring net count disallowed ruled out corrected correction revised reversal scorer credited had has already earlier before first gol of the this
+      season temporada de la da scoreline final was 2 11 resultado final endstand gooool gol remet dans ce le match ramene, VISITÉ Égalité ÇA x\u0301y K İ ß ﬁ -- !? \t""".split(" ")
+    rows = [(k, " ".join(draw.choice(words) for _ in range(draw.randint(0, 14)))) for k in range(4000)]
+    rows += [(4000 + k, t) for k, t in enumerate(["", "\x00a\x7fB", "the score was 2 1", "second goal of the season", "le but remet tout dans le match", "it was not a goal", "GOAL\nnet", "had already scored", "ruled out the goal"])]
+    frame = spark.createDataFrame(rows, "k int, text string")
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.translate(F.lower("text"), *X.accents()), r"\p{M}", ""), r"[^\p{L}\p{N}]+", " "))
+    got = frame.withColumns({"norm": X.normalize_text(F.col("text")), "plain": plain})
+    got = got.select("*", *(X.tells(F.col("norm"), p).alias(f"a{i}") for i, p in enumerate(X.CUES)), *(F.col("norm").rlike(p).alias(f"b{i}") for i, p in enumerate(X.CUES)), X.contains_any(F.col("norm"), X.SCORE_TOLD).alias("c"))
+    found = got.collect()
+    assert all(r.norm == r.plain for r in found)
+    for i in range(len(X.CUES)):
+        assert all(r[f"a{i}"] == r[f"b{i}"] for r in found) and any(r[f"a{i}"] for r in found), i
+    assert all(r.c == bool(re.search("|".join(map(re.escape, X.SCORE_TOLD)), r.norm)) for r in found)
+    # a text is searched by an expression behind its cues alone
+    assert "Contains" in got.select("a0")._jdf.queryExecution().optimizedPlan().toString()
