@@ -166,3 +166,35 @@ def test_only_pairs_that_decide_are_kept(spark):
     assert {(r.anchor_id, r.anchor_ms, r.goal_ms) for r in near.collect()} == {(300, 61_000, 40_000), (301, 61_000, 40_000), (302, None, None), (303, 40_000, 40_000)}
     segments = spark.createDataFrame([(k, 0, 0, 1000, "x") for k in range(20)], "asset_id long, seq int, start_ms long, end_ms long, text string")
     assert [r.asset_id for r in A.heard(segments, anchor).collect()] == [1]
+
+
+def test_signals_are_classified_once_and_not_once_a_pair(spark):
+    """What a signal can be to an event is a number that pairs test; a text of a filter is normalised once; contexts are made only if they are asked for."""
+    signals = spark.createDataFrame([("TRANSCRIPT_GOAL", "GOAL", "Inferred goal hypothesis from a shot, then"), ("TRANSCRIPT_EVENT", "ATTACK", ""), ("TRANSCRIPT_KEYWORD", "CELEBRATION", None), ("AUDIO_SPIKE", None, "")], "signal_type string, s_event string, evidence string")
+    found = [{n for k, n in enumerate(A.ROLES) if r.roles >> k & 1} for r in signals.select(A.roles().alias("roles")).collect()]
+    assert found == [{"goal", "inferred"}, {"event", "attack", "attacks"}, {"celebration"}, {"loud"}] and len(A.ROLES) < 32
+    texts = spark.createDataFrame([("Le penalty",), ("PÉNALTY-Spot!",), ("nothing",), (None,)], "text string")
+    phrases = ("penalty spot", "le penalty", "penalti")
+    once = texts.where(A.X.says_any(F.col("text"), phrases))
+    assert sorted(r.text for r in once.collect()) == ["Le penalty", "PÉNALTY-Spot!"]
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    single = texts.select(A.X.normalize_text(F.col("text")).alias("norm"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("regexp_replace") == single.lower().count("regexp_replace")
+    anchor = spark.createDataFrame([(1, 0, 300, "GOAL", 62_000), (1, 0, 301, "SAVE", 62_000)], "asset_id long, run_id int, anchor_id long, event_type string, trigger_ms long")
+    known = spark.createDataFrame([(1, 0, 1, 0, 20_000, "TRANSCRIPT_SHOT", "SHOT", 0.9, ""), (1, 0, 2, 0, 10_000, "TRANSCRIPT_SHOT", "SHOT", 0.9, ""), (1, 0, 3, 0, 60_000, "TRANSCRIPT_SHOT", "SHOT", 0.9, "")], SIGNALS)
+    near = A.around(anchor, known, A.DEFAULTS, A.Reach())
+    # the last shot within the lead may be what made a goal, though it is too early to back it
+    assert sorted((r.anchor_id, r.id, r.backs) for r in near.collect()) == [(300, 1, False), (300, 3, True)]
+
+
+def test_contexts_only_if_asked_for(spark):
+    signals = [(1, 0, 1, 1, 50_000, "TRANSCRIPT_GOAL", "GOAL", 0.96, ""), (1, 0, 2, 2, 20_000, "TRANSCRIPT_EVENT", "SAVE", 0.96, ""), (1, 0, 3, 3, 50_000, "AUDIO_SPIKE", None, 0.9, "")]
+    tables = [
+        spark.createDataFrame(signals, SIGNALS), spark.createDataFrame([(1, 0, 19_000, 21_000, "what a save"), (1, 1, 50_000, 52_000, GOAL_TEXT)], "asset_id long, seq int, start_ms long, end_ms long, text string"),
+        spark.createDataFrame([(1, 90_000)], "asset_id long, duration_ms long"),
+    ]
+    whole, bare = A.assemble(*tables), A.assemble(*tables, told=False)
+    # the goal's window goes back thirty seconds
+    assert {r.anchor_id: r.context for r in whole.contexts.collect()} == {1: "what a save He scores the goal", 2: "what a save"}
+    assert bare.contexts is None and "context" not in whole.candidates.columns
+    assert sorted(map(str, bare.candidates.collect())) == sorted(map(str, whole.candidates.collect()))

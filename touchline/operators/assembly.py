@@ -9,6 +9,7 @@ the goals that are alike (operators.similarity).
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,8 +89,23 @@ def anchors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 ASKED = (*PAST, *NEGATIVE, *VOICE, *LOUD, *SAID, "INJURY_CONTEXT", "RESTART_CONTEXT", "ATTACK_BUILDUP", "SCORE_STATE_TRANSITION", "TRANSCRIPT_SHOT", "EVENT_RECONSTRUCTION", "TRANSCRIPT_EVENT", "SHOT_OUTCOME_CONTEXT", "AUDIO_ENERGY_RISE", "SPEECH_RATE_SPIKE")
 
 
+def spans(cfg: Settings, reach: Reach, goal: bool) -> Column:
+    """How long before (from, negative) and after (to) the trigger of a goal, or of another event, a signal (signal_type, s_event) supports it; null if it never does. The first
+    rule that its type falls under decides. It depends on the signal alone, so it is looked up once a signal and not once a pair."""
+    kind, event, lead = F.col("signal_type"), F.col("s_event"), min(cfg.buildup_lead_ms, cfg.search_back_ms)
+    span = lambda lo, hi: F.struct(F.lit(lo).alias("from"), F.lit(hi).alias("to"))
+    action = (kind == "TRANSCRIPT_SHOT") | ((kind == "EVENT_RECONSTRUCTION") & (event == "GOAL")) | ((kind == "TRANSCRIPT_EVENT") & event.isin("ATTACK", "COUNTER_ATTACK", "BIG_CHANCE", "SHOT", "PENALTY"))
+    reaction = kind.isin(*SAID, "SPEECH_RATE_SPIKE", *VOICE, *LOUD) | ((event == "CELEBRATION") & kind.isin(*SPOKEN))
+    rule = F.when(kind.isin(*PAST, "INJURY_CONTEXT"), span(-cfg.replay_window_ms, 0)).when(kind.isin(*NEGATIVE), span(-max(cfg.attach_ms, 3000), 0))
+    rule = rule.when(kind == "RESTART_CONTEXT", span(-cfg.replay_window_ms, 30_000)).when(kind == "ATTACK_BUILDUP", span(-lead, 0))
+    if goal:
+        rule = rule.when(kind == "SCORE_STATE_TRANSITION", span(0, reach.score_ms)).when(F.coalesce(action, F.lit(False)), span(-reach.action_ms, reach.action_ms))
+        rule = rule.when(kind == "SHOT_OUTCOME_CONTEXT", span(-cfg.attach_ms, cfg.attach_ms))
+    return rule.when(kind == "AUDIO_ENERGY_RISE", span(-lead, 0)).when(F.coalesce(reaction, F.lit(False)), span(-cfg.attach_ms, cfg.attach_ms))
+
+
 def around(anchor: DataFrame, signals: DataFrame, cfg: Settings, reach: Reach) -> DataFrame:
-    """Anchors (a_event) with each signal (s_event) that supports them or may be their action, and the latest anchor and goal before the trigger.
+    """Anchors (a_event) with each signal (s_event, roles) that supports them (backs) or may be the shot that made the goal, and the latest anchor and goal before the trigger.
 
     Those two come of the anchors alone; pairs of an anchor and a signal that no rule asks for are dropped where they arise, before any shuffle.
     """
@@ -97,30 +113,16 @@ def around(anchor: DataFrame, signals: DataFrame, cfg: Settings, reach: Reach) -
     w = Window.partitionBy(*KEY).orderBy("trigger_ms").rangeBetween(-cfg.replay_window_ms, -1)
     left = anchor.withColumnRenamed("event_type", "a_event").withColumns({"anchor_ms": F.max("trigger_ms").over(w), "goal_ms": F.max(F.when(F.col("a_event") == "GOAL", F.col("trigger_ms"))).over(w)})
     rows = signals.select(*KEY, "id", *VALUE).withColumnRenamed("event_type", "s_event").where(F.col("signal_type").isin(*ASKED) | (F.coalesce(F.col("s_event") == "CELEBRATION", F.lit(False)) & F.col("signal_type").isin(*SPOKEN)))
+    rows = rows.withColumns({
+        "of_goal": spans(cfg, reach, True), "of_other": spans(cfg, reach, False), "fenced": F.col("signal_type").isin("ATTACK_BUILDUP", "AUDIO_ENERGY_RISE"),
+        "is_shot": F.coalesce((F.col("signal_type") == "TRANSCRIPT_SHOT") & (F.col("s_event") == "SHOT"), F.lit(False)), "roles": roles(),
+    })
     near = T.range_join(left, rows, KEY, F.col("trigger_ms") - cfg.replay_window_ms, F.col("trigger_ms") + max(reach.score_ms, reach.action_ms), "ts_ms", 60_000)
-    action = (F.col("a_event") == "GOAL") & F.col("signal_type").isin("TRANSCRIPT_SHOT", "EVENT_RECONSTRUCTION")
-    return near.where(supports(cfg, reach) | action)
-
-
-def supports(cfg: Settings, reach: Reach) -> Column:
-    """Does a signal around an anchor support it? The first rule that its type falls under decides."""
-    kind, event, gap = F.col("signal_type"), F.col("s_event"), F.col("ts_ms") - F.col("trigger_ms")
-    goal, lead = F.col("a_event") == "GOAL", min(cfg.buildup_lead_ms, cfg.search_back_ms)
-    unfenced = F.col("anchor_ms").isNull() | (F.col("ts_ms") >= F.col("anchor_ms"))
-    action = (kind == "TRANSCRIPT_SHOT") | ((kind == "EVENT_RECONSTRUCTION") & (event == "GOAL")) | ((kind == "TRANSCRIPT_EVENT") & event.isin("ATTACK", "COUNTER_ATTACK", "BIG_CHANCE", "SHOT", "PENALTY"))
-    reaction = kind.isin(*SAID, "SPEECH_RATE_SPIKE", *VOICE, *LOUD) | ((event == "CELEBRATION") & kind.isin(*SPOKEN))
-    return (
-        F.when(kind.isin(*PAST), gap.between(-cfg.replay_window_ms, 0))
-        .when(kind.isin(*NEGATIVE), gap.between(-max(cfg.attach_ms, 3000), 0))
-        .when(kind == "INJURY_CONTEXT", gap.between(-cfg.replay_window_ms, 0))
-        .when(kind == "RESTART_CONTEXT", gap.between(-cfg.replay_window_ms, 30_000))
-        .when(kind == "ATTACK_BUILDUP", gap.between(-lead, 0) & unfenced)
-        .when(goal & (kind == "SCORE_STATE_TRANSITION"), gap.between(0, reach.score_ms))
-        .when(goal & F.coalesce(action, F.lit(False)), gap.between(-reach.action_ms, reach.action_ms))
-        .when(goal & (kind == "SHOT_OUTCOME_CONTEXT"), gap.between(-cfg.attach_ms, cfg.attach_ms))
-        .when(kind == "AUDIO_ENERGY_RISE", gap.between(-lead, 0) & unfenced)
-        .otherwise(F.coalesce(reaction, F.lit(False)) & gap.between(-cfg.attach_ms, cfg.attach_ms))
-    )
+    goal, gap = F.col("a_event") == "GOAL", F.col("ts_ms") - F.col("trigger_ms")
+    inside = F.when(goal, gap.between(F.col("of_goal.from"), F.col("of_goal.to"))).otherwise(gap.between(F.col("of_other.from"), F.col("of_other.to")))
+    backs = F.coalesce(inside, F.lit(False)) & (~F.col("fenced") | F.col("anchor_ms").isNull() | (F.col("ts_ms") >= F.col("anchor_ms")))
+    shot = goal & F.col("is_shot") & gap.between(-min(cfg.buildup_lead_ms, cfg.search_back_ms), -1)
+    return near.where(backs | shot).withColumn("backs", backs).drop("of_goal", "of_other", "fenced", "is_shot")
 
 
 def goal_actions(near: DataFrame, cfg: Settings = DEFAULTS, reach: Reach = Reach()) -> DataFrame:
@@ -187,23 +189,26 @@ def confirmed_goals(anchor: DataFrame, members: DataFrame, signals: DataFrame, s
     marks = goals.select(*KEY, F.col("goal_ms").alias("mark_ms"))
     counted = lambda rows, at, strict, stop: T.fence_counts(T.fence_counts(rows, marks, KEY, at, "mark_ms", strict, f"goals_{at}"), stops, KEY, at, "stop_ms", stop, f"stops_{at}")
     pairs = T.range_join(counted(told, "goal_ms", True, False), counted(attacks, "attack_ms", False, True), KEY, F.col("goal_ms") - cfg.replay_window_ms, F.col("goal_ms") - 1, "attack_ms", 60_000)
-    pairs = pairs.where("goals_goal_ms = goals_attack_ms and stops_goal_ms = stops_attack_ms")
+    pairs = settled(pairs.where("goals_goal_ms = goals_attack_ms and stops_goal_ms = stops_attack_ms"))
+
+    # words are looked at of goals and attacks in such pairs alone
+    def told_by(ids: DataFrame) -> DataFrame:
+        said = review_contexts(anchor.join(ids.distinct(), "anchor_id", "left_semi"), segments, cfg)
+        return settled(L.classes(said.join(anchor.select(*KEY, "anchor_id", "trigger_ms"), "anchor_id"), "context").drop("context"))
 
-    ids = told.select(F.col("goal_id").alias("anchor_id")).unionByName(attacks.select(F.col("attack_id").alias("anchor_id"))).unionByName(goals.select(F.col("goal_id").alias("anchor_id"))).distinct()
-    said = review_contexts(anchor.join(ids, "anchor_id"), segments, cfg)
-    words = settled(L.classes(said.join(anchor.select(*KEY, "anchor_id", "trigger_ms"), "anchor_id"), "context").drop("context"))
+    words = told_by(pairs.select(F.col("goal_id").alias("anchor_id")).unionByName(pairs.select(F.col("attack_id").alias("anchor_id"))))
     of = lambda prefix: words.select(F.col("anchor_id").alias(f"{prefix}_id"), F.col("words").alias(f"{prefix}_words"), L.identity(F.col("words")).alias(f"{prefix}_names"))
     pairs = pairs.join(of("goal"), "goal_id").join(of("attack"), "attack_id")
     common = (X.jaccard(F.col("goal_words"), F.col("attack_words")) >= 0.10) | (F.size(F.array_intersect("goal_names", "attack_names")) >= 2)
-    best = T.nearest(pairs.where(common), ["goal_id", "phrase_sure", "cue_ms", "cue_sure"], F.struct(-F.col("attack_ms"), "attack_id"), ["attack_id"])
+    best = settled(T.nearest(pairs.where(common), [*KEY, "goal_id", "phrase_sure", "cue_ms", "cue_sure"], F.struct(-F.col("attack_ms"), "attack_id"), ["attack_id"]))
 
-    # goals of which an earlier one tells the same: the class has one before
-    all_goals = words.join(goals.select(F.col("goal_id").alias("anchor_id")), "anchor_id")
-    alike = L.similar_classes(all_goals.join(told.select(F.col("goal_id").alias("anchor_id")), "anchor_id"), all_goals, KEY)
+    # goals of which an earlier one of their recording's run tells the same: the class has one before
+    all_goals = told_by(goals.join(best.select(*KEY).distinct(), KEY, "left_semi").select(F.col("goal_id").alias("anchor_id")))
+    alike = L.similar_classes(all_goals.join(best.select(F.col("goal_id").alias("anchor_id")), "anchor_id"), all_goals, KEY)
     first = all_goals.groupBy(*KEY, F.col("l_class").alias("r_class")).agg(F.min("trigger_ms").alias("first_ms"))
     first = alike.join(first, [*KEY, "r_class"]).groupBy(*KEY, "l_class").agg(F.min("first_ms").alias("first_ms"))
     known = all_goals.join(first, [*KEY, "l_class"]).where("first_ms < trigger_ms").select(F.col("anchor_id").alias("goal_id"))
-    return settled(best.join(known, "goal_id", "left_anti"))
+    return settled(best.drop(*KEY).join(known, "goal_id", "left_anti"))
 
 
 def with_confirmed(anchor: DataFrame, members: DataFrame, confirmed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -217,46 +222,105 @@ def with_confirmed(anchor: DataFrame, members: DataFrame, confirmed: DataFrame)
     return anchor.join(used, "anchor_id", "left_anti").unionByName(made), kept.unionByName(extra)
 
 
-def listed(near: DataFrame, members: DataFrame, anchor: DataFrame, cfg: Settings, reach: Reach) -> DataFrame:
-    """anchor_id, a_event, trigger_ms and VALUE (s_event): what speaks for or against each anchor, each signal once."""
+def listed(near: DataFrame, members: DataFrame, anchor: DataFrame) -> DataFrame:
+    """anchor_id, a_event, trigger_ms, VALUE (s_event) and roles: what speaks for or against each anchor, each signal once.
+
+    Signals around an anchor come once each, and members lie at its trigger: so only there one can be met twice.
+    """
     columns = ["anchor_id", "a_event", "trigger_ms", *(c if c != "event_type" else "s_event" for c in VALUE)]
     own = members.withColumnRenamed("event_type", "s_event").join(anchor.select("anchor_id", F.col("event_type").alias("a_event"), "trigger_ms"), "anchor_id")
-    return near.where(supports(cfg, reach)).select(*columns).unionByName(own.select(*columns)).distinct()
+    met, at = near.where("backs").select(*columns, "roles"), F.col("ts_ms") == F.col("trigger_ms")
+    return met.where(~at).unionByName(met.where(at).select(*columns).unionByName(own.select(*columns)).distinct().withColumn("roles", roles()))
+
+
+#: What a signal can be to an event, by its type, the event it names and its evidence: a bit each, found once a signal, so that a pair of signal and event tests numbers.
+ROLES = {
+    "goal": lambda kind, event, told: kind.isin("TRANSCRIPT_GOAL", "AUDIO_GOAL_HYPOTHESIS", "OWN_GOAL"),
+    "shot": lambda kind, event, told: kind == "TRANSCRIPT_SHOT",
+    "penalty": lambda kind, event, told: kind == "TRANSCRIPT_PENALTY",
+    "card": lambda kind, event, told: kind == "TRANSCRIPT_CARD",
+    "event": lambda kind, event, told: kind == "TRANSCRIPT_EVENT",
+    "voice": lambda kind, event, told: kind.isin(*VOICE),
+    "loud": lambda kind, event, told: kind.isin(*LOUD),
+    "said": lambda kind, event, told: kind.isin(*SAID),
+    "rate": lambda kind, event, told: kind == "SPEECH_RATE_SPIKE",
+    "celebration": lambda kind, event, told: (event == "CELEBRATION") & kind.isin(*SPOKEN),
+    "buildup": lambda kind, event, told: kind == "ATTACK_BUILDUP",
+    "attack": lambda kind, event, told: (kind == "TRANSCRIPT_EVENT") & event.isin("ATTACK", "COUNTER_ATTACK"),
+    "attacks": lambda kind, event, told: (kind == "TRANSCRIPT_EVENT") & (event == "ATTACK"),
+    "rise": lambda kind, event, told: kind == "AUDIO_ENERGY_RISE",
+    "replay": lambda kind, event, told: kind == "REPLAY_CONTEXT",
+    "past": lambda kind, event, told: kind == "RETROSPECTIVE_CONTEXT",
+    "negation": lambda kind, event, told: kind == "NEGATION_CONTEXT",
+    "correction": lambda kind, event, told: kind == "CORRECTION_CONTEXT",
+    "history": lambda kind, event, told: kind == "HISTORICAL_REFERENCE",
+    "confirmed": lambda kind, event, told: (kind == "EVENT_RECONSTRUCTION") & (event == "GOAL") & told.startswith(CONFIRMED),
+    "phrase": lambda kind, event, told: (kind == "TRANSCRIPT_KEYWORD") & (event == "GOAL") & told.startswith(SCORING_PHRASE),
+    "inferred": lambda kind, event, told: (event == "GOAL") & ((kind == "AUDIO_GOAL_HYPOTHESIS") | ((kind == "TRANSCRIPT_GOAL") & told.startswith(INFERRED))),
+    "injury": lambda kind, event, told: kind == "INJURY_CONTEXT",
+    "restart": lambda kind, event, told: kind == "RESTART_CONTEXT",
+    "score": lambda kind, event, told: kind == "SCORE_STATE_TRANSITION",
+    "saved": lambda kind, event, told: event.isin("SAVE", "MISSED_PENALTY"),
+}
+
+
+def roles() -> Column:
+    """The bits of ROLES that hold for a signal (signal_type, s_event, evidence)."""
+    return bits([test(F.col("signal_type"), F.col("s_event"), F.col("evidence")) for test in ROLES.values()])
+
+
+def bits(tests: list[Column]) -> Column:
+    """A number whose bit k says whether test k holds; there are at most 31."""
+    return reduce(lambda a, b: a.bitwiseOR(b), (F.when(test, F.lit(1 << k)).otherwise(F.lit(0)) for k, test in enumerate(tests)))
+
+
+def is_a(*names: str) -> Column:
+    """Has a signal (roles) one of these roles?"""
+    return F.col("roles").bitwiseAND(F.lit(sum(1 << list(ROLES).index(n) for n in names))) != 0
 
 
 def evidence(rows: DataFrame, cfg: Settings = DEFAULTS, reach: Reach = Reach()) -> DataFrame:
     """A row for each anchor: what its listed signals amount to."""
-    kind, event, gap = F.col("signal_type"), F.col("s_event"), F.col("ts_ms") - F.col("trigger_ms")
-    goal, sure = F.col("a_event") == "GOAL", F.col("confidence")
+    event, gap = F.col("a_event"), F.col("ts_ms") - F.col("trigger_ms")
+    goal, sure = event == "GOAL", F.col("confidence")
     top = lambda test, share=1.0: F.coalesce(F.max(F.when(test, sure)), F.lit(0.0)) * share
-    some = lambda test: F.coalesce(F.bool_or(test), F.lit(False))
-    confirmed = (kind == "EVENT_RECONSTRUCTION") & (event == "GOAL") & F.col("evidence").startswith(CONFIRMED)
-    against = goal & kind.isin(*PAST, *NEGATIVE) & (sure >= cfg.replay_probability) & gap.between(-max(cfg.attach_ms, 3000), 0)
-    shot = lambda far: (kind == "TRANSCRIPT_SHOT") & (F.abs(gap) <= far)
-    return rows.groupBy("anchor_id", "a_event", "trigger_ms").agg(
-        top(specific(kind, F.col("a_event")) | (goal & confirmed)).alias("direct"),
-        F.greatest(top(kind.isin(*VOICE)), top(kind.isin(*LOUD), 0.60)).alias("audio"),
-        top(kind.isin(*SAID)).alias("textual"),
-        top(kind == "SPEECH_RATE_SPIKE").alias("rate"),
-        top((event == "CELEBRATION") & kind.isin(*SPOKEN)).alias("celebration"),
-        F.greatest(top((kind == "ATTACK_BUILDUP") | ((kind == "TRANSCRIPT_EVENT") & event.isin("ATTACK", "COUNTER_ATTACK"))), top(kind == "AUDIO_ENERGY_RISE", 0.25)).alias("buildup"),
-        top(kind.isin(*PAST)).alias("replay"),
-        top(against).alias("negative"),
-        top((kind == "RETROSPECTIVE_CONTEXT") & (F.abs(gap) <= cfg.maximum_event_ms // 2) & (sure >= cfg.replay_probability)).alias("looking_back"),
-        some(confirmed).alias("confirmed"),
-        some((kind == "TRANSCRIPT_KEYWORD") & (event == "GOAL") & (sure >= cfg.single_signal) & F.col("evidence").startswith(SCORING_PHRASE)).alias("phrase"),
-        some((event == "GOAL") & ((kind == "AUDIO_GOAL_HYPOTHESIS") | ((kind == "TRANSCRIPT_GOAL") & F.col("evidence").startswith(INFERRED)))).alias("inferred"),
-        *(some(against & (kind == k)).alias(n) for n, k in (("negated", "NEGATION_CONTEXT"), ("corrected", "CORRECTION_CONTEXT"), ("historical", "HISTORICAL_REFERENCE"), ("replay_told", "REPLAY_CONTEXT"), ("past_told", "RETROSPECTIVE_CONTEXT"))),
-        some(kind.isin(*PAST) & (gap <= 0) & (sure >= cfg.replay_probability)).alias("replayed"),
-        some((kind == "INJURY_CONTEXT") & gap.between(-reach.injury_ms, 0)).alias("injured"),
-        some(goal & (kind == "RESTART_CONTEXT") & gap.between(-30_000, -1)).alias("restarted"),
-        some(kind == "SCORE_STATE_TRANSITION").alias("score_moved"),
-        some(shot(reach.shot_ms)).alias("shot_near"),
-        some(shot(reach.action_ms)).alias("shot_around"),
-        some(event.isin("SAVE", "MISSED_PENALTY") & (F.abs(gap) <= reach.action_ms)).alias("saved"),
-        some((kind == "ATTACK_BUILDUP") & gap.between(-min(cfg.buildup_lead_ms, cfg.search_back_ms), -1)).alias("led"),
-        some((kind == "TRANSCRIPT_EVENT") & (event == "ATTACK") & gap.between(1, reach.play_on_ms)).alias("play_on"),
+    own = F.when(goal, is_a("goal", "confirmed")).when(event.isin("SHOT", "NEAR_MISS"), is_a("shot")).when(event.isin("PENALTY", "MISSED_PENALTY", "PENALTY_MISSED"), is_a("penalty"))
+    own = own.when(event.isin("YELLOW_CARD", "RED_CARD"), is_a("card")).otherwise(is_a("event")) & ~event.isin(*NO_EVENTS)
+    certain = sure >= cfg.replay_probability
+    against = goal & certain & gap.between(-max(cfg.attach_ms, 3000), 0)
+    shot = lambda far: is_a("shot") & (F.abs(gap) <= far)
+    flags = {
+        "confirmed": is_a("confirmed"),
+        "phrase": is_a("phrase") & (sure >= cfg.single_signal),
+        "inferred": is_a("inferred"),
+        "negated": against & is_a("negation"),
+        "corrected": against & is_a("correction"),
+        "historical": against & is_a("history"),
+        "replay_told": against & is_a("replay"),
+        "past_told": against & is_a("past"),
+        "replayed": is_a("replay", "past") & (gap <= 0) & certain,
+        "injured": is_a("injury") & gap.between(-reach.injury_ms, 0),
+        "restarted": goal & is_a("restart") & gap.between(-30_000, -1),
+        "score_moved": is_a("score"),
+        "shot_near": shot(reach.shot_ms),
+        "shot_around": shot(reach.action_ms),
+        "saved": is_a("saved") & (F.abs(gap) <= reach.action_ms),
+        "led": is_a("buildup") & gap.between(-min(cfg.buildup_lead_ms, cfg.search_back_ms), -1),
+        "play_on": is_a("attacks") & gap.between(1, reach.play_on_ms),
+    }
+    one = rows.groupBy("anchor_id", "a_event", "trigger_ms").agg(
+        top(own).alias("direct"),
+        F.greatest(top(is_a("voice")), top(is_a("loud"), 0.60)).alias("audio"),
+        top(is_a("said")).alias("textual"),
+        top(is_a("rate")).alias("rate"),
+        top(is_a("celebration")).alias("celebration"),
+        F.greatest(top(is_a("buildup", "attack")), top(is_a("rise"), 0.25)).alias("buildup"),
+        top(is_a("replay", "past")).alias("replay"),
+        top(against & is_a("replay", "past", "negation", "correction", "history")).alias("negative"),
+        top(is_a("past") & (F.abs(gap) <= cfg.maximum_event_ms // 2) & certain).alias("looking_back"),
+        F.bit_or(bits(list(flags.values()))).alias("flags"),
     )
+    return one.select(*(c for c in one.columns if c != "flags"), *((F.col("flags").bitwiseAND(F.lit(1 << k)) != 0).alias(name) for k, name in enumerate(flags)))
 
 
 def spoken_flags(goals: DataFrame, segments: DataFrame, cfg: Settings, reach: Reach) -> DataFrame:
@@ -265,11 +329,13 @@ def spoken_flags(goals: DataFrame, segments: DataFrame, cfg: Settings, reach: Re
     window = F.inline(F.array(*(F.struct(F.lit(n).alias("which"), F.greatest(F.lit(0), F.col("trigger_ms") - s).alias("from_ms"), (F.col("trigger_ms") + s).alias("to_ms")) for n, s in spans.items())))
     windows = goals.select("asset_id", "anchor_id", "duration_ms", window)
     windows = windows.withColumn("to_ms", F.when(F.col("which") == "local", F.least("to_ms", "duration_ms")).otherwise(F.col("to_ms")))
-    said = B.contexts(windows, segments, ["anchor_id", "which"]).withColumn("norm", X.normalize_text(F.col("context")))
     is_ = lambda name: F.col("which") == name
+    penalty = X.says(F.col("context"), lambda norm: X.contains_any(norm, PENALTIES) & ~X.contains_any(norm, MISSED))
+    said = B.contexts(windows, segments, ["anchor_id", "which"])
+    said = said.withColumn("said", F.when(is_("penalty"), penalty).when(is_("corner"), X.says_any(F.col("context"), CORNERS)))
     return said.groupBy("anchor_id").agg(
-        F.bool_or(is_("penalty") & X.contains_any(F.col("norm"), PENALTIES) & ~X.contains_any(F.col("norm"), MISSED)).alias("penalty"),
-        F.bool_or(is_("corner") & X.contains_any(F.col("norm"), CORNERS)).alias("corner"),
+        F.coalesce(F.bool_or(is_("penalty") & F.col("said")), F.lit(False)).alias("penalty"),
+        F.coalesce(F.bool_or(is_("corner") & F.col("said")), F.lit(False)).alias("corner"),
         F.max(F.when(is_("local"), F.col("context"))).alias("local"),
     )
 
@@ -327,15 +393,18 @@ def judge(rows: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
 
 @dataclass
 class Assembled:
-    """candidates: KEY, anchor_id, a_event, trigger_ms, action_ms, foul_ms, live, score, reasons, status, start_ms, end_ms, start_reason, end_reason, context and what
-    was weighed, before any limit. listed: the signals of each. confirmed: goals told in a replay, with the attack they show."""
+    """candidates: KEY, anchor_id, a_event, trigger_ms, action_ms, foul_ms, live, score, reasons, status, start_ms, end_ms, start_reason, end_reason and what was
+    weighed, before any limit. listed: the signals of each. confirmed: goals told in a replay, with the attack they show. contexts: anchor_id, context of those in whose
+    window something is said; a table of its own, since texts are far longer than all else and few ask for them (None if nobody does)."""
 
     candidates: DataFrame
     listed: DataFrame
     confirmed: DataFrame
+    contexts: DataFrame | None = None
 
 
-def assemble(signals: DataFrame, segments: DataFrame, media: DataFrame, cfg: Settings = DEFAULTS, reach: Reach = Reach(), limits: B.Limits = B.Limits()) -> Assembled:
+def assemble(signals: DataFrame, segments: DataFrame, media: DataFrame, cfg: Settings = DEFAULTS, reach: Reach = Reach(), limits: B.Limits = B.Limits(), told: bool = True) -> Assembled:
+    """told: are contexts of candidates wanted? If not, only goals are given theirs, since replays are found by them."""
     rows = settled(pool(signals, media))
     known = settled(distinct_signals(rows))
     anchor, members = map(settled, anchors(rows))
@@ -343,10 +412,11 @@ def assemble(signals: DataFrame, segments: DataFrame, media: DataFrame, cfg: Set
     confirmed = confirmed_goals(anchor, members, known, segments, cfg, reach)
     anchor, members = map(settled, with_confirmed(anchor, members, confirmed))
     near = settled(around(anchor, known, cfg, reach))
-    support = settled(listed(near, members, anchor, cfg, reach))
+    support = listed(near, members, anchor)
     weighed = evidence(support, cfg, reach)
     base = anchor.select(*KEY, "anchor_id").join(weighed, "anchor_id").join(media.select("asset_id", "duration_ms"), "asset_id")
-    base = base.join(spoken_flags(base.where("a_event = 'GOAL'").select("asset_id", "anchor_id", "trigger_ms", "duration_ms"), segments, cfg, reach), "anchor_id", "left")
+    goals = anchor.where("event_type = 'GOAL'").join(media.select("asset_id", "duration_ms"), "asset_id")
+    base = base.join(spoken_flags(goals.select("asset_id", "anchor_id", "trigger_ms", "duration_ms"), segments, cfg, reach), "anchor_id", "left")
     base = base.join(goal_actions(near, cfg, reach), "anchor_id", "left").join(fouls_before(anchor, known, segments, cfg, reach), "anchor_id", "left")
     # a goal that a replay confirmed is its own action
     own = F.when(F.col("confirmed"), F.col("trigger_ms"))
@@ -354,15 +424,17 @@ def assemble(signals: DataFrame, segments: DataFrame, media: DataFrame, cfg: Set
 
     at = F.coalesce("action_ms", "foul_ms")
     events = base.select(*KEY, "anchor_id", "a_event", "trigger_ms", F.coalesce(at, "trigger_ms").alias("ref_ms"), at.isNotNull().alias("rebuilt"), "duration_ms")
-    base = settled(base.join(B.event_windows(events, known, anchor, segments, cfg, limits), "anchor_id"))
-    said = B.contexts(base.select("asset_id", "anchor_id", F.col("start_ms").alias("from_ms"), F.col("end_ms").alias("to_ms")), segments, ["anchor_id"])
-    base = settled(base.join(said, "anchor_id", "left"))
-    return Assembled(settled(judge(base.join(replays(base, cfg), "anchor_id"), cfg)), support, confirmed)
+    windows = settled(B.event_windows(events, known, anchor, segments, cfg, limits))
+    spans_ = base.select("asset_id", "anchor_id", "a_event").join(windows.select("anchor_id", F.col("start_ms").alias("from_ms"), F.col("end_ms").alias("to_ms")), "anchor_id")
+    said = settled(B.contexts(spans_ if told else spans_.where("a_event = 'GOAL'"), segments, ["anchor_id"]))
+    base = settled(base.join(windows, "anchor_id"))
+    found = settled(judge(base.join(replays(base, said, cfg), "anchor_id"), cfg).drop("local"))
+    return Assembled(found, support, confirmed, said if told else None)
 
 
-def replays(base: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
-    """anchor_id, is_replay of weighed candidates: a goal with a replay cue and no new score, whose words are those of an earlier goal that stands."""
-    free = judge(base.withColumn("is_replay", F.lit(False)), cfg).where("a_event = 'GOAL'").select(*KEY, "anchor_id", "trigger_ms", "local", "context", (F.col("status") == "DETECTED").alias("stands"), (F.col("told_again") & ~F.col("score_moved")).alias("asks"))
+def replays(base: DataFrame, said: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
+    """anchor_id, is_replay of weighed candidates, with what is said in their windows (anchor_id, context): a goal with a replay cue and no new score, whose words are those of an earlier goal that stands."""
+    free = judge(base.withColumn("is_replay", F.lit(False)), cfg).where("a_event = 'GOAL'").join(said, "anchor_id", "left").select(*KEY, "anchor_id", "trigger_ms", "local", "context", (F.col("status") == "DETECTED").alias("stands"), (F.col("told_again") & ~F.col("score_moved")).alias("asks"))
     free = settled(free)
     one = L.classes(free.where("asks and local is not null"), "local")
     two = L.classes(free.where("stands and context is not null"), "context")

@@ -63,38 +63,52 @@ def contexts(windows: DataFrame, segments: DataFrame, keys: list[str], most: int
 
 
 def _near(events: DataFrame, signals: DataFrame, anchors: DataFrame, cfg: Settings, limits: Limits) -> DataFrame:
-    """Events with each signal near them that may decide, and what is known of all of these: fences, decisive action, what ends the event. Signals that no rule
-    asks for don't meet events, and of the pairs those that decide nothing go no further."""
-    lead = min(cfg.buildup_lead_ms, cfg.search_back_ms)
+    """Events with each signal near them that may decide, and what is known of all of these: fences, decisive action, what ends the event. What a signal can be to an event is
+    found once a signal; of the pairs those that no rule asks for are dropped where they arise."""
+    lead, glow_ms = min(cfg.buildup_lead_ms, cfg.search_back_ms), max(cfg.attach_ms, limits.glow_ms)
     told = F.col("evidence").startswith(RISING).alias("rising")
     rows = signals.select(*KEY, "id", "ts_ms", "signal_type", "event_type", "confidence", told).withColumnRenamed("event_type", "s_event")
-    spot = (F.col("s_event") == "PENALTY") & F.col("signal_type").isin("TRANSCRIPT_PENALTY", "TRANSCRIPT_EVENT", "TRANSCRIPT_KEYWORD")
-    rows = rows.where(F.col("signal_type").isin(*BOUNDS) | (F.col("s_event") == "CELEBRATION") | spot)
+    kind, event, strong = F.col("signal_type"), F.col("s_event"), F.col("confidence") >= 0.55
+    spot = (event == "PENALTY") & kind.isin("TRANSCRIPT_PENALTY", "TRANSCRIPT_EVENT", "TRANSCRIPT_KEYWORD")
+    taken = ((kind == "TRANSCRIPT_SHOT") & (event == "SHOT")) | ((kind == "TRANSCRIPT_PENALTY") & (event == "PENALTY")) | ((kind == "TRANSCRIPT_EVENT") & event.isin("SHOT", "PENALTY"))
+    audio = kind.isin("AUDIO_ENERGY_RISE", "AUDIO_SPIKE", "AUDIO_SUSTAINED", "SPEECH_RATE_SPIKE", "PITCH_RISE")
+    rows = rows.where(kind.isin(*BOUNDS) | (event == "CELEBRATION") | spot)
     rows = rows.unionByName(marks_of(anchors).where("event_type = 'GOAL'").withColumnRenamed("event_type", "s_event").withColumn("rising", F.lit(False)).select(rows.columns))
-    left = events.select(*KEY, "anchor_id", "a_event", "trigger_ms", "ref_ms", "duration_ms").withColumn("search_ms", F.greatest(F.lit(0), F.col("ref_ms") - lead))
-    near = T.range_join(left, rows, KEY, F.col("search_ms"), F.col("ref_ms") + cfg.replay_window_ms, "ts_ms", 60_000)
+    signal = kind != ANCHOR
+    flags = {
+        "mark": ~signal, "fence": kind.isin(*GOAL_FENCES), "replay": kind.isin(*REPLAYS), "restart": kind == "RESTART_CONTEXT", "taken": strong & taken,
+        "leads_goal": signal & strong & (builds() | taken | spot | audio), "leads_other": signal & strong & (builds() | penalty_cue()),
+        "first": strong & ((builds() & (kind == "TRANSCRIPT_SHOT")) | penalty_cue()), "second": strong & (kind == "AUDIO_ENERGY_RISE"), "glows": signal & glow(),
+    }
+    rows = rows.withColumns({name: F.coalesce(test, F.lit(False)) for name, test in flags.items()})
+    goal, ts, ref, is_ = F.col("a_event") == "GOAL", F.col("ts_ms"), F.col("ref_ms"), F.col
+    latest = F.greatest("ref_ms", "trigger_ms")
+    left = events.select(*KEY, "anchor_id", "a_event", "trigger_ms", "ref_ms", "duration_ms").withColumns({
+        "search_ms": F.greatest(F.lit(0), ref - lead), "until_ms": latest + F.when(goal, glow_ms).otherwise(cfg.attach_ms),
+    })
+    far = ref + cfg.replay_window_ms
+    near = T.range_join(left, rows, KEY, F.col("search_ms"), F.when(goal, far).otherwise(F.least("until_ms", far)), "ts_ms", 60_000)
+    restarts = is_("restart") & (ts > ref) & (ts - ref <= max(limits.glow_ms, limits.restart_ms))
+    asked = F.when(goal, is_("fence") & (ts < ref) | is_("leads_goal") & (ts <= ref) | is_("replay") & (ts > ref) | restarts).otherwise(is_("replay") & (ts < ref) | is_("leads_other") & (ts <= ref))
+    glows = is_("glows") & ts.between(ref, F.col("until_ms"))
+    near = near.where(asked | glows | (is_("mark") & (ts < ref)))
     w = Window.partitionBy("anchor_id")
-    goal, kind, ts, ref = F.col("a_event") == "GOAL", F.col("signal_type"), F.col("ts_ms"), F.col("ref_ms")
     top = lambda test, value=ts: F.max(F.when(test, value)).over(w)
-    first = lambda test: F.min(F.when(test, ts)).over(w)
-    replay = kind.isin(*REPLAYS)
     near = near.withColumns({
-        "fence_ms": top(kind.isin(*GOAL_FENCES) & (ts < ref)),
-        "past_ms": top(replay & (ts > F.col("search_ms")) & (ts < ref)),
-        "mark_ms": top((kind == ANCHOR) & (F.col("s_event") == "GOAL") & (F.col("id") != F.col("anchor_id")) & (ts < ref)),
-        "replay_ms": first(goal & replay & (ts > ref)),
-        "restart_ms": first(goal & (kind == "RESTART_CONTEXT") & (ts > ref) & (ts - ref <= max(limits.glow_ms, limits.restart_ms))),
+        "fence_ms": top(is_("fence") & (ts < ref)),
+        "past_ms": top(is_("replay") & (ts > F.col("search_ms")) & (ts < ref)),
+        "mark_ms": top(is_("mark") & (F.col("id") != F.col("anchor_id")) & (ts < ref)),
+        "replay_ms": F.min(F.when(goal & is_("replay") & (ts > ref), ts)).over(w),
+        "restart_ms": F.min(F.when(goal & restarts, ts)).over(w),
     }).withColumn("from_ms", F.when(goal, F.greatest("search_ms", F.coalesce("fence_ms", "search_ms"))).otherwise(F.col("search_ms")))
-    seen = (kind != ANCHOR) & ts.between(F.col("from_ms"), ref) & (F.col("confidence") >= 0.55) & (ts >= F.coalesce("mark_ms", F.lit(0))) & (goal | (ts > F.coalesce("past_ms", F.lit(-1))))
+    seen = F.when(goal, is_("leads_goal")).otherwise(is_("leads_other")) & ts.between(F.col("from_ms"), ref) & (ts >= F.coalesce("mark_ms", F.lit(0))) & (goal | (ts > F.coalesce("past_ms", F.lit(-1))))
     near = near.withColumn("seen", seen)
     pick = lambda test: top(F.col("seen") & test, F.struct("ts_ms", (-F.col("id")).alias("o"), "confidence"))
-    taken = ((kind == "TRANSCRIPT_SHOT") & (F.col("s_event") == "SHOT")) | ((kind == "TRANSCRIPT_PENALTY") & (F.col("s_event") == "PENALTY")) | ((kind == "TRANSCRIPT_EVENT") & F.col("s_event").isin("SHOT", "PENALTY"))
-    other = F.coalesce(pick(builds() & (kind == "TRANSCRIPT_SHOT") | penalty_cue()), pick(kind == "AUDIO_ENERGY_RISE"))
-    near = near.withColumn("decisive", F.when(goal, pick(taken)).otherwise(other))
+    near = near.withColumn("decisive", F.when(goal, pick(is_("taken"))).otherwise(F.coalesce(pick(is_("first")), pick(is_("second")))))
     # what decides, and rows that stand for what is known of all of them
-    glows = (kind != ANCHOR) & glow() & ts.between(ref, F.greatest("ref_ms", "trigger_ms") + max(cfg.attach_ms, limits.glow_ms))
     knows = (ts == F.col("fence_ms")) | (ts == F.col("replay_ms")) | (ts == F.col("restart_ms"))
-    return near.where(F.col("seen") | F.coalesce(glows, F.lit(False)) | F.coalesce(knows, F.lit(False)))
+    columns = ["asset_id", "anchor_id", "a_event", "trigger_ms", "ref_ms", "duration_ms", "id", "ts_ms", "signal_type", "s_event", "confidence", "rising", "from_ms", "replay_ms", "restart_ms", "seen", "decisive"]
+    return near.where(F.col("seen") | glows | F.coalesce(knows, F.lit(False))).select(*columns)
 
 
 def glow() -> Column:
@@ -182,8 +196,8 @@ def event_windows(events: DataFrame, signals: DataFrame, anchors: DataFrame, seg
 
     # what is said before a goal of a penalty
     said = contexts(rows.where(goal & F.col("spot").isNotNull()).select("anchor_id", "asset_id", "from_ms", F.col("ref_ms").alias("to_ms")), segments, ["anchor_id"])
-    said = said.where(X.contains_any(X.normalize_text(F.col("context")), PENALTY_WORDS)).select("anchor_id", F.lit(True).alias("named"))
-    setup = segments.where(X.contains_any(X.normalize_text(F.col("text")), PENALTY_SETUP)).select("asset_id", F.col("start_ms").alias("setup_ms"))
+    said = said.where(X.says_any(F.col("context"), PENALTY_WORDS)).select("anchor_id", F.lit(True).alias("named"))
+    setup = segments.where(X.says_any(F.col("text"), PENALTY_SETUP)).select("asset_id", F.col("start_ms").alias("setup_ms"))
     setup = T.range_join(rows.where(goal).select("anchor_id", "asset_id", "from_ms", "ref_ms"), setup, ["asset_id"], F.col("from_ms"), F.col("ref_ms") - 1, "setup_ms", 60_000)
     rows = rows.join(said, "anchor_id", "left").join(setup.groupBy("anchor_id").agg(F.min("setup_ms").alias("setup_ms")), "anchor_id", "left")
 

@@ -305,8 +305,8 @@ final as ({judged("(select t.*, coalesce(f.is_replay, false) as is_replay from t
 WHOLE = ANCHORS + CONFIRMED + SUPPORT + EVIDENCE + WINDOWS + FOLD
 
 
-def made(t: Tables) -> A.Assembled:
-    return A.assemble(t("moments"), t("spoken"), t("footage"))
+def made(t: Tables, told: bool = False) -> A.Assembled:
+    return A.assemble(t("moments"), t("spoken"), t("footage"), told=told)
 
 
 def r6(c):
@@ -317,7 +317,8 @@ def r6(c):
   array_to_string(reasons, ',') as reasons, md5(coalesce(context, '')) as context_md5 from (
   select *, row_number() over (partition by asset_id, run_id order by (status <> 'DETECTED')::int, score desc, start_ms, a_event, anchor_id) as k from final) where k <= 100""")
 def e1(t: Tables):
-    rows = A.ranked(made(t).candidates)
+    found = made(t, told=True)
+    rows = A.ranked(found.candidates).join(found.contexts, "anchor_id", "left")
     return rows.select(
         *A.KEY, "anchor_id", "a_event", "trigger_ms", "start_ms", "end_ms", r6("live").alias("live"), r6("score").alias("score"), "status", F.array_join("reasons", ",").alias("reasons"), F.md5(F.coalesce("context", F.lit(""))).alias("context_md5")
     )
@@ -494,9 +495,9 @@ def u1(t: Tables):
 
 def clustered(t: Tables):
     """Candidates, their stored signals and their clusters."""
-    found = made(t)
+    found = made(t, told=True)
     signals = settled(A.stored_signals(found).withColumnRenamed("anchor_id", "candidate_id"))
-    rows = settled(found.candidates.select(*A.KEY, F.col("anchor_id").alias("candidate_id"), F.col("a_event").alias("event_type"), "trigger_ms", "start_ms", "end_ms", "score", "status", "context"))
+    rows = settled(found.candidates.join(found.contexts, "anchor_id", "left").select(*A.KEY, F.col("anchor_id").alias("candidate_id"), F.col("a_event").alias("event_type"), "trigger_ms", "start_ms", "end_ms", "score", "status", "context"))
     return rows, signals, settled(C.cluster_events(rows, signals))
 
 
