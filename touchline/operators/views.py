@@ -173,7 +173,8 @@ def timeline(assets: DataFrame, reviewed: DataFrame, markers: DataFrame, observa
     length = assets.select("asset_id", "duration_ms").join(latest, "asset_id", "left")
     length = length.select("asset_id", F.coalesce(F.when(F.col("duration_ms") > 0, F.col("duration_ms")), F.greatest(F.lit(1), "latest_ms"), F.lit(1)).alias("length_ms"))
     share = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("at_ms") * 100.0 / F.col("length_ms")))
-    return rows.join(length, "asset_id").select("asset_id", "layer", "item", "at_ms", share.alias("percent"))
+    # one number a recording is looked up: a hash join leaves the items, which are far more, unsorted
+    return rows.join(length.hint("shuffle_hash"), "asset_id").select("asset_id", "layer", "item", "at_ms", share.alias("percent"))
 
 
 def reading_rules(observations: DataFrame) -> DataFrame:
