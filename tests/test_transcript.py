@@ -60,6 +60,18 @@ def test_context_signals(spark):
     assert sorted(r.seq for r in close) == [0, 2]  # four seconds apart at least
 
 
+def test_context_is_searched_as_in_sql(spark, monkeypatch):
+    """A segment without a word parts those around it, so no phrase reaches across; letters beyond ASCII don't make a word longer."""
+    from touchline.operators import phrases as R
+
+    texts = [["a kick", "|", "off then"], ["a kick", "off then"], ["kick off", "***", "kick"], ["ßno goal", "x"], ["noß goal", "x"], ["nox goal", "x"], ["***", "&"]]
+    for most in (R.MOST_PHRASES, 2):
+        monkeypatch.setattr(R, "MOST_PHRASES", most)
+        rows = P.detect_context_signals(said(spark, *texts, step=2000), spark.createDataFrame(KINDS, NAMES)).collect()
+        assert sorted((r.asset_id, r.seq, r.signal_type) for r in rows if r.signal_type == "RESTART_CONTEXT") == [(1, 0, "RESTART_CONTEXT"), (2, 0, "RESTART_CONTEXT"), (2, 2, "RESTART_CONTEXT")]
+        assert sorted((r.asset_id, r.seq) for r in rows if r.signal_type == "NEGATION_CONTEXT") == [(3, 0), (3, 1), (4, 0), (4, 1)]
+
+
 def test_cues_and_plain_searches_lose_no_text(spark):
     """Texts are searched by an expression only if they have one of its words, and texts of one byte a letter are normalised without tables: the same is found as by the expressions alone."""
     import random

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: Phrases that are sent to the tasks; beyond, matching is a join.
 MOST_PHRASES = 50_000
-END = ""  # no word: what ends here
+END = None  # no word: what ends here
 
 
 def trie_of(rows: list[tuple[str, str]]) -> dict:
@@ -26,7 +26,8 @@ def trie_of(rows: list[tuple[str, str]]) -> dict:
 
 
 def matches(words: list[str], root: dict) -> Iterator[tuple[str, str]]:
-    """(kind, phrase) of phrases that words have in a row. Most words begin no phrase, so most steps are one look-up."""
+    """(kind, phrase) of phrases that words have in a row; an empty word, where a text between two others has none, is in no phrase. Most words begin no
+    phrase, so most steps are one look-up."""
     for start, word in enumerate(words):
         node, at = root.get(word), start + 1
         while node is not None:
@@ -57,7 +58,7 @@ def _found(cast, carried: int):
             at, kinds, phrases = [], [], []
             langs, texts = batch.column(carried).to_pylist(), batch.column(carried + 1).to_pylist()
             for k, (lang, text) in enumerate(zip(langs, texts, strict=True)):
-                for kind, phrase in dict.fromkeys(matches((text or "").split(), lexicon.of(lang))):
+                for kind, phrase in dict.fromkeys(matches((text or "").split(" "), lexicon.of(lang))):
                     at.append(k)
                     kinds.append(kind)
                     phrases.append(phrase)
