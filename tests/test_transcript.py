@@ -72,6 +72,23 @@ def test_context_is_searched_as_in_sql(spark, monkeypatch):
         assert sorted((r.asset_id, r.seq) for r in rows if r.signal_type == "NEGATION_CONTEXT") == [(3, 0), (3, 1), (4, 0), (4, 1)]
 
 
+def test_phrases_of_a_large_lexicon_are_joined(spark, monkeypatch):
+    from touchline.operators import phrases as R
+
+    texts = ["A goal, he scores", "Goal!!!", "goooool, he shoots", "goal kick now", "into his own net, goal", "|", ["goal", "x", "goal"], "Il relance dans le match, but"]
+    events, marks = spark.createDataFrame(EVENTS, NAMES), spark.createDataFrame(MARKS, NAMES)
+    rows = lambda: sorted(tuple(r) for code in ("en", "fr", None) for r in P.detect_phrase_signals(said(spark, *texts, language=code), events, marks).collect())
+    want = rows()
+    monkeypatch.setattr(R, "MOST_PHRASES", 1)
+    assert rows() == want and {r[3] for r in want} == {"GOAL", "SHOT", "GOAL_KICK", "COMEBACK"}
+
+
+def test_phrase_signals_read_each_text_once(spark):
+    """One order of segments, one search of texts, one order of what is found, without texts."""
+    plan = P.detect_phrase_signals(said(spark, "a goal"), spark.createDataFrame(EVENTS, NAMES), spark.createDataFrame(MARKS, NAMES))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 2 and plan.count("ArrowEvalPython") == 1 and "Join" not in plan and "InArrow" not in plan
+
+
 def test_cues_and_plain_searches_lose_no_text(spark):
     """Texts are searched by an expression only if they have one of its words, and texts of one byte a letter are normalised without tables: the same is found as by the expressions alone."""
     import random

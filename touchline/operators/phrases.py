@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Phrases that are sent to the tasks; beyond, matching is a join.
@@ -81,6 +81,55 @@ def match_words(texts: DataFrame, lexicon: list[tuple], carry: list[str]) -> Dat
     return texts.select(*carry, "lang", "norm").mapInArrow(_found(cast, len(carry)), ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "event_type string", "phrase string"]))
 
 
+def _maps(cast):
+    """An array of languages and one of texts to an array of, by lexicon, a map of kind to its phrases in the text."""
+
+    def run(langs: pa.Array, texts: pa.Array) -> pa.Array:
+        if not made:
+            made.extend(tries_of(cast.value))
+        by, other = made
+        n = len(cast.value)
+        map_ends, key_ends, keys, found = [0], [0], [], []
+        for lang, text in zip(langs.to_pylist(), texts.to_pylist(), strict=True):
+            root, words, own = by.get(lang, other), (text or "").split(" "), {}
+            for start in [k for k, word in enumerate(words) if word in root]:
+                node, at = root[words[start]], start + 1
+                while node is not None:
+                    for kind, phrase in node.get(END, ()):
+                        own.setdefault(kind, set()).add(phrase)
+                    node, at = node.get(words[at]) if at < len(words) else None, at + 1
+            if own:
+                kinds = sorted(own)
+                for lexicon in range(n):
+                    for kind in kinds:
+                        if kind[0] == lexicon:
+                            keys.append(kind[1])
+                            found.extend(sorted(own[kind]))
+                            key_ends.append(len(found))
+                    map_ends.append(len(keys))
+            else:
+                map_ends.extend([len(keys)] * n)
+        phrases = pa.ListArray.from_arrays(pa.array(key_ends, pa.int32()), pa.array(found, pa.string()))
+        maps = pa.MapArray.from_arrays(pa.array(map_ends, pa.int32()), pa.array(keys, pa.string()), phrases)
+        return pa.ListArray.from_arrays(pa.array(range(0, len(langs) * n + 1, n), pa.int32()), maps)
+
+    made: list = []  # once a task
+    return run
+
+
+def tries_of(lexicons: list[list[tuple]]) -> tuple[dict[str, dict], dict]:
+    """A trie by language, and that of others, whose kinds are (number of the lexicon, kind)."""
+    each = [Lexicon(rows, list) for rows in lexicons]
+    made = lambda lang: trie_of([((k, kind), phrase) for k, one in enumerate(each) for kind, phrase in one.of(lang)])
+    return {lang: made(lang) for lang in {x for one in each for x in one.by}}, trie_of([((k, kind), phrase) for k, one in enumerate(each) for kind, phrase in one.other])
+
+
+def phrase_maps(spark, lexicons: list[list[tuple]], lang: Column, text: Column) -> Column:
+    """By lexicon, a map of event_type to its phrases in normalised text, each once and in order: one pass over the text, and no row leaves its place.
+    lexicons: (lang, event_type, phrase) each, see small()."""
+    return F.arrow_udf(_maps(spark.sparkContext.broadcast(lexicons)), "array<map<string,array<string>>>")(lang, text)
+
+
 def _automata(rows: list[tuple[str, str]]):
     import ahocorasick
 
