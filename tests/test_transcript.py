@@ -89,6 +89,26 @@ def test_phrase_signals_read_each_text_once(spark):
     assert plan.count("Exchange") <= 2 and plan.count("ArrowEvalPython") == 1 and "Join" not in plan and "InArrow" not in plan
 
 
+def test_context_signals_read_each_text_once(spark):
+    plan = P.detect_context_signals(said(spark, "kick off"), spark.createDataFrame(KINDS, NAMES))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 2 and plan.count("ArrowEvalPython") == 1 and plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
+def test_flags_thin_as_rows_do(spark):
+    """Kinds as bits of one column: as each kind by itself, a row a kind."""
+    import random
+
+    from touchline.operators import sequence as S
+
+    draw = random.Random(3)
+    rows = [(asset, ts, draw.randrange(8)) for asset in range(9) for ts in sorted(draw.sample(range(400), 60))]
+    frame = spark.createDataFrame(rows, "asset_id long, ts long, bits int")
+    got = S.thin_flags(frame.repartition("asset_id").sortWithinPartitions("asset_id", "ts"), ["asset_id"], "ts", "bits", 10).collect()
+    each = spark.createDataFrame([(asset, ts, bit) for asset, ts, bits in rows for bit in (1, 2, 4) if bits & bit], "asset_id long, ts long, bit int")
+    want = S.thin_by_last_kept(each, ["asset_id", "bit"], "ts", 10, True).collect()
+    assert len(got) == len(rows) and sorted((r.asset_id, r.ts, bit) for r in got for bit in (1, 2, 4) if r.bits & bit) == sorted(map(tuple, want))
+
+
 def test_cues_and_plain_searches_lose_no_text(spark):
     """Texts are searched by an expression only if they have one of its words, and texts of one byte a letter are normalised without tables: the same is found as by the expressions alone."""
     import random
