@@ -65,20 +65,23 @@ def test_context_is_searched_as_in_sql(spark, monkeypatch):
     from touchline.operators import phrases as R
 
     texts = [["a kick", "|", "off then"], ["a kick", "off then"], ["kick off", "***", "kick"], ["ßno goal", "x"], ["noß goal", "x"], ["nox goal", "x"], ["***", "&"]]
-    for most in (R.MOST_PHRASES, 2):
+    for most, few in ((R.MOST_PHRASES, R.FEW_PHRASES), (R.MOST_PHRASES, 0), (2, 0)):
         monkeypatch.setattr(R, "MOST_PHRASES", most)
+        monkeypatch.setattr(R, "FEW_PHRASES", few)
         rows = P.detect_context_signals(said(spark, *texts, step=2000), spark.createDataFrame(KINDS, NAMES)).collect()
         assert sorted((r.asset_id, r.seq, r.signal_type) for r in rows if r.signal_type == "RESTART_CONTEXT") == [(1, 0, "RESTART_CONTEXT"), (2, 0, "RESTART_CONTEXT"), (2, 2, "RESTART_CONTEXT")]
         assert sorted((r.asset_id, r.seq) for r in rows if r.signal_type == "NEGATION_CONTEXT") == [(3, 0), (3, 1), (4, 0), (4, 1)]
 
 
-def test_phrases_of_a_large_lexicon_are_joined(spark, monkeypatch):
+def test_larger_lexicons_go_through_an_automaton_or_a_join(spark, monkeypatch):
     from touchline.operators import phrases as R
 
     texts = ["A goal, he scores", "Goal!!!", "goooool, he shoots", "goal kick now", "into his own net, goal", "|", ["goal", "x", "goal"], "Il relance dans le match, but"]
     events, marks = spark.createDataFrame(EVENTS, NAMES), spark.createDataFrame(MARKS, NAMES)
     rows = lambda: sorted(tuple(r) for code in ("en", "fr", None) for r in P.detect_phrase_signals(said(spark, *texts, language=code), events, marks).collect())
     want = rows()
+    monkeypatch.setattr(R, "FEW_PHRASES", 0)
+    assert rows() == want
     monkeypatch.setattr(R, "MOST_PHRASES", 1)
     assert rows() == want and {r[3] for r in want} == {"GOAL", "SHOT", "GOAL_KICK", "COMEBACK"}
 
@@ -86,12 +89,12 @@ def test_phrases_of_a_large_lexicon_are_joined(spark, monkeypatch):
 def test_phrase_signals_read_each_text_once(spark):
     """One order of segments, one search of texts, one order of what is found, without texts."""
     plan = P.detect_phrase_signals(said(spark, "a goal"), spark.createDataFrame(EVENTS, NAMES), spark.createDataFrame(MARKS, NAMES))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") <= 2 and plan.count("ArrowEvalPython") == 1 and "Join" not in plan and "InArrow" not in plan
+    assert plan.count("Exchange") <= 2 and "Join" not in plan and "InArrow" not in plan and "EvalPython" not in plan
 
 
 def test_context_signals_read_each_text_once(spark):
     plan = P.detect_context_signals(said(spark, "kick off"), spark.createDataFrame(KINDS, NAMES))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") <= 2 and plan.count("ArrowEvalPython") == 1 and plan.count("MapInArrow") == 1 and "Join" not in plan
+    assert plan.count("Exchange") <= 2 and plan.count("MapInArrow") == 1 and "Join" not in plan and "EvalPython" not in plan
 
 
 def test_flags_thin_as_rows_do(spark):

@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Phrases that are sent to the tasks; beyond, matching is a join.
-MOST_PHRASES = 50_000
+#: Phrases that are sent to the tasks; beyond, matching is a join. Up to a few, a plain search for each is faster than Python.
+MOST_PHRASES, FEW_PHRASES = 50_000, 100
 END = None  # no word: what ends here
 
 
@@ -81,34 +81,31 @@ def match_words(texts: DataFrame, lexicon: list[tuple], carry: list[str]) -> Dat
     return texts.select(*carry, "lang", "norm").mapInArrow(_found(cast, len(carry)), ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "event_type string", "phrase string"]))
 
 
+def plain(phrase: str) -> str:
+    """As whole words of a text between blanks."""
+    return f" {' '.join(phrase.split())} "
+
+
 def _maps(cast):
     """An array of languages and one of texts to an array of, by lexicon, a map of kind to its phrases in the text."""
 
     def run(langs: pa.Array, texts: pa.Array) -> pa.Array:
         if not made:
-            made.extend(tries_of(cast.value))
+            made.extend(_by_language(cast.value))
         by, other = made
         n = len(cast.value)
         map_ends, key_ends, keys, found = [0], [0], [], []
         for lang, text in zip(langs.to_pylist(), texts.to_pylist(), strict=True):
-            root, words, own = by.get(lang, other), (text or "").split(" "), {}
-            for start in [k for k, word in enumerate(words) if word in root]:
-                node, at = root[words[start]], start + 1
-                while node is not None:
-                    for kind, phrase in node.get(END, ()):
-                        own.setdefault(kind, set()).add(phrase)
-                    node, at = node.get(words[at]) if at < len(words) else None, at + 1
-            if own:
-                kinds = sorted(own)
-                for lexicon in range(n):
-                    for kind in kinds:
-                        if kind[0] == lexicon:
-                            keys.append(kind[1])
-                            found.extend(sorted(own[kind]))
-                            key_ends.append(len(found))
-                    map_ends.append(len(keys))
-            else:
-                map_ends.extend([len(keys)] * n)
+            automaton, own = by.get(lang, other), {}
+            if automaton is not None and text:
+                for (k, kind), phrase in {x for _, some in automaton.iter(f" {text} ") for x in some}:
+                    own.setdefault(k, {}).setdefault(kind, []).append(phrase)
+            for k in range(n):
+                for kind, phrases in sorted(own.get(k, {}).items()):
+                    keys.append(kind)
+                    found.extend(sorted(phrases))
+                    key_ends.append(len(found))
+                map_ends.append(len(keys))
         phrases = pa.ListArray.from_arrays(pa.array(key_ends, pa.int32()), pa.array(found, pa.string()))
         maps = pa.MapArray.from_arrays(pa.array(map_ends, pa.int32()), pa.array(keys, pa.string()), phrases)
         return pa.ListArray.from_arrays(pa.array(range(0, len(langs) * n + 1, n), pa.int32()), maps)
@@ -117,20 +114,47 @@ def _maps(cast):
     return run
 
 
-def tries_of(lexicons: list[list[tuple]]) -> tuple[dict[str, dict], dict]:
-    """A trie by language, and that of others, whose kinds are (number of the lexicon, kind)."""
+def _by_language(lexicons: list[list[tuple]]) -> tuple[dict, object]:
+    """An automaton by language, and that of others, of ((number of the lexicon, kind), phrase)."""
     each = [Lexicon(rows, list) for rows in lexicons]
-    made = lambda lang: trie_of([((k, kind), phrase) for k, one in enumerate(each) for kind, phrase in one.of(lang)])
-    return {lang: made(lang) for lang in {x for one in each for x in one.by}}, trie_of([((k, kind), phrase) for k, one in enumerate(each) for kind, phrase in one.other])
+    made = lambda own: _automata([((k, kind), phrase) for k, one in enumerate(each) for kind, phrase in own(one)], plain)
+    return {lang: made(lambda one, lang=lang: one.of(lang)) for lang in {x for one in each for x in one.by}}, made(lambda one: one.other)
 
 
-def phrase_maps(spark, lexicons: list[list[tuple]], lang: Column, text: Column) -> Column:
-    """By lexicon, a map of event_type to its phrases in normalised text, each once and in order: one pass over the text, and no row leaves its place.
-    lexicons: (lang, event_type, phrase) each, see small()."""
-    return F.arrow_udf(_maps(spark.sparkContext.broadcast(lexicons)), "array<map<string,array<string>>>")(lang, text)
-
+def _searches(lexicons: list[list[tuple]], lang: Column, padded: Column) -> Column:
+    """The same by a plain search for each phrase of the text's language. padded: the text between blanks."""
+    each = [Lexicon(rows, list) for rows in lexicons]
 
-def _automata(rows: list[tuple[str, str]]):
+    def maps(own) -> Column:
+        out = []
+        for one in each:
+            kinds: dict[str, set] = {}
+            for kind, phrase in own(one):
+                if phrase.strip():
+                    kinds.setdefault(kind, set()).add(phrase)
+            phrases = lambda own: F.array_compact(F.array(*(F.when(padded.contains(plain(p)), F.lit(p)) for p in sorted(own))))
+            entries = [F.struct(F.lit(kind).alias("kind"), phrases(own).alias("phrases")) for kind, own in sorted(kinds.items())]
+            out.append(F.map_from_entries(F.filter(F.array(*entries), lambda x: F.size(x["phrases"]) > 0)) if entries else F.expr("cast(map() as map<string,array<string>>)"))
+        return F.array(*out)
+
+    found = maps(lambda one: one.other)
+    for code in sorted({x for one in each for x in one.by}):
+        found = F.when(lang == code, maps(lambda one, code=code: one.of(code))).otherwise(found)
+    return found
+
+
+def phrase_maps(texts: DataFrame, lexicons: list[list[tuple]], text: str, name: str) -> DataFrame:
+    """texts (with lang) and as name, by lexicon, a map of event_type to its phrases in a normalised text, each once and in order. One pass over the text, and no
+    row leaves its place: a few phrases are searched for by Spark, more by an automaton. lexicons: (lang, event_type, phrase) each, see small()."""
+    if sum(map(len, lexicons)) > FEW_PHRASES:
+        found = F.arrow_udf(_maps(texts.sparkSession.sparkContext.broadcast(lexicons)), "array<map<string,array<string>>>")
+        return texts.withColumn(name, found(F.col("lang"), F.col(text)))
+    padded = texts.withColumn("p_text", F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" ")))
+    return padded.withColumn(name, _searches(lexicons, F.col("lang"), F.col("p_text"))).drop("p_text")
+
+
+def _automata(rows: list[tuple], shown: Callable[[str], str] = str):
+    """Of (kind, phrase). shown: what stands in the text for a phrase."""
     import ahocorasick
 
     found = ahocorasick.Automaton()
@@ -138,8 +162,8 @@ def _automata(rows: list[tuple[str, str]]):
     for kind, phrase in rows:
         by.setdefault(phrase, []).append((kind, phrase))
     for phrase, kinds in by.items():
-        if phrase:
-            found.add_word(phrase, kinds)
+        if phrase.strip():
+            found.add_word(shown(phrase), kinds)
     found.make_automaton()
     return found if len(found) else None
 
